@@ -8,7 +8,8 @@ Lengths are whole numbers up to the capacity, so the whole problem is a histogra
 2. optimises configurations of these few sizes: the cutting-stock linear programme by column
    generation, rounded down, and the rest by greedy configurations;
 3. substitutes the actual lengths for the rounded ones, longest first within a group;
-4. puts the small lengths, longest first, where they fit best.
+4. puts the small lengths, longest first, where they fit best, and gives the sequences that
+   are not full after that a second chance by best fit.
 
 The plan is a table of runs: pieces of a length with ranks from r to r + k - 1 go to sequences
 s to s + k - 1 at one offset. Its size depends on the capacity alone. Documents get their rank
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 from proofline.llm import libtokens, store
 
 CAPACITY = 2048
-GROUPS = 40
-#: Lengths up to this part of the capacity are small.
-SMALL = 8
+GROUPS = 128
+#: Lengths up to this part of the capacity are small: two large ones fit together at most, which
+#: leaves enough small ones to fill what rounding up costs.
+SMALL = 0.45
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -123,91 +125,107 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, count, first sequence, offset) for all pieces, and the number of sequences."""
-    runs: list[tuple[int, int, int, int, int]] = []
-    used, sequences = dict.fromkeys(histogram, 0), 0
-    room: dict[int, list[tuple[int, int]]] = {}
+def best_fit(lengths: dict[int, int], bins: list[tuple[int, tuple[int, ...]]], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Puts lengths, longest first, into the fullest bins that still hold them; opens bins where none does.
+
+    A bin is (how many alike, lengths in it). Alike bins are filled together.
+    """
+    room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     open_rooms: list[int] = []
 
-    def add(free: int, first: int, count: int) -> None:
-        if free and count:
+    def add(count: int, held: tuple[int, ...], free: int) -> None:
+        if count:
             if free not in room:
                 room[free] = []
                 insort(open_rooms, free)
-            room[free].append((first, count))
+            room[free].append((count, held))
 
-    def put(length: int, count: int, first: int, offset: int) -> None:
-        runs.append((length, used[length], count, first, offset))
-        used[length] += count
-
-    if n := histogram.get(capacity, 0):
-        put(capacity, n, 0, 0)
-        sequences = n
-    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if capacity // SMALL < x < capacity]
-    total = sum(n for _, n in large)
-    if total:
-        bounds = [total * g // groups for g in range(groups + 1)]
-        pools: list[list[list[int]]] = [[] for _ in range(groups)]
-        g = at = 0
-        for length, n in large:
-            while n:
-                while at >= bounds[g + 1]:
-                    g += 1
-                step = min(n, bounds[g + 1] - at)
-                pools[g].append([length, step])
-                at, n = at + step, n - step
-        pools = [p for p in pools if p]
-        merged: dict[int, list[list[int]]] = {}
-        for p in pools:
-            merged.setdefault(p[0][0], []).extend(p)
-        sizes = list(merged)
-        pools = [merged[s] for s in sizes]
-        for times, counts in configurations(sizes, [sum(n for _, n in p) for p in pools], capacity):
-            slots = []
-            for i, c in enumerate(counts):
-                for _ in range(c):
-                    got, want = [], times
-                    while want:
-                        head = pools[i][0]
-                        step = min(want, head[1])
-                        got.append([head[0], step])
-                        want, head[1] = want - step, head[1] - step
-                        if not head[1]:
-                            pools[i].pop(0)
-                    slots.append(got)
-            while times:
-                step, offset = min(s[0][1] for s in slots), 0
-                for s in slots:
-                    put(s[0][0], step, sequences, offset)
-                    offset += s[0][0]
-                    s[0][1] -= step
-                    if not s[0][1]:
-                        s.pop(0)
-                add(capacity - offset, sequences, step)
-                sequences, times = sequences + step, times - step
-    for length in sorted((x for x in histogram if x <= capacity // SMALL), reverse=True):
-        n = histogram[length]
+    for count, held in bins:
+        add(count, held, capacity - sum(held))
+    for length in sorted(lengths, reverse=True):
+        n = lengths[length]
         while n:
             k = bisect_left(open_rooms, length)
             if k == len(open_rooms):
-                each = capacity // length
-                fresh = max(1, n // each)
-                add(capacity, sequences, fresh)
-                sequences += fresh
+                add(max(1, n // (capacity // length)), (), capacity)
                 continue
             free = open_rooms[k]
-            first, count = room[free].pop()
+            count, held = room[free].pop()
             if not room[free]:
                 del room[free]
                 open_rooms.pop(k)
             each = min(free // length, n)
             take = min(count, n // each)
-            for i in range(each):
-                put(length, take, first, capacity - free + i * length)
-            add(free - each * length, first, take)
-            add(free, first + take, count - take)
+            add(take, held + (length,) * each, free - each * length)
+            add(count - take, held, free)
             n -= each * take
+    return [x for group in room.values() for x in group]
+
+
+def grouped(large: list[tuple[int, int]], capacity: int, groups: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Bins of the large lengths (longest first) by linear grouping, configurations and substitution."""
+    total = sum(n for _, n in large)
+    ends = [total * (g + 1) // groups for g in range(groups)]
+    pools: dict[int, list[list[int]]] = {}
+    g, at, size = 0, 0, None
+    for length, n in large:
+        while n:
+            if at >= ends[g]:
+                g, size = next(i for i in range(g, groups) if at < ends[i]), None
+            size = size or length
+            step = min(n, ends[g] - at)
+            pools.setdefault(size, []).append([length, step])
+            at, n = at + step, n - step
+    sizes, bins = list(pools), []
+    for times, counts in configurations(sizes, [sum(n for _, n in pools[s]) for s in sizes], capacity):
+        slots = []
+        for size, c in zip(sizes, counts, strict=True):
+            for _ in range(c):
+                got, want, pool = [], times, pools[size]
+                while want:
+                    step = min(want, pool[0][1])
+                    got.append([pool[0][0], step])
+                    want, pool[0][1] = want - step, pool[0][1] - step
+                    if not pool[0][1]:
+                        pool.pop(0)
+                slots.append(got)
+        while times:
+            step = min(s[0][1] for s in slots)
+            bins.append((step, tuple(s[0][0] for s in slots)))
+            for s in slots:
+                s[0][1] -= step
+                if not s[0][1]:
+                    s.pop(0)
+            times -= step
+    return bins
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Runs (length, first rank, count, first sequence, offset) for all pieces, and the number of sequences.
+
+    Bins that best fit leaves with room are taken apart and packed once more by best fit
+    alone, which is kept if it takes fewer sequences.
+    """
+    large = [(x, histogram[x]) for x in sorted(histogram, reverse=True) if capacity * SMALL < x < capacity]
+    small = {x: n for x, n in histogram.items() if x <= capacity * SMALL}
+    bins = best_fit(small, grouped(large, capacity, groups) if large else [], capacity)
+    full = [b for b in bins if sum(b[1]) == capacity]
+    loose, again = [b for b in bins if sum(b[1]) < capacity], {}
+    for count, held in loose:
+        for x in held:
+            again[x] = again.get(x, 0) + count
+    anew = best_fit(again, [], capacity)
+    bins = full + min(loose, anew, key=lambda some: sum(n for n, _ in some))
+    if n := histogram.get(capacity, 0):
+        bins.append((n, (capacity,)))
+    runs, used, sequences = [], dict.fromkeys(histogram, 0), 0
+    for count, held in bins:
+        offset = 0
+        for length in held:
+            runs.append((length, used[length], count, sequences, offset))
+            used[length] += count
+            offset += length
+        sequences += count if held else 0
     return runs, sequences
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, packing, tokenstore
+from proofline.llm import ann, bpe, minhash, packing, tokenstore
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -20,6 +20,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_store(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -30,6 +39,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_neighbours": op6_neighbours,
+    "op7_fingerprints": op7_fingerprints,
     "op8_tokenstore": op8_tokenstore,
     "op10_packing": op10_packing,
 }
