@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import ann, bpe, minhash, packing, tokenstore
+from proofline.llm import ann, bpe, jaccard, minhash, packing, tokenstore
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_jaccard": op5_jaccard,
     "op6_neighbours": op6_neighbours,
     "op7_fingerprints": op7_fingerprints,
     "op8_tokenstore": op8_tokenstore,
