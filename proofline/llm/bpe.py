@@ -20,28 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.wordsplit import Splitter, byte_alphabet
+from proofline.llm.wordsplit import PieceEncoder, Splitter, byte_alphabet
 
-#: Pieces that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Words in each of the two generations of a worker's memo.
+MEMO = 300_000
 NONE = 1 << 62
 SHIFT = 32
 
 
-class Memo(dict):
-    """Piece -> ids as little-endian unsigned 32-bit bytes; emptied when full."""
-
-    def __init__(self, encode, size: int = MEMO):
-        super().__init__()
-        self.encode, self.size = encode, size
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.size:
-            self.clear()
-        ids = self[piece] = self.encode(piece)
-        return ids
-
-
 class SegmentTreeBPE:
     """Encoder and decoder for a tokenizer file with a BPE model over byte symbols."""
 
@@ -63,7 +49,7 @@ class SegmentTreeBPE:
         back = {c: b for b, c in alphabet.items()}
         self.decoder = self.splitter.kind == "byte"
         self.raw = [bytes(map(back.get, t)) if i not in self.splitter.special.values() and all(c in back for c in t) else t.encode() for i, t in enumerate(self.names)] if self.decoder else []
-        self.memo = Memo(self.encode_piece, memo)
+        self.memo = PieceEncoder(self.splitter, self.encode_piece, memo)
 
     def encode_piece(self, piece: str) -> bytes:
         """Merge one piece's bytes with the segment tree."""
@@ -118,9 +104,9 @@ class SegmentTreeBPE:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known = self.memo.__getitem__
         if self.splitter.plain(text):
-            return b"".join(map(known, self.splitter.pieces(text)))
+            return self.memo.plain(text)
+        known = self.memo.pieces.__getitem__
         return b"".join(np.array([i], "<u4").tobytes() if i is not None else b"".join(map(known, pieces)) for i, pieces in self.splitter.parts(text))
 
     def decode(self, ids: bytes) -> str:

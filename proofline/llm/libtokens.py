@@ -1,17 +1,17 @@
 """Token ids by the tokenizers library, piece by piece with a bounded memo.
 
 The library's own split runs as a regular expression here and each new piece goes to the
-library once for each worker; texts with unusual characters or special tokens go to it whole.
+library's model once for each worker; texts with unusual characters or special tokens go to it whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
-import numpy as np
+from proofline.llm.wordsplit import PieceEncoder, Splitter, byte_alphabet
 
-from proofline.llm.bpe import Memo
-from proofline.llm.wordsplit import Splitter
+MEMO = 300_000
 
 
 class LibraryTokenizer:
@@ -25,16 +25,22 @@ class LibraryTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.splitter = Splitter(path)
-        self.memo = Memo(self.whole)
+        self.model = self.library.model
+        self.alphabet = {b: ord(c) for b, c in byte_alphabet().items()}
+        self.memo = PieceEncoder(self.splitter, self.piece, MEMO)
+
+    def piece(self, piece: str) -> bytes:
+        """One piece by the library's model, without its normaliser and split, which are done."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.splitter.kind and self.splitter.plain(text):
-            return b"".join(map(self.memo.__getitem__, self.splitter.pieces(text)))
+            return self.memo.plain(text)
         return self.whole(text)
 
 

@@ -12,9 +12,9 @@ import numpy as np
 _rng = np.random.default_rng(20240607)
 _odd = lambda n: _rng.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 BLOCK = 1 << 20
-_value = _odd(256)
-_base = int(_odd(1)[0])
-_inverse = pow(_base, -1, 1 << 64)
+VALUE = _odd(256)
+BASE = int(_odd(1)[0])
+_inverse = pow(BASE, -1, 1 << 64)
 _place = _odd(16)
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _space = np.array([b == 0x20 or 9 <= b <= 13 for b in range(256)])
@@ -33,7 +33,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i for i < n, modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, BLOCK + 1)
-        up, down = np.full(size, _base, np.uint64), np.full(size, _inverse, np.uint64)
+        up, down = np.full(size, BASE, np.uint64), np.full(size, _inverse, np.uint64)
         up[0] = down[0] = 1
         _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
     return _powers[0], _powers[1]
@@ -48,7 +48,7 @@ def _block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_value[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(VALUE[raw] * up[: len(raw)], out=sums[1:])
     return starts, mix((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -6,7 +6,9 @@ The patterns are fixed values: they are part of the tokenizer files' format.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from collections.abc import Callable
 
 import regex
 
@@ -16,7 +18,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Characters on which Python's and the tokenizers library's Unicode tables can't differ and
 #: which normalisation leaves alone. Anything else takes the slower, general path.
-UNUSUAL = regex.compile("[^\t\n\r -~\xa1-įı-ɏ‐-‧€]|<\\|")
+UNUSUAL = re.compile("[^\t\n\r -~\xa1-įı-ɏ‐-‧€]|<\\|")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -64,3 +66,47 @@ class Splitter:
         if self.cut is None or "<|" not in text:
             return [(None, self.pieces(text))]
         return [(self.special[x], []) if x in self.special else (None, self.pieces(x)) for x in self.cut.split(text) if x]
+
+
+class Memo(dict):
+    """Key -> what ``make`` gives for it. Of two generations of at most ``size`` keys, the older is dropped when the newer is full."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        self[key] = made
+        return made
+
+
+class PieceEncoder:
+    """Whole texts -> ids, by an encoder of single pieces and memos of pieces and of space-bounded words.
+
+    A text is first cut at spaces, which is quicker than the pattern; a word that is new is cut by
+    the pattern. Texts in which a piece may span a space are cut by the pattern at once.
+    """
+
+    def __init__(self, splitter: Splitter, piece: Callable[[str], bytes], memo: int):
+        self.splitter = splitter
+        self.pieces = Memo(piece, memo // 2)
+        self.words = Memo(self.by_pattern, memo)
+        self.spaced = Memo(lambda word: self.by_pattern(" " + word), memo)
+
+    def by_pattern(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.splitter.find(text)))
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text for which ``splitter.plain`` holds."""
+        if self.splitter.kind == "word":
+            return b"".join(map(self.words.__getitem__, lower(text).split()))
+        if "  " in text:
+            return self.by_pattern(text)
+        first, *rest = text.split(" ")
+        return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
