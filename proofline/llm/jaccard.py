@@ -3,17 +3,19 @@
 Documents are sets of 64-bit shingle hashes; documents with equal sets are one node. Two nodes
 link when ``den * |A & B| >= num * |A | B|``.
 
-1. One pass writes (doc_id, size, node) and counts shingles in a fixed number of slots over all
-   documents. The slots give every shingle a level of frequency: the common ones sort last.
-2. By prefix filtering, linked sets share a shingle among the first ``n - ceil(s n) + 1`` in the
-   order (level, hash). Those shingles are dealt out in packed blocks; each index list is cut
-   into blocks of lengths, and block pairs whose lengths can't link are skipped. What is left
-   gives edges of candidate clusters: stars within a block and links between neighbouring ones,
-   so a list of m entries gives fewer than 2 m edges and every linked pair shares a cluster.
-3. Within a cluster all overlaps of a set are counted from its index lists, or, if it is much
-   like a set done before, from that set's overlaps and the index lists of the few shingles in
-   which they differ. Clusters beyond ``CLUSTER`` shingles are cut into blocks, and each
-   pair of blocks is a task of its own: exact for any size with bounded memory.
+1. One pass writes (doc_id, size, node).
+2. Sets that may link are brought together. Sizes fall into classes such that linked sets are
+   in one class or in neighbouring ones, so a set takes part in its own class and in the next.
+   Linked sets of a class differ in at most D shingles. The hash space is cut into D + 1 + SPARE
+   parts, each shingle spoils one part, and so linked sets agree in a part that isn't empty.
+   (A set with more than SPARE empty parts counts these, too.) Parts travel as 64-bit
+   signatures in packed blocks; a list of m equal ones gives m - 1 edges of candidate clusters.
+   Agreement in a part takes several shingles at once, so shared passages make no candidates.
+3. Within a cluster the sets, by size, are joined over index lists. A list is in the order of
+   sets and jumps over the block before a set and the block of those too large for it. If a set
+   is much like one done before, its overlaps are that one's, changed by the lists of the few
+   shingles in which they differ. Clusters beyond ``CLUSTER`` shingles are cut into blocks, and
+   each pair of blocks is a task of its own: exact for any size, in bounded memory.
 
 Results for odd input: null, empty and wordless texts have an empty set and are linked with
 nothing, each its own component; fewer words than k make one shingle; repeated ids and rows are
@@ -22,25 +24,25 @@ kept, each row with its own result; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm import store
 from proofline.llm.components import components
-from proofline.llm.shingles import set_key, shingle_set, word_hashes
+from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 
-SLOT_BITS = 18
-CHUNKS = 64
 #: Shingles of a cluster that one task holds.
 CLUSTER = 4_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
 SEND = 500_000
-POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4")])
+#: Empty parts that a set may have without counting them.
+SPARE = 2
+POSTING = np.dtype([("sign", "<u8"), ("node", "<i8")])
 
 
 def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tuple[int, list[str]]]:
@@ -48,98 +50,80 @@ def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tupl
         yield at, batch.column(column).slice(at, size).to_pylist()
 
 
-def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of each row, and the frequency level of each slot."""
-    schema = "doc_id long, n long, node long, chunk int, task int, counts binary"
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, node) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             n, nodes = [], []
             for _, texts in _texts(batch, 1):
                 sets = [shingle_set(w, k) for w in word_hashes(texts)]
                 n += [len(s) for s in sets]
                 nodes += [set_key(s) for s in sets]
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
-            none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), none, none, pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "n", "node", "chunk", "task", "counts"])
-        none, task = pa.nulls(CHUNKS, pa.int64()), TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array([x.tobytes() for x in np.split(total, CHUNKS)])], ["doc_id", "n", "node", "chunk", "task", "counts"])
-
-    both = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "nodes")
-
-    def add(part: pa.Table) -> pa.Table:
-        found = sum(np.frombuffer(x, "<i8") for x in part.column("counts").to_pylist())
-        return pa.table({"chunk": part.column("chunk")[:1], "counts": pa.array([found.tobytes()])})
-
-    parts = both.filter("chunk is not null").select("chunk", F.pmod("task", F.lit(16)).alias("salt"), "counts")
-    sums = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary").collect()  # 64 x 16 blocks at most, of fixed size
-    total = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int64)
-    for chunk, counts in sums:
-        total[chunk] += np.frombuffer(counts, "<i8")
-    total = total.reshape(-1)
-    mean = total.mean()
-    over = total - mean
-    level = np.where(over > 8 * np.sqrt(mean) + 8, np.log2(np.maximum(over, 1)) + 1, 0).astype(np.uint8)
-    return both.filter("chunk is null").select("doc_id", "n", "node"), level
-
-
-def prefix(found: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles of an ascending set of which any linked set shares one."""
-    n = len(found)
-    size = n - -(-num * n // den) + 1
-    of = level[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-    return found[:size] if not of.any() else found[np.argsort(of, kind="stable")[:size]]
-
-
-def list_edges(posts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Distinct candidate edges from the index lists of a block of postings."""
-    posts = np.unique(posts)  # by token, node, n
-    posts = posts[np.lexsort((posts["node"], posts["n"], posts["token"]))]
-    same = posts["token"][1:] == posts["token"][:-1]
-    listed = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    posts, n = posts[listed], posts["n"][listed].astype(np.int64)
-    if not len(posts):
-        return np.zeros((0, 2), np.int64)
-    # blocks of lengths within a list: any two in a block may link, and a block's first starts it
-    block = np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(np.int64)
-    starts = np.concatenate([[True], (posts["token"][1:] != posts["token"][:-1]) | (block[1:] != block[:-1])])
-    first = np.maximum.accumulate(np.where(starts, np.arange(len(posts)), 0))
-    inner = np.flatnonzero(~starts)
-    bridge = np.flatnonzero(starts[1:] & (posts["token"][1:] == posts["token"][:-1]) & (den * n[:-1] >= num * n[1:])) + 1
-    a = np.concatenate([posts["node"][first[inner]], posts["node"][bridge - 1]])
-    b = np.concatenate([posts["node"][inner], posts["node"][bridge]])
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-
-
-def candidate_edges(docs: DataFrame, k: int, level: np.ndarray, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between nodes such that linked nodes are connected."""
-    spark = docs.sparkSession
-    buckets = 4 * store.partitions(spark)
-    shared = spark.sparkContext.broadcast(level)  # 2 ** SLOT_BITS bytes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n", "node"])
+
+    return store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long"), "nodes")
+
+
+class Classes:
+    """Size classes and the number of parts of each."""
+
+    def __init__(self, num: int, den: int, largest: int = 1 << 40):
+        self.ends = [1 * den // num]
+        while self.ends[-1] < largest:
+            self.ends.append((self.ends[-1] + 1) * den // num)
+        self.parts = [2 * end * (den - num) // (den + num) + 1 + SPARE for end in self.ends]
+
+    def signatures(self, found: np.ndarray) -> np.ndarray:
+        """The signatures of an ascending set, in its own class and the next."""
+        own = bisect_left(self.ends, len(found))
+        mixed = mix(found)
+        out = []
+        for c in (own, own + 1):
+            parts = self.parts[c]
+            part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            sums = np.add.reduceat(mixed, starts)
+            place = np.uint64(c << 40) + part[starts]
+            if parts - len(starts) > SPARE:
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
+                sums, place = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([place, np.uint64(c << 40) + empty])
+            out.append(mix(sums ^ mix(place + np.uint64(1))))
+        return np.concatenate(out)
+
+
+def list_edges(posts: np.ndarray) -> np.ndarray:
+    """Distinct edges that connect the nodes of each signature's list to its first."""
+    posts = posts[np.lexsort((posts["node"], posts["sign"]))]
+    head = np.concatenate([[True], posts["sign"][1:] != posts["sign"][:-1]])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(posts)), 0))
+    a, b = posts["node"][first], posts["node"]
+    return np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+
+
+def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """Edges (a, b) that connect nodes with a signature in common. signatures: texts -> (node, its signatures)."""
+    buckets = 4 * store.partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            posts = np.concatenate(held)
-            to = (posts["token"] % np.uint64(buckets)).astype(np.int64)
+            posts = np.unique(np.concatenate(held))
+            to = (posts["sign"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             found, at = np.unique(to[order], return_index=True)
-            blocks = [np.unique(x).tobytes() for x in np.split(posts[order], at[1:])]
+            blocks = [x.tobytes() for x in np.split(posts[order], at[1:])]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
         for batch in batches:
             for _, texts in _texts(batch, 0):
-                for words in word_hashes(texts):
-                    own = shingle_set(words, k)
-                    if len(own):
-                        tokens = prefix(own, shared.value, num, den)
-                        posts = np.empty(len(tokens), POSTING)
-                        posts["token"], posts["node"], posts["n"] = tokens, set_key(own), len(own)
-                        held.append(posts)
-                        size += len(posts)
+                for node, signs in signatures(texts):
+                    posts = np.empty(len(signs), POSTING)
+                    posts["sign"], posts["node"] = signs, node
+                    held.append(posts)
+                    size += len(posts)
                 if size > 1 << 20:
                     yield flush()
                     held, size = [], 0
@@ -147,55 +131,67 @@ def candidate_edges(docs: DataFrame, k: int, level: np.ndarray, num: int, den: i
             yield flush()
 
     def join(part: pa.Table) -> pa.Table:
-        edges = list_edges(np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()]), num, den)
+        edges = list_edges(np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()]))
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
     return docs.select("text").mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
-def overlaps(sets: list[np.ndarray], like: float = 0.85) -> Iterator[np.ndarray]:
-    """For each set in turn, the sizes of its overlaps with all of the sets.
+def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between nodes such that linked nodes are connected."""
+    classes = Classes(num, den)
 
-    An index lists the sets of each shingle. A set that is much like one done before takes over
-    that one's overlaps and changes them by the lists of the shingles in which they differ.
-    """
-    m = len(sets)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    tokens, codes = np.unique(flat, return_inverse=True)
-    order = np.argsort(codes, kind="stable")
-    lists, ends = owner[order], np.cumsum(np.bincount(codes, minlength=len(tokens)))
-    begins = np.concatenate([[0], ends[:-1]])
-    own = np.split(codes, np.cumsum([len(s) for s in sets])[:-1])
+    def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        for words in word_hashes(texts):
+            if len(own := shingle_set(words, k)):
+                yield set_key(own), classes.signatures(own)
 
-    def count(some: np.ndarray) -> np.ndarray:
-        lengths = ends[some] - begins[some]
-        at = np.repeat(begins[some] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        return np.bincount(lists[at], minlength=m)
+    return shared_edges(docs, signatures)
 
-    done: list[tuple[int, np.ndarray]] = []
+
+def joined(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set i of an ascending list by size: (i, later sets j it may link with, |i & j|)."""
+    m = len(sets)
+    n = np.array([len(s) for s in sets])
+    tokens, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), n)
+    order = np.argsort(codes, kind="stable")
+    lists = owner[order]
+    places = codes[order] * m + lists  # ascending: by shingle, then by set
+    own = np.split(codes, np.cumsum(n)[:-1])
+    stop = np.searchsorted(n, n * den // num, "right")
+
+    def count(some: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How often sets low to high - 1 are in the lists of some shingles; the lists' other blocks are jumped over."""
+        if not len(some) or low >= high:
+            return np.zeros(max(0, high - low), np.int64)
+        a, b = np.searchsorted(places, some * m + low), np.searchsorted(places, some * m + high)
+        lengths = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        return np.bincount(lists[at] - low, minlength=high - low)
+
+    done: list[tuple[int, int, np.ndarray]] = []
     for i in range(m):
+        low, high = i + 1, int(stop[i])
         found = None
-        for j, known in reversed(done):
-            if known[i] >= like * max(len(own[i]), len(own[j])):
+        for j, top, known in reversed(done):
+            # known[x] is |j & (j + 1 + x)|; i is one of these
+            if i < top and den * known[i - j - 1] >= num * len(own[i]):
                 more = np.setdiff1d(own[i], own[j], assume_unique=True)
                 less = np.setdiff1d(own[j], own[i], assume_unique=True)
-                found = known.copy()
-                if len(more):
-                    found += count(more)
-                if len(less):
-                    found -= count(less)
+                both = min(top, high)
+                found = np.concatenate([known[low - j - 1 : both - j - 1] + count(more, low, both) - count(less, low, both), count(own[i], max(low, both), high)])
                 break
         if found is None:
-            found = count(own[i])
-            done = [*done[-7:], (i, found)]
-        yield found
+            found = count(own[i], low, high)
+            done = [*done[-7:], (i, high, found)]
+        yield i, np.arange(low, max(low, high)), found
 
 
 def link_roots(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> np.ndarray:
     """The first member of each set's component; with ``side``, only links between the two sides count."""
     m = len(sets)
-    root = np.arange(m)
+    root = list(range(m))
     n = np.array([len(s) for s in sets])
 
     def top(i: int) -> int:
@@ -204,12 +200,11 @@ def link_roots(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: i
             i = root[i]
         return i
 
-    for i, both in enumerate(overlaps(sets)):
-        linked = den * both >= num * (n[i] + n - both)
+    for i, others, both in joined(sets, num, den):
+        linked = den * both >= num * (n[i] + n[others] - both)
         if side is not None:
-            linked &= side != side[i]
-        linked[: i + 1] = False
-        for j in np.flatnonzero(linked).tolist():
+            linked &= side[others] != side[i]
+        for j in others[linked].tolist():
             a, b = top(i), top(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -237,7 +232,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
         held, key = {}, None
 
         def flush() -> pa.RecordBatch:
-            nodes = list(held)
+            nodes = sorted(held, key=lambda x: len(held[x][1]))
             blocks = np.array([held[x][0] for x in nodes])
             roots = link_roots([held[x][1] for x in nodes], None if key[1] == key[2] else blocks, num, den)
             return pa.RecordBatch.from_arrays([pa.array([nodes[r] for r in roots.tolist()], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
@@ -260,12 +255,12 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach from each document."""
-    nodes, level = describe(docs, k)
-    clusters = components(candidate_edges(docs, k, level, num, den))
-    return _by_component(docs, nodes, clusters, k, num, den)
+    nodes = describe(docs, k)
+    clusters = components(candidate_edges(docs, k, num, den))
+    return by_component(docs, nodes, clusters, k, num, den)
 
 
-def _by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Verify the links within candidate clusters (node, root) and give each row its component."""
     first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = store.table(first.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm import store
-from proofline.llm.shingles import shingle_hashes, word_hashes
+from proofline.llm import jaccard, store
+from proofline.llm.components import components
+from proofline.llm.shingles import mix, set_key, shingle_hashes, shingle_set, word_hashes
 
 PERMUTATIONS = 128
 WORDS = 5
@@ -138,3 +139,23 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
     n = store.partitions(docs.sparkSession)
     ordered = with_next(docs).repartition(n, "range_no").sortWithinPartitions("range_no", "guest", F.desc_nulls_last("doc_id"), "text")
     return ordered.select("doc_id", "text", "range_no", "guest").mapInArrow(run, OUT)
+
+
+def minhash_near_duplicates(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, band: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents joined by equal bands of minima whose Jaccard similarity is verified.
+
+    Bands of ``band`` minima: at the default similarity of 0.8, a pair misses all 32 with a chance
+    below one in ten million. Equal bands give stars, not pairs, and whole sets are compared.
+    """
+
+    def bands(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        sig = signatures(texts, PERMUTATIONS, words).astype(np.uint64).reshape(len(texts), -1, band)
+        names = np.zeros(sig.shape[:2], np.uint64) + np.arange(sig.shape[1], dtype=np.uint64)
+        for i in range(band):
+            names = mix(names << np.uint64(16) ^ sig[:, :, i] ^ names >> np.uint64(48))
+        for own, hashes in zip(names, word_hashes(texts), strict=True):
+            if len(found := shingle_set(hashes, words)):
+                yield set_key(found), own
+
+    nodes = jaccard.describe(docs, words)
+    return jaccard.by_component(docs, nodes, components(jaccard.shared_edges(docs, bands)), words, num, den)
