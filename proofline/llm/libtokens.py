@@ -11,7 +11,8 @@ from array import array
 
 from proofline.llm.wordsplit import PieceEncoder, Splitter, byte_alphabet
 
-MEMO = 300_000
+#: Words in each of the two generations of a worker's memo.
+MEMO = 500_000
 
 
 class LibraryTokenizer:
@@ -31,7 +32,11 @@ class LibraryTokenizer:
 
     def piece(self, piece: str) -> bytes:
         """One piece by the library's model, without its normaliser and split, which are done."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        if piece.isascii() and piece[1:].isalpha():
+            symbols = piece if piece[0] != " " else "\u0120" + piece[1:]
+        else:
+            symbols = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()

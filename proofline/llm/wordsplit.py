@@ -94,14 +94,21 @@ class PieceEncoder:
     """
 
     def __init__(self, splitter: Splitter, piece: Callable[[str], bytes], memo: int):
-        self.splitter = splitter
+        self.splitter, self.piece = splitter, piece
         self.pieces = Memo(piece, memo // 2)
-        self.words = Memo(self.by_pattern, memo)
-        self.spaced = Memo(lambda word: self.by_pattern(" " + word), memo)
+        self.words = Memo(self.by_word, memo)
+        self.spaced = Memo(self.by_spaced, memo)
 
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.splitter.find(text)))
 
+    def by_word(self, word: str) -> bytes:
+        """Letters alone are one piece in either pattern."""
+        return self.piece(word) if word.isalpha() else self.by_pattern(word)
+
+    def by_spaced(self, word: str) -> bytes:
+        return self.piece(" " + word) if word.isalpha() else self.by_pattern(" " + word)
+
     def plain(self, text: str) -> bytes:
         """The ids of a text for which ``splitter.plain`` holds."""
         if self.splitter.kind == "word":
