@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm import store
@@ -51,18 +51,23 @@ def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tupl
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node) of each row."""
+    """(doc_id, twin, n, node) of each row; twin tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, nodes = [], []
-            for _, texts in _texts(batch, 1):
+            for _, texts in _texts(batch, 2):
                 sets = [shingle_set(w, k) for w in word_hashes(texts)]
                 n += [len(s) for s in sets]
                 nodes += [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "twin", "n", "node"])
 
-    return store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long"), "nodes")
+    rows = docs.select(F.col("doc_id").cast("long"), twin(), "text")
+    return store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node long"), "nodes")
+
+
+def twin() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("twin")
 
 
 class Classes:
@@ -256,15 +261,38 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach from each document."""
     nodes = describe(docs, k)
-    clusters = components(candidate_edges(docs, k, num, den))
-    return by_component(docs, nodes, clusters, k, num, den)
+    found = by_component(docs, nodes, components(candidate_edges(docs, k, num, den)), k, num, den)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Verify the links within candidate clusters (node, root) and give each row its component."""
+    """Verify the links within candidate clusters (node, root) and give each row its component.
+
+    ``keep`` marks the row of the smallest id in each component, and rows without shingles.
+    """
     first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = store.table(first.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
     roots = components(verified_links(docs, members, k, num, den))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = placed.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("least"))
+    own = placed.join(least, "root", "left")
+    linked = F.col("n") > 0
+    return own.select(
+        "doc_id",
+        "twin",
+        "n",
+        F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.twin") == F.col("twin"))).otherwise(True).alias("keep"),
+    )
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, one of each group of linked documents: that of the smallest id. Of rows with one id and text, one stays."""
+    nodes = describe(docs, k)
+    found = store.table(by_component(docs, nodes, components(candidate_edges(docs, k, num, den)), k, num, den), "kept")
+    gone = found.filter(~F.col("keep")).select(F.col("doc_id").alias("gone_id"), F.col("twin").alias("gone_twin")).distinct()
+    few = gone.count() <= SEND
+    same = F.col("gone_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("gone_twin") == F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    twice = found.filter("keep").groupBy("doc_id", "twin").count().filter("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import ann, bpe, jaccard, minhash, packing, quality, repeats, tokenstore
+from proofline.llm import ann, bpe, jaccard, licences, minhash, packing, quality, repeats, tokenstore, wrappers
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -46,6 +50,10 @@ def op8_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_store(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
@@ -54,11 +62,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_repeats": op3_repeats,
+    "op4_licences": op4_licences,
     "op5_jaccard": op5_jaccard,
     "op6_neighbours": op6_neighbours,
     "op7_fingerprints": op7_fingerprints,
     "op8_tokenstore": op8_tokenstore,
+    "op9_pages": op9_pages,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_licences": licences.oracle("documents")}
