@@ -3,14 +3,17 @@
 Documents are sets of 64-bit shingle hashes; documents with equal sets are one node. Two nodes
 link when ``den * |A & B| >= num * |A | B|``.
 
-1. One pass writes (doc_id, size, node).
+1. One pass writes (doc_id, size, node) and counts all shingles in a fixed number of slots.
 2. Sets that may link are brought together. Sizes fall into classes such that linked sets are
    in one class or in neighbouring ones, so a set takes part in its own class and in the next.
-   Linked sets of a class differ in at most D shingles. The hash space is cut into D + 1 + SPARE
-   parts, each shingle spoils one part, and so linked sets agree in a part that isn't empty.
-   (A set with more than SPARE empty parts counts these, too.) Parts travel as 64-bit
-   signatures in packed blocks; a list of m equal ones gives m - 1 edges of candidate clusters.
-   Agreement in a part takes several shingles at once, so shared passages make no candidates.
+   Linked sets of a class differ in at most D shingles. The hash space is cut into D + 1 + spare
+   parts; each differing shingle spoils one part, so linked sets agree in spare + 1 parts or more,
+   and unless both have more than spare thin parts (of one shingle or none), in one that isn't
+   thin. This holds for any choice of shingles, so the frequent ones are left out: those in
+   slots of a count of all shingles of all documents that stand out far. A set with too many thin
+   parts counts its thin parts over all its shingles, too. Parts travel as 64-bit signatures in
+   packed blocks; a list of m equal ones gives m - 1 edges of candidate clusters. Agreement in a
+   part takes several rare shingles at once, so shared passages make no candidates.
 3. Within a cluster the sets, by size, are joined over index lists. A list is in the order of
    sets and jumps over the block before a set and the block of those too large for it. If a set
    is much like one done before, its overlaps are that one's, changed by the lists of the few
@@ -29,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,10 @@ from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 CLUSTER = 4_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
 SEND = 500_000
-#: Empty parts that a set may have without counting them.
-SPARE = 2
+#: Sets up to this size meet by prefix shingles instead of parts, which would be thin.
+SMALL = 32
+#: Slots in which shingles are counted, and the blocks in which the counts are added up.
+SLOT_BITS, CHUNKS = 20, 64
 POSTING = np.dtype([("sign", "<u8"), ("node", "<i8")])
 
 
@@ -50,20 +56,44 @@ def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tupl
         yield at, batch.column(column).slice(at, size).to_pylist()
 
 
-def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, twin, n, node) of each row; twin tells rows of one id apart."""
+def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, twin, n, node) of each row, twin telling rows of one id apart; and which slots are frequent."""
+    names = ["doc_id", "twin", "n", "node", "chunk", "task", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             n, nodes = [], []
             for _, texts in _texts(batch, 2):
                 sets = [shingle_set(w, k) for w in word_hashes(texts)]
                 n += [len(s) for s in sets]
                 nodes += [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "twin", "n", "node"])
+                slots, times = np.unique(slot(np.concatenate(sets)), return_counts=True)
+                total[slots] += times.astype(np.uint32)
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *none], names)
+        task, none = TaskContext.get().partitionId(), pa.nulls(CHUNKS, pa.int64())
+        counts = [x.tobytes() for x in np.split(total, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(counts, pa.binary())], names)
+
+    def add(part: pa.Table) -> pa.Table:
+        size = (1 << SLOT_BITS) // CHUNKS
+        found = sum(np.frombuffer(x, f"<u{len(x) // size}").astype(np.uint64) for x in part.column("counts").to_pylist())
+        return pa.table({"chunk": part.column("chunk")[:1], "counts": pa.array([found.tobytes()])})
 
     rows = docs.select(F.col("doc_id").cast("long"), twin(), "text")
-    return store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node long"), "nodes")
+    both = store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node long, chunk int, task int, counts binary"), "nodes")
+    parts = both.filter("chunk is not null").select("chunk", (F.col("task") % 64).alias("salt"), "counts")
+    sums = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    total = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint64)
+    for chunk, counts in sums.collect():  # 64 blocks of fixed size
+        total[chunk] = np.frombuffer(counts, "<u8")
+    mean = float(total.mean())
+    return both.filter("chunk is null").select("doc_id", "twin", "n", "node"), total.reshape(-1) > mean + 8 * mean**0.5 + 32
+
+
+def slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def twin() -> Column:
@@ -74,28 +104,48 @@ class Classes:
     """Size classes and the number of parts of each."""
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
+        self.num, self.den = num, den
         self.ends = [1 * den // num]
         while self.ends[-1] < largest:
             self.ends.append((self.ends[-1] + 1) * den // num)
-        self.parts = [2 * end * (den - num) // (den + num) + 1 + SPARE for end in self.ends]
+        self.differ = [2 * end * (den - num) // (den + num) for end in self.ends]
+        self.spare = [2 + d // 12 for d in self.differ]
 
-    def signatures(self, found: np.ndarray) -> np.ndarray:
+    def signatures(self, found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """The signatures of an ascending set, in its own class and the next."""
-        own = bisect_left(self.ends, len(found))
-        mixed = mix(found)
-        out = []
+        n, often, out = len(found), frequent[slot(found)], []
+        if n <= SMALL * self.den // self.num:
+            first = np.argsort(often, kind="stable")[: n - -(-self.num * n // self.den) + 1]
+            out.append(mix(found[first] ^ np.uint64(1 << 62)))
+        if n <= SMALL:
+            return out[0]
+        own, rare = bisect_left(self.ends, n), found[~often]
         for c in (own, own + 1):
-            parts = self.parts[c]
-            part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(mixed, starts)
-            place = np.uint64(c << 40) + part[starts]
-            if parts - len(starts) > SPARE:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-                sums, place = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([place, np.uint64(c << 40) + empty])
-            out.append(mix(sums ^ mix(place + np.uint64(1))))
+            thin = self._parts(rare, c, False, out)
+            if thin > self.spare[c]:
+                self._parts(found, c, True, out)
         return np.concatenate(out)
 
+    def _parts(self, some: np.ndarray, c: int, whole: bool, out: list[np.ndarray]) -> int:
+        """Adds the signatures of a set's parts, with the thin ones if ``whole``; returns how many are thin."""
+        parts = self.differ[c] + 1 + self.spare[c]
+        # low bits, as the slots of the count are the high ones
+        part = ((some & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        part, mixed = part[order], mix(some)[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        sums = np.add.reduceat(mixed, starts) if len(starts) else np.zeros(0, np.uint64)
+        sizes, place = np.diff(np.append(starts, len(part))), part[starts]
+        thick = sizes > 1
+        few = parts - int(thick.sum()) <= self.spare[c]
+        if whole and not few:
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
+            sums, place = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([place, empty])
+        else:
+            sums, place = sums[thick], place[thick]
+        out.append(mix(sums ^ mix(place + np.uint64((2 * c + whole) << 40 | 1 << 39))))
+        return parts - int(thick.sum())
+
 
 def list_edges(posts: np.ndarray) -> np.ndarray:
     """Distinct edges that connect the nodes of each signature's list to its first."""
@@ -142,14 +192,16 @@ def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tup
     return docs.select("text").mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
-def candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes such that linked nodes are connected."""
     classes = Classes(num, den)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # a bit for each slot
 
     def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        often = np.unpackbits(shared.value).astype(bool)
         for words in word_hashes(texts):
             if len(own := shingle_set(words, k)):
-                yield set_key(own), classes.signatures(own)
+                yield set_key(own), classes.signatures(own, often)
 
     return shared_edges(docs, signatures)
 
@@ -260,8 +312,8 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach from each document."""
-    nodes = describe(docs, k)
-    found = by_component(docs, nodes, components(candidate_edges(docs, k, num, den)), k, num, den)
+    nodes, frequent = describe(docs, k)
+    found = by_component(docs, nodes, components(candidate_edges(docs, frequent, k, num, den)), k, num, den)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -288,8 +340,8 @@ def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int,
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, one of each group of linked documents: that of the smallest id. Of rows with one id and text, one stays."""
-    nodes = describe(docs, k)
-    found = store.table(by_component(docs, nodes, components(candidate_edges(docs, k, num, den)), k, num, den), "kept")
+    nodes, frequent = describe(docs, k)
+    found = store.table(by_component(docs, nodes, components(candidate_edges(docs, frequent, k, num, den)), k, num, den), "kept")
     gone = found.filter(~F.col("keep")).select(F.col("doc_id").alias("gone_id"), F.col("twin").alias("gone_twin")).distinct()
     few = gone.count() <= SEND
     same = F.col("gone_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("gone_twin") == F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -157,6 +157,6 @@ def minhash_near_duplicates(docs: DataFrame, words: int = WORDS, num: int = 80,
             if len(found := shingle_set(hashes, words)):
                 yield set_key(found), own
 
-    nodes = jaccard.describe(docs, words)
+    nodes, _ = jaccard.describe(docs, words)
     found = jaccard.by_component(docs, nodes, components(jaccard.shared_edges(docs, bands)), words, num, den)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
