@@ -8,12 +8,12 @@ link when ``den * |A & B| >= num * |A | B|``.
    in one class or in neighbouring ones, so a set takes part in its own class and in the next.
    Linked sets of a class differ in at most D shingles. The hash space is cut into D + 1 + spare
    parts; each differing shingle spoils one part, so linked sets agree in spare + 1 parts or more,
-   and unless both have more than spare thin parts (of one shingle or none), in one that isn't
-   thin. This holds for any choice of shingles, so the frequent ones are left out: those in
-   slots of a count of all shingles of all documents that stand out far. A set with too many thin
-   parts counts its thin parts over all its shingles, too. Parts travel as 64-bit signatures in
-   packed blocks; a list of m equal ones gives m - 1 edges of candidate clusters. Agreement in a
-   part takes several rare shingles at once, so shared passages make no candidates.
+   and unless both have more than spare empty parts, in one that isn't empty. This holds for any choice of shingles, so the frequent ones are left out: those in
+   slots of a count of all shingles of all documents that stand out far. A set with too many empty
+   parts takes part with all its shingles, too. Parts travel as 64-bit signatures in
+   packed blocks; a short list of equal ones gives pairs, one of m gives m - 1 edges of candidate clusters. Agreement in a
+   part takes a few rare shingles at once, so shared passages seldom make candidates, and
+   sketches of the sets turn down most pairs that can't link.
 3. Within a cluster the sets, by size, are joined over index lists. A list is in the order of
    sets and jumps over the block before a set and the block of those too large for it. If a set
    is much like one done before, its overlaps are that one's, changed by the lists of the few
@@ -44,10 +44,12 @@ from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 CLUSTER = 4_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
 SEND = 500_000
-#: Sets up to this size meet by prefix shingles instead of parts, which would be thin.
+#: Sets up to this size meet by prefix shingles instead of parts, which would be empty too often.
 SMALL = 32
 #: Slots in which shingles are counted, and the blocks in which the counts are added up.
 SLOT_BITS, CHUNKS = 20, 64
+#: Bins of a sketch, and the longest list of equal signatures that is looked at pair by pair.
+BINS, PAIRWISE = 64, 24
 POSTING = np.dtype([("sign", "<u8"), ("node", "<i8")])
 
 
@@ -57,24 +59,25 @@ def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tupl
 
 
 def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, twin, n, node) of each row, twin telling rows of one id apart; and which slots are frequent."""
-    names = ["doc_id", "twin", "n", "node", "chunk", "task", "counts"]
+    """(doc_id, twin, n, node, sketch) of each row, twin telling rows of one id apart; and which slots are frequent."""
+    names = ["doc_id", "twin", "n", "node", "sketch", "chunk", "task", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
-            n, nodes = [], []
+            n, nodes, sketches = [], [], []
             for _, texts in _texts(batch, 2):
                 sets = [shingle_set(w, k) for w in word_hashes(texts)]
                 n += [len(s) for s in sets]
                 nodes += [set_key(s) for s in sets]
+                sketches += map(sketch, sets)
                 slots, times = np.unique(slot(np.concatenate(sets)), return_counts=True)
                 total[slots] += times.astype(np.uint32)
             none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), *none], names)
         task, none = TaskContext.get().partitionId(), pa.nulls(CHUNKS, pa.int64())
         counts = [x.tobytes() for x in np.split(total, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(counts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(counts, pa.binary())], names)
 
     def add(part: pa.Table) -> pa.Table:
         size = (1 << SLOT_BITS) // CHUNKS
@@ -82,14 +85,19 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         return pa.table({"chunk": part.column("chunk")[:1], "counts": pa.array([found.tobytes()])})
 
     rows = docs.select(F.col("doc_id").cast("long"), twin(), "text")
-    both = store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node long, chunk int, task int, counts binary"), "nodes")
+    both = store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node long, sketch binary, chunk int, task int, counts binary"), "nodes")
     parts = both.filter("chunk is not null").select("chunk", (F.col("task") % 64).alias("salt"), "counts")
     sums = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     total = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint64)
     for chunk, counts in sums.collect():  # 64 blocks of fixed size
         total[chunk] = np.frombuffer(counts, "<u8")
     mean = float(total.mean())
-    return both.filter("chunk is null").select("doc_id", "twin", "n", "node"), total.reshape(-1) > mean + 8 * mean**0.5 + 32
+    return both.filter("chunk is null").select("doc_id", "twin", "n", "node", "sketch"), total.reshape(-1) > mean + 8 * mean**0.5 + 32
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of ``BINS`` bins, 255 at most: sets differ in no fewer than their sketches."""
+    return np.minimum(np.bincount(((found >> np.uint64(8)) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def slot(shingles: np.ndarray) -> np.ndarray:
@@ -109,7 +117,7 @@ class Classes:
         while self.ends[-1] < largest:
             self.ends.append((self.ends[-1] + 1) * den // num)
         self.differ = [2 * end * (den - num) // (den + num) for end in self.ends]
-        self.spare = [2 + d // 12 for d in self.differ]
+        self.spare = [2 + d // 6 for d in self.differ]
 
     def signatures(self, found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """The signatures of an ascending set, in its own class and the next."""
@@ -121,13 +129,12 @@ class Classes:
             return out[0]
         own, rare = bisect_left(self.ends, n), found[~often]
         for c in (own, own + 1):
-            thin = self._parts(rare, c, False, out)
-            if thin > self.spare[c]:
+            if self._parts(rare, c, False, out) > self.spare[c]:
                 self._parts(found, c, True, out)
         return np.concatenate(out)
 
     def _parts(self, some: np.ndarray, c: int, whole: bool, out: list[np.ndarray]) -> int:
-        """Adds the signatures of a set's parts, with the thin ones if ``whole``; returns how many are thin."""
+        """Adds the signatures of a set's parts; returns how many are empty. If those of a whole set are too many, they count, too."""
         parts = self.differ[c] + 1 + self.spare[c]
         # low bits, as the slots of the count are the high ones
         part = ((some & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
@@ -135,29 +142,38 @@ class Classes:
         part, mixed = part[order], mix(some)[order]
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
         sums = np.add.reduceat(mixed, starts) if len(starts) else np.zeros(0, np.uint64)
-        sizes, place = np.diff(np.append(starts, len(part))), part[starts]
-        thick = sizes > 1
-        few = parts - int(thick.sum()) <= self.spare[c]
-        if whole and not few:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
-            sums, place = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([place, empty])
-        else:
-            sums, place = sums[thick], place[thick]
+        place, empty = part[starts], parts - len(starts)
+        if whole and empty > self.spare[c]:
+            more = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
+            sums, place = np.concatenate([sums, np.zeros(empty, np.uint64)]), np.concatenate([place, more])
         out.append(mix(sums ^ mix(place + np.uint64((2 * c + whole) << 40 | 1 << 39))))
-        return parts - int(thick.sum())
+        return empty
+
 
+def list_edges(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from the lists of equal signatures: all pairs of a short list, a star for a long one.
 
-def list_edges(posts: np.ndarray) -> np.ndarray:
-    """Distinct edges that connect the nodes of each signature's list to its first."""
+    The pairs are to be looked at again; the stars hold as they are.
+    """
     posts = posts[np.lexsort((posts["node"], posts["sign"]))]
     head = np.concatenate([[True], posts["sign"][1:] != posts["sign"][:-1]])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(posts)), 0))
-    a, b = posts["node"][first], posts["node"]
-    return np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, len(posts)))
+    of = np.repeat(np.arange(len(starts)), sizes)
+    node, long = posts["node"], (sizes > PAIRWISE)[of]
+    pairs = [np.zeros((0, 2), np.int64)]
+    for step in range(1, PAIRWISE):
+        at = np.flatnonzero((of[step:] == of[:-step]) & ~long[step:]) if step < len(of) else []
+        if not len(at):
+            break
+        pairs.append(np.stack([node[at], node[at + step]], axis=1))
+    star = np.stack([node[starts[of]], node], axis=1)[long]
+    clean = lambda e: np.unique(e[e[:, 0] != e[:, 1]], axis=0)
+    return clean(np.concatenate(pairs)), clean(star)
 
 
 def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """Edges (a, b) that connect nodes with a signature in common. signatures: texts -> (node, its signatures)."""
+    """Edges (a, b, sure) that connect nodes with a signature in common. signatures: texts -> (node, its signatures)."""
     buckets = 4 * store.partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +202,29 @@ def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tup
             yield flush()
 
     def join(part: pa.Table) -> pa.Table:
-        edges = list_edges(np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()]))
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+        pairs, star = list_edges(np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()]))
+        both = np.concatenate([pairs, star])
+        return pa.table({"a": both[:, 0], "b": both[:, 1], "sure": np.arange(len(both)) >= len(pairs)})
+
+    return docs.select("text").mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(join, "a long, b long, sure boolean")
+
+
+def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) without the pairs whose sketches show that they can't link."""
+    edges = store.table(edges.distinct(), "pairs")
+    own = nodes.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("s"))
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+    pairs = edges.filter("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for x in ("sa", "sb")]
+            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            fine = np.abs(s[0] - s[1]).sum(axis=1) * (den + num) <= total * (den - num)
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    return docs.select("text").mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(join, "a long, b long")
+    return edges.filter("sure").select("a", "b").unionAll(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
 def candidate_edges(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
@@ -313,7 +348,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach from each document."""
     nodes, frequent = describe(docs, k)
-    found = by_component(docs, nodes, components(candidate_edges(docs, frequent, k, num, den)), k, num, den)
+    found = by_component(docs, nodes, components(likely_edges(candidate_edges(docs, frequent, k, num, den), nodes, num, den)), k, num, den)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -341,7 +376,7 @@ def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int,
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, one of each group of linked documents: that of the smallest id. Of rows with one id and text, one stays."""
     nodes, frequent = describe(docs, k)
-    found = store.table(by_component(docs, nodes, components(candidate_edges(docs, frequent, k, num, den)), k, num, den), "kept")
+    found = store.table(by_component(docs, nodes, components(likely_edges(candidate_edges(docs, frequent, k, num, den), nodes, num, den)), k, num, den), "kept")
     gone = found.filter(~F.col("keep")).select(F.col("doc_id").alias("gone_id"), F.col("twin").alias("gone_twin")).distinct()
     few = gone.count() <= SEND
     same = F.col("gone_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("gone_twin") == F.xxhash64(F.coalesce("text", F.lit(""))))

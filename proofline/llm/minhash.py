@@ -158,5 +158,5 @@ def minhash_near_duplicates(docs: DataFrame, words: int = WORDS, num: int = 80,
                 yield set_key(found), own
 
     nodes, _ = jaccard.describe(docs, words)
-    found = jaccard.by_component(docs, nodes, components(jaccard.shared_edges(docs, bands)), words, num, den)
+    found = jaccard.by_component(docs, nodes, components(jaccard.likely_edges(jaccard.shared_edges(docs, bands), nodes, num, den)), words, num, den)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
