@@ -73,7 +73,7 @@ def printed_forms(readings: DataFrame, *columns: str) -> DataFrame:
     """doc_id, form: every way to print a document's numbers: as read, with two places, and without trailing zeros."""
     one = lambda c: F.array(
         exact_text(F.col(c)),
-        F.format_string("%.2f", exact(F.col(c))),
+        exact(F.col(c)).cast("decimal(18,2)").cast("string"),
         F.regexp_replace(F.regexp_replace(exact_text(F.col(c)), r"(\.\d*?)0+$", "$1"), r"\.$", ""),
     )
     return readings.select("doc_id", F.explode(F.flatten(F.array(*map(one, columns)))).alias("form")).filter("form is not null").distinct()
