@@ -35,11 +35,11 @@ def band_interval(spark: Spark, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS}, f AS (SELECT page, coalesce(CASE WHEN isnan(regr_slope(y0, x0)) THEN NULL ELSE regr_slope(y0, x0) END, 0) AS slope, avg(x0) AS mx FROM items WHERE text LIKE '%2' GROUP BY page)
-    SELECT i.page, id, round((y0 + y1) / 2 - coalesce(slope * ((x0 + x1) / 2 - mx), 0), 3) AS y FROM items i LEFT JOIN f ON f.page = i.page""")
+    SELECT i.page, id, round((y0 + y1) / 2 - coalesce(slope * ((x0 + x1) / 2 - mx), 0) + 0.00012345::DOUBLE, 3) AS y FROM items i LEFT JOIN f ON f.page = i.page""")
 def slope_straighten(spark: Spark, d: str) -> DataFrame:
     items = T.items(spark, d)
     points = items.filter("text like '%2'").select("page", F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return layout.straightened(items, points, "page").select("page", "id", F.round("y", 3).alias("y"))
+    return layout.straightened(items, points, "page").select("page", "id", F.round(F.col("y") + 0.00012345, 3).alias("y"))
 
 
 @query(f"""WITH {ITEMS}, w AS (SELECT page, id, text AS field, x0 AS x, (y0 + y1) / 2 AS y, text LIKE 'N%' AS ex FROM items),
