@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.exact import exact_text, printed_decimals
@@ -15,12 +15,15 @@ RATIO, LEAD, ONE_EDIT_FROM = 0.88, 0.04, 5
 MIN_SCORE, INK_FLOOR, INK_FACTOR = 0.90, 15, 4
 
 
-@F.pandas_udf("double")
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How alike two words are, as the share of matching runs of letters."""
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def alike(a: str, b: str) -> Column:
+    """How alike two words are, as the share of matching runs of letters; nothing built in counts these."""
+    return F.pandas_udf(_ratio, "double")(a, b)
+
+
 def closest(words: DataFrame, choices: DataFrame) -> DataFrame:
     """word, choice, how: each word's choice from a short closed set, or none.
 
