@@ -41,7 +41,7 @@ from proofline.llm.components import components
 from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 
 #: Shingles of a cluster that one task holds.
-CLUSTER = 4_000_000
+CLUSTER = 2_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
 SEND = 500_000
 #: Sets up to this size meet by prefix shingles instead of parts, which would be empty too often.
@@ -195,7 +195,7 @@ def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tup
                     posts["sign"], posts["node"] = signs, node
                     held.append(posts)
                     size += len(posts)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield flush()
                     held, size = [], 0
         if held:
