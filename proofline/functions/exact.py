@@ -56,5 +56,5 @@ def tidy(text: Column) -> Column:
 
 def names_token(text: Column, name: Column) -> Column:
     """Whether a text names something as a whole token (not inside a longer word or hyphenated name)."""
-    quoted = F.regexp_replace(name, r"([^A-Za-z0-9])", r"\\\\$1")
+    quoted = F.regexp_replace(name, r"([^A-Za-z0-9])", r"\\$1")
     return F.regexp_like(text, F.concat(F.lit(r"(?i)(?<![\w-])"), quoted, F.lit(r"(?![\w-])")))

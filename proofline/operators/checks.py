@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions.exact import HYPHENS, NUMBERS
+from proofline.functions.sizes import short
 
 # What leaves a house only by mistake, what is never said, and number words.
 STANDARDS = r"(?i)(OISD|API|ASME|ASTM|ISO|IS|BS|EN|IEC|NFPA)[- ]?$"
@@ -138,7 +139,7 @@ def ungrounded(claims: DataFrame, passages: DataFrame) -> DataFrame:
 
 def plan_problems(steps: DataFrame, kinds: DataFrame, limit: int) -> DataFrame:
     """plan_id, problem: unknown kinds, missing arguments, repeated steps, too many steps. steps: plan_id, nth, kind, arg; kinds: kind, needs_arg."""
-    joined = steps.join(F.broadcast(kinds.limit(10_000)), "kind", "left")
+    joined = steps.join(short(kinds, 10_000), "kind", "left")
     a = joined.filter("needs_arg is null").select("plan_id", F.concat(F.lit("unknown kind: "), "kind").alias("problem"))
     b = joined.filter("needs_arg and trim(coalesce(arg, '')) = ''").select("plan_id", F.concat(F.lit("no argument: "), "kind").alias("problem"))
     c = steps.groupBy("plan_id", "kind", "arg").count().filter("count > 1").select("plan_id", F.concat(F.lit("repeated: "), "kind").alias("problem"))

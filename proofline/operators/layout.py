@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.sizes import short
+
 # Tolerances in pixels and shares.
 COLUMN_SLACK, BAND_BEFORE, BAND_GAP, SPREAD, MAX_TILT, MIN_RUN = 12, 6, 2, 15.0, 0.10, 100.0
 ROW_PX, ROW_SHARE, READ_STEP, OVERLAP, ALIGNED = 8.0, 0.4, 8, 0.4, 0.6
@@ -109,7 +111,7 @@ def pairs(items: DataFrame, labels: DataFrame, page: str) -> DataFrame:
     the label's height is shared. Labels never serve as values; of several items with one label
     the topmost leftmost counts. A page bounds the join.
     """
-    tagged = items.join(F.broadcast(labels.limit(10_000)), "text", "left")
+    tagged = items.join(short(labels, 10_000), "text", "left")
     a = tagged.filter("label is not null").select(page, F.col("id").alias("a"), "label", F.col("x1").alias("right"), F.col("y0").alias("t"), F.col("y1").alias("b"), F.struct("y0", "x0", "id").alias("place"))
     v = tagged.filter("label is null").select(page, F.col("id").alias("v"), F.col("text").alias("value"), "x0", "y0", "y1")
     shared = F.least("b", "y1") - F.greatest("t", "y0")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.exact import exact_text, printed_decimals
+from proofline.functions.sizes import short
 
 # Thresholds of the checks.
 RATIO, LEAD, ONE_EDIT_FROM = 0.88, 0.04, 5
@@ -31,7 +32,7 @@ def closest(words: DataFrame, choices: DataFrame) -> DataFrame:
     it is alike enough, or one edit away for words of five letters or more, and clearly ahead.
     """
     words = words.select("word").distinct()
-    pairs = words.join(F.broadcast(choices.select("choice").distinct().limit(10_000)))
+    pairs = words.join(short(choices.select("choice").distinct(), 10_000))
     scored = pairs.withColumn("ratio", F.when(F.col("word") == F.col("choice"), 1.0).otherwise(alike("word", "choice")))
     w = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("choice"))
     top = scored.withColumn("nth", F.row_number().over(w)).withColumn("next", F.lead("ratio", 1, 0.0).over(w)).filter("nth = 1")

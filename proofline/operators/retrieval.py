@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.sizes import short
+
 # BM25's parameters, list lengths and fusion weights, and the shapes of identifiers.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 CANDIDATES, RRF_K, BONUS, TOP, MAX_SECTIONS = 50, 60, 2.0, 5, 3
@@ -16,6 +18,8 @@ IDENTIFIERS = (
     r"\b[A-Z]{2,}\s+\d+[A-Z]?(?:\s+(?:Cl|Sec|Part|Div)\.?\s*[0-9IVX]+(?:\.\d+)*)+",
 )
 TOKEN = "[a-z0-9]+"
+#: Queries of a batch that are compared with every row.
+MOST = 1000
 
 
 def tokens(text: Column) -> Column:
@@ -56,7 +60,7 @@ def bm25(index: DataFrame, queries: DataFrame, key: str = "doc_id", k: int = CAN
 
 def _short(queries: DataFrame) -> bool:
     """Whether a batch of queries is small enough to send its words to every task."""
-    return queries.limit(1001).count() <= 1000
+    return queries.limit(MOST + 1).count() <= MOST
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -76,8 +80,8 @@ def unit(v: Column) -> Column:
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", k: int = CANDIDATES) -> DataFrame:
-    """query_id, key, score, rank0: the k nearest by cosine, for a batch of at most 1000 queries (query_id, v)."""
-    few = F.broadcast(queries.limit(1000).select("query_id", F.col("v").cast("array<double>").alias("q")))
+    """query_id, key, score, rank0: the k nearest by cosine, for a batch of at most ``MOST`` queries (query_id, v)."""
+    few = short(queries.select("query_id", F.col("v").cast("array<double>").alias("q")), MOST)
     d = F.col("embedding").cast("array<double>")
     dot = F.aggregate(F.zip_with(d, F.col("q"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = vectors.join(few).select("query_id", key, F.round(dot / (norm(d) * norm(F.col("q"))), 6).alias("score"))
@@ -96,8 +100,8 @@ def bare_id(text: Column) -> Column:
 
 def identifier_hits(chunks: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, key, n_ids: how many of a query's identifiers a chunk holds, letters and digits alone compared."""
-    wanted = queries.limit(1000).select("query_id", F.explode(identifiers(F.col("query"))).alias("wanted")).withColumn("wanted", bare_id(F.col("wanted"))).distinct()
-    hits = chunks.withColumn("bare", bare_id(F.col("text"))).join(F.broadcast(wanted), F.expr("contains(bare, wanted)"))
+    wanted = queries.select("query_id", F.explode(identifiers(F.col("query"))).alias("wanted")).withColumn("wanted", bare_id(F.col("wanted"))).distinct()
+    hits = chunks.withColumn("bare", bare_id(F.col("text"))).join(short(wanted, MOST), F.expr("contains(bare, wanted)"))
     return hits.groupBy("query_id", key).agg(F.count("*").alias("n_ids"))
 
 
