@@ -76,12 +76,12 @@ class Memo(dict):
         self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
         made = self.older.get(key)
         if made is None:
             made = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
         self[key] = made
         return made
 
