@@ -63,6 +63,7 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     names = ["doc_id", "twin", "n", "node", "sketch", "chunk", "task", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         total = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             n, nodes, sketches = [], [], []

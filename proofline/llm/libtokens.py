@@ -18,7 +18,7 @@ MEMO = 500_000
 class LibraryTokenizer:
     """Whole texts -> ids as little-endian unsigned 32-bit bytes, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -28,7 +28,7 @@ class LibraryTokenizer:
         self.splitter = Splitter(path)
         self.model = self.library.model
         self.alphabet = {b: ord(c) for b, c in byte_alphabet().items()}
-        self.memo = PieceEncoder(self.splitter, self.piece, MEMO)
+        self.memo = PieceEncoder(self.splitter, self.piece, memo)
 
     def piece(self, piece: str) -> bytes:
         """One piece by the library's model, without its normaliser and split, which are done."""
@@ -49,11 +49,11 @@ class LibraryTokenizer:
         return self.whole(text)
 
 
-_ready: dict[str, LibraryTokenizer] = {}
+_ready: dict[tuple[str, int], LibraryTokenizer] = {}
 
 
-def ready(path: str) -> LibraryTokenizer:
-    """One tokenizer for each worker process and file, with its memo."""
-    if path not in _ready:
-        _ready[path] = LibraryTokenizer(path)
-    return _ready[path]
+def ready(path: str, memo: int = MEMO) -> LibraryTokenizer:
+    """One tokenizer for each worker process and file, with its memo of twice ``memo`` words."""
+    if (path, memo) not in _ready:
+        _ready[path, memo] = LibraryTokenizer(path, memo)
+    return _ready[path, memo]

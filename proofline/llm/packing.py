@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from proofline.llm import libtokens, store
 
 CAPACITY = 2048
+#: Words in each generation of a worker's memo; packing runs last, in workers that hold other things too.
+MEMO = 250_000
 GROUPS = 128
 #: Lengths up to this part of the capacity are small: two large ones fit together at most, which
 #: leaves enough small ones to fill what rounding up costs.
@@ -53,7 +55,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
     """A row for each piece; ``nth`` counts the pieces of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = libtokens.ready(path), np.array([end_id], "<u4").tobytes()
+        store.release()
+        tokens, end = libtokens.ready(path, MEMO), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         for batch in batches:
             rows = []

@@ -6,9 +6,12 @@ driver and every executor can reach, so a lost executor costs a re-read and no l
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,15 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that a reused worker no longer needs back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
