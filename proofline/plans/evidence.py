@@ -236,13 +236,27 @@ def gate_rank_choose(spark: Spark, d: str) -> DataFrame:
 RULE_LIST = [(r"\b(the|of)\b.*\bcode\b|\bscript\b", "code"), (r"\bnote for\b|\bsummary\b", "write_summary"), (r"\bthe\b", "english"), (r"\b(der|die|und)\b", "german")]
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(the|of)\\b.*\\bcode\\b|\\bscript\\b') THEN 'code' WHEN regexp_matches(text, '(?i)\\bnote for\\b|\\bsummary\\b') THEN 'write_summary'
-    WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 'english' WHEN regexp_matches(text, '(?i)\\b(der|die|und)\\b') THEN 'german' ELSE 'tool_agent' END AS task FROM documents""")
+# word ends as Java and Python see them: RE2's own know no letters beyond ASCII
+NOT = r"[^\p{L}\p{N}_]"
+
+
+def _word(some: str) -> str:
+    return f"(?:^|{NOT})(?:{some})(?:$|{NOT})"
+
+
+def _gap(most: int) -> str:
+    """Up to ``most`` signs of one sentence that begin and end outside words."""
+    edge = NOT.replace("_]", "_.?!]")
+    return f"(?:{edge}|{edge}[^.?!]{{0,{most - 2}}}{edge})"
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){_word("the|of")}.*{_word("code")}|{_word("the|of")}code(?:$|{NOT})|{_word("script")}') THEN 'code' WHEN regexp_matches(text, '(?i){_word("note for|summary")}') THEN 'write_summary'
+    WHEN regexp_matches(text, '(?i){_word("the")}') THEN 'english' WHEN regexp_matches(text, '(?i){_word("der|die|und")}') THEN 'german' ELSE 'tool_agent' END AS task FROM documents""")
 def classify_rules(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", selection.first_rule(F.col("text"), RULE_LIST, "tool_agent").alias("task"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b(is|was)\\b[^.?!]{0,60}\\bthe\\b') THEN 0 WHEN regexp_matches(text, '(?i)\\bthe\\b[^.?!]{0,20}\\b(of|to)\\b') THEN 1 END AS pattern FROM conversations""")
+@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(?:^|{NOT})(?:is|was){_gap(60)}the(?:$|{NOT})') THEN 0 WHEN regexp_matches(text, '(?i)(?:^|{NOT})the{_gap(20)}(?:of|to)(?:$|{NOT})') THEN 1 END AS pattern FROM conversations""")
 def regulated_by(spark: Spark, d: str) -> DataFrame:
     patterns = [r"\b(is|was)\b[^.?!]{0,60}\bthe\b", r"\bthe\b[^.?!]{0,20}\b(of|to)\b"]
     return table(spark, d, "conversations").select("conv_id", "turn", selection.first_pattern(F.col("text"), patterns).alias("pattern"))
