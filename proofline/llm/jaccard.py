@@ -22,7 +22,7 @@ link when ``den * |A & B| >= num * |A | B|``.
 
 Results for odd input: null, empty and wordless texts have an empty set and are linked with
 nothing, each its own component; fewer words than k make one shingle; repeated ids and rows are
-kept, each row with its own result; an empty table gives no rows; other columns are ignored.
+kept, each row with its own result; a null id counts as larger than all others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 CLUSTER = 2_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
 SEND = 500_000
+#: Stands for a null id where rows are looked up by id.
+NO_ID = -(1 << 63)
 #: Sets up to this size meet by prefix shingles instead of parts, which would be empty too often.
 SMALL = 32
 #: Slots in which shingles are counted, and the blocks in which the counts are added up.
@@ -310,7 +312,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
     placed = members.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     ids = placed.select(F.col("doc_id").alias("id"), "node", "cluster", "blocks", "block")
     few = members.count() <= SEND
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(x, F.col("block").cast("int")).alias("i"), F.greatest(x, F.col("block").cast("int")).alias("j")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +360,7 @@ def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int,
 
     ``keep`` marks the row of the smallest id in each component, and rows without shingles.
     """
-    first = nodes.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    first = nodes.filter("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.max("n").alias("n"))
     members = store.table(first.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
     roots = components(verified_links(docs, members, k, num, den))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -110,6 +110,14 @@ def test_keep_one_of_repeated_rows(spark):
     assert [r.doc_id for r in jaccard.keep_one(rows).orderBy("doc_id").collect()] == [None, 3]
 
 
+def test_null_ids_link(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(["y", *base[1:]])]
+    rows = make(spark, [(None, texts[0]), (None, texts[1]), (4, texts[2])])
+    assert [(r.doc_id, r.component_id) for r in jaccard.jaccard_components(rows, 4, 85, 100).orderBy("doc_id").collect()] == [(None, 4), (None, 4), (4, 4)]
+    assert {r.component_id for r in jaccard.jaccard_components(rows.filter("doc_id is null"), 4, 85, 100).collect()} == {None}
+
+
 def test_minhash_near_duplicates(docs, corpus):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.minhash_near_duplicates(docs).collect()}
     assert got == brute_components(corpus, 5, 80, 100)
