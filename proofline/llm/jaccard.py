@@ -363,11 +363,13 @@ def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int,
     first = nodes.filter("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.max("n").alias("n"))
     members = store.table(first.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
     roots = components(verified_links(docs, members, k, num, den))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("least"))
-    own = placed.join(least, "root", "left")
+    # a node of many copies is one row until the last join, which is a plain one that can be split
+    own = nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("own"))
+    rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("least"))
+    by_node = rooted.join(least, "root").select("node", "least")
     linked = F.col("n") > 0
-    return own.select(
+    return nodes.join(by_node, "node", "left").select(
         "doc_id",
         "twin",
         "n",
