@@ -215,6 +215,7 @@ def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tup
 def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) without the pairs whose sketches show that they can't link."""
     edges = store.table(edges.distinct(), "pairs")
+    store.tidy(nodes.sparkSession)
     own = nodes.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("s"))
     side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
@@ -363,6 +364,7 @@ def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int,
     first = nodes.filter("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.max("n").alias("n"))
     members = store.table(first.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
     roots = components(verified_links(docs, members, k, num, den))
+    store.tidy(docs.sparkSession)
     # a node of many copies is one row until the last join, which is a plain one that can be split
     own = nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("own"))
     rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -44,6 +44,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives memory that a reused worker no longer needs back to the system."""
     gc.collect()
