@@ -10,8 +10,9 @@ the text that changes from page to page) and which texts of a host never change.
 then read whole along its host's wrapper; what the wrapper does not know, such as the end of a
 page that breaks off, is judged by its own tags.
 
-A wrapper is inferred from at most ``SAMPLE`` different pages of a host, spread by a hash of the
-page id over all of them; every page is extracted. Only ids are shuffled to choose them.
+A wrapper rests on every different page of its host: each task aligns the pages it reads, and the
+partial wrappers of a host are then merged, those of a large host in two rounds. Copies of a page
+count once; ids and hashes are shuffled to tell them apart, pages are not.
 
 Results for odd input: null and empty html, and pages without an article's text, give the empty
 text; unclosed and stray tags are closed or ignored as browsers do; a null or unusable url counts as
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 
 from proofline.llm import store
 
-SAMPLE = 12
 #: Different pages that must agree before a text counts as the template's.
 AGREE = 3
+#: Hosts whose partial wrappers a task holds at once.
+HOSTS = 1000
+#: Tasks whose partial wrappers of a host are merged together in the first round.
+TASKS = 32
 #: Wrappers' bytes that are sent to every task; above this they are joined by a shuffle.
 SEND = 64 << 20
 DEEP = 120
@@ -249,12 +253,16 @@ def merge(a: Part, b: Part) -> None:
 def infer(pages: list[str]) -> Part | None:
     """The wrapper of some pages of a host; copies of a page count once."""
     wrapper = None
-    for page in sorted(set(pages))[:SAMPLE]:
-        own = part_of(parse(page))
-        if wrapper is None:
-            wrapper = own
-        else:
-            merge(wrapper, own)
+    for page in sorted(set(pages)):
+        wrapper = joined(wrapper, part_of(parse(page)))
+    return wrapper
+
+
+def joined(wrapper: Part | None, other: Part) -> Part:
+    """``wrapper`` so generalised that it also covers ``other``."""
+    if wrapper is None:
+        return other
+    merge(wrapper, other)
     return wrapper
 
 
@@ -384,18 +392,45 @@ def blocks(root: Node, wrapper: Part | None, semantic: bool) -> str:
     return "\n".join(out)
 
 
+PARTIAL = pa.schema([("host", pa.string()), ("task", pa.int32()), ("wrapper", pa.string())])
+
+
 def learn(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from a sample of each host's pages."""
-    ids = pages.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(SAMPLE)).alias("part")).agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id")).alias("first"))
-    chosen = store.table(ids.select(F.col("first.page_id").alias("page_id")).filter("page_id is not null").distinct(), "sample")
-    few = chosen.count() <= 1_000_000
-    rows = pages.join(F.broadcast(chosen) if few else chosen, "page_id").select("host", "html")
+    """(host, wrapper) from all different pages of each host."""
+    rows = pages.filter("html <> ''").select("host", "page_id", "html", F.xxhash64("html").alias("h"))
+    first = store.table(rows.groupBy("host", "h").agg(F.min("page_id").alias("first")), "first")
+    few = first.count() <= 1_000_000
+    mine = F.broadcast(first) if few else first
+    same = (rows["host"] == mine["host"]) & (rows["h"] == mine["h"]) & rows["page_id"].eqNullSafe(mine["first"])
+    rows = rows.join(mine, same, "left_semi").select("host", "h", "html", F.spark_partition_id().alias("task"))
+    dump = lambda w: json.dumps(w.dump())
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Part] = {}
+        seen: set[tuple[str, int]] = set()
+        task = 0
+        made = lambda: pa.RecordBatch.from_pydict({"host": list(known), "task": [task] * len(known), "wrapper": [dump(w) for w in known.values()]}, schema=PARTIAL)
+        for batch in batches:
+            for host, h, page, task in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):  # noqa: B007
+                if (host, h) in seen:
+                    continue
+                if host not in known and len(known) >= HOSTS:
+                    yield made()
+                    known.clear()
+                seen.add((host, h))
+                known[host] = joined(known.get(host), part_of(parse(page)))
+        yield made()
 
     def run(part: pa.Table) -> pa.Table:
-        wrapper = infer([h for h in part.column("html").to_pylist() if h])
-        return pa.table({"host": part.column("host")[:1], "wrapper": pa.array([json.dumps(wrapper.dump()) if wrapper else None], pa.string())})
-
-    return store.table(rows.groupBy("host").applyInArrow(run, "host string, wrapper string"), "wrappers")
+        wrapper = None
+        for data in sorted(part.column("wrapper").to_pylist()):
+            wrapper = joined(wrapper, Part.load(json.loads(data)))
+        return pa.table({"host": part.column("host")[:1], "task": part.column("task")[:1], "wrapper": pa.array([dump(wrapper)], pa.string())}, schema=PARTIAL)
+
+    kind = "host string, task int, wrapper string"
+    parts = store.table(rows.mapInArrow(partial, kind), "partial")
+    rounds = parts.groupBy("host", F.floor(F.col("task") / TASKS).alias("some")).applyInArrow(run, kind)
+    return store.table(rounds.groupBy("host").applyInArrow(run, kind).select("host", "wrapper"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
