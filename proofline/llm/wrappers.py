@@ -305,22 +305,26 @@ class Wrapper:
         if not page:
             return ""
         root = parse(page)
-        node, part = self.find(root)
-        if node is None or (self.semantic and not node.main):
+        nodes, part = self.find(root)
+        if not nodes:
             own = Wrapper(part_of(root)) if self.part is not None else self
-            node, part = own.find(root)
-            return blocks(node or root, None, own.semantic and node is not None)
-        return blocks(node, part, self.semantic)
+            nodes, part = own.find(root)
+            return texts(nodes or [root], None, own.semantic and bool(nodes))
+        return texts(nodes, part, self.semantic)
 
-    def find(self, root: Node) -> tuple[Node | None, Part | None]:
-        node, part = root, self.part
+    def find(self, root: Node) -> tuple[list[Node], Part | None]:
+        """The article's nodes in page order: all that a semantic path leads to, else the heaviest of alike siblings."""
+        nodes, part = [root], self.part
         for key in self.path:
-            some = [k for k in node.kids if not isinstance(k, str) and k.key == key]
-            node = max(some, key=weight) if len(some) > 1 else some[0] if some else None
+            nodes = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.key == key and not k.drop]
+            if len(nodes) > 1 and not self.semantic:
+                nodes = [max(nodes, key=weight)]
             part = next((p for p in part.kids if p.key == key), None) if part else None
-            if node is None:
-                return None, None
-        return node, part
+        return [n for n in nodes if n.main or not self.semantic], part
+
+
+def texts(nodes: list[Node], part: Part | None, semantic: bool) -> str:
+    return "\n".join(t for t in (blocks(n, part, semantic) for n in nodes) if t)
 
 
 def weight(node: Node) -> int:

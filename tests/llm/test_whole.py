@@ -25,3 +25,13 @@ def test_wrappers_learn_from_each_page_once(spark):
     assert found.seen == 61
     got = {r.page_id: r.text for r in wrappers.extract(table).collect()}
     assert got[65] == "story 060 is long enough to matter" and len(got) == 66
+
+
+def test_article_in_several_siblings():
+    plain = wrappers.Wrapper(wrappers.Part("#page"))
+    page = "<body><div class='content'><p>first {0}</p></div><div class='content'><p>second and longer {0}</p></div><div class='content' id='comments'><p>me too</p></div></body>".format
+    assert plain.read(page(1)) == "first 1\nsecond and longer 1"
+    wrapper = wrappers.Wrapper(wrappers.infer([page(i) for i in range(5)]))
+    assert wrapper.read(page(2)) == "first 2\nsecond and longer 2"
+    split = "<main><article><p>one</p></article><nav>n</nav><article><p>two</p></article></main>"
+    assert plain.read(split) == "one\ntwo"
