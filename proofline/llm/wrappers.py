@@ -43,6 +43,8 @@ TASKS = 32
 #: Wrappers' bytes that are sent to every task; above this they are joined by a shuffle.
 SEND = 64 << 20
 DEEP = 120
+#: Why an element is dropped: by its kind; by a whole word of its class or id; by a part of one, or as a form.
+HARD, NAMED, MIXED = 3, 2, 1
 
 # Names of HTML elements and the words that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,16 +83,16 @@ class Node:
 
     __slots__ = ("drop", "header", "key", "kids", "main", "name")
 
-    def __init__(self, name: str, key: str, drop: bool, header: bool, main: bool):
+    def __init__(self, name: str, key: str, drop: int, header: bool, main: bool):
         self.name, self.key, self.drop, self.header, self.main = name, key, drop, header, main
         self.kids: list[Node | str] = []
 
 
-_known: dict[tuple[str, str], tuple[str, bool, bool, bool]] = {}
+_known: dict[tuple[str, str], tuple[str, int, bool, bool]] = {}
 
 
-def describe(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """(key, whether it is no part of an article, whether it is a header, whether it may be the article)."""
+def describe(name: str, attributes: str) -> tuple[str, int, bool, bool]:
+    """(key, whether it is no part of an article (HARD) or only seems to be none, whether it is a header, whether it may be the article)."""
     at = (name, attributes if len(attributes) < 200 else "")
     if at in _known and len(attributes) < 200:
         return _known[at]
@@ -101,11 +103,15 @@ def describe(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
     words = {w.lower() for w in WORD.findall(names)} | {w.lower() for w in names.split()}
     role = found.get("role", "").lower().strip()
     hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-    drop = name in DROPPED or role in ROLES or hidden or (name not in {"html", "body", "main"} and bool(words & WORDS))
+    drop = HARD if (name in DROPPED and name != "form") or (role in ROLES and role != "form") or hidden else 0
+    if not drop and name not in {"html", "body", "main"} and words & WORDS:
+        drop = NAMED if WORDS.intersection(names.lower().split()) else MIXED
+    if not drop and (name == "form" or role == "form"):
+        drop = MIXED
     header = name == "header" or bool(words & HEADERS)
     main = name in {"article", "main"} or role in {"main", "article"} or found.get("itemprop", "").lower() == "articlebody"
     key = name + "".join("." + w for w in sorted(set(found.get("class", "").split()))) + ("@" + role if role else "")
-    out = (key, drop, header, main or (not drop and bool(words & CONTENT) and name in {"div", "section", "td"}))
+    out = (key, drop, header, main or (drop != HARD and bool(words & CONTENT) and name in {"div", "section", "td"}))
     if len(attributes) < 200:
         if len(_known) > 50_000:
             _known.clear()
@@ -115,7 +121,7 @@ def describe(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
 
 def parse(page: str) -> Node:
     """A page as nested nodes; every text is kept, with its character references decoded."""
-    root = Node("#page", "#page", False, False, False)
+    root = Node("#page", "#page", 0, False, False)
     stack, at, n = [root], 0, len(page)
     text = lambda s: stack[-1].kids.append(references.unescape(s) if "&" in s else s)
 
@@ -164,15 +170,65 @@ def parse(page: str) -> Node:
             at = n if close < 0 else close + 1
         elif name not in VOID and not (m[3].endswith("/") and name in {"path", "rect", "circle", "use"}):
             stack.append(node)
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Keeps elements that only seem to be no part of the article but are it or hold it.
+
+    That is an article element with a mark such as ``has-sidebar`` that holds more text than the
+    article's elements outside of marks, and, where these hold none, an element around an article
+    or around most of the page's text.
+    """
+    while True:
+        order: list[tuple[Node, int]] = [(root, -1)]
+        at = 0
+        while at < len(order):
+            order += [(k, at) for k in order[at][0].kids if not isinstance(k, str) and k.drop != HARD]
+            at += 1
+        if not any(n.drop for n, _ in order):
+            return
+        # text outside of marks; outside of whole words as marks; that in elements for articles, likewise; headings; paragraphs
+        open_, reach, shown, held = ([0] * len(order) for _ in range(4))
+        h1, p = [n.name == "h1" for n, _ in order], [n.name == "p" for n, _ in order]
+        for i in range(len(order) - 1, -1, -1):
+            n, up = order[i]
+            own = sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+            open_[i] += own
+            reach[i] += own
+            if n.main:
+                shown[i], held[i] = open_[i], reach[i]
+            if up >= 0 and n.drop != NAMED:
+                reach[up] += reach[i]
+                held[up] += held[i]
+                h1[up] += h1[i]
+                p[up] += p[i]
+            if up >= 0 and not n.drop:
+                open_[up] += open_[i]
+                shown[up] += shown[i]
+        for i, (n, up) in enumerate(order):
+            while n.drop and up >= 0 and not order[up][0].drop:
+                up = order[up][1]
+            if not n.drop or up >= 0:  # inside another mark
+                continue
+            article = n.main and (n.name == "article" or "@" in n.key)
+            if article and n.drop == MIXED and held[i] > shown[0]:
+                break
+            most = reach[i] and reach[i] >= 0.6 * (reach[i] + open_[0])
+            if most and not shown[0] and (article or (n.drop == MIXED and held[i]) or (h1[i] and p[i] > 2) or (n.drop == MIXED and (h1[i] or p[i] > 2))):
+                break
+        else:
+            return
+        n.drop = 0
+
+
 class Part:
     """A piece of a wrapper: a tag with parts inside it, or a text (key ``#``)."""
 
     __slots__ = ("chars", "drop", "fixed", "header", "key", "kids", "main", "many", "name", "optional", "seen")
 
-    def __init__(self, key: str, name: str = "", drop: bool = False, header: bool = False, main: bool = False):
+    def __init__(self, key: str, name: str = "", drop: int = 0, header: bool = False, main: bool = False):
         self.key, self.name, self.drop, self.header, self.main = key, name, drop, header, main
         self.kids: list[Part] = []
         self.optional = self.many = False
@@ -226,6 +282,7 @@ def merge(a: Part, b: Part) -> None:
     """Generalises ``a`` so that it also covers ``b``."""
     a.seen += b.seen
     a.chars += b.chars
+    a.drop = min(a.drop, b.drop)
     a.many |= b.many
     a.optional |= b.optional
     if a.key == "#":

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofline.llm import wrappers
@@ -35,3 +36,26 @@ def test_article_in_several_siblings():
     assert wrapper.read(page(2)) == "first 2\nsecond and longer 2"
     split = "<main><article><p>one</p></article><nav>n</nav><article><p>two</p></article></main>"
     assert plain.read(split) == "one\ntwo"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class=menu>m</div><article class='post has-sidebar'><p>{}</p></article></body>",
+        "<body><article class='post comments-open'><p>{}</p><div class=comments><p>me too, and at length</p></div></article></body>",
+        "<body><div id=page class='no-sidebar'><ul class=nav><li>m</ul><main><p>{}</p></main></div></body>",
+        "<body><form><div class=content><p>{}</p></div><input></form></body>",
+        "<body><form><nav>m</nav><div><h1>{}</h1></div></form></body>",
+    ],
+)
+def test_words_and_forms_around_the_article(page):
+    plain = wrappers.Wrapper(wrappers.Part("#page"))
+    assert plain.read(page.format("The story")) == "The story"
+    wrapper = wrappers.Wrapper(wrappers.infer([page.format(f"The story {i}") for i in range(5)]))
+    assert wrapper.read(page.format("The story 3")) == "The story 3"
+
+
+def test_words_still_mark_what_is_not_the_article():
+    plain = wrappers.Wrapper(wrappers.Part("#page"))
+    assert plain.read("<body><div class='cookie-notice'><p>We use cookies</p></div></body>") == ""
+    assert plain.read("<article><p>one</p></article><div class=comments><article><p>a long comment</p></article></div><form><p>find</p></form>") == "one"
