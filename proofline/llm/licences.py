@@ -7,6 +7,16 @@ bounds the sizes: t b / (2 - t) <= a <= b (2 - t) / t. So a template of b bigram
 each size it can match, and a place meets only the templates listed under its own. Places whose
 count of different words already exceeds every bound are left out before bigrams are made.
 
+Notices inside longer places and whole licence texts (``licence_texts``) are found as passages. A
+passage of Dice t shares at least t b / (2 - t) bigrams with its template, so a document that can
+hold one has one of the template's b - t b / (2 - t) + 1 longest bigrams: these are the index by
+which templates meet documents. The best passage begins and ends where a run of shared bigrams
+does, so only passages between such ends are compared, up to the template's size bound (for whole
+licence texts, between runs of three shared bigrams or more). Of
+passages that overlap, the one with more shared bigrams counts, of equal ones the more alike; a
+passage that lies in a place found already, or around one of more than half its length, doesn't
+count again.
+
 Results for odd input: null and empty texts, and places of fewer than two words, match nothing;
 templates of fewer than two words are never found; a place counts for its best template, of equal
 ones the first by name; repeated rows of one id count once; an empty table gives no rows; other
@@ -15,9 +25,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.llm import store
+
 DICE = 0.8
 
 #: Short notices by which works name their licence.
@@ -40,6 +54,11 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Where a passage must share more bigrams than this, runs of one or two don't begin or end it.
+SHORT = 100
+#: Whole licence texts: files named by their licence.
+TEXTS = Path(__file__).parent / "licence_texts"
+
 SIGNS, GAP = r"[^\p{L}\p{N}]+", r"\n[ \t\r]*\n"
 
 
@@ -47,10 +66,15 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SIGNS, " "))
 
 
+def pairs(words: Column) -> Column:
+    """The neighbouring pairs in an array of words, in order."""
+    two = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, two).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(words: Column) -> Column:
     """The set of neighbouring pairs in an array of words."""
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(pairs(words))
 
 
 def listed(templates: DataFrame, dice: float) -> DataFrame:
@@ -61,11 +85,52 @@ def listed(templates: DataFrame, dice: float) -> DataFrame:
     return own.select(F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"), "licence", "wanted")
 
 
+def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: float) -> DataFrame:
+    """doc_id, licence, dice of passages inside longer texts that are none of the places found (doc_id, norm)."""
+    b = F.size("wanted")
+    least, most = F.ceil(b * dice / (2 - dice) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - dice) / dice + 1e-9).cast("int")
+    own = templates.select("licence", pairs(F.split(normalised(F.col("text")), " ")).alias("all")).select("licence", F.size("all").alias("n"), F.array_distinct("all").alias("wanted"))
+    own = own.filter(b > 0).select("*", least.alias("least"), most.alias("most"), F.xxhash64("licence", "wanted").alias("template"))
+    rare = F.slice(F.array_sort(F.transform("wanted", lambda x: F.struct((-F.length(x)).alias("minus"), x.alias("pair")))), F.lit(1), b - F.col("least") + 1)
+    index = own.select("template", F.explode(rare).alias("rare")).select("template", F.col("rare.pair").alias("pair"))
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.split(normalised(F.col("text")), " ").alias("words"))
+    grams = texts.select("doc_id", F.explode(pairs(F.col("words"))).alias("pair"))
+    meet = store.table(grams.join(F.broadcast(index), "pair").select("doc_id", "template").distinct(), "meet")
+    few = meet.count() <= 1_000_000
+    rows = texts.select("doc_id", pairs(F.col("words")).alias("grams")).join(F.broadcast(meet) if few else meet, "doc_id").join(F.broadcast(own), "template")
+    rows = rows.filter(F.size(F.array_intersect("grams", "wanted")) >= F.col("least"))
+    # written between steps, as the optimiser would put one step's lambda inside the next one's
+    rows = store.table(rows.withColumn("hit", F.transform("grams", lambda x: F.array_contains("wanted", x))), "hits")
+    short = F.col("least") <= SHORT
+    at, hit = F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.coalesce(F.get("hit", i), F.lit(False))
+    rows = rows.withColumn("starts", F.filter(at, lambda i: hit(i) & ~hit(i - 1) & (short | (hit(i + 1) & hit(i + 2))))).withColumn("ends", F.filter(at, lambda i: hit(i) & ~hit(i + 1) & (short | (hit(i - 1) & hit(i - 2)))))
+    rows = store.table(rows.filter(F.size("starts") > 0), "ends")
+    size = lambda e: e - F.col("start") + 1
+    rows = rows.select("*", F.explode("starts").alias("start")).select("*", F.explode(F.filter("ends", lambda e: (size(e) >= F.col("least")) & (size(e) <= F.col("most")))).alias("end"))
+    rows = rows.withColumn("found", F.slice("grams", F.col("start") + 1, F.col("end") - F.col("start") + 1))
+    rows = rows.withColumn("shared", F.size(F.array_intersect("found", "wanted"))).withColumn("dice", 2.0 * F.col("shared") / (F.size(F.array_distinct("found")) + b))
+    # words of the passage: the first of each pair, and the last pair's second
+    text = F.concat_ws(" ", F.transform("found", lambda x: F.substring_index(x, " ", 1)), F.substring_index(F.element_at("found", -1), " ", -1))
+    rows = rows.filter(F.col("dice") >= dice).select("doc_id", "licence", "dice", "shared", "start", "end", F.concat(F.lit(" "), text, F.lit(" ")).alias("passage"))
+    around = F.contains(rows["passage"], places["norm"]) & (F.length(rows["passage"]) < 2 * F.length(places["norm"]))
+    inside = (rows["doc_id"] == places["doc_id"]) & (around | F.contains(places["norm"], rows["passage"]))
+    rows = rows.join(places, inside, "left_anti")
+    ranked = F.array_sort(F.collect_set(F.struct((-F.col("shared")).alias("shared"), (-F.col("dice")).alias("minus"), "licence", "start", "end")))
+    free = lambda taken, x: ~F.exists(taken, lambda t: (t["start"] <= x["end"]) & (x["start"] <= t["end"]))
+    kept = F.aggregate(F.slice("ranked", 2, F.size("ranked")), F.slice("ranked", 1, 1), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    kept = rows.groupBy("doc_id").agg(ranked.alias("ranked")).select("doc_id", F.explode(kept).alias("one"))
+    return kept.select("doc_id", F.col("one.licence").alias("licence"), (-F.col("one.minus")).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, dice: float = DICE) -> DataFrame:
     """doc_id, licence, dice, n_places: every licence found in a document, its best coefficient and where often."""
     spark = docs.sparkSession
     if templates is None:
         templates = spark.createDataFrame(sorted(TEMPLATES.items()), "licence string, text string")
+        whole = [(f.stem, f.read_text()) for f in sorted(TEXTS.glob("*.txt"))]
+        every = templates.union(spark.createDataFrame(whole, "licence string, text string"))
+    else:
+        every = templates
     index = listed(templates, dice)
     bounds = index.agg(F.coalesce(F.max("size"), F.lit(0)).alias("most"), F.coalesce(F.sum("size"), F.lit(0)).alias("all")).first()
     places = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", GAP), F.array("text")))
@@ -77,8 +142,11 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, dice: float = DICE
     both = found.join(F.broadcast(index) if small else index, "size")
     shared = F.size(F.array_intersect("found", "wanted"))
     scored = both.withColumn("dice", 2.0 * shared / (F.col("size") + F.size("wanted"))).filter(F.col("dice") >= dice)
-    best = scored.groupBy("doc_id", "place").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "licence")).alias("best"))
-    return best.groupBy("doc_id", F.col("best.licence").alias("licence")).agg((-F.min("best.minus")).alias("dice"), F.count("*").alias("n_places"))
+    best = store.table(scored.groupBy("doc_id", "place").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "licence")).alias("best")), "places")
+    norm = best.filter("doc_id is not null").select("doc_id", F.concat(F.lit(" "), normalised(F.col("place")), F.lit(" ")).alias("norm"))
+    one = best.select("doc_id", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("dice"))
+    both = one.unionByName(passages(docs, every, norm, dice))
+    return both.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count("*").alias("n_places"))
 
 
 def oracle(table: str, dice: float = DICE) -> str:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from proofline.llm import wrappers
+from proofline.llm import licences, wrappers
 
 
 def test_wrapper_rests_on_all_pages():
@@ -59,3 +59,28 @@ def test_words_still_mark_what_is_not_the_article():
     plain = wrappers.Wrapper(wrappers.Part("#page"))
     assert plain.read("<body><div class='cookie-notice'><p>We use cookies</p></div></body>") == ""
     assert plain.read("<article><p>one</p></article><div class=comments><article><p>a long comment</p></article></div><form><p>find</p></form>") == "one"
+
+
+def test_licences_inside_longer_places(spark):
+    text = lambda name: (licences.TEXTS / f"{name}.txt").read_text()
+    filler = " ".join(f"word{i} of the software" for i in range(200))
+    texts = {
+        1: "Copyright (c) 2020 Jane Doe. Released under the MIT License.",
+        2: "This project is released under the MIT License, see the file LICENSE.",
+        3: f"{filler} {text('MIT')} {filler}",
+        4: text("Apache-2.0"),
+        5: f"{filler}\n\n{text('GPL-3.0')}\n\n{filler}",
+        6: f"{filler}. Released under the ISC License. {filler}. Released under the ISC License. {filler}",
+        7: filler,
+        8: text("BSD-3-Clause"),
+        9: f"Released under the MIT License.\n{filler}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in licences.scan(docs).collect():
+        got.setdefault(r.doc_id, {})[r.licence] = (round(r.dice, 2), r.n_places)
+    assert got[1] == got[2] == got[9] == {"MIT": (1.0, 1)}
+    assert got[6] == {"ISC": (1.0, 2)}
+    for i, name in ((3, "MIT"), (4, "Apache-2.0"), (5, "GPL-3.0"), (8, "BSD-3-Clause")):
+        assert got[i][name][0] == 1.0, (i, got[i])
+    assert 7 not in got and set(got[3]) == {"MIT"} and set(got[8]) == {"BSD-3-Clause"}
