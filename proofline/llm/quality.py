@@ -174,6 +174,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their own columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their own columns; all rows where the labels lack a class, as no model can be fitted."""
     model = train(docs, labels, sample)
+    if not model.weights.any():
+        return docs.drop("score")
     return with_scores(docs, model).filter(F.col("score") >= THRESHOLD).drop("score")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from proofline.llm import licences, wrappers
+from proofline.llm import licences, quality, wrappers
 
 
 def test_wrapper_rests_on_all_pages():
@@ -84,3 +84,10 @@ def test_licences_inside_longer_places(spark):
     for i, name in ((3, "MIT"), (4, "Apache-2.0"), (5, "GPL-3.0"), (8, "BSD-3-Clause")):
         assert got[i][name][0] == 1.0, (i, got[i])
     assert 7 not in got and set(got[3]) == {"MIT"} and set(got[8]) == {"BSD-3-Clause"}
+
+
+def test_all_documents_stay_without_both_classes(spark, docs):
+    labels = spark.createDataFrame([(0, 1), (3, 1)], "doc_id long, quality int")
+    for some in (labels, labels.filter("false")):
+        kept = quality.keep_good(docs, some)
+        assert kept.count() == docs.count() and "score" not in kept.columns
