@@ -15,21 +15,20 @@ from proofline.llm import store
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the ``a``, ``b`` edges; root is one node of the component, the same for all of it."""
-    edges = store.table(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = None
-    while True:
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-        for _ in range(2):  # smaller and smaller, so no cycle can arise
-            up = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            low = store.table(low.join(up, "root").select("node", F.col("next").alias("root")), "low")
-        to = lambda x: low.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        fewer = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        edges = store.table(fewer.filter("a <> b").distinct(), "edges")
-        if labels is None:
-            labels = low
-        else:
+    spark = edges.sparkSession
+    with store.Scope(spark) as scope:
+        edges = store.table(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+        labels = None
+        while True:
+            both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+            for _ in range(2):  # smaller and smaller, so no cycle can arise
+                up = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
+                low = store.table(low.join(up, "root").select("node", F.col("next").alias("root")), "low")
+            to = lambda x: low.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+            fewer = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+            edges = store.table(fewer.filter("a <> b").distinct(), "edges")
             moved = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = store.table(labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
-        if edges.isEmpty():
-            return labels
+            labels = low if labels is None else store.table(labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            if edges.isEmpty():
+                return scope.keep(labels, "labels")

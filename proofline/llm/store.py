@@ -8,46 +8,78 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; a cluster needs the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='proofline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Lists of the tables made in scopes that are open, innermost last.
+_open: list[list[str]] = []
+#: Deletes the shuffle files of a write when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return it as read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``table()`` made and that is no longer needed."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/tables/"
-    tail = lambda p: p.split("/tables/", 1)[-1].split("/")[0]
-    jvm = spark.sparkContext._jvm
-    for one in {root + tail(p) for p in df.inputFiles() if "/tables/" in p}:
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete the files of tables that ``table()`` made."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for one in paths:
         path = jvm.org.apache.hadoop.fs.Path(one)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(conf).delete(path, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scope:
+    """Tables made within, of which ``keep`` names those that outlive it; the others are deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], []
+
+    def __enter__(self) -> Scope:
+        _open.append(self.made)
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as a table that stays."""
+        found = table(df, name)
+        self.kept.append(self.made.pop())
+        return found
+
+    def __exit__(self, kind, *_) -> None:
+        _open.remove(self.made)
+        if kind is None:
+            drop(self.spark, self.made)
+        if _open:
+            _open[-1].extend(self.kept)
 
 
 def release() -> None:
@@ -64,6 +96,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(spark: SparkSession, total: int, each: int) -> int:
+    """How many buckets hold ``total`` units, ``each`` or so in one; no fewer than the session's partitions."""
+    return max(partitions(spark), -(-total // each))
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the input as the optimiser knows them: of files, as they lie there. No job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
     """Ascending upper ends (all but the last) that cut ``key`` into about equal ranges.
 
@@ -76,9 +118,11 @@ def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def range_no(key: str, points: list[int]):
-    """Column: the index of the range that ``key`` falls into (nulls: range 0)."""
+def range_no(key: str, points: list[int]) -> Column:
+    """The index of the range that ``key`` falls into (nulls: range 0), by binary search."""
     if not points:
         return F.lit(0)
     ends = F.array(*[F.lit(x).cast("long") for x in points])
-    return F.coalesce(F.aggregate(ends, F.lit(0), lambda n, e: n + F.when(F.col(key) > e, 1).otherwise(0)), F.lit(0))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(points).bit_length()))])
+    # a step beyond the last end gives null, and isn't taken
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get(ends, n + s - 1) < F.col(key), n + s).otherwise(n))
