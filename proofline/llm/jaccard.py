@@ -13,16 +13,24 @@ link when ``den * |A & B| >= num * |A | B|``.
    parts takes part with all its shingles, too. Parts travel as 64-bit signatures in
    packed blocks; a short list of equal ones gives pairs, one of m gives m - 1 edges of candidate clusters. Agreement in a
    part takes a few rare shingles at once, so shared passages seldom make candidates, and
-   sketches of the sets turn down most pairs that can't link.
+   sketches of the sets turn down most pairs that can't link. The edges of a long list aren't looked at
+   by sketches, as its members hang together by them alone, so a popular part makes a large cluster;
+   such a one is cut up in step 3.
 3. Within a cluster the sets, by size, are joined over index lists. A list is in the order of
    sets and jumps over the block before a set and the block of those too large for it. If a set
    is much like one done before, its overlaps are that one's, changed by the lists of the few
-   shingles in which they differ. Clusters beyond ``CLUSTER`` shingles are cut into blocks, and
+   shingles in which they differ. Clusters are cut into blocks (``blocks_of``), and
    each pair of blocks is a task of its own: exact for any size, in bounded memory.
 
+Sets have 128-bit names; shingles are 64 bits, of which ``shingles`` states what may go wrong. The slots
+of the count in step 2 are as many for any corpus: a shingle counts as frequent if its slot stands out by
+eight deviations, which at 10**13 shingles takes some 25,000 documents; below that, lists of equal
+signatures are no longer than that.
+
 Results for odd input: null, empty and wordless texts have an empty set and are linked with
 nothing, each its own component; fewer words than k make one shingle; repeated ids and rows are
-kept, each row with its own result; a null id counts as larger than all others; an empty table gives no rows; other columns are ignored.
+kept, each row with its own result; a null id counts as larger than all others; texts of any length are
+read whole, in blocks; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,19 +48,21 @@ from proofline.llm import store
 from proofline.llm.components import components
 from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 
-#: Shingles of a cluster that one task holds.
-CLUSTER = 2_000_000
+#: Shingles of a cluster in one block: few, until there are ``BLOCKS`` blocks; then more, up to ``CLUSTER``.
+BLOCK, BLOCKS, CLUSTER = 1 << 16, 16, 2_000_000
+#: Shingles for each bucket of signatures.
+DEALT = 2_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
 SEND = 500_000
-#: Stands for a null id where rows are looked up by id.
-NO_ID = -(1 << 63)
 #: Sets up to this size meet by prefix shingles instead of parts, which would be empty too often.
 SMALL = 32
 #: Slots in which shingles are counted, and the blocks in which the counts are added up.
 SLOT_BITS, CHUNKS = 20, 64
 #: Bins of a sketch, and the longest list of equal signatures that is looked at pair by pair.
 BINS, PAIRWISE = 64, 24
-POSTING = np.dtype([("sign", "<u8"), ("node", "<i8")])
+#: A signature and the two halves of the name of its node.
+POSTING = np.dtype([("sign", "<u8"), ("a", "<u8"), ("b", "<u8")])
+NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tuple[int, list[str]]]:
@@ -77,10 +87,10 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 slots, times = np.unique(slot(np.concatenate(sets)), return_counts=True)
                 total[slots] += times.astype(np.uint32)
             none = [pa.nulls(batch.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()), *none], names)
         task, none = TaskContext.get().partitionId(), pa.nulls(CHUNKS, pa.int64())
         counts = [x.tobytes() for x in np.split(total, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(counts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, *[pa.nulls(CHUNKS, pa.binary())] * 2, pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array(counts, pa.binary())], names)
 
     def add(part: pa.Table) -> pa.Table:
         size = (1 << SLOT_BITS) // CHUNKS
@@ -88,7 +98,7 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         return pa.table({"chunk": part.column("chunk")[:1], "counts": pa.array([found.tobytes()])})
 
     rows = docs.select(F.col("doc_id").cast("long"), twin(), "text")
-    both = store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node long, sketch binary, chunk int, task int, counts binary"), "nodes")
+    both = store.table(rows.mapInArrow(run, "doc_id long, twin long, n long, node binary, sketch binary, chunk int, task int, counts binary"), "nodes")
     parts = both.filter("chunk is not null").select("chunk", (F.col("task") % 64).alias("salt"), "counts")
     sums = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     total = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint64)
@@ -153,17 +163,29 @@ class Classes:
         return empty
 
 
-def list_edges(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct edges from the lists of equal signatures: all pairs of a short list, a star for a long one.
+def names_of(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of some postings, and each posting's place among them."""
+    order = np.lexsort((posts["b"], posts["a"]))
+    a, b = posts["a"][order], posts["b"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    names, place = np.empty(int(new.sum()), NAME), np.empty(len(order), np.int64)
+    names["a"], names["b"] = a[new], b[new]
+    place[order] = np.cumsum(new) - 1
+    return names, place
+
+
+def list_edges(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from the lists of nodes with equal signatures: all pairs of a short list, a star for a long one.
 
     The pairs are to be looked at again; the stars hold as they are.
     """
-    posts = posts[np.lexsort((posts["node"], posts["sign"]))]
-    head = np.concatenate([[True], posts["sign"][1:] != posts["sign"][:-1]])
-    starts = np.flatnonzero(head)
-    sizes = np.diff(np.append(starts, len(posts)))
+    order = np.lexsort((node, sign))
+    node, sign = node[order], sign[order]
+    starts = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
+    sizes = np.diff(np.append(starts, len(sign)))
     of = np.repeat(np.arange(len(starts)), sizes)
-    node, long = posts["node"], (sizes > PAIRWISE)[of]
+    long = (sizes > PAIRWISE)[of]
     pairs = [np.zeros((0, 2), np.int64)]
     for step in range(1, PAIRWISE):
         at = np.flatnonzero((of[step:] == of[:-step]) & ~long[step:]) if step < len(of) else []
@@ -175,16 +197,20 @@ def list_edges(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return clean(np.concatenate(pairs)), clean(star)
 
 
-def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """Edges (a, b, sure) that connect nodes with a signature in common. signatures: texts -> (node, its signatures)."""
-    buckets = 4 * store.partitions(docs.sparkSession)
+def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]], Iterator[tuple[bytes, np.ndarray]]]) -> DataFrame:
+    """Edges (a, b, sure) that connect nodes with a signature in common. signatures: texts -> (node, its signatures); total: shingles in all."""
+    tasks = store.buckets(docs.sparkSession, total, 4 * DEALT)
+    buckets = 4 * tasks
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            posts = np.unique(np.concatenate(held))
+            posts = np.concatenate(held)
+            order = np.lexsort((posts["b"], posts["a"], posts["sign"]))
+            posts = posts[order]
+            posts = posts[np.concatenate([[True], posts[1:] != posts[:-1]])]  # copies of a document count once
             to = (posts["sign"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             found, at = np.unique(to[order], return_index=True)
@@ -195,7 +221,8 @@ def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tup
             for _, texts in _texts(batch, 0):
                 for node, signs in signatures(texts):
                     posts = np.empty(len(signs), POSTING)
-                    posts["sign"], posts["node"] = signs, node
+                    posts["sign"] = signs
+                    posts["a"], posts["b"] = np.frombuffer(node, "<u8")
                     held.append(posts)
                     size += len(posts)
                 if size > 1 << 18:
@@ -205,17 +232,20 @@ def shared_edges(docs: DataFrame, signatures: Callable[[list[str]], Iterator[tup
             yield flush()
 
     def join(part: pa.Table) -> pa.Table:
-        pairs, star = list_edges(np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()]))
+        posts = np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()])
+        own, place = names_of(posts)
+        pairs, star = list_edges(posts["sign"], place)
         both = np.concatenate([pairs, star])
-        return pa.table({"a": both[:, 0], "b": both[:, 1], "sure": np.arange(len(both)) >= len(pairs)})
+        names = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
+        return pa.table({"a": names.take(pa.array(both[:, 0])), "b": names.take(pa.array(both[:, 1])), "sure": np.arange(len(both)) >= len(pairs)})
 
-    return docs.select("text").mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(join, "a long, b long, sure boolean")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, block binary").repartition(tasks, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(join, "a binary, b binary, sure boolean")
 
 
 def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) without the pairs whose sketches show that they can't link."""
     edges = store.table(edges.distinct(), "pairs")
-    store.tidy(nodes.sparkSession)
     own = nodes.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("s"))
     side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
@@ -228,21 +258,21 @@ def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> Data
             fine = np.abs(s[0] - s[1]).sum(axis=1) * (den + num) <= total * (den - num)
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    return edges.filter("sure").select("a", "b").unionAll(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long"))
+    return edges.filter("sure").select("a", "b").unionAll(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary"))
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, total: int, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes such that linked nodes are connected."""
     classes = Classes(num, den)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # a bit for each slot
 
-    def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    def signatures(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         often = np.unpackbits(shared.value).astype(bool)
         for words in word_hashes(texts):
             if len(own := shingle_set(words, k)):
                 yield set_key(own), classes.signatures(own, often)
 
-    return shared_edges(docs, signatures)
+    return shared_edges(docs, total, signatures)
 
 
 def joined(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -307,20 +337,34 @@ def link_roots(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: i
     return np.array([top(i) for i in range(m)])
 
 
+def blocks_of(total: Column) -> Column:
+    """The number of blocks for a cluster of so many shingles."""
+    return F.greatest(F.least(F.ceil(total / BLOCK), F.lit(BLOCKS)), F.ceil(total / CLUSTER))
+
+
 def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that connect just the linked nodes; members: (doc_id, node, n, cluster), a row for each node."""
-    totals = members.groupBy("cluster").agg((F.floor(F.sum("n") / CLUSTER) + 1).alias("blocks"))
+    """Edges (a, b) that connect just the linked nodes; members: (doc_id, twin, node, n, cluster), a row for each node."""
+    totals = members.groupBy("cluster").agg(blocks_of(F.sum("n")).alias("blocks"))
     placed = members.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    ids = placed.select(F.col("doc_id").alias("id"), "node", "cluster", "blocks", "block")
-    few = members.count() <= SEND
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
+    # by id and text, so that rows that share an id meet their own node alone; a null id counts as 0
+    ids = placed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "twin", "node", "cluster", "blocks", "block")
+    size = members.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), twin(), "text")
+    texts = texts.join(F.broadcast(ids) if size["rows"] <= SEND else ids, ["id", "twin"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(x, F.col("block").cast("int")).alias("i"), F.greatest(x, F.col("block").cast("int")).alias("j")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for at, texts in _texts(batch, 4):
                 sets = [shingle_set(w, k) for w in word_hashes(texts)]
-                fine = [set_key(s) == node for s, node in zip(sets, batch.column(0).slice(at, len(texts)).to_pylist(), strict=True)]
+                fine = []
+                for s, node in zip(sets, batch.column(0).slice(at, len(texts)).to_pylist(), strict=True):
+                    fine.append(node not in seen and set_key(s) == node)
+                    if fine[-1]:
+                        seen.add(node)
+                if len(seen) > 100_000:  # only spares work: copies meet again in the join
+                    seen.clear()
                 part = pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(texts)) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "cluster", "blocks", "block", "tokens"])
                 yield part.filter(pa.array(fine))
 
@@ -331,7 +375,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
             nodes = sorted(held, key=lambda x: len(held[x][1]))
             blocks = np.array([held[x][0] for x in nodes])
             roots = link_roots([held[x][1] for x in nodes], None if key[1] == key[2] else blocks, num, den)
-            return pa.RecordBatch.from_arrays([pa.array([nodes[r] for r in roots.tolist()], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes[r] for r in roots.tolist()], pa.binary()), pa.array(nodes, pa.binary())], ["a", "b"])
 
         for batch in batches:
             for cluster, i, j, node, block, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -343,50 +387,68 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
         if len(held) > 1:
             yield flush()
 
-    sets = texts.select("node", "cluster", "blocks", "block", "text").mapInArrow(pack, "node long, cluster long, blocks long, block long, tokens binary")
+    sets = texts.select("node", "cluster", "blocks", "block", "text").mapInArrow(pack, "node binary, cluster binary, blocks long, block long, tokens binary")
     keyed = sets.withColumn("pair", F.explode(pairs)).select("cluster", "pair.i", "pair.j", "node", "block", "tokens")
-    n = store.partitions(docs.sparkSession)
-    return keyed.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(join, "a long, b long").filter("a <> b")
+    n = store.buckets(docs.sparkSession, BLOCKS * size["n"], 4 * CLUSTER)
+    return keyed.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(join, "a binary, b binary").filter("a <> b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach from each document."""
-    nodes, frequent = describe(docs, k)
-    found = by_component(docs, nodes, components(likely_edges(candidate_edges(docs, frequent, k, num, den), nodes, num, den)), k, num, den)
+    found = linked(docs, k, num, den)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def by_component(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Verify the links within candidate clusters (node, root) and give each row its component.
+def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, twin, n, component_id, keep of each row (see ``by_component``), by candidates from parts of sets."""
+    nodes, frequent = describe(docs, k)
+    return by_component(docs, nodes, lambda total: candidate_edges(docs, total, frequent, k, num, den), k, num, den)
+
+
+def by_component(docs: DataFrame, nodes: DataFrame, candidates: Callable[[int], DataFrame], k: int, num: int, den: int) -> DataFrame:
+    """Verify the links between candidates and give each row its component. candidates: all shingles' number -> edges.
 
     ``keep`` marks the row of the smallest id in each component, and rows without shingles.
     """
-    first = nodes.filter("n > 0").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.max("n").alias("n"))
-    members = store.table(first.join(clusters.withColumnRenamed("root", "cluster"), "node"), "members")
-    roots = components(verified_links(docs, members, k, num, den))
-    store.tidy(docs.sparkSession)
-    # a node of many copies is one row until the last join, which is a plain one that can be split
-    own = nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("own"))
-    rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("own").alias("least"))
-    by_node = rooted.join(least, "root").select("node", "least")
-    linked = F.col("n") > 0
+    with store.Scope(docs.sparkSession) as scope:
+        full = nodes.filter("n > 0")
+        total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        clusters = components(likely_edges(candidates(total), nodes, num, den))
+        # a node of many copies is one row until the last join, which is a plain one that can be split
+        own = full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("own"), F.max("n").alias("n"))
+        of = own.join(clusters.withColumnRenamed("root", "cluster"), "node").select("own.doc_id", "own.twin", "node", "n", "cluster")
+        roots = components(verified_links(docs, store.table(of, "members"), k, num, den))
+        rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = rooted.groupBy("root").agg(F.min("own").alias("least"))
+        by_node = scope.keep(rooted.join(least, "root").select("node", "least"), "components")
+    some = F.col("n") > 0
     return nodes.join(by_node, "node", "left").select(
         "doc_id",
         "twin",
         "n",
-        F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(linked, F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.twin") == F.col("twin"))).otherwise(True).alias("keep"),
+        F.when(some, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.twin") == F.col("twin"))).otherwise(True).alias("keep"),
     )
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, one of each group of linked documents: that of the smallest id. Of rows with one id and text, one stays."""
-    nodes, frequent = describe(docs, k)
-    found = store.table(by_component(docs, nodes, components(likely_edges(candidate_edges(docs, frequent, k, num, den), nodes, num, den)), k, num, den), "kept")
-    gone = found.filter(~F.col("keep")).select(F.col("doc_id").alias("gone_id"), F.col("twin").alias("gone_twin")).distinct()
-    few = gone.count() <= SEND
+    """The rows of ``docs``, one of each group of linked documents: that of the smallest id.
+
+    Rows that share that id and text are one document, and of these the one stays that comes first by
+    all its columns, as text. Rows without words all stay.
+    """
+    with store.Scope(docs.sparkSession) as scope:
+        found = store.table(linked(docs, k, num, den), "kept")
+        named = lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("twin").alias("gone_twin"))
+        gone = scope.keep(named(found.filter(~F.col("keep"))).distinct(), "gone")
+        again = scope.keep(named(found.filter("keep and n > 0").groupBy("doc_id", "twin").count().filter("count > 1")), "again")
     same = F.col("gone_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("gone_twin") == F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    twice = found.filter("keep").groupBy("doc_id", "twin").count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    sent = lambda df: F.broadcast(df) if df.count() <= SEND else df
+    kept = docs.join(sent(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    columns = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    twice = kept.join(sent(again), same, "left_semi")
+    first = twice.groupBy(F.col("doc_id").alias("key"), F.col("text").alias("of")).agg(F.min_by(columns, F.to_json(columns)).alias("one"))
+    one = first.select(*[F.col(f"one.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.join(sent(again), same, "left_anti").unionByName(one)

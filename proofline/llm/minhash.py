@@ -8,7 +8,8 @@ Spark and verifies the Jaccard similarity on whole sets.
 
 Results for odd input: a null text counts as empty; texts without words share one fingerprint
 of their own, and are like each other (1) and unlike all others (0); rows with the same id are
-ordered by text; an empty table gives no rows; other columns are ignored.
+ordered by a hash of their text, and null ids come last; texts of any length are read whole, two or
+three of them at a time; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm import jaccard, store
-from proofline.llm.components import components
 from proofline.llm.shingles import mix, set_key, shingle_hashes, shingle_set, word_hashes
 
 PERMUTATIONS = 128
@@ -32,6 +32,8 @@ _a = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) << np.uint64(1) | np.uint6
 _b = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64)
 #: What stands for a minimum over nothing.
 EMPTY = 0xFFFF
+#: Where a null id stands in the order: after all others.
+LAST = -(1 << 63)
 
 
 def signatures(texts: list[str | None], permutations: int = PERMUTATIONS, words: int = WORDS) -> np.ndarray:
@@ -71,24 +73,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows of ``doc_id``, ``text``, ``range_no``, ``guest`` such that each range, in descending order of
-    ids, is followed by a guest: the first document of the next range, or of all for the last one.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of ``doc_id``, ``text``, ``key``, ``tie``, ``range_no``, ``guest`` such that each range, in descending order of
+    ids, is followed by a guest: the first document of the next range, or of all for the last one; and how many ranges there are.
 
-    Only ids are read to find the guests; one number for each range reaches the driver.
+    Only ids and hashes are read to find the guests; one of each for each range reaches the driver.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     points = store.split_points(docs, "doc_id", store.partitions(docs.sparkSession))
-    marked = docs.withColumn("range_no", store.range_no("doc_id", points))
-    heads = dict(marked.groupBy("range_no").agg(F.max("doc_id")).collect())
+    marked = docs.withColumn("range_no", store.range_no("key", points))
+    heads = {r: (head["key"], head["tie"]) for r, head in marked.groupBy("range_no").agg(F.max(F.struct("key", "tie"))).collect()}
     found = sorted(heads, reverse=True)
+    if not found:
+        return marked.withColumn("guest", F.lit(False)), 1
     after = dict(zip(found, found[1:] + found[:1], strict=True))
-    host = {heads[after[r]]: r for r in found if heads[after[r]] is not None}
-    if not host:
-        return marked.withColumn("guest", F.lit(False))
-    hosts = F.create_map(*[F.lit(x) for kv in host.items() for x in kv])
-    both = F.array(F.struct(F.col("range_no").alias("range_no"), F.lit(False).alias("guest")), F.struct(hosts[F.col("doc_id")].alias("range_no"), F.lit(True).alias("guest")))
-    return marked.withColumn("at", F.explode(F.filter(both, lambda x: x["range_no"].isNotNull()))).select("doc_id", "text", "at.range_no", "at.guest")
+    name = lambda key, tie: F.struct(key.cast("long").alias("key"), tie.cast("long").alias("tie"))
+    hosts = F.create_map(*[x for r in found for x in (name(*map(F.lit, heads[after[r]])), F.lit(r))])
+    host = F.element_at(hosts, name(F.col("key"), F.col("tie")))
+    both = F.array(F.struct(F.col("range_no").alias("range_no"), F.lit(False).alias("guest")), F.struct(host.alias("range_no"), F.lit(True).alias("guest")))
+    marked = marked.withColumn("at", F.explode(F.filter(both, lambda x: x["range_no"].isNotNull())))
+    return marked.select("doc_id", "text", "key", "tie", "at.range_no", "at.guest"), len(points) + 1
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -136,8 +141,8 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
         if len(texts) > 1:
             yield batch_of(texts, ids, len(texts) - 1)
 
-    n = store.partitions(docs.sparkSession)
-    ordered = with_next(docs).repartition(n, "range_no").sortWithinPartitions("range_no", "guest", F.desc_nulls_last("doc_id"), "text")
+    rows, n = with_next(docs)
+    ordered = rows.repartitionById(n, "range_no").sortWithinPartitions("range_no", "guest", F.desc("key"), F.desc("tie"), "text")
     return ordered.select("doc_id", "text", "range_no", "guest").mapInArrow(run, OUT)
 
 
@@ -148,7 +153,7 @@ def minhash_near_duplicates(docs: DataFrame, words: int = WORDS, num: int = 80,
     below one in ten million. Equal bands give stars, not pairs, and whole sets are compared.
     """
 
-    def bands(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    def bands(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         sig = signatures(texts, PERMUTATIONS, words).astype(np.uint64).reshape(len(texts), -1, band)
         names = np.zeros(sig.shape[:2], np.uint64) + np.arange(sig.shape[1], dtype=np.uint64)
         for i in range(band):
@@ -158,5 +163,5 @@ def minhash_near_duplicates(docs: DataFrame, words: int = WORDS, num: int = 80,
                 yield set_key(found), own
 
     nodes, _ = jaccard.describe(docs, words)
-    found = jaccard.by_component(docs, nodes, components(jaccard.likely_edges(jaccard.shared_edges(docs, bands), nodes, num, den)), words, num, den)
+    found = jaccard.by_component(docs, nodes, lambda total: jaccard.shared_edges(docs, total, bands), words, num, den)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -1,24 +1,29 @@
 """Words and word shingles of whole texts as 64-bit hashes, in vectorised numpy.
 
-A word is a run of bytes other than 0x20 and 0x09 to 0x0D; A-Z count as a-z. A word's hash is
-a polynomial over random values of its bytes, from prefix sums, and a shingle's hash mixes
-those of its words in order. Blocks bound the memory, however long a text is.
+A word is a run of bytes other than 0x20 and 0x09 to 0x0D; A-Z count as a-z. A word of up to
+``SHORT`` bytes is hashed by tabulation: a random 64-bit number for each byte at each place, summed
+and mixed with its length, so that no two different words meet by their structure. Longer words
+are hashed one by one (xxh3). A shingle's hash mixes those of its words in order. Blocks bound the
+memory, however long a text is.
+
+Whole sets are named by 128 bits (``set_key``). Within one pair of documents of 20,000 shingles each
+the chance of a wrong overlap is below 1e-10; over 10**12 different documents that two
+different sets share a name, below 1e-14.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _rng = np.random.default_rng(20240607)
 _odd = lambda n: _rng.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 BLOCK = 1 << 20
-VALUE = _odd(256)
-BASE = int(_odd(1)[0])
-_inverse = pow(BASE, -1, 1 << 64)
+SHORT = 32
 _place = _odd(16)
+_at = _rng.integers(0, 1 << 64, SHORT * 256, dtype=np.uint64)
 _lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _space = np.array([b == 0x20 or 9 <= b <= 13 for b in range(256)])
-_powers: list[np.ndarray] = []
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -29,27 +34,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i for i < n, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        up, down = np.full(size, BASE, np.uint64), np.full(size, _inverse, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0], _powers[1]
-
-
 def _block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word in a block that ends with a space."""
     raw = np.frombuffer(data, np.uint8)
-    up, down = powers(len(raw) + 1)
     inside = ~_space[raw]
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     starts, ends = edge[::2], edge[1::2]
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(VALUE[raw] * up[: len(raw)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(firsts, lengths).astype(np.int32)
+    values = _at[((place & (SHORT - 1)) << 8) + raw[inside]]
+    hashes = mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return starts, hashes
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -104,10 +104,6 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, k))
 
 
-def set_key(found: np.ndarray) -> int:
-    """A signed 64-bit name of an ascending set; equal sets have equal names."""
-    if not len(found):
-        return 0
-    up, _ = powers(len(found) + 1)
-    total = mix((found * up[: len(found)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found)))
-    return int(total.astype(np.int64)[0])
+def set_key(found: np.ndarray) -> bytes:
+    """A 128-bit name of an ascending set; equal sets have equal names."""
+    return xxhash.xxh3_128_digest(found.tobytes())

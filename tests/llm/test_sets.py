@@ -161,7 +161,7 @@ def test_classes_of_the_run_index():
                 own[r.randrange(len(own))] = r.choice(b"abc")
             strings.append(bytes(own))
         got, want = defaultdict(set), defaultdict(set)
-        for s, at, number in zip(*(x.tolist() for x in rindex.classes(strings, 8)), strict=True):
+        for s, at, number in zip(*(x.tolist() for x in rindex.classes(rindex.RunIndex(strings, 8))), strict=True):
             got[number].add((s, at))
         for s, own in enumerate(strings):
             for at in range(len(own) - 7):
