@@ -1,18 +1,23 @@
 """Operator 6: nearest neighbours by a block matrix join with int8 tiles.
 
 Vectors are scaled to unit length and rounded to int8 with a scale of their own. The product of
-a block of queries and a block of candidates is then a matrix product of small whole numbers,
-exact in float32; what rounding took away is bounded for each pair by the lengths of the two
-remainders. Only pairs whose upper bound reaches the query's k-th best lower bound so far are
-computed again in double precision, and heaps merge each block's survivors. Nothing is lost: the
-result equals brute force, so recall is 1.
-
-Queries go out in blocks of bounded size (``QUERY_BLOCK`` rows), each met by every candidate.
-
-Results for odd input: vectors that are null, zero, of another length than the first query's, or
-that hold null or non-finite components take no part; ties go to the smaller id; fewer
-candidates than k give as many rows; repeated ids are candidates in their own right unless
-they equal the query's; an empty table gives no rows.
+a block of queries and a block of candidates is then a matrix product of small whole numbers
+(done by a float32 routine, in which such sums are exact); what rounding took away is bounded for
+each pair by the lengths of the two remainders. Only pairs whose upper bound reaches the query's
+k-th best lower bound so far are computed again in double precision, and heaps merge each block's
+survivors. Nothing is lost: the result equals brute force, so recall is 1.
+
+Queries and candidates are packed into blocks of one length of vectors, written to the shared
+folder, and dealt to a grid: a task holds one group of query blocks (``QUERY_BYTES``) and streams one
+group of candidate blocks past it. Neither side passes through the driver.
+
+Results for odd input: vectors that are null or zero or that hold null or non-finite components
+take no part; vectors of different lengths are never compared; each query row is answered on its
+own, so rows that share a query's id are answered one by one, and are candidates for each other: a
+query leaves out just one row that equals it in id and vector, itself. Such answers to queries of
+one id stand side by side; ties go to the smaller id; fewer candidates than k give as many rows;
+vectors of any length are compared in slices; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+from proofline.llm import store
+
+#: Rows of a block of queries or of candidates, and bytes of the queries that one task holds.
 ROWS = 2048
-OUT = "query_id long, vec_id long, score double"
+QUERY_BYTES = 32 << 20
+#: Bytes of the candidates that one task reads.
+CANDIDATE_BYTES = 256 << 20
+BLOCK = "dim int, at int, rows int, ids binary, vectors binary"
+OUT = "dim int, number long, query_id long, vec_id long, score double, own boolean"
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -70,78 +82,96 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The k best of what has been seen for each query of a block."""
+    """The k + 1 best of what has been seen for each query of a block; one of them may be the query itself."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.numbers, self.ids, self.vectors, self.k = numbers, ids, vectors, k + 1
         self.q, self.scale, self.rest, self.length = quantise(unit(vectors))
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.heaps: list[list[tuple[float, int, bool]]] = [[] for _ in ids]
         self.floor = np.full(len(ids), -np.inf)
 
-    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        q, scale, rest, length = quantise(unit(vectors))
+    def see(self, ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, scale: np.ndarray, rest: np.ndarray, length: np.ndarray) -> None:
         near = tile(self.q, q) * self.scale[:, None] * scale[None, :]
         # |u.v - u'.v'| <= |u - u'| |v| + |u'| |v - v'|, with room for rounding in double precision
         error = self.rest[:, None] + self.length[:, None] * rest[None, :] + 1e-9
-        own = self.ids[:, None] == ids[None, :]
-        low = np.where(own, -np.inf, near - error)
-        if low.shape[1] >= self.k:
-            self.floor = np.maximum(self.floor, np.partition(low, -self.k, axis=1)[:, -self.k])
-        at, of = np.nonzero((near + error >= self.floor[:, None]) & ~own)
+        if len(ids) >= self.k:
+            self.floor = np.maximum(self.floor, np.partition(near - error, -self.k, axis=1)[:, -self.k])
+        at, of = np.nonzero(near + error >= self.floor[:, None])
         for i in range(0, len(at), 1 << 16):
             a, b = at[i : i + (1 << 16)], of[i : i + (1 << 16)]
             scores = cosine(self.vectors[a], vectors[b])
-            for r, score, other in zip(a.tolist(), scores.tolist(), (-ids[b]).tolist(), strict=True):
+            own = self.ids[a] == ids[b]
+            own[own] = (self.vectors[a[own]] == vectors[b[own]]).all(axis=1)
+            for r, score, other, same in zip(a.tolist(), scores.tolist(), (-ids[b]).tolist(), own.tolist(), strict=True):
                 heap = self.heaps[r]
                 if len(heap) < self.k:
-                    heapq.heappush(heap, (score, other))
-                elif (score, other) > heap[0]:
-                    heapq.heapreplace(heap, (score, other))
+                    heapq.heappush(heap, (score, other, same))
+                elif (score, other) > heap[0][:2]:
+                    heapq.heapreplace(heap, (score, other, same))
         for r in set(at.tolist()):
             if len(self.heaps[r]) == self.k:
                 self.floor[r] = max(self.floor[r], self.heaps[r][0][0] - 1e-9)
 
     def rows(self) -> pa.RecordBatch:
-        found = [(q, -other, score) for q, heap in zip(self.ids.tolist(), self.heaps, strict=True) for score, other in heap]
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+        found = [(self.vectors.shape[1], n, q, -other, score, own) for n, q, heap in zip(self.numbers.tolist(), self.ids.tolist(), self.heaps, strict=True) for score, other, own in heap]
+        columns = list(zip(*found, strict=True)) or [[]] * 6
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])
+
+
+def blocks(vectors: DataFrame) -> DataFrame:
+    """Usable vectors in blocks of ``ROWS`` rows of one length, numbered (``at``) within their task from its own number on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
+        for batch in batches:
+            ids, column = np.asarray(batch.column(0)), batch.column(1)
+            lengths, flat = np.diff(np.asarray(column.offsets)), np.asarray(column.flatten())
+            for dim in np.unique(lengths).tolist():
+                of = lengths == dim
+                some, rows = ids[of], flat[np.repeat(of, lengths)].reshape(-1, dim)
+                out = [(dim, at + n, len(x), x.tobytes(), y.tobytes()) for n, (x, y) in enumerate((some[i : i + ROWS], rows[i : i + ROWS]) for i in range(0, len(some), ROWS))]
+                at += len(out)
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["dim", "at", "rows", "ids", "vectors"])
 
-def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, column = np.asarray(batch.column(0)), batch.column(1)
-    lengths = np.diff(np.asarray(column.offsets))
-    flat = np.asarray(column.flatten())
-    if (lengths == dim).all():
-        return ids, flat.reshape(-1, dim)
-    keep = lengths == dim
-    return ids[keep], flat[np.repeat(keep, lengths)].reshape(-1, dim)
+    return vectors.mapInArrow(run, BLOCK)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` with the largest cosine for each query."""
-    wanted, candidates = usable(queries, key, vector), usable(vectors, key, vector)
     spark = vectors.sparkSession
-    blocks = max(1, -(-2 * wanted.count() // query_block))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    found = spark.createDataFrame([], OUT)
-    dim = None
-    for number in range(blocks):
-        rows = wanted.filter(part == number).orderBy("vec_id").toArrow()
-        for at in range(0, rows.num_rows, query_block):
-            block = rows.slice(at, query_block).combine_chunks().to_batches()[0]
-            dim = dim or len(block.column(1)[0])
-            ids, values = _matrix(block, dim)
-            shared, size = spark.sparkContext.broadcast((ids, values)), dim
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
-                search = Search(*shared.value, k)
-                for batch in batches:
-                    for i in range(0, batch.num_rows, ROWS):
-                        own, data = _matrix(batch.slice(i, ROWS), size)
-                        if len(own):
-                            search.see(own, data)
-                yield search.rows()
-
-            found = found.unionAll(candidates.mapInArrow(run, OUT))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    wanted = store.table(blocks(usable(queries, key, vector)).withColumn("number", F.monotonically_increasing_id()), "queries")
+    candidates = store.table(blocks(usable(vectors, key, vector)), "candidates")
+    size = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("vectors")), F.lit(0))).first()[0]
+    across = max(1, -(-size(wanted) // query_bytes))
+    down = max(1, -(-store.partitions(spark) // across), -(-size(candidates) // CANDIDATE_BYTES))
+    deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.select("dim", F.pmod("at", F.lit(across)).alias("i"), deal(down).alias("j"), "number", "ids", "vectors")
+    right = candidates.select("dim", deal(across).alias("i"), F.pmod("at", F.lit(down)).alias("j"), F.lit(None).cast("long").alias("number"), "ids", "vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for batch in batches:
+            for dim, i, j, number, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (dim, i, j) != place:
+                    yield from (s.rows() for s in held)
+                    place, held = (dim, i, j), []
+                own, rows = np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, dim)
+                if number is not None:
+                    held.append(Search((number << 11) + np.arange(len(own)), own, rows, k))
+                elif held:
+                    small = quantise(unit(rows))
+                    for search in held:
+                        search.see(own, rows, *small)
+        yield from (s.rows() for s in held)
+
+    both = left.unionByName(right).repartition(across * down, "dim", "i", "j").sortWithinPartitions("dim", "i", "j", F.col("number").asc_nulls_last())
+    found = both.mapInArrow(run, OUT)
+    best = Window.partitionBy("dim", "number").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+    # the first row that is the query itself goes; the others move up
+    gone = F.min(F.when(F.col("own"), F.col("rank"))).over(Window.partitionBy("dim", "number"))
+    left = ranked.withColumn("gone", F.coalesce(gone, F.lit(k + 1))).filter(F.col("rank") != F.col("gone"))
+    rank = (F.col("rank") - F.when(F.col("rank") > F.col("gone"), 1).otherwise(0)).cast("int")
+    return left.select("query_id", rank.alias("rank"), "vec_id", "score")

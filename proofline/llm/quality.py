@@ -6,13 +6,15 @@ better and a worse text, weights are learnt by logistic loss on the differences
 features (Newton's method, with a ridge). The threshold is the quantile of the training texts'
 scores at the share of worse ones; a score of 0.7 stands for it.
 
-The weights are fitted on the driver on at most ``SAMPLE`` labelled rows, chosen by a hash of
+The weights are fitted on the driver on at most ``SAMPLE`` labelled documents, chosen by a hash of
 their id over all labels, and at most ``PAIRS`` pairs of them. All else runs over all rows.
 
 Results for odd input: a null or empty text has features of its own (all zero) and a score;
 ties go to the better side; labels that are null, not 0 or 1, or without a document are left out;
-if only one of the classes is there, all scores are 0.5; repeated rows count as often as
-they occur; an empty table gives no rows; other columns pass through ``keep_good`` unchanged.
+an id labelled twice counts as 1 if either says so; of documents that share an id one is learnt from,
+that with the least features; if only one of the classes is there, all scores are 0.5; texts of any length are
+read whole; repeated rows all get their score; an empty table gives no rows; other columns pass through
+``keep_good`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SAMPLE = 20_000
 PAIRS = 200_000
@@ -137,27 +140,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "quality", "doc_id"])
 
-    found = rows.select("text", F.col("quality").cast("int"), "doc_id").mapInArrow(run, "x array<double>, quality int, doc_id long").limit(2 * sample).toArrow()
+    every = rows.select("text", F.col("quality").cast("int"), "doc_id").mapInArrow(run, "x array<double>, quality int, doc_id long")
+    # of rows that share an id, the one with the least features: ``sample`` rows at most
+    found = every.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("one")).select("doc_id", "one.x", "one.quality").toArrow()
     table = sorted(zip(found.column("doc_id").to_pylist(), found.column("quality").to_pylist(), found.column("x").to_pylist(), strict=True))
     x = np.array([r[2] for r in table]).reshape(-1, FEATURES)
     return fit(x, np.array([r[1] == 1 for r in table], bool))
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``; the text of each row is read once, in place."""
-    name = "score"
-    rest = [c for c in docs.columns if c != name]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*[docs.schema[c] for c in rest], StructField(name, DoubleType())])
-    at = rest.index("text")
+def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with a column ``name``, which they lack, for the score; the text of each row is read once, in place."""
+    columns, at = docs.columns, docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*rest, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*columns, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -177,5 +178,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     """The rows of ``docs`` that the classifier does not reject, with their own columns; all rows where the labels lack a class, as no model can be fitted."""
     model = train(docs, labels, sample)
     if not model.weights.any():
-        return docs.drop("score")
-    return with_scores(docs, model).filter(F.col("score") >= THRESHOLD).drop("score")
+        return docs
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return with_scores(docs, model, name).filter(F.col(name) >= THRESHOLD).drop(name)
