@@ -5,9 +5,13 @@ starts at symbol i, packed above i itself. The root is then the leftmost pair of
 rank. A merge changes at most three leaves, each in logarithmic time, until the root says
 that no pair can be merged. Pieces repeat, so each worker keeps a bounded memo of them.
 
+Texts are cut into pieces by the file's pattern. Where a text holds characters on which Unicode tables
+may differ, the tokenizers library's own normaliser and splitter cut it, so that its pieces are the
+library's for every code point; merging is always the tree's.
+
 Results for odd input: a null or empty text has no ids and decodes to the empty string;
-repeated rows give repeated results; no length is limited. Columns of the input other than
-``doc_id`` and ``text`` are ignored, whatever their names.
+repeated rows give repeated results; no length is limited; an empty table gives no rows. Columns of the input
+other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from proofline.llm.wordsplit import PieceEncoder, Splitter, byte_alphabet
+from proofline.llm.wordsplit import Memo, PieceEncoder, Splitter, byte_alphabet
 
 #: Words in each of the two generations of a worker's memo.
 MEMO = 300_000
@@ -49,11 +54,20 @@ class SegmentTreeBPE:
         back = {c: b for b, c in alphabet.items()}
         self.decoder = self.splitter.kind == "byte"
         self.raw = [bytes(map(back.get, t)) if i not in self.splitter.special.values() and all(c in back for c in t) else t.encode() for i, t in enumerate(self.names)] if self.decoder else []
-        self.memo = PieceEncoder(self.splitter, self.encode_piece, memo)
-
-    def encode_piece(self, piece: str) -> bytes:
+        self.memo = PieceEncoder(self.splitter, lambda piece: self.encode_piece(piece.encode()), memo)
+        library = Tokenizer.from_file(path)
+        self.normaliser, self.cutter = library.normalizer, library.pre_tokenizer
+        self.symbols = {ord(c): b for c, b in back.items()}
+        #: pieces as the library spells them, in the byte alphabet
+        self.spelt = Memo(lambda piece: self.encode_piece(piece.translate(self.symbols).encode("latin-1")), memo // 2)
+
+    def encode_unusual(self, text: str) -> bytes:
+        """The ids of a text without special tokens, cut by the library's normaliser and splitter."""
+        text = text if self.normaliser is None else self.normaliser.normalize_str(text)
+        return b"".join([self.spelt[piece] for piece, _ in self.cutter.pre_tokenize_str(text)])
+
+    def encode_piece(self, data: bytes) -> bytes:
         """Merge one piece's bytes with the segment tree."""
-        data = piece.encode()
         ids = [self.first[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n, merge = len(ids), self.merge
@@ -106,8 +120,7 @@ class SegmentTreeBPE:
             return b""
         if self.splitter.plain(text):
             return self.memo.plain(text)
-        known = self.memo.pieces.__getitem__
-        return b"".join(np.array([i], "<u4").tobytes() if i is not None else b"".join(map(known, pieces)) for i, pieces in self.splitter.parts(text))
+        return b"".join(np.array([i], "<u4").tobytes() if i is not None else self.encode_unusual(part) for i, part in self.splitter.parts(text))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids. Byte-level files join bytes; files without a decoder join symbols by spaces."""

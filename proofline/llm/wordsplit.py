@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 
 import regex
@@ -55,17 +54,15 @@ class Splitter:
         """Whether ``pieces`` needs neither normalisation nor a look for special tokens."""
         return UNUSUAL.search(text) is None
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text without special tokens."""
-        if self.kind == "word":
-            text = lower(text if text.isascii() else unicodedata.normalize("NFC", text))
-        return self.find(text)
-
-    def parts(self, text: str) -> list[tuple[int | None, list[str]]]:
-        """A text cut at special tokens: (id, []) for one of them, (None, pieces) for what lies between."""
+    def parts(self, text: str) -> list[tuple[int | None, str]]:
+        """A text cut at special tokens: (id, "") for one of them, (None, text) for what lies between."""
         if self.cut is None or "<|" not in text:
-            return [(None, self.pieces(text))]
-        return [(self.special[x], []) if x in self.special else (None, self.pieces(x)) for x in self.cut.split(text) if x]
+            return [(None, text)]
+        return [(self.special[x], "") if x in self.special else (None, x) for x in self.cut.split(text) if x]
+
+
+#: Keys longer than this are made anew each time; so an entry takes less than a kilobyte or so.
+LONG = 64
 
 
 class Memo(dict):
@@ -76,6 +73,8 @@ class Memo(dict):
         self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return self.make(key)
         made = self.older.get(key)
         if made is None:
             made = self.make(key)

@@ -39,7 +39,7 @@ def test_segment_tree_equals_plain_merging():
                 break
             _, i = min(found)
             ids[i : i + 2] = [own.merge[ids[i] << 32 | ids[i + 1]] & 0xFFFFFFFF]
-        assert np.frombuffer(own.encode_piece(piece), "<u4").tolist() == ids
+        assert np.frombuffer(own.encode_piece(piece.encode()), "<u4").tolist() == ids
 
 
 def test_bpe_query(docs, corpus, empty):
