@@ -2,11 +2,19 @@
 
 Pages of a host come from one template. A wrapper is a regular expression without unions over
 nested token streams: tags, fixed texts, text slots, optional groups and repeated groups. It
-starts as one page and is aligned with others in turn: neighbours of one shape fold into a
+starts as one page and is aligned with others in turn, level by level, each level being the stream
+of tokens between an element's two tags: neighbours of one shape fold into a
 repeated group, tags that only one side has become optional, and texts that differ become slots.
-
-The wrapper says where the article is (a semantic element, or else the region that holds most of
-the text that changes from page to page) and which texts of a host never change. Each page is
+Elements nested deeper than ``DEEP`` are not learnt, but read as part of their page.
+
+The wrapper decides where the article is: the region that holds most of the host's changing text,
+that is of the characters in slots outside of links, over all its pages; a heading beside that region
+belongs to it. It also decides which texts go from within the region: those that are fixed for the
+host, as long as they aren't most of it. Names only break ties: elements named as the article (tags and
+roles, then words in a class) say how far up the region reaches and settle it where pages are few
+or no region holds most; elements named as something else, by tag, role or word, are left out where the
+wrapper sees changing text and so can't tell an advert from a paragraph. A form, or a word inside a longer
+class name, doesn't count against an element that is or holds the article. Each page is
 then read whole along its host's wrapper; what the wrapper does not know, such as the end of a
 page that breaks off, is judged by its own tags.
 
@@ -40,8 +48,11 @@ AGREE = 3
 HOSTS = 1000
 #: Tasks whose partial wrappers of a host are merged together in the first round.
 TASKS = 32
-#: Wrappers' bytes that are sent to every task; above this they are joined by a shuffle.
-SEND = 64 << 20
+#: Wrappers' bytes that are sent to every task; above this they meet their pages by a shuffle, in which a host has ``SALTS`` keys.
+SEND, SALTS = 64 << 20, 16
+#: The share of the changing text that makes a region the article.
+MOST = 0.6
+#: Elements nested deeper than this are read, but not learnt.
 DEEP = 120
 #: Why an element is dropped: by its kind; by a whole word of its class or id; by a part of one, or as a form.
 HARD, NAMED, MIXED = 3, 2, 1
@@ -69,6 +80,8 @@ WORDS = frozenset(
     "newsletter subscribe signup login popup modal overlay pagination pager toolbar masthead topbar skip disclaimer".split()
 )
 HEADERS = frozenset("header headers".split())
+#: Elements that never hold text to read.
+TECHNICAL = frozenset("script style noscript template iframe svg canvas object audio video head title noembed noframes math datalist xmp".split())
 CONTENT = frozenset("article content post entry story main maincontent articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -83,16 +96,18 @@ class Node:
 
     __slots__ = ("drop", "header", "key", "kids", "main", "name")
 
-    def __init__(self, name: str, key: str, drop: int, header: bool, main: bool):
+    def __init__(self, name: str, key: str, drop: int, header: bool, main: int):
         self.name, self.key, self.drop, self.header, self.main = name, key, drop, header, main
         self.kids: list[Node | str] = []
 
 
-_known: dict[tuple[str, str], tuple[str, int, bool, bool]] = {}
+_known: dict[tuple[str, str], tuple[str, int, bool, int]] = {}
+#: How an element says that it is the article: by a tag or role; by a word in its class.
+TAGGED, WORDED = 2, 1
 
 
-def describe(name: str, attributes: str) -> tuple[str, int, bool, bool]:
-    """(key, whether it is no part of an article (HARD) or only seems to be none, whether it is a header, whether it may be the article)."""
+def describe(name: str, attributes: str) -> tuple[str, int, bool, int]:
+    """(key, whether it is no part of an article (HARD) or only seems to be none, whether it is a header, whether it is named as the article)."""
     at = (name, attributes if len(attributes) < 200 else "")
     if at in _known and len(attributes) < 200:
         return _known[at]
@@ -111,7 +126,8 @@ def describe(name: str, attributes: str) -> tuple[str, int, bool, bool]:
     header = name == "header" or bool(words & HEADERS)
     main = name in {"article", "main"} or role in {"main", "article"} or found.get("itemprop", "").lower() == "articlebody"
     key = name + "".join("." + w for w in sorted(set(found.get("class", "").split()))) + ("@" + role if role else "")
-    out = (key, drop, header, main or (drop != HARD and bool(words & CONTENT) and name in {"div", "section", "td"}))
+    worded = drop != HARD and bool(words & CONTENT) and name in {"div", "section", "td"}
+    out = (key, drop, header, TAGGED if main else WORDED if worded else 0)
     if len(attributes) < 200:
         if len(_known) > 50_000:
             _known.clear()
@@ -121,7 +137,7 @@ def describe(name: str, attributes: str) -> tuple[str, int, bool, bool]:
 
 def parse(page: str) -> Node:
     """A page as nested nodes; every text is kept, with its character references decoded."""
-    root = Node("#page", "#page", 0, False, False)
+    root = Node("#page", "#page", 0, False, 0)
     stack, at, n = [root], 0, len(page)
     text = lambda s: stack[-1].kids.append(references.unescape(s) if "&" in s else s)
 
@@ -228,7 +244,7 @@ class Part:
 
     __slots__ = ("chars", "drop", "fixed", "header", "key", "kids", "main", "many", "name", "optional", "seen")
 
-    def __init__(self, key: str, name: str = "", drop: int = 0, header: bool = False, main: bool = False):
+    def __init__(self, key: str, name: str = "", drop: int = 0, header: bool = False, main: int = 0):
         self.key, self.name, self.drop, self.header, self.main = key, name, drop, header, main
         self.kids: list[Part] = []
         self.optional = self.many = False
@@ -264,11 +280,22 @@ def part_of(node: Node | str, depth: int = 0) -> Part:
     return part
 
 
+def shape(kids: list) -> set[str]:
+    """The names of the blocks among an element's children."""
+    return {k.name for k in kids if not isinstance(k, str) and k.name in BLOCK}
+
+
+def alike(a: list, b: list) -> bool:
+    """Whether two elements of one key have children of one kind: blocks in common, or none."""
+    x, y = shape(a), shape(b)
+    return bool(x & y) or not (x or y)
+
+
 def fold(parts: list[Part]) -> list[Part]:
-    """Neighbours with one key become a repeated group."""
+    """Neighbours with one key and alike children become a repeated group."""
     out: list[Part] = []
     for p in parts:
-        if out and out[-1].key == p.key:
+        if out and out[-1].key == p.key and alike(out[-1].kids, p.kids):
             last = out[-1]
             seen = last.seen
             merge(last, p)
@@ -278,6 +305,22 @@ def fold(parts: list[Part]) -> list[Part]:
     return out
 
 
+def aligned(kids: list, part: Part | None) -> list[Part | None]:
+    """The part that each of a node's children stands for, in order."""
+    out: list[Part | None] = []
+    start, following = 0, part.kids if part is not None else []
+    for k in kids:
+        key, own = "#" if isinstance(k, str) else k.key, None
+        if key != "#" or k.strip():
+            near = [i for i in range(start, len(following)) if following[i].key == key]
+            near = [i for i in near if key == "#" or alike(k.kids, following[i].kids)][:1] or near[:1]
+            if near:
+                own = following[near[0]]
+                start = near[0] if own.many else near[0] + 1
+        out.append(own)
+    return out
+
+
 def merge(a: Part, b: Part) -> None:
     """Generalises ``a`` so that it also covers ``b``."""
     a.seen += b.seen
@@ -323,31 +366,69 @@ def joined(wrapper: Part | None, other: Part) -> Part:
     return wrapper
 
 
-def article_path(wrapper: Part) -> tuple[list[str], bool]:
-    """Keys from the page down to the article's part, and whether tags say that it is one."""
-    best, path = None, []
-    todo = [(wrapper, [])]
-    while todo:
-        part, keys = todo.pop()
-        if part.drop:
-            continue
-        value = (part.name == "article", part.chars)
-        if part.main and part.chars:
-            inside = best is not None and keys[: len(path)] == path
-            if best is None or (value[0] > best[0] if inside else value > best):
-                best, path = value, keys
-        todo += [(k, [*keys, k.key]) for k in part.kids if k.key != "#"]
-    if best:
-        return path, True
-    live = lambda p: 0 if p.drop or (p.key == "#" and p.fixed is not None and p.seen >= AGREE) else p.chars if p.key == "#" else sum(map(live, p.kids))
-    part, path = wrapper, []
-    while True:
-        total = live(part)
-        inner = [k for k in part.kids if k.key != "#" and not k.many and k.name in BLOCK and live(k) >= 0.6 * total > 0]
-        if not inner or (inner[0].name in {"p", *HEADINGS}):
-            return path, False
-        part = inner[0]
-        path = [*path, part.key]
+def changing(part: Part, marks: bool = True, fixed: bool = False) -> int:
+    """Characters of a part's text that change from page to page and aren't links'; with ``marks``, none in elements named
+    as no article; with ``fixed``, those that don't change, too."""
+    if part.key == "#":
+        return 0 if not fixed and part.fixed is not None and part.seen >= AGREE else part.chars
+    if part.name == "a" or part.name in TECHNICAL or (marks and part.drop):
+        return 0
+    return sum(changing(k, marks, fixed) for k in part.kids)
+
+
+class Region:
+    """Where a host's article is: the parts from the page down to it, and whether its name says so."""
+
+    def __init__(self, wrapper: Part):
+        self.path: list[Part] = []
+        self.semantic = False
+        found = self.by_mass(wrapper)
+        named = self.by_name(wrapper)
+        if named:
+            inside, around = self.begins(named, found), self.begins(found, named)
+            here, there = [wrapper, *found][-1], [wrapper, *named][-1]
+            mass, own = changing(here), changing(there)
+            most = changing(there, fixed=True) >= MOST * changing(here, fixed=True)
+            # around the region: the name says how far it reaches; inside it or beside it: the name must hold much of the text
+            if around or wrapper.seen < AGREE or most or (own >= 0.3 * mass if inside else 2 * own > mass):
+                self.path, self.semantic = named, True
+                return
+        self.path = found
+
+    @staticmethod
+    def begins(path: list[Part], other: list[Part]) -> bool:
+        return len(path) >= len(other) and all(a is b for a, b in zip(path, other, strict=False))
+
+    @staticmethod
+    def by_mass(wrapper: Part) -> list[Part]:
+        """The path to the region that holds most of the changing text."""
+        part, path = wrapper, []
+        marks = changing(wrapper) > 0
+        while True:
+            total = changing(part, marks)
+            inner = [k for k in part.kids if k.key != "#" and (not k.many or k.main) and k.name in BLOCK and not (marks and k.drop) and changing(k, marks) >= MOST * total > 0]
+            if not inner or (inner[0].name in {"p", *HEADINGS}):
+                return path
+            part = inner[0]
+            path = [*path, part]
+
+    @classmethod
+    def by_name(cls, wrapper: Part) -> list[Part]:
+        """The path to what is named as the article, of several the innermost tag, or that with the most text; empty if nothing is."""
+        best, found = None, []
+        todo: list[list[Part]] = [[k] for k in wrapper.kids]
+        while todo:
+            path = todo.pop()
+            part = path[-1]
+            if part.drop or part.key == "#":
+                continue
+            value = (part.main, part.name == "article", part.chars)
+            if part.main and part.chars:
+                inside = bool(found) and cls.begins(path, found)
+                if best is None or (value[:2] > best[:2] if inside else value > best):
+                    best, found = value, path
+            todo += [[*path, k] for k in part.kids]
+        return found
 
 
 class Wrapper:
@@ -355,7 +436,29 @@ class Wrapper:
 
     def __init__(self, part: Part):
         self.part = part
-        self.path, self.semantic = article_path(part)
+        region = Region(part)
+        self.path, self.semantic = region.path, region.semantic
+        here = [part, *self.path][-1]
+        # a text is the template's if it is on enough pages; under a named article, on half of them
+        self.agree = max(AGREE, (here.seen + 1) // 2 if self.semantic else 0)
+        self.cut = self._fixed(here) <= changing(here)
+        self.title = None if self.semantic else self._title()
+
+    def _fixed(self, part: Part) -> int:
+        if part.key == "#":
+            return part.chars if part.fixed is not None and part.seen >= self.agree else 0
+        return 0 if part.drop or part.name in TECHNICAL else sum(map(self._fixed, part.kids))
+
+    def _title(self) -> tuple[int, str] | None:
+        """The depth and key of a changing heading beside the path, the nearest one; none if the region has one."""
+        way = [self.part, *self.path]
+        if any(k.name in {"h1", "h2"} for k in way[-1].kids):
+            return None
+        for depth in range(len(way) - 2, -1, -1):
+            for k in way[depth].kids:
+                if k.name in {"h1", "h2"} and not k.many and not k.drop and changing(k):
+                    return depth, k.key
+        return None
 
     def read(self, page: str | None) -> str:
         """The article's text of a whole page."""
@@ -366,22 +469,29 @@ class Wrapper:
         if not nodes:
             own = Wrapper(part_of(root)) if self.part is not None else self
             nodes, part = own.find(root)
-            return texts(nodes or [root], None, own.semantic and bool(nodes))
-        return texts(nodes, part, self.semantic)
+            return texts(nodes or [root], None, 0)
+        return texts(nodes, part, self.agree if self.cut else 0)
 
     def find(self, root: Node) -> tuple[list[Node], Part | None]:
-        """The article's nodes in page order: all that a semantic path leads to, else the heaviest of alike siblings."""
-        nodes, part = [root], self.part
-        for key in self.path:
-            nodes = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.key == key and not k.drop]
-            if len(nodes) > 1 and not self.semantic:
-                nodes = [max(nodes, key=weight)]
-            part = next((p for p in part.kids if p.key == key), None) if part else None
-        return [n for n in nodes if n.main or not self.semantic], part
-
-
-def texts(nodes: list[Node], part: Part | None, semantic: bool) -> str:
-    return "\n".join(t for t in (blocks(n, part, semantic) for n in nodes) if t)
+        """The article's nodes in page order: all that a named path leads to, else the heaviest of alike siblings, and its heading."""
+        nodes, part, title = [root], self.part, []
+        for depth, target in enumerate(self.path):
+            if self.title and self.title[0] == depth:
+                title = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.key == self.title[1]][:1]
+            if self.semantic:
+                nodes = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.key == target.key and not k.drop]
+            else:
+                both = [(k, own) for n in nodes for k, own in zip(n.kids, aligned(n.kids, part), strict=True) if not isinstance(k, str)]
+                nodes = [k for k, own in both if own is target] or [k for k, _ in both if k.key == target.key]
+                nodes = [max(nodes, key=weight)] if len(nodes) > 1 else nodes
+            part = target
+        nodes = [n for n in nodes if n.main or not self.semantic]
+        return (title + nodes if nodes else []), part
+
+
+def texts(nodes: list[Node], part: Part | None, agree: int) -> str:
+    own = lambda n: part if part is not None and n.key == part.key else None
+    return "\n".join(t for t in (blocks(n, own(n), agree) for n in nodes) if t)
 
 
 def weight(node: Node) -> int:
@@ -396,8 +506,8 @@ def weight(node: Node) -> int:
     return total
 
 
-def blocks(root: Node, wrapper: Part | None, semantic: bool) -> str:
-    """The text blocks of an article, by its tags and its part of the wrapper."""
+def blocks(root: Node, wrapper: Part | None, agree: int) -> str:
+    """The text blocks of an article, by its tags and its part of the wrapper; texts fixed on ``agree`` pages or more go (0: none)."""
     out: list[str] = []
     held: list[str] = []
 
@@ -419,7 +529,7 @@ def blocks(root: Node, wrapper: Part | None, semantic: bool) -> str:
         if isinstance(node, str):
             if header:
                 continue
-            if not semantic and part is not None and part.fixed is not None and part.seen >= AGREE and part.fixed == squeeze(node):
+            if agree and part is not None and part.fixed is not None and part.seen >= agree and part.fixed == squeeze(node):
                 continue
             held.append(node)
             continue
@@ -438,17 +548,7 @@ def blocks(root: Node, wrapper: Part | None, semantic: bool) -> str:
         if block:
             close()
             todo.append(None)
-        kids, at, following = [], 0, part.kids if part is not None else []
-        for k in node.kids:
-            key = "#" if isinstance(k, str) else k.key
-            own = None
-            if key != "#" or k.strip():
-                for i in range(at, len(following)):
-                    if following[i].key == key:
-                        own, at = following[i], i if following[i].many else i + 1
-                        break
-            kids.append((k, own, header))
-        todo += reversed(kids)
+        todo += reversed([(k, own, header) for k, own in zip(node.kids, aligned(node.kids, part), strict=True)])
     close()
     return "\n".join(out)
 
@@ -500,20 +600,34 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     wrappers = learn(pages)
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    joined = pages.join(F.broadcast(wrappers) if size <= SEND else wrappers, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
+    shared = None
+    if size <= SEND:
+        found = wrappers.toArrow()  # at most ``SEND`` bytes
+        shared = pages.sparkSession.sparkContext.broadcast(dict(zip(found.column("host").to_pylist(), found.column("wrapper").to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
         plain = Wrapper(Part("#page"))
         for batch in batches:
-            texts = []
-            for page, host, data in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if host not in known:
-                    if len(known) > 1000:
+            texts, keep = [], []
+            for i, (page, host, data) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+                if host not in known or data:
+                    if len(known) > HOSTS:
                         known.clear()
+                    data = data or (shared.value.get(host) if shared else None)
                     known[host] = Wrapper(Part.load(json.loads(data))) if data else plain
-                texts.append(known[host].read(page))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+                if shared or batch.column(5)[i].as_py():
+                    keep.append(i)
+                    texts.append(known[host].read(page))
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    if shared:
+        return pages.select("*", F.lit(None).cast("string").alias("wrapper"), F.lit(True).alias("page")).mapInArrow(run, out)
+    # a host's wrapper goes ahead of its pages, once for each of the host's keys
+    mine = pages.select("*", F.lit(None).cast("string").alias("wrapper"), F.lit(True).alias("page"), F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    theirs = wrappers.select("host", "wrapper", F.lit(False).alias("page"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    return both.repartition("host", "salt").sortWithinPartitions("host", "salt", "page").select("page_id", "url", "html", "host", "wrapper", "page").mapInArrow(run, out)
