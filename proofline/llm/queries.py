@@ -46,6 +46,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def near_duplicates_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7's bands, joined, and the Jaccard similarity verified: the component of every document."""
+    return minhash.minhash_near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_store(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokenstore": op8_tokenstore,
     "op9_pages": op9_pages,
     "op10_packing": op10_packing,
+    "near_duplicates_minhash": near_duplicates_minhash,
 }
 
 ORACLES: dict[str, str] = {"op4_licences": licences.oracle("documents")}

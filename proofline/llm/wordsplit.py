@@ -61,16 +61,16 @@ class Splitter:
         return [(self.special[x], "") if x in self.special else (None, x) for x in self.cut.split(text) if x]
 
 
-#: Keys longer than this are made anew each time; so an entry takes less than a kilobyte or so.
-LONG = 64
+#: Keys longer than this are made anew each time, and an entry's bytes beside its key and value.
+LONG, ENTRY = 64, 120
 
 
 class Memo(dict):
-    """Key -> what ``make`` gives for it. Of two generations of at most ``size`` keys, the older is dropped when the newer is full."""
+    """Key -> what ``make`` gives for it. Of two generations of at most ``size`` keys and 128 times as many bytes, the older is dropped when the newer is full."""
 
     def __init__(self, make: Callable[[str], bytes], size: int):
         super().__init__()
-        self.make, self.size, self.older = make, size, {}
+        self.make, self.size, self.older, self.room = make, size, {}, 128 * size
 
     def __missing__(self, key: str) -> bytes:
         if len(key) > LONG:
@@ -78,9 +78,10 @@ class Memo(dict):
         made = self.older.get(key)
         if made is None:
             made = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
+        if len(self) >= self.size or self.room < 0:
+            self.older, self.room = dict(self), 128 * self.size
             self.clear()
+        self.room -= len(key) + len(made) + ENTRY
         self[key] = made
         return made
 
