@@ -239,8 +239,7 @@ def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]],
         names = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
         return pa.table({"a": names.take(pa.array(both[:, 0])), "b": names.take(pa.array(both[:, 1])), "sure": np.arange(len(both)) >= len(pairs)})
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, block binary").repartition(tasks, "bucket")
-    return dealt.groupBy("bucket").applyInArrow(join, "a binary, b binary, sure boolean")
+    return store.by_bucket(docs.select("text").mapInArrow(deal, "bucket long, block binary"), "bucket", tasks, join, "a binary, b binary, sure boolean")
 
 
 def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:

@@ -11,8 +11,10 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,33 @@ def size_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
+def deal(df: DataFrame, key: str, tasks: int, *order: str) -> DataFrame:
+    """Rows in ``tasks`` partitions by a bucket number, evenly, and together in each."""
+    return df.repartitionById(tasks, F.pmod(F.col(key), F.lit(tasks)).cast("int")).sortWithinPartitions(key, *order)
+
+
+def by_bucket(df: DataFrame, key: str, tasks: int, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on all rows of each bucket; what ``groupBy`` and ``applyInArrow`` do, but with buckets dealt evenly."""
+    at = df.columns.index(key)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for batch in batches:
+            keys = np.asarray(batch.column(at))
+            for begin, stop in pairwise([0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]):
+                if begin == stop:
+                    continue
+                if held and keys[begin] != bucket:
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                bucket = keys[begin]
+                held.append(batch.slice(begin, stop - begin))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return deal(df, key, tasks).mapInArrow(stream, schema)
+
+
 def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
     """Ascending upper ends (all but the last) that cut ``key`` into about equal ranges.
 

@@ -560,7 +560,7 @@ def learn(pages: DataFrame) -> DataFrame:
     """(host, wrapper) from all different pages of each host."""
     rows = pages.filter("html <> ''").select("host", "page_id", "html", F.xxhash64("html").alias("h"))
     first = store.table(rows.groupBy("host", "h").agg(F.min("page_id").alias("first")), "first")
-    few = first.count() <= 1_000_000
+    few = first.count() <= 100_000
     mine = F.broadcast(first) if few else first
     same = (rows["host"] == mine["host"]) & (rows["h"] == mine["h"]) & rows["page_id"].eqNullSafe(mine["first"])
     rows = rows.join(mine, same, "left_semi").select("host", "h", "html", F.spark_partition_id().alias("task"))
