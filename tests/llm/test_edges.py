@@ -199,6 +199,10 @@ def test_a_line_in_many_documents(spark):
     texts = [(i, words(20) + line + words(20)) for i in range(1200)] + [(2000 + i, words(5) + line + " and the same tail of it, word by word") for i in range(30)]
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(make(spark, texts).repartition(4)).collect()}
     assert got == brute_repeats(texts, 100)
+    some = texts[:150] + texts[-30:]
+    for shard in (300, 3000):  # anchors that are too large for an index are taken apart
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(make(spark, some).repartition(4), shard=shard).collect()}
+        assert got == brute_repeats(some, 100)
 
 
 def test_long_texts_in_repeats(spark):
