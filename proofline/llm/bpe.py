@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from proofline.llm import store
 from proofline.llm.wordsplit import Memo, PieceEncoder, Splitter, byte_alphabet
 
 #: Words in each of the two generations of a worker's memo.
@@ -144,7 +145,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ready(path)
-        for batch in batches:
+        for batch in store.slices(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())],
@@ -164,7 +165,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ready(path)
-        for batch in batches:
+        for batch in store.slices(batches):
             counts, of_ids, of_text = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = bpe.encode(t)

@@ -217,7 +217,7 @@ def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]],
             blocks = [x.tobytes() for x in np.split(posts[order], at[1:])]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-        for batch in batches:
+        for batch in store.slices(batches):
             for _, texts in _texts(batch, 0):
                 for node, signs in signatures(texts):
                     posts = np.empty(len(signs), POSTING)

@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, size, place, closed = [], [], 0, None, False
-        for batch in batches:
+        for batch in store.slices(batches):
             for doc, text, here, guest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if here != place:
                     if len(texts) > 1:

@@ -55,10 +55,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
     """A row for each piece; ``nth`` counts the pieces of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store.release()
         tokens, end = libtokens.ready(path, MEMO), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
-        for batch in batches:
+        for batch in store.slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokens.encode(text) + end

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from proofline.llm import store
+
 SAMPLE = 20_000
 PAIRS = 200_000
 RIDGE = 1.0
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # ``sample`` ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in store.slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "quality", "doc_id"])
 
     every = rows.select("text", F.col("quality").cast("int"), "doc_id").mapInArrow(run, "x array<double>, quality int, doc_id long")
@@ -154,7 +156,7 @@ def with_scores(docs: DataFrame, model: Model, name: str) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in store.slices(batches):
             x = np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*columns, name])
 
@@ -166,7 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     model = train(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in store.slices(batches):
             x = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 

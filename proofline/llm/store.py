@@ -33,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Lists of the tables made in scopes that are open, innermost last.
 _open: list[list[str]] = []
-#: Deletes the shuffle files of a write when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Deletes the shuffle files of a write when it has ended; how many rows go to a Python worker at once, and are worked on at once.
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS, SLICE = 2000, 500
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -43,12 +44,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000")}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else ROWS))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,6 +87,14 @@ class Scope:
             _open[-1].extend(self.kept)
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows each, after the worker has given back what earlier tasks left."""
+    release()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def release() -> None:
     """Gives memory that a reused worker no longer needs back to the system."""
     gc.collect()
@@ -118,6 +129,7 @@ def by_bucket(df: DataFrame, key: str, tasks: int, run: Callable[[pa.Table], pa.
     at = df.columns.index(key)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, bucket = [], None
         for batch in batches:
             keys = np.asarray(batch.column(at))

@@ -122,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, shard: int = SHARD
             row = [[part], [number], [start], [len(flat)], [len(ids)], [pa_ids(ids)], [lengths.tobytes()], [Codes.of(flat).to_bytes()]]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i > 4 else pa.int64()) for i, x in enumerate(row)], [x.split()[0] for x in FILES.split(", ")])
 
-        for batch in batches:
+        for batch in store.slices(batches):
             for doc, text, here in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 part = here
                 ids.append(doc)

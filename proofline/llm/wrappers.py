@@ -571,7 +571,7 @@ def learn(pages: DataFrame) -> DataFrame:
         seen: set[tuple[str, int]] = set()
         task = 0
         made = lambda: pa.RecordBatch.from_pydict({"host": list(known), "task": [task] * len(known), "wrapper": [dump(w) for w in known.values()]}, schema=PARTIAL)
-        for batch in batches:
+        for batch in store.slices(batches):
             for host, h, page, task in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):  # noqa: B007
                 if (host, h) in seen:
                     continue
@@ -609,7 +609,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
         plain = Wrapper(Part("#page"))
-        for batch in batches:
+        for batch in store.slices(batches):
             texts, keep = [], []
             for i, (page, host, data) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
                 if host not in known or data:
