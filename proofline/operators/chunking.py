@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.sizes import short
+
 # Lengths and shares.
 CHUNK, BODY_CHARS, REPEAT_SHARE, REPEAT_COUNT, MARGIN = 1400, 40, 0.5, 3, 0.10
 FOOTNOTE_MARK, FOOTNOTE_TEXT, TITLE_LINES, TITLE_CHARS = 0.6, 0.96, 4, 12
 TEXT_LAYER_CHARS, TRIAGE_PAGES, SCANNED_CHARS, SCANNED_SHARE = 60, 25, 50, 0.6
 HEADING = r"^(\d{1,2}(?:\.\d+){0,4})\.?\s+([A-Z][^.]{2,110})$"
-HEADING_CHARS, DOT_LEADER = 120, r"\.{6,}"
+HEADING_CHARS, HEADING_SCALE, DOT_LEADER = 120, 1.08, r"\.{6,}"
+#: Shapes that may repeat across documents.
+SHAPES = 100_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -34,9 +38,17 @@ def furniture(lines: DataFrame) -> DataFrame:
 
 
 def strip_furniture(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Lines without those at a margin whose shape repeats."""
-    gone = repeated.select("shape").withColumn("gone", F.lit(True))
-    return lines.join(gone, "shape", "left").filter(~(F.col("at_margin") & F.coalesce("gone", F.lit(False)))).drop("gone")
+    """Lines without those at a margin whose shape repeats across documents (``repeated``) or on most pages of their document.
+
+    lines: doc_id, page, shape, at_margin. On most pages: on half of them at least, of three or more. Only lines at a
+    margin with a shape meet other tables; all others stay where they are.
+    """
+    at = F.col("at_margin") & (F.col("shape") != "")
+    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= REPEAT_COUNT)
+    on = lines.filter("shape <> ''").groupBy("doc_id", "shape").agg(F.count_distinct("page").alias("on"))
+    own = on.join(pages, "doc_id").filter(F.col("on") >= REPEAT_SHARE * F.col("pages")).select("doc_id", "shape")
+    margin = lines.filter(at).join(short(repeated.select("shape"), SHAPES), "shape", "left_anti").join(own, ["doc_id", "shape"], "left_anti")
+    return lines.filter(~at | at.isNull()).unionByName(margin.select(*lines.columns))
 
 
 def body_height(lines: DataFrame) -> DataFrame:
@@ -72,6 +84,11 @@ def is_heading(line: Column) -> Column:
     return line.rlike(HEADING) & (F.length(line) <= HEADING_CHARS) & ~line.rlike(DOT_LEADER)
 
 
+def heading_type(bold: Column, height: Column, body: Column) -> Column:
+    """Whether a line is set as a heading: in bold or, where that isn't known, taller than running text."""
+    return F.coalesce(bold, height >= HEADING_SCALE * body, F.lit(False))
+
+
 def with_sections(lines: DataFrame, heading: Column) -> DataFrame:
     """Adds section: how many headings stand at or before a line; 0 is the preamble."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -19,7 +19,7 @@ IDENTIFIERS = (
 )
 TOKEN = "[a-z0-9]+"
 #: Queries of a batch that are compared with every row.
-MOST = 1000
+MOST, MOST_TERMS = 1000, 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -41,28 +41,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).filter(F.length("term") > 1)
 
 
-def bm25(index: DataFrame, queries: DataFrame, key: str = "doc_id", k: int = CANDIDATES) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", k: int = CANDIDATES) -> DataFrame:
     """query_id, key, score, rank0: the k best chunks of any query word; higher is better, ties by key.
 
-    Only postings of wanted terms are scored; sizes and counts of the collection come from the index.
+    For a batch of at most ``MOST`` queries, whose words go to every task. Chunks are read twice, for counts of the
+    collection and for scores; only words that are wanted leave their row. Chunks without words don't count.
     """
-    size = index.groupBy(key).agg(F.sum("tf").alias("len"))
-    whole = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    terms = query_terms(queries)
-    wanted = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi") if _short(queries) else index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    terms = short(query_terms(short(queries, MOST)), MOST_TERMS)
+    wanted = F.array(*[F.lit(t) for (t,) in terms.select("term").distinct().orderBy("term").collect()]).cast("array<string>")
+    rows = chunks.select(key, tokens(F.col("text")).alias("all")).filter(F.size("all") > 0)
+    rows = rows.select(key, F.size("all").alias("len"), F.filter("all", lambda x: F.array_contains(wanted, x)).alias("own"))
+    # one row of counts for each wanted word, and one (null) for the collection
+    each = rows.select("len", F.explode(F.array_append(F.array_distinct("own"), F.lit(None).cast("string"))).alias("term"))
+    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("words"))
+    counts = short(counts, MOST_TERMS + 1)
+    whole = counts.filter("term is null").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avg_len"))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    rows = wanted.join(df, "term").join(size, key).join(F.broadcast(whole)).select("term", key, part.alias("part"))
-    scored = terms.join(rows, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    weights = terms.join(counts.filter("term is not null"), "term").join(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "avg_len")
+    tf = rows.select(key, "len", F.explode("own").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, key, k)
 
 
-def _short(queries: DataFrame) -> bool:
-    """Whether a batch of queries is small enough to send its words to every task."""
-    return queries.limit(MOST + 1).count() <= MOST
-
-
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
     """The k best of each query with a rank from 0; ties go to the smaller key."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
@@ -98,10 +99,11 @@ def bare_id(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def identifier_hits(chunks: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """query_id, key, n_ids: how many of a query's identifiers a chunk holds, letters and digits alone compared."""
-    wanted = queries.select("query_id", F.explode(identifiers(F.col("query"))).alias("wanted")).withColumn("wanted", bare_id(F.col("wanted"))).distinct()
-    hits = chunks.withColumn("bare", bare_id(F.col("text"))).join(short(wanted, MOST), F.expr("contains(bare, wanted)"))
+def identifier_hits(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", own: Column | None = None) -> DataFrame:
+    """query_id, key, n_ids: how many of a query's identifiers a chunk holds or, with ``own``, is named by; letters and digits alone compared."""
+    wanted = queries.select("query_id", F.explode(identifiers(F.col("query"))).alias("wanted")).withColumn("wanted", bare_id(F.col("wanted"))).filter("wanted <> ''").distinct()
+    rows = chunks.select(key, bare_id(F.col("text")).alias("bare"), bare_id(own if own is not None else F.lit("")).alias("own"))
+    hits = rows.join(short(wanted, MOST), F.expr("contains(bare, wanted) or own = wanted"))
     return hits.groupBy("query_id", key).agg(F.count("*").alias("n_ids"))
 
 
@@ -117,27 +119,30 @@ def fuse(keyword: DataFrame, vector: DataFrame, named: DataFrame, key: str, k: i
 
 
 def references(texts: DataFrame, docs: DataFrame, pattern: str) -> DataFrame:
-    """from_id, to_doc, section: pointers in a text to sections of known documents.
+    """from_id, to_doc, section, at: pointers in a text to sections of known documents, in order of their first mention.
 
     pattern has a group for the document and one for the list of sections.
     """
     spans = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-    rows = texts.select(F.col("doc_id").alias("from_id"), F.explode(spans).alias("span"))
-    rows = rows.select("from_id", F.regexp_extract("span", pattern, 1).alias("to_doc"), F.explode(F.regexp_extract_all(F.regexp_extract("span", pattern, 2), F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))).alias("section"))
-    return rows.distinct().join(docs.select(F.col("name").alias("to_doc")).distinct(), "to_doc", "left_semi")
+    rows = texts.select(F.col("doc_id").alias("from_id"), F.posexplode(spans).alias("i", "span"))
+    listed = F.regexp_extract_all(F.regexp_extract("span", pattern, 2), F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))
+    rows = rows.select("from_id", "i", F.regexp_extract("span", pattern, 1).alias("to_doc"), F.posexplode(listed).alias("j", "section"))
+    first = rows.groupBy("from_id", "to_doc", "section").agg(F.min(F.struct("i", "j")).alias("at"))
+    return first.join(docs.select(F.col("name").alias("to_doc")).distinct(), "to_doc", "left_semi").select("from_id", "to_doc", "section", "at")
 
 
 def hop(hits: DataFrame, refs: DataFrame, chunks: DataFrame, limit: int = MAX_SECTIONS) -> DataFrame:
-    """query_id, to_doc, section, chunk: chunks of sections that a query's hits point at, unseen ones, of at most 3 sections.
+    """query_id, to_doc, section, chunk: chunks of the sections that a query's hits point at, of at most 3 sections.
 
-    hits: query_id, doc_id, nth; refs: from_id, to_doc, section; chunks: to_doc, section, chunk.
-    A section counts only if it has chunks; its order is that of the best hit that names it.
+    hits: query_id, doc_id, section, nth; refs: from_id, to_doc, section, at; chunks: to_doc, section, chunk.
+    Sections come in the order in which the hits, best first, mention them. One that is a hit itself, or
+    that has no chunks, isn't followed and doesn't count; other sections of a document that was hit are followed.
     """
-    named = hits.join(refs, hits["doc_id"] == refs["from_id"]).groupBy("query_id", "to_doc", "section").agg(F.min("nth").alias("nth"))
-    there = named.join(chunks.select("to_doc", "section").distinct(), ["to_doc", "section"], "left_semi")
-    seen = hits.select("query_id", F.col("doc_id").alias("to_doc"))
-    fresh = there.join(seen, ["query_id", "to_doc"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("nth", "to_doc", "section"))
+    named = hits.select("query_id", "doc_id", "nth").join(refs, F.col("doc_id") == F.col("from_id"))
+    first = named.groupBy("query_id", "to_doc", "section").agg(F.min(F.struct("nth", "at")).alias("first"))
+    seen = hits.select("query_id", F.col("doc_id").alias("to_doc"), "section").distinct()
+    fresh = first.join(seen, ["query_id", "to_doc", "section"], "left_anti").join(chunks.select("to_doc", "section").distinct(), ["to_doc", "section"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "to_doc", "section"))
     kept = fresh.withColumn("place", nth).filter(F.col("place") <= limit)
     return kept.join(chunks, ["to_doc", "section"]).select("query_id", "to_doc", "section", "chunk")
 

@@ -18,19 +18,44 @@ def gate_failures(results: DataFrame, gates: DataFrame) -> DataFrame:
     A key that ends in _max is an upper limit; a boolean must be the same; a float is a lower
     limit; other whole numbers must be equal; a missing measurement fails.
     """
-    tried = results.select("task", "model").distinct().join(gates, "task")
-    both = tried.join(results, ["task", "model", "key"], "left")
-    have, want = F.col("have"), F.col("want")
-    fine = (
-        F.when(F.col("key").endswith("_max"), have <= want)
-        .when(F.col("kind") == "bool", have == want)
-        .when(F.col("key").isin(*AT_MOST), have <= want)
-        .when(F.col("kind") == "float", have >= want)
-        .otherwise(have == want)
+    each = F.collect_list(F.struct("ord", "key", "kind", "want"))
+    lists = gates.groupBy("task").agg(F.array_sort(each).alias("gates"))
+    have = results.groupBy("task", "model").agg(F.map_from_entries(F.collect_list(F.struct("key", "have"))).alias("have"))
+    return have.join(lists, "task").withColumn("first", first_failure(F.col("gates"), F.col("have"))).filter("first is not null").select("task", "model", "first.key", "first.why")
+
+
+def first_failure(gates: Column, have: Column) -> Column:
+    """(key, why) of the first of some ordered gates that a map of measurements fails; null if it passes."""
+
+    def why(g: Column) -> Column:
+        got, want = F.try_element_at(have, g["key"]), g["want"]
+        fine = (
+            F.when(g["key"].endswith("_max"), got <= want)
+            .when(g["kind"] == "bool", got == want)
+            .when(g["key"].isin(*AT_MOST), got <= want)
+            .when(g["kind"] == "float", got >= want)
+            .otherwise(got == want)
+        )
+        return F.when(got.isNull(), "not measured").when(~fine, "fails")
+
+    failed = F.filter(F.transform(gates, lambda g: F.struct(g["key"].alias("key"), why(g).alias("why"))), lambda x: x["why"].isNotNull())
+    return F.get(failed, F.lit(0))
+
+
+def ladder(needs: Column, has: Column, tested: Column, qualified: Column, gate: Column, size: Column, room: Column, runs: Column) -> Column:
+    """Why a candidate isn't eligible, by the first rung it misses; null if it is.
+
+    Rungs: capabilities, a test at all, a run test, the safety gate, memory, availability.
+    """
+    lacks = F.array_join(F.array_sort(F.array_except(needs, has)), ", ")
+    return (
+        F.when(lacks != "", F.concat(F.lit("cannot: lacks "), lacks))
+        .when(~tested, "not qualified: never tested for this task")
+        .when(qualified == F.lit(False), "not qualified: a candidate, but no qualification test has been run")
+        .when(gate.isNotNull(), F.concat(F.lit("failed the safety gate: "), gate))
+        .when(size > room, F.concat(F.lit("does not fit: needs "), size, F.lit(" GB, "), room, F.lit(" GB available")))
+        .when(~F.coalesce(runs, F.lit(False)), "qualified, but not available on this machine")
     )
-    why = F.when(have.isNull(), "not measured").when(~fine, "fails")
-    failed = both.withColumn("why", why).filter("why is not null")
-    return failed.groupBy("task", "model").agg(F.min(F.struct("ord", "key", "why")).alias("first")).select("task", "model", "first.key", "first.why")
 
 
 def ranked(candidates: DataFrame, by: str, order: list[Column]) -> DataFrame:
@@ -40,10 +65,10 @@ def ranked(candidates: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
 def choose(candidates: DataFrame, by: str, name: str, order: list[Column]) -> DataFrame:
     """by, chosen, runner_up, n_eligible from candidates with ``reason`` (null: eligible); no eligible one gives null."""
-    eligible = ranked(candidates.filter("reason is null"), by, order).filter("rank <= 2")
-    best = eligible.groupBy(by).agg(F.max(F.when(F.col("rank") == 1, F.col(name))).alias("chosen"), F.max(F.when(F.col("rank") == 2, F.col(name))).alias("runner_up"))
-    n = candidates.groupBy(by).agg(F.count_if(F.col("reason").isNull()).alias("n_eligible"))
-    return n.join(best, by, "left").select(by, "chosen", "runner_up", "n_eligible")
+    fine = F.col("reason").isNull()
+    nth = F.when(fine, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(fine), *order)))
+    place = lambda n: F.max(F.when(F.col("nth") == n, F.col(name)))
+    return candidates.withColumn("nth", nth).groupBy(by).agg(place(1).alias("chosen"), place(2).alias("runner_up"), F.count_if(fine).alias("n_eligible"))
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], default: str) -> Column:

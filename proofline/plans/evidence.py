@@ -208,12 +208,11 @@ def measured(spark: Spark, d: str) -> DataFrame:
 
 
 def gate_of(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
-    m = measured(spark, d)
-    have = lambda k, c: m.select("task", "model", F.lit(k).alias("key"), c.cast("double").alias("have"))
-    results = have("balance", F.col("bal")).unionByName(have("orders_max", F.col("n"))).unionByName(have("parity", F.col("id") % 2).filter(F.col("have") < 2))
-    results = results.filter("not (key = 'parity' and model like '%7')")
+    have = lambda k, c: F.struct(F.lit(k).alias("key"), c.cast("double").alias("have"))
+    each = F.array(have("balance", F.col("bal")), have("orders_max", F.col("n")), have("parity", F.col("id") % 2))
+    results = measured(spark, d).select("task", "model", F.inline(each)).filter("not (key = 'parity' and model like '%7')")
     gates = spark.createDataFrame([("balance", 0, "float", 0.0), ("orders_max", 1, "int", 610.0), ("parity", 2, "int", 1.0)], "key string, ord int, kind string, want double")
-    return results, m.select("task").distinct().join(F.broadcast(gates))
+    return results, table(spark, d, "nation").select(F.col("n_name").alias("task")).join(F.broadcast(gates))
 
 
 GATE = f"""{RESULTS}, g AS (SELECT task, model, CASE WHEN NOT bal >= 0 THEN 'balance' WHEN n > 610 THEN 'orders_max' WHEN model LIKE '%7' OR id % 2 <> 1 THEN 'parity' END AS key,
@@ -228,9 +227,30 @@ def gate_results(spark: Spark, d: str) -> DataFrame:
 @query(f"""WITH {GATE}, r AS (SELECT *, CASE WHEN key IS NULL THEN row_number() OVER (PARTITION BY task, key IS NULL ORDER BY bal DESC NULLS LAST, model) END AS nth FROM g)
     SELECT task, max(CASE WHEN nth = 1 THEN model END) AS chosen, max(CASE WHEN nth = 2 THEN model END) AS runner_up, count(*) FILTER (key IS NULL) AS n_eligible FROM r GROUP BY task""")
 def gate_rank_choose(spark: Spark, d: str) -> DataFrame:
-    failed = selection.gate_failures(*gate_of(spark, d)).select("task", "model", F.col("key").alias("reason"))
-    candidates = measured(spark, d).join(failed, ["task", "model"], "left")
-    return selection.choose(candidates, "task", "model", [F.desc_nulls_last("bal"), F.col("model")])
+    _, gates = gate_of(spark, d)
+    lists = gates.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "kind", "want"))).alias("gates"))
+    parity = F.when(~F.col("model").like("%7"), (F.col("id") % 2).cast("double"))
+    have = F.create_map(F.lit("balance"), F.col("bal").cast("double"), F.lit("orders_max"), F.col("n").cast("double"), F.lit("parity"), parity)
+    rows = measured(spark, d).join(F.broadcast(lists), "task").withColumn("reason", selection.first_failure(F.col("gates"), have)["key"])
+    return selection.choose(rows, "task", "model", [F.desc_nulls_last("bal"), F.col("model")])
+
+
+LADDER = """c AS (SELECT n_name AS task, s_name AS model, s_suppkey AS id, s_acctbal AS bal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    w AS (SELECT *, CASE WHEN id % 11 = 0 THEN 'cannot: lacks tools, vision' WHEN id % 7 = 0 THEN 'cannot: lacks vision' WHEN id % 5 = 0 THEN 'not qualified: never tested for this task' WHEN id % 13 = 0 THEN 'not qualified: a candidate, but no qualification test has been run'
+        WHEN bal < 0 THEN 'failed the safety gate: balance fails' WHEN id % 9 > 6 THEN 'does not fit: needs ' || (id % 9) || ' GB, 6 GB available' WHEN id % 3 = 0 THEN 'qualified, but not available on this machine' END AS reason FROM c)"""
+
+
+@query(f"WITH {LADDER} SELECT task, model, reason FROM w")
+def candidate_reasons(spark: Spark, d: str) -> DataFrame:
+    """Why each candidate is out, by the first rung of the ladder that it misses."""
+    i = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    has = F.when(i % 11 == 0, F.array(F.lit("text"))).when(i % 7 == 0, F.array(F.lit("text"), F.lit("tools"))).otherwise(F.array(F.lit("text"), F.lit("tools"), F.lit("vision")))
+    gates = F.array(F.struct(F.lit("balance").alias("key"), F.lit("float").alias("kind"), F.lit(0.0).alias("want")))
+    first = selection.first_failure(gates, F.create_map(F.lit("balance"), F.col("s_acctbal").cast("double")))
+    gate = F.concat_ws(" ", first["key"], first["why"])
+    reason = selection.ladder(F.array(F.lit("tools"), F.lit("vision")), has, i % 5 != 0, i % 13 != 0, F.when(first.isNotNull(), gate), i % 9, F.lit(6), i % 3 != 0)
+    return rows.select(F.col("n_name").alias("task"), F.col("s_name").alias("model"), reason.alias("reason"))
 
 
 RULE_LIST = [(r"\b(the|of)\b.*\bcode\b|\bscript\b", "code"), (r"\bnote for\b|\bsummary\b", "write_summary"), (r"\bthe\b", "english"), (r"\b(der|die|und)\b", "german")]
@@ -287,12 +307,12 @@ def precision_outliers(spark: Spark, d: str) -> DataFrame:
     return found.select("supp", "l_orderkey", "value", "decimals", "usual")
 
 
-@query("""WITH c AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN ' ' || o_totalprice || ' ' WHEN 1 THEN '1e3' WHEN 2 THEN CAST(CAST(o_totalprice AS DECIMAL(18,1)) AS VARCHAR) || ' mm' WHEN 3 THEN '-' || o_orderkey ELSE replace(CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS VARCHAR), '.', ',') END AS raw FROM orders WHERE o_orderkey % 5 <> 0)
+@query("""WITH c AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN ' ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || ' ' WHEN 1 THEN '1e3' WHEN 2 THEN CAST(CAST(o_totalprice AS DECIMAL(18,1)) AS VARCHAR) || ' mm' WHEN 3 THEN '-' || o_orderkey ELSE replace(CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS VARCHAR), '.', ',') END AS raw FROM orders)
     SELECT doc_id, raw, CASE WHEN regexp_full_match(raw, '\\s*-?[0-9]+([.][0-9]+)?\\s*') THEN CAST(trim(raw) AS DOUBLE) END AS number FROM c""")
 def exact_number(spark: Spark, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey % 5 <> 0")
+    o = table(spark, d, "orders")
     m, price = F.col("o_orderkey") % 5, lambda n: F.col("o_totalprice").cast(f"decimal(18,{n})").cast("string")
-    raw = F.when(m == 1, "1e3").when(m == 2, F.concat(price(1), F.lit(" mm"))).when(m == 3, F.concat(F.lit("-"), "o_orderkey")).otherwise(F.replace(price(3), F.lit("."), F.lit(",")))
+    raw = F.when(m == 0, F.concat(F.lit(" "), price(2), F.lit(" "))).when(m == 1, "1e3").when(m == 2, F.concat(price(1), F.lit(" mm"))).when(m == 3, F.concat(F.lit("-"), "o_orderkey")).otherwise(F.replace(price(3), F.lit("."), F.lit(",")))
     rows = o.select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw"))
     return rows.withColumn("number", X.exact(F.col("raw")).cast("double"))
 

@@ -22,8 +22,8 @@ BM25 = f"""q(query_id, query) AS (VALUES {VALUES}), tok AS (SELECT doc_id, unnes
 COSINE = """cos AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INTEGER) AS rank0 FROM
     (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2, 3, 4))) WHERE rank0 < 50)"""
 IDS = r"""idh AS (SELECT query_id, doc_id, count(*) AS n_ids FROM (SELECT DISTINCT query_id, regexp_replace(lower(unnest(list_concat(regexp_extract_all(query, '\b[A-Z]{2,}(?:-[A-Z0-9]+)+(?:\s+(?:Cl|Sec|Part|Div)\.?\s*[0-9IVX]+(?:\.\d+)*)*'),
-    regexp_extract_all(query, '\b[A-Z]{2,}\s+\d+[A-Z]?(?:\s+(?:Cl|Sec|Part|Div)\.?\s*[0-9IVX]+(?:\.\d+)*)+')))), '[^a-z0-9]', '', 'g') AS wanted FROM iq) w, documents WHERE contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), wanted) GROUP BY 1, 2)"""
-ID_QUESTIONS = [(1, "what is TH-E"), (2, "see AN-D and RE-A"), (3, "none"), (4, "ISO 9001 Cl. 4.2")]
+    regexp_extract_all(query, '\b[A-Z]{2,}\s+\d+[A-Z]?(?:\s+(?:Cl|Sec|Part|Div)\.?\s*[0-9IVX]+(?:\.\d+)*)+')))), '[^a-z0-9]', '', 'g') AS wanted FROM iq) w, documents WHERE contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), wanted) OR wanted = 'doc' || doc_id GROUP BY 1, 2)"""
+ID_QUESTIONS = [(1, "what is TH-E"), (2, "see AN-D and RE-A"), (3, "what DOC-17 and DOC-4 say"), (4, "ISO 9001 Cl. 4.2")]
 ID_VALUES = "iq(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ID_QUESTIONS) + ")"
 
 
@@ -46,7 +46,7 @@ def vocabulary(spark: Spark, d: str) -> DataFrame:
 
 
 def keyword(spark: Spark, d: str) -> DataFrame:
-    return R.bm25(R.postings(docs(spark, d)), questions(spark))
+    return R.bm25(docs(spark, d), questions(spark))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank0 FROM bm")
@@ -72,7 +72,7 @@ def unit_vectors(spark: Spark, d: str) -> DataFrame:
 
 @query(f"WITH {ID_VALUES}, {IDS} SELECT query_id, doc_id, n_ids FROM idh")
 def identifier_hits(spark: Spark, d: str) -> DataFrame:
-    return R.identifier_hits(docs(spark, d), questions(spark, ID_QUESTIONS))
+    return R.identifier_hits(docs(spark, d), questions(spark, ID_QUESTIONS), own=F.concat(F.lit("DOC-"), "doc_id"))
 
 
 FUSED = f"""{BM25}, {COSINE}, {ID_VALUES}, {IDS}, f AS (SELECT query_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + b.rank0), 0) + coalesce(1.0::DOUBLE / (60 + c.rank0), 0) + 2.0::DOUBLE / 60 * coalesce(n_ids, 0), 9) AS score
@@ -83,7 +83,7 @@ FUSED = f"""{BM25}, {COSINE}, {ID_VALUES}, {IDS}, f AS (SELECT query_id, doc_id,
 def fused(spark: Spark, d: str) -> DataFrame:
     long = lambda df: df.withColumn("query_id", F.col("query_id").cast("long"))
     vectors = vector(spark, d).withColumnRenamed("vec_id", "doc_id")
-    return R.fuse(long(keyword(spark, d)), vectors, long(R.identifier_hits(docs(spark, d), questions(spark, ID_QUESTIONS))), "doc_id")
+    return R.fuse(long(keyword(spark, d)), vectors, long(R.identifier_hits(docs(spark, d), questions(spark, ID_QUESTIONS), own=F.concat(F.lit("DOC-"), "doc_id"))), "doc_id")
 
 
 @query(f"WITH {FUSED} SELECT query_id, doc_id, score, nth FROM fused")
@@ -92,9 +92,11 @@ def rrf_fusion(spark: Spark, d: str) -> DataFrame:
 
 
 POINTERS = "ptr AS (SELECT doc_id, 'as DOC-' || ((doc_id * 7) % 300) || ' sections ' || (doc_id % 3 + 1) || ', ' || (doc_id % 5 + 1) || '.2 and 9 say; DOC-99999 section 1' AS text FROM documents)"
+#: Fixed value: how a text points at sections of a document.
 PATTERN = r"(DOC-\d+)\s+sections?\s+(\d+(?:\.\d+)*(?:\s*(?:,|and)\s*\d+(?:\.\d+)*)*)"
-REFS = f"""{POINTERS}, refs AS (SELECT DISTINCT from_id, to_doc, section FROM (SELECT from_id, regexp_extract(span, '{PATTERN}', 1) AS to_doc, unnest(regexp_extract_all(regexp_extract(span, '{PATTERN}', 2), '\\d+(?:\\.\\d+)*')) AS section
-    FROM (SELECT doc_id AS from_id, unnest(regexp_extract_all(text, '{PATTERN}')) AS span FROM ptr)) WHERE to_doc IN (SELECT 'DOC-' || doc_id FROM documents))"""
+# the twin builds pointers from the numbers that went into the texts, not by the pattern
+REFS = f"""{POINTERS}, named AS (SELECT doc_id AS from_id, 'DOC-' || ((doc_id * 7) % 300) AS to_doc, unnest([CAST(doc_id % 3 + 1 AS VARCHAR), (doc_id % 5 + 1) || '.2', '9']) AS section, unnest([0, 1, 2]) AS j FROM documents),
+    refs AS (SELECT * FROM named WHERE to_doc IN (SELECT 'DOC-' || doc_id FROM documents))"""
 
 
 def pointers(spark: Spark, d: str) -> DataFrame:
@@ -106,18 +108,20 @@ def pointers(spark: Spark, d: str) -> DataFrame:
 
 @query(f"WITH {REFS} SELECT from_id, to_doc, section FROM refs")
 def cross_references(spark: Spark, d: str) -> DataFrame:
-    return pointers(spark, d)
+    return pointers(spark, d).select("from_id", "to_doc", "section")
 
 
 @query(f"""WITH {FUSED}, {REFS}, ch AS (SELECT 'DOC-' || doc_id AS to_doc, CAST(s AS VARCHAR) AS section, doc_id * 10 + s AS chunk FROM documents, (VALUES (1), (2), (9)) v(s)),
-    nm AS (SELECT query_id, to_doc, section, min(nth) AS nth FROM fused JOIN refs ON doc_id = from_id GROUP BY 1, 2, 3),
-    pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nth, to_doc, section) AS place FROM nm WHERE (to_doc, section) IN (SELECT to_doc, section FROM ch) AND (query_id, to_doc) NOT IN (SELECT query_id, 'DOC-' || doc_id FROM fused))
+    hit AS (SELECT *, CAST(doc_id % 3 + 1 AS VARCHAR) AS sec FROM fused),
+    nm AS (SELECT query_id, to_doc, section, min((nth, j)) AS first FROM hit JOIN refs ON doc_id = from_id GROUP BY 1, 2, 3),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, to_doc, section) AS place FROM nm WHERE (to_doc, section) IN (SELECT to_doc, section FROM ch) AND (query_id, to_doc, section) NOT IN (SELECT query_id, 'DOC-' || doc_id, sec FROM hit))
     SELECT query_id, to_doc, section, chunk FROM pl JOIN ch USING (to_doc, section) WHERE place <= 3""")
 def reference_hop(spark: Spark, d: str) -> DataFrame:
     s = F.explode(F.array(*map(F.lit, (1, 2, 9))))
     chunks = docs(spark, d).select("doc_id", s.alias("s")).select(F.concat(F.lit("DOC-"), "doc_id").alias("to_doc"), F.col("s").cast("string").alias("section"), (F.col("doc_id") * 10 + F.col("s")).alias("chunk"))
     hits = fused(spark, d)
     named = pointers(spark, d).withColumn("from_id", F.concat(F.lit("DOC-"), "from_id"))
+    hits = hits.withColumn("section", (F.col("doc_id") % 3 + 1).cast("string"))
     return R.hop(hits.withColumn("doc_id", F.concat(F.lit("DOC-"), "doc_id")), named, chunks)
 
 

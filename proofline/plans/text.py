@@ -12,7 +12,6 @@ from proofline.sources.tables import table
 Spark = SparkSession
 LINES = "lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 SHAPE = "lower(regexp_replace(replace(line, CAST(doc_id AS VARCHAR), ''), '[0-9\\s]', '', 'g'))"
-HEADING = "regexp_matches(line, '^[A-Z][^.]{2,60}[.]?$')"
 
 
 def lines(spark: Spark, d: str) -> DataFrame:
@@ -41,12 +40,13 @@ def furniture(spark: Spark, d: str) -> DataFrame:
     return chunking.furniture(o.withColumn("shape", F.concat(F.lower(F.regexp_replace("line", r"[\d\s]", "")), tail)))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, line, {SHAPE} AS shape FROM lines), r AS (SELECT shape FROM s WHERE {EDGE} AND shape <> '' GROUP BY shape HAVING count(DISTINCT doc_id) >= 3)
-    SELECT doc_id, count(*) AS kept FROM s WHERE NOT ({EDGE} AND shape IN (SELECT shape FROM r)) GROUP BY doc_id""")
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, pos // 4 AS page, {SHAPE} AS shape, {EDGE} AS edge FROM lines),
+    r AS (SELECT shape FROM s WHERE edge AND shape <> '' GROUP BY shape HAVING count(DISTINCT doc_id) >= 3 AND 2 * count(DISTINCT doc_id) >= (SELECT count(DISTINCT doc_id) FROM s)),
+    n AS (SELECT doc_id, count(DISTINCT page) AS n FROM s GROUP BY doc_id), o AS (SELECT doc_id, shape FROM s JOIN n USING (doc_id) WHERE shape <> '' GROUP BY doc_id, shape, n HAVING n >= 3 AND 2 * count(DISTINCT page) >= n)
+    SELECT doc_id, count(*) AS kept FROM s WHERE NOT (edge AND shape <> '' AND (shape IN (SELECT shape FROM r) OR (doc_id, shape) IN (SELECT doc_id, shape FROM o))) GROUP BY doc_id""")
 def furniture_removed(spark: Spark, d: str) -> DataFrame:
-    rows = shaped(spark, d).withColumn("at_margin", F.expr(EDGE))
-    repeated = rows.filter("at_margin and shape <> ''").groupBy("shape").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 3")
-    return chunking.strip_furniture(rows, repeated).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    rows = shaped(spark, d).withColumn("at_margin", F.expr(EDGE)).withColumn("page", F.floor(F.col("pos") / 4))
+    return chunking.strip_furniture(rows, chunking.furniture(rows)).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, median(CASE WHEN length(line) >= 40 THEN CAST(9 + length(line) % 4 AS DOUBLE) END) AS body FROM lines GROUP BY doc_id")
@@ -83,16 +83,34 @@ def footnote_sections(spark: Spark, d: str) -> DataFrame:
     return chunking.footnotes(noted(spark, d).filter("footnote")).select("doc_id", "pos", "line")
 
 
-@query(f"WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(CASE WHEN {HEADING} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS section FROM lines")
+NUMBERED = """nl AS (SELECT doc_id, pos, CASE pos % 6 WHEN 0 THEN (pos // 6 + 1) || '. Scope of part ' || chr(CAST(97 + pos % 20 AS INTEGER)) WHEN 1 THEN (pos // 6 + 1) || '.1 Terms ........ 4' WHEN 2 THEN '2.1 lower case' WHEN 3 THEN '7 Records of the works' ELSE line END AS line,
+    CASE pos % 4 WHEN 0 THEN true WHEN 1 THEN false END AS bold, CASE WHEN pos % 5 = 0 THEN 9.0 ELSE 11.0 END AS height FROM lines)"""
+
+
+@query(f"""WITH {LINES}, {NUMBERED} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(CASE WHEN (pos % 6 IN (0, 3)) AND coalesce(bold, height >= 10.8) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS section FROM nl""")
 def section_ordinal(spark: Spark, d: str) -> DataFrame:
-    return chunking.with_sections(lines(spark, d), F.col("line").rlike("^[A-Z][^.]{2,60}[.]?$")).select("doc_id", "pos", "section")
+    """Numbered lines set as headings, among contents entries and numbers that begin no heading."""
+    p = F.col("pos")
+    nth = F.floor(p / 6) + 1
+    line = (
+        F.when(p % 6 == 0, F.concat(nth, F.lit(". Scope of part "), F.char(97 + p % 20)))
+        .when(p % 6 == 1, F.concat(nth, F.lit(".1 Terms ........ 4")))
+        .when(p % 6 == 2, "2.1 lower case")
+        .when(p % 6 == 3, "7 Records of the works")
+        .otherwise(F.col("line"))
+    )
+    rows = lines(spark, d).withColumn("line", line).withColumns({"bold": F.when(p % 4 == 0, True).when(p % 4 == 1, False), "height": F.when(p % 5 == 0, 9.0).otherwise(11.0)})
+    heading = chunking.is_heading(F.col("line")) & chunking.heading_type(F.col("bold"), F.col("height"), F.lit(10.0))
+    return chunking.with_sections(rows, heading).select("doc_id", "pos", "section")
 
 
-@query("""WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+CHUNKS = """p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
     c AS (SELECT doc_id, 1 AS i, 0 AS chunk, length(l[1]) + 1 AS size, l FROM p
         UNION ALL SELECT doc_id, i + 1, CASE WHEN size + length(l[i + 1]) > 1400 THEN chunk + 1 ELSE chunk END, CASE WHEN size + length(l[i + 1]) > 1400 THEN 0 ELSE size END + length(l[i + 1]) + 1, l FROM c WHERE i < len(l)),
-    t AS (SELECT doc_id, chunk, string_agg(l[i], chr(10) ORDER BY i) AS text FROM c GROUP BY doc_id, chunk)
-    SELECT doc_id, chunk, sha256(text) AS sha256 FROM t WHERE text <> ''""")
+    t AS (SELECT doc_id, chunk, string_agg(l[i], chr(10) ORDER BY i) AS text FROM c GROUP BY doc_id, chunk)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, sha256(text) AS sha256 FROM t WHERE text <> ''")
 def chunks(spark: Spark, d: str) -> DataFrame:
     return chunking.chunks(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk", F.sha2("text", 256).alias("sha256"))
 
@@ -184,6 +202,6 @@ def connection_scope(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(checks.scope(address).alias("scope")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, count(*) AS n FROM t WHERE text <> '' GROUP BY doc_id")
 def chunk_counts(spark: Spark, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return chunking.chunks(table(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"))
