@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.exact import HYPHENS, NUMBERS
+from proofline.functions.exact import HYPHENS, NUMBERS, names_token
 from proofline.functions.sizes import short
 
 # What leaves a house only by mistake, what is never said, and number words.
@@ -24,6 +27,11 @@ BREACH = (
 )
 WRONG_UNIT = r"(?i)\d+(?:\.\d+)?\s*(?:inch(?:es)?|in\.|cm|\")"
 WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
+MINIMUM = r"(?i)\b(?:min(?:imum|\.)?(?!\s+(?:\w+\s+)?(?:measured|recorded|observed|reading))|required|allowable)\b[^.\d]{0,25}?(\d+\.\d+)"
+MEASURED = r"(?i)\b(?:current\w*|measured|measuring|measures|reading of)\b[^.\d]{0,25}?(\d+\.\d+)"
+DONE = r"(?i)\bI(?:'ve| have)\s+(?:already\s+)?(?:read|drafted|written|checked|reviewed|run|sent|emailed|approved|inspected|searched)\b"
+PROPER, END_LETTERS, QUOTE = r"\b[A-Z][A-Za-z]+\b", 4, r'["“]([^"”]{4,})["”]'
+REPLY_WORDS, ANSWER_WORDS = 90, 150
 COUNTED = r"(?i)\b(\d+)\s+(critical|major|minor|observation)s?\b"
 
 
@@ -51,7 +59,7 @@ def url_problem(url: Column) -> Column:
 
 def private_address(host: Column) -> Column:
     """Whether a literal address is loopback, link-local or private."""
-    return host.rlike(r"^(?:10|127)(?:\.\d{1,3}){3}$|^192\.168(?:\.\d{1,3}){2}$|^169\.254(?:\.\d{1,3}){2}$|^172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}$")
+    return host.rlike(rf"^(?:{PRIVATE})$") | host.rlike(r"^169\.254(?:\.\d{1,3}){2}$")
 
 
 def scope(address: Column) -> Column:
@@ -126,6 +134,83 @@ def breach_claims(parts: DataFrame) -> DataFrame:
     return parts.filter(F.col("sentence").rlike(BREACH))
 
 
+def swapped_roles(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, number, said: numbers that a text gives as a minimum though only measured, or as measured though only a minimum.
+
+    values: doc_id, form, minimum (whether that value is a minimum; a number may be listed as both).
+    """
+    known = values.groupBy("doc_id", F.col("form").alias("number")).agg(F.bool_or("minimum").alias("is_min"), F.bool_or(~F.col("minimum")).alias("is_measured"))
+    text = plain(F.col("text"))
+    told = lambda p, name: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.struct(x.alias("number"), F.lit(name).alias("said")))
+    said = texts.select("doc_id", F.explode(F.concat(told(MINIMUM, "minimum"), told(MEASURED, "measured"))).alias("s")).select("doc_id", "s.*").distinct()
+    wrong = F.when(F.col("said") == "minimum", F.col("is_measured") & ~F.col("is_min")).otherwise(F.col("is_min") & ~F.col("is_measured"))
+    return said.join(known, ["doc_id", "number"]).filter(wrong).select("doc_id", "number", "said")
+
+
+def breach_problems(texts: DataFrame, readings: DataFrame) -> DataFrame:
+    """doc_id, problem: what a text says of breaches against the readings' own.
+
+    readings: doc_id, cml_id, location, breached. A breach that isn't mentioned; a sentence that claims one for a
+    reading that has none; one that names no reading where the document has no breach at all.
+    """
+    per = readings.groupBy("doc_id").agg(F.collect_set(F.struct("cml_id", "location", F.coalesce("breached", F.lit(False)).alias("breached"))).alias("all"))
+    rows = texts.select("doc_id", plain(F.col("text")).alias("text")).join(per, "doc_id", "left").withColumn("all", F.coalesce("all", F.array().cast(per.schema["all"].dataType)))
+    missed = F.filter("all", lambda r: r["breached"] & ~F.contains(F.col("text"), r["cml_id"]))
+    silent = rows.select("doc_id", F.explode(F.transform(missed, lambda r: F.concat(F.lit("does not mention "), r["cml_id"]))).alias("problem"))
+    claims = rows.select("doc_id", "all", F.explode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("sentence")).filter(F.col("sentence").rlike(BREACH))
+    about = lambda r: F.contains(F.col("sentence"), r["cml_id"]) | F.contains(F.lower("sentence"), F.lower(r["location"]))
+    named = claims.withColumn("named", F.filter("all", about))
+    wrong = F.array_join(F.array_sort(F.transform(F.filter("named", lambda r: ~r["breached"]), lambda r: r["cml_id"])), ", ")
+    none = (F.size("named") == 0) & ~F.exists("all", lambda r: r["breached"])
+    problem = F.when(wrong != "", F.concat(F.lit("says below minimum: "), wrong)).when(none, "claims a breach that was not found")
+    return silent.unionByName(named.select("doc_id", problem.alias("problem")).filter("problem is not null")).distinct()
+
+
+def reply_problems(text: Column, names: Column, most: int = REPLY_WORDS) -> Column:
+    """What a chat reply must not do: be empty, give a verdict, name own documents (``names``: those found in it), claim work, be too long."""
+    p = plain(F.coalesce(text, F.lit("")))
+    blank = F.trim(p) == ""
+    words = F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
+    found = F.array(
+        F.when(p.rlike(VERDICT), "verdict"),
+        F.when(F.size(names) > 0, F.concat(F.lit("names "), F.array_join(F.array_sort(names), ", "))),
+        F.when(p.rlike(DONE), "claims work"),
+        F.when(words > most, "too long"),
+    )
+    return F.when(blank, F.array(F.lit("empty"))).otherwise(F.array_compact(found))
+
+
+def answer_problems(sentences: DataFrame, passages: DataFrame, known: Column, identifiers: Column, bare: Callable[[Column], Column]) -> DataFrame:
+    """answer_id, nth, problem for each sentence of an answer against the passages that it cites.
+
+    sentences: answer_id, nth, text, sources (labels); passages: answer_id, label, text (with the passage's own name).
+    A sentence must cite passages, and such as the search gave; its identifiers (``identifiers`` of text, compared as
+    ``bare``), capitalised words, numbers and quotes must stand in them. A capitalised word that begins a sentence may
+    be an ordinary one: one of ``known`` (an array column of lower-case words).
+    """
+    rows = sentences.select("answer_id", "nth", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+    cited = rows.select("answer_id", "nth", F.explode("sources").alias("label")).distinct().join(passages.select("answer_id", "label", F.col("text").alias("passage")), ["answer_id", "label"])
+    per = cited.groupBy("answer_id", "nth").agg(F.array_sort(F.collect_set("label")).alias("found"), F.array_join(F.array_sort(F.collect_list("passage")), " ").alias("source"))
+    rows = rows.join(per, ["answer_id", "nth"], "left").withColumn("ids", identifiers)
+    source = F.trim(F.regexp_replace(F.col("source"), r"\s+", " "))
+    unknown = F.array_except("sources", F.coalesce("found", F.array().cast("array<string>")))
+    said = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(f"{kind}: "), x))
+    missing_ids = F.filter("ids", lambda x: ~F.contains(bare(source), bare(x)))
+    rest = F.aggregate(F.col("ids"), F.col("text"), lambda t, x: F.replace(t, x, F.lit(" ")))
+    # (word, what stands before it) of each capitalised word: the text is cut where such words begin
+    pieces = F.split(rest, rf"(?={PROPER})")
+    word = lambda x: F.regexp_extract(x, rf"^({PROPER})", 1)
+    before = lambda i: F.rtrim(F.when(i > 0, F.get(pieces, i - 1)).otherwise(F.lit("")))
+    starts = lambda i: (i == 0) | F.regexp_like(before(i), F.lit(rf"[A-Za-z]{{{END_LETTERS},}}[.!?:;]$"))
+    odd = F.filter(F.transform(pieces, lambda x, i: F.when((word(x) != "") & ~F.contains(F.lower(source), F.lower(word(x))) & ~(starts(i) & F.array_contains(known, F.lower(word(x)))), word(x))), lambda x: x.isNotNull())
+    number = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,/:]\d+)*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    numbers = F.array_except(number(rest), number(source))
+    quotes = F.filter(F.regexp_extract_all("text", F.lit(QUOTE), F.lit(1)), lambda q: ~F.contains(F.lower(source), F.lower(F.trim(q))))
+    checked = F.concat(said("names", F.array_distinct(F.concat(missing_ids, odd))), said("number", numbers), said("quotes", F.array_distinct(quotes)))
+    problems = F.when(F.size("sources") == 0, F.array(F.lit("cites no passage"))).otherwise(F.concat(said("cites", unknown), F.when(F.col("source").isNotNull(), checked).otherwise(F.array().cast("array<string>"))))
+    return rows.select("answer_id", "nth", F.explode(problems).alias("problem")).distinct()
+
+
 def ungrounded(claims: DataFrame, passages: DataFrame) -> DataFrame:
     """claim_id, number: numbers of a claim that none of the passages it cites holds.
 
@@ -137,11 +222,37 @@ def ungrounded(claims: DataFrame, passages: DataFrame) -> DataFrame:
     return said.join(there, ["claim_id", "number"], "left_anti")
 
 
-def plan_problems(steps: DataFrame, kinds: DataFrame, limit: int) -> DataFrame:
-    """plan_id, problem: unknown kinds, missing arguments, repeated steps, too many steps. steps: plan_id, nth, kind, arg; kinds: kind, needs_arg."""
+def plan_problems(steps: DataFrame, kinds: DataFrame, limit: int, parts: DataFrame | None = None, documents: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """plan_id, problem: what is wrong with the steps of a plan.
+
+    steps: plan_id, nth, kind, arg; kinds: kind, needs_arg, takes_doc. Unknown kinds, missing arguments, repeated
+    steps, too many steps. With parts (plan_id, kind: of the request): kinds of steps that no part has, plans without
+    parts. With documents (doc, name) and requests (plan_id, text): documents that aren't listed, or whose name the request
+    doesn't hold as a whole token.
+    """
     joined = steps.join(short(kinds, 10_000), "kind", "left")
-    a = joined.filter("needs_arg is null").select("plan_id", F.concat(F.lit("unknown kind: "), "kind").alias("problem"))
-    b = joined.filter("needs_arg and trim(coalesce(arg, '')) = ''").select("plan_id", F.concat(F.lit("no argument: "), "kind").alias("problem"))
-    c = steps.groupBy("plan_id", "kind", "arg").count().filter("count > 1").select("plan_id", F.concat(F.lit("repeated: "), "kind").alias("problem"))
-    d = steps.groupBy("plan_id").count().filter(F.col("count") > limit).select("plan_id", F.lit("too many steps").alias("problem"))
-    return a.unionByName(b).unionByName(c).unionByName(d).distinct()
+    found = [
+        joined.filter("needs_arg is null").select("plan_id", F.concat(F.lit("unknown kind: "), "kind").alias("problem")),
+        joined.filter("needs_arg and trim(coalesce(arg, '')) = ''").select("plan_id", F.concat(F.lit("no argument: "), "kind").alias("problem")),
+        steps.groupBy("plan_id", "kind", "arg").count().filter("count > 1").select("plan_id", F.concat(F.lit("repeated: "), "kind").alias("problem")),
+        steps.groupBy("plan_id").count().filter(F.col("count") > limit).select("plan_id", F.lit("too many steps").alias("problem")),
+    ]
+    if parts is not None:
+        listed = parts.select("plan_id", "kind").distinct()
+        found.append(steps.select("plan_id", "kind").distinct().join(listed, ["plan_id", "kind"], "left_anti").select("plan_id", F.concat(F.lit("no part: "), "kind").alias("problem")))
+        found.append(steps.select("plan_id").distinct().join(listed, "plan_id", "left_anti").select("plan_id", F.lit("no parts").alias("problem")))
+    if documents is not None and requests is not None:
+        wanted = joined.filter("takes_doc and trim(coalesce(arg, '')) <> ''").select("plan_id", F.trim("arg").alias("doc")).distinct().join(documents, "doc", "left").join(requests, "plan_id", "left")
+        named = names_token(F.coalesce("text", F.lit("")), F.col("name"))
+        problem = F.when(F.col("name").isNull(), F.concat(F.lit("not listed: "), "doc")).when(~named, F.concat(F.lit("not named: "), "doc"))
+        found.append(wanted.select("plan_id", problem.alias("problem")).filter("problem is not null"))
+    return functools.reduce(DataFrame.unionByName, found).distinct()
+
+
+def netstat(text: Column) -> Column:
+    """The established TCP connections in a listing, as (local, local_port, remote, remote_port, pid): one for each line."""
+    line = r"(?m)^\s*TCP\s+(\S+):(\d+)\s+(\S+):(\d+)\s+ESTABLISHED\s+(\d+)\s*$"
+    part = lambda x, i: F.regexp_extract(x, line, i)
+    bare = lambda x: F.regexp_replace(x, r"^\[|\]$", "")
+    row = lambda x: F.struct(bare(part(x, 1)).alias("local"), part(x, 2).cast("int").alias("local_port"), bare(part(x, 3)).alias("remote"), part(x, 4).cast("int").alias("remote_port"), part(x, 5).cast("long").alias("pid"))
+    return F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(0)), row)

@@ -121,14 +121,33 @@ def review_problems(items: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("key", "field", problem.alias("problem")).filter("problem is not null")
 
 
+def decision_problems(decisions: DataFrame) -> DataFrame:
+    """key, problem: decisions (key, reviewer, action) without a name, or that neither confirm nor ask for a new measurement."""
+    named = F.when(F.trim(F.coalesce("reviewer", F.lit(""))) == "", "enter your name")
+    action = F.when(~F.coalesce(F.col("action").isin("confirm", "remeasure"), F.lit(False)), "action must be confirm or remeasure")
+    return decisions.select("key", F.explode(F.array_compact(F.array(named, action))).alias("problem"))
+
+
 def apply_review(readings: DataFrame, entries: DataFrame, reviewer: str) -> DataFrame:
-    """Readings with entered current values in place; their rows are no longer held and say who entered them. entries: doc_id, cml_id, value."""
+    """Readings with entered values in place; their rows are no longer held and say who entered them. entries: doc_id, cml_id, value.
+
+    Where readings have a ``method``, it says which value was entered, and by whom. ``review_log`` gives the audit rows.
+    """
     both = readings.join(entries, ["doc_id", "cml_id"], "left")
     entered = F.col("value").isNotNull()
     status = F.when(entered & held(F.col("review_status")), F.lit(f"entered by {reviewer}")).otherwise(F.col("review_status"))
+    if "method" in readings.columns:
+        suffix = F.concat(F.col("method"), F.lit(f"; current_mm entered by {reviewer} from the original report"))
+        both = both.withColumn("method", F.when(entered, suffix).otherwise(F.col("method")))
     return both.withColumn("current_mm", F.coalesce("value", "current_mm")).withColumn("review_status", status).drop("value")
 
 
+def review_log(readings: DataFrame, entries: DataFrame, reviewer: str) -> DataFrame:
+    """doc_id, field, entered, read_as, reviewer: a row for each value that a person entered, with what had been read."""
+    rows = entries.filter("value is not null").join(readings.select("doc_id", "cml_id", "current_mm").distinct(), ["doc_id", "cml_id"])
+    return rows.select("doc_id", F.concat(F.col("cml_id"), F.lit(".current_mm")).alias("field"), F.trim("value").alias("entered"), F.col("current_mm").alias("read_as"), F.lit(reviewer).alias("reviewer"))
+
+
 def shortfalls_rounded(readings: DataFrame) -> DataFrame:
     """Shortfalls to two places of readings strictly below their minimum; order: largest first, then cml_id."""
     short = (exact(F.col("min_required_mm")) - exact(F.col("current_mm"))).cast("decimal(18,6)")
