@@ -10,6 +10,9 @@ from proofline.functions.sizes import short
 # Tolerances in pixels and shares.
 COLUMN_SLACK, BAND_BEFORE, BAND_GAP, SPREAD, MAX_TILT, MIN_RUN = 12, 6, 2, 15.0, 0.10, 100.0
 ROW_PX, ROW_SHARE, READ_STEP, OVERLAP, ALIGNED = 8.0, 0.4, 8, 0.4, 0.6
+PITCH_FROM, PITCH_TO, PITCH_SHARE, NEAR_PX, NO_PITCH_PX, LINE_PX = 3, 80, 0.2, 6.0, 8.0, 6.0
+#: Header candidates of one page that are compared with each other.
+CANDIDATES = 200
 
 
 def centre_y(y0: str = "y0", y1: str = "y1") -> Column:
@@ -50,8 +53,10 @@ def header_lines(words: DataFrame, page: str) -> DataFrame:
 
     words: page, id, field, is_exact, x, y. Each pair of words on a page far enough apart and not
     too steep proposes a line; words within reach of it belong to it. Most fields win, then most
-    exact words, then the topmost. Words of a page's header candidates are few by nature.
+    exact words, then the topmost. Words of a page's header candidates are few by nature; more than ``CANDIDATES`` are an error.
     """
+    many = F.count("*").over(Window.partitionBy(page)) > CANDIDATES
+    words = words.withColumn("x", F.when(many, F.raise_error(F.lit(f"a page has more than {CANDIDATES} header candidates")).cast("double")).otherwise(F.col("x")))
     a, b = words.select(page, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("id").alias("a")), words.select(page, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("id").alias("b"))
     slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
     far = F.abs(F.col("bx") - F.col("ax")) >= MIN_RUN
@@ -70,6 +75,13 @@ def to_columns(items: DataFrame, columns: list[tuple[str, float]]) -> DataFrame:
     return items.withColumn("column", out)
 
 
+def to_page_columns(items: DataFrame, columns: DataFrame, page: str) -> DataFrame:
+    """Adds column: as ``to_columns``, with each page's own columns (page, column, x), which are few; null on pages without any."""
+    own = columns.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("x", "column"))).alias("columns"))
+    begun = F.filter("columns", lambda c: c["x"] <= F.col("x0") + COLUMN_SLACK)
+    return items.join(own, page, "left").withColumn("column", F.try_element_at(begun, F.lit(-1))["column"]).drop("columns")
+
+
 def bands(anchors: DataFrame, page: str, bottom: float) -> DataFrame:
     """page, row_id, top, end: from a little above each anchor to a little above the next; the last reaches the bottom."""
     following = F.lead("y").over(Window.partitionBy(page).orderBy("y", "row_id"))
@@ -90,13 +102,33 @@ def cell_text(items: DataFrame, cell: list[str]) -> DataFrame:
     return items.groupBy(*cell).agg(text.alias("text"), F.min("score").alias("score"), F.count("*").alias("n_items"), *box)
 
 
-def table_end(lines: DataFrame, page: str) -> DataFrame:
-    """page, cut: the height of the first line with too few items in line with the table's columns; null if none.
+def table_end(body: DataFrame, last: DataFrame, columns: DataFrame, page: str) -> DataFrame:
+    """page, cut: the height at which a table's last row ends; null if all of its lines are in line with the columns.
 
-    lines: page, y, n, aligned (how many of a line's n items start at a column's edge).
+    body, last: page, x0, y of the table's items and of those in its last band; columns: page, column, x. A column's edge is
+    the median left edge of its items, or x where it has none. Items within ``LINE_PX`` of the first of a line are one line;
+    one is loose if fewer than ``ALIGNED`` of its items start at an edge, give or take a share of the usual pitch. The first line
+    belongs to the table; the cut is midway between the first loose line and the one before.
     """
-    loose = F.when(F.col("aligned") < ALIGNED * F.col("n"), F.col("y"))
-    return lines.groupBy(page).agg(F.min(loose).alias("cut"))
+    edges = to_page_columns(body, columns, page).groupBy(page, "column").agg(F.median("x0").alias("edge"))
+    edges = columns.join(edges, [page, "column"], "left").groupBy(page).agg(F.collect_list(F.coalesce("edge", F.col("x").cast("double"))).alias("edges"))
+    step = F.col("y") - F.lag("y").over(Window.partitionBy(page).orderBy("y"))
+    pitch = body.select(page, step.alias("step")).groupBy(page).agg(F.median(F.when((F.col("step") > PITCH_FROM) & (F.col("step") < PITCH_TO), F.col("step"))).alias("pitch"))
+    reach = F.coalesce(F.greatest(F.lit(NEAR_PX), PITCH_SHARE * F.col("pitch")), F.lit(NO_PITCH_PX))
+    near = F.exists("edges", lambda e: F.abs(F.col("x0") - e) <= reach)
+    held = last.join(edges, page).join(pitch, page, "left").groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), near.alias("near")))).alias("items"))
+    line = lambda y, n, k: F.struct(y.alias("y"), n.alias("n"), k.alias("k"))
+    one = lambda x: F.when(x["near"], 1).otherwise(0)
+
+    def add(lines: Column, x: Column) -> Column:
+        top = F.element_at(lines, -1)
+        more = F.array_append(F.slice(lines, F.lit(1), F.size(lines) - 1), line(top["y"], top["n"] + 1, top["k"] + one(x)))
+        return F.when((F.size(lines) > 0) & (x["y"] - F.try_element_at(lines, F.lit(-1))["y"] <= LINE_PX), more).otherwise(F.array_append(lines, line(x["y"], F.lit(1), one(x))))
+
+    lines = F.aggregate("items", F.array().cast("array<struct<y: double, n: int, k: int>>"), add)
+    loose = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("lines") - 1, F.lit(1))), lambda i: F.when(F.get("lines", i)["k"] < ALIGNED * F.get("lines", i)["n"], i)), lambda i: i.isNotNull())
+    first = F.get(loose, F.lit(0))
+    return held.select(page, lines.alias("lines")).select(page, ((F.get("lines", first - 1)["y"] + F.get("lines", first)["y"]) / 2).alias("cut"))
 
 
 def column_edges(items: DataFrame, page: str) -> DataFrame:

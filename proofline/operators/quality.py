@@ -45,8 +45,9 @@ def closest(words: DataFrame, choices: DataFrame) -> DataFrame:
 def one_edit(words: DataFrame, choices: DataFrame) -> DataFrame:
     """word, choice pairs at most one edit apart, for words of five letters or more.
 
-    Words meet by length (an edit changes it by one at most), so the sets are never crossed whole.
+    choices are a short closed set; words meet those of their length, give or take one, so the sets are never crossed whole.
     """
+    choices = short(choices.select("choice").distinct(), 10_000)
     a = words.select("word").distinct().filter(F.length("word") >= ONE_EDIT_FROM).withColumn("n", F.length("word"))
     b = choices.select("choice").distinct().withColumn("n", F.explode(F.array(F.length("choice") - 1, F.length("choice"), F.length("choice") + 1)))
     return a.join(b, "n").filter(F.levenshtein("word", "choice", 1) >= 0).select("word", "choice")

@@ -62,11 +62,38 @@ def column_edges(spark: Spark, d: str) -> DataFrame:
     return layout.column_edges(layout.to_columns(T.items(spark, d), COLUMNS), "page")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS page, l_linenumber * 30.0::DOUBLE AS y, count(*) AS n, count(*) FILTER (l_partkey % 3 <> 0) AS aligned FROM lineitem GROUP BY 1, 2)
-    SELECT page, min(CASE WHEN aligned < 0.6 * n THEN y END) AS cut FROM l GROUP BY page""")
+# pieces of lines: a page's columns start at 0 and 100 plus a shift of its own; from the page's third line on, some pieces stray
+GRID = """g AS (SELECT l_orderkey AS page, l_linenumber AS ln, l_linenumber * 30 + l_suppkey % 6 AS y, CASE WHEN l_linenumber > 2 AND l_partkey % 3 = 0 THEN 57 + l_partkey % 20 ELSE 100 * (l_partkey % 2) END + 20 * (l_orderkey % 4) AS x0 FROM lineitem)"""
+PAGE_COLUMN = "CASE WHEN 100 + 20 * (page % 4) <= x0 + 12 THEN 'b' WHEN 20 * (page % 4) <= x0 + 12 THEN 'a' END"
+
+
+def grid(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    li, p = table(spark, d, "lineitem"), F.col("l_partkey")
+    shift = 20 * (F.col("l_orderkey") % 4)
+    x0 = F.when((F.col("l_linenumber") > 2) & (p % 3 == 0), 57 + p % 20).otherwise(100 * (p % 2)) + shift
+    items = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ln"), (F.col("l_linenumber") * 30 + F.col("l_suppkey") % 6).alias("y"), x0.alias("x0"))
+    pages = items.select("page").distinct()
+    shift = 20 * (F.col("page") % 4)
+    columns = pages.select("page", F.inline(F.array(F.struct(F.lit("a").alias("column"), shift.alias("x")), F.struct(F.lit("b").alias("column"), (shift + 100).alias("x")))))
+    return items, columns
+
+
+@query(f"""WITH {GRID} SELECT page, ln, y, x0, {PAGE_COLUMN} AS "column" FROM g""")
+def asof_page_column(spark: Spark, d: str) -> DataFrame:
+    """Each page's items by that page's own columns."""
+    return layout.to_page_columns(*grid(spark, d), "page").select("page", "ln", "y", "x0", "column")
+
+
+@query(f"""WITH {GRID}, c AS (SELECT page, unnest(['a', 'b']) AS "column", unnest([20 * (page % 4), 100 + 20 * (page % 4)]) AS x FROM (SELECT DISTINCT page FROM g)),
+    e AS (SELECT c.page, coalesce(m.edge, c.x) AS edge FROM c LEFT JOIN (SELECT page, {PAGE_COLUMN} AS "column", median(x0) AS edge FROM g GROUP BY 1, 2) m ON m.page = c.page AND m."column" = c."column"),
+    s AS (SELECT page, y - lag(y) OVER (PARTITION BY page ORDER BY y) AS step FROM g),
+    q AS (SELECT page, coalesce(greatest(6.0, CASE WHEN count(CASE WHEN step > 3 AND step < 80 THEN 1 END) > 0 THEN 0.2::DOUBLE * median(CASE WHEN step > 3 AND step < 80 THEN step END) END), 8.0) AS reach, count(CASE WHEN step > 3 AND step < 80 THEN 1 END) AS k FROM s GROUP BY page),
+    n AS (SELECT g.page, ln, y, (SELECT min(abs(x0 - edge)) FROM e WHERE e.page = g.page) <= CASE WHEN k = 0 THEN 8.0 ELSE reach END AS near FROM g JOIN q ON q.page = g.page),
+    l AS (SELECT page, ln, min(y) AS y, count(*) AS n, count(*) FILTER (near) AS k FROM n GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ln) AS nth, lag(y) OVER (PARTITION BY page ORDER BY ln) AS above FROM l)
+    SELECT page, arg_min((y + above) / 2, ln) FILTER (nth > 1 AND k < 0.6 * n) AS cut FROM o GROUP BY page""")
 def end_of_table(spark: Spark, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * F.lit(30.0)).alias("y"))
-    return layout.table_end(lines.agg(F.count("*").alias("n"), F.count_if(F.col("l_partkey") % 3 != 0).alias("aligned")), "page")
+    items, columns = grid(spark, d)
+    return layout.table_end(items, items, columns, "page")
 
 
 @query(f"""WITH {ITEMS}, a AS (SELECT * FROM items WHERE text IN ('NO0', 'NO1')), v AS (SELECT * FROM items WHERE text NOT IN ('NO0', 'NO1')),

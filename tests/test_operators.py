@@ -189,3 +189,42 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = {(r.day, r.event_type): r.n for r in spark.read.parquet(out).collect()}
     last = max(d for d, _ in batch)
     assert stream == {k: v for k, v in batch.items() if k[0] < last}  # the newest window stays open
+
+
+def test_fuzzy_match_against_the_rule_written_out(spark):
+    """Every word of the smallest tables, and some near misses, matched in plain Python."""
+    from difflib import SequenceMatcher
+
+    from proofline.operators import quality
+    from proofline.plans import evidence
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = {r.word for r in evidence.benchmark_words(spark, "/root/testdata/sf0.001").collect()} | {"there", "ther", "theree", "natoin", "nations", "inter", "enter", "thong", "x"}
+    listed = [r.choice for r in evidence.choices(spark).collect()]
+    want = set()
+    for w in words:
+        scored = sorted(((1.0 if w == c else SequenceMatcher(None, w, c).ratio(), c) for c in listed), reverse=True)
+        (best, choice), (second, _) = scored[:2]
+        if w == choice:
+            want.add((w, choice, "exact"))
+        elif best - second >= 0.04 and (best >= 0.88 or (len(w) >= 5 and distance(w, choice) <= 1)):
+            want.add((w, choice, "alike" if best >= 0.88 else "one edit"))
+    got = quality.closest(spark.createDataFrame([(w,) for w in sorted(words)], "word string"), evidence.choices(spark))
+    assert {tuple(r) for r in got.select("word", "choice", "how").collect()} == want and len(want) > 3
+
+
+def test_too_many_header_candidates_are_an_error(spark):
+    import pytest
+
+    from proofline.operators import layout
+
+    words = spark.range(layout.CANDIDATES + 1).selectExpr("1 as page", "id", "'f' as field", "true as is_exact", "double(id) as x", "1d as y")
+    with pytest.raises(Exception, match="header candidates"):
+        layout.header_lines(words, "page").collect()
