@@ -49,7 +49,7 @@ from proofline.llm.components import components
 from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 
 #: Shingles of a cluster in one block: few, until there are ``BLOCKS`` blocks; then more, up to ``CLUSTER``.
-BLOCK, BLOCKS, CLUSTER = 1 << 16, 16, 2_000_000
+BLOCK, BLOCKS, CLUSTER = 1 << 14, 16, 2_000_000
 #: Shingles for each bucket of signatures.
 DEALT = 2_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.
