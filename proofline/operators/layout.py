@@ -114,7 +114,7 @@ def table_end(body: DataFrame, last: DataFrame, columns: DataFrame, page: str) -
     edges = columns.join(edges, [page, "column"], "left").groupBy(page).agg(F.collect_list(F.coalesce("edge", F.col("x").cast("double"))).alias("edges"))
     step = F.col("y") - F.lag("y").over(Window.partitionBy(page).orderBy("y"))
     pitch = body.select(page, step.alias("step")).groupBy(page).agg(F.median(F.when((F.col("step") > PITCH_FROM) & (F.col("step") < PITCH_TO), F.col("step"))).alias("pitch"))
-    reach = F.coalesce(F.greatest(F.lit(NEAR_PX), PITCH_SHARE * F.col("pitch")), F.lit(NO_PITCH_PX))
+    reach = F.when(F.col("pitch").isNull(), NO_PITCH_PX).otherwise(F.greatest(F.lit(NEAR_PX), PITCH_SHARE * F.col("pitch")))
     near = F.exists("edges", lambda e: F.abs(F.col("x0") - e) <= reach)
     held = last.join(edges, page).join(pitch, page, "left").groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), near.alias("near")))).alias("items"))
     line = lambda y, n, k: F.struct(y.alias("y"), n.alias("n"), k.alias("k"))
