@@ -93,11 +93,12 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     own = own.filter(b > 0).select("*", least.alias("least"), most.alias("most"), F.xxhash64("licence", "wanted").alias("template"))
     rare = F.slice(F.array_sort(F.transform("wanted", lambda x: F.struct((-F.length(x)).alias("minus"), x.alias("pair")))), F.lit(1), b - F.col("least") + 1)
     index = own.select("template", F.explode(rare).alias("rare")).select("template", F.col("rare.pair").alias("pair"))
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.split(normalised(F.col("text")), " ").alias("words"))
-    grams = texts.select("doc_id", F.explode(pairs(F.col("words"))).alias("pair"))
+    texts, words = docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), F.split(normalised(F.col("text")), " ")
+    grams = texts.select("doc_id", words.alias("words")).select("doc_id", F.explode(pairs(F.col("words"))).alias("pair"))
     meet = store.table(grams.join(F.broadcast(index), "pair").select("doc_id", "template").distinct(), "meet")
     few = meet.count() <= 1_000_000
-    rows = texts.select("doc_id", pairs(F.col("words")).alias("grams")).join(F.broadcast(meet) if few else meet, "doc_id").join(F.broadcast(own), "template")
+    near = texts.join(F.broadcast(meet) if few else meet, "doc_id")  # before the words are taken apart, which costs most
+    rows = near.select("doc_id", "template", words.alias("words")).select("doc_id", "template", pairs(F.col("words")).alias("grams")).join(F.broadcast(own), "template")
     rows = rows.filter(F.size(F.array_intersect("grams", "wanted")) >= F.col("least"))
     # written between steps, as the optimiser would put one step's lambda inside the next one's
     rows = store.table(rows.withColumn("hit", F.transform("grams", lambda x: F.array_contains("wanted", x))), "hits")
