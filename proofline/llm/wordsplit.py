@@ -66,11 +66,11 @@ LONG, ENTRY = 64, 120
 
 
 class Memo(dict):
-    """Key -> what ``make`` gives for it. Of two generations of at most ``size`` keys and 128 times as many bytes, the older is dropped when the newer is full."""
+    """Key -> what ``make`` gives for it. Of two generations of at most ``size`` keys and 256 times as many bytes, the older is dropped when the newer is full."""
 
     def __init__(self, make: Callable[[str], bytes], size: int):
         super().__init__()
-        self.make, self.size, self.older, self.room = make, size, {}, 128 * size
+        self.make, self.size, self.older, self.room = make, size, {}, 256 * size
 
     def __missing__(self, key: str) -> bytes:
         if len(key) > LONG:
@@ -79,7 +79,7 @@ class Memo(dict):
         if made is None:
             made = self.make(key)
         if len(self) >= self.size or self.room < 0:
-            self.older, self.room = dict(self), 128 * self.size
+            self.older, self.room = dict(self), 256 * self.size
             self.clear()
         self.room -= len(key) + len(made) + ENTRY
         self[key] = made
