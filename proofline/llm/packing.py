@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from proofline.llm import libtokens, store
 
 CAPACITY = 2048
-#: Words in each generation of a worker's memo; packing runs last, in workers that hold other things too.
-MEMO = 250_000
+#: Words in each generation of a worker's memo.
+MEMO = 700_000
 GROUPS = 128
 #: Lengths up to this part of the capacity are small: two large ones fit together at most, which
 #: leaves enough small ones to fill what rounding up costs.
