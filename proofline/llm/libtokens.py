@@ -12,7 +12,7 @@ from array import array
 from proofline.llm.wordsplit import PieceEncoder, Splitter, byte_alphabet
 
 #: Words in each of the two generations of a worker's memo.
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 class LibraryTokenizer:
