@@ -134,9 +134,10 @@ def chunk_boxes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "chunk").agg(text.alias("text"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), *box)
 
 
-def route(n_chars: Column) -> Column:
-    """Whether a page's own text is enough or it must be recognised."""
-    return F.when(n_chars >= TEXT_LAYER_CHARS, "text").otherwise("ocr")
+def route(n_chars: Column, force: Column | None = None) -> Column:
+    """Whether a page's own text is enough or it must be recognised; ``force`` ("text" or "ocr", null: neither) overrides."""
+    own = F.when(n_chars >= TEXT_LAYER_CHARS, "text").otherwise("ocr")
+    return own if force is None else F.when(force.isin("text", "ocr"), force).otherwise(own)
 
 
 def triage(pages: DataFrame, by: str, order: list[str]) -> DataFrame:

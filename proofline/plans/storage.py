@@ -1,4 +1,4 @@
-"""Queries that write and read back: rebuilds, stage files, registries."""
+"""Queries that write and read back: rebuilds, stage files, registries, chained logs, ground truth, catalogues."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.operators import audit
 from proofline.plans.registry import query
 from proofline.sources import registry, sinks
+from proofline.sources import tables as T
 from proofline.sources.tables import money, table
 
 Spark = SparkSession
@@ -56,3 +58,60 @@ def registry_tables(spark: Spark, d: str) -> DataFrame:
     a = gates.select(F.lit("gate").alias("source"), "task", "key", "kind", "ord", F.col("want").alias("value"))
     none = F.lit(None)
     return a.unionByName(results.select(F.col("model").alias("source"), "task", "key", none.cast("string").alias("kind"), none.cast("int").alias("ord"), F.col("have").alias("value")))
+
+
+def chained_nations(spark: Spark, d: str) -> DataFrame:
+    """A log to which all nations are appended, those of the first ten keys in a batch of their own."""
+    rows, path = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit('{"k": '), "n_nationkey", F.lit("}")).alias("payload")), place(spark)
+    for batch in (rows.filter("n_nationkey < 10"), rows.filter("n_nationkey >= 10")):
+        sinks.append_chained(batch, path, "n_nationkey")
+    return spark.read.parquet(path)
+
+
+LINKS = """o AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS nth FROM nation),
+    c AS (SELECT nth, '{"k": ' || k || ', "prev_sha256": "' || repeat('0', 64) || '"}' AS line, repeat('0', 64) AS prev_sha256 FROM o WHERE nth = 0
+        UNION ALL SELECT o.nth, '{"k": ' || o.k || ', "prev_sha256": "' || sha256(c.line) || '"}', sha256(c.line) FROM c JOIN o ON o.nth = c.nth + 1)"""
+
+
+@query(f"WITH RECURSIVE {LINKS} SELECT nth, line, prev_sha256 FROM c")
+def chained_append(spark: Spark, d: str) -> DataFrame:
+    """The second batch goes on from the last line of the first."""
+    return chained_nations(spark, d)
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS nth FROM nation), k AS (SELECT nth, nth % 7 = 0 AS out FROM o)
+    SELECT 'whole' AS log, count(*) AS n, CAST(NULL AS INTEGER) AS broken_at FROM k UNION ALL SELECT 'cut', count(*) FILTER (NOT out), CAST((SELECT min(a.nth) FROM k a JOIN k b ON b.nth = a.nth - 1 AND b.out WHERE NOT a.out) - 1 AS INTEGER) FROM k""")
+def audit_files(spark: Spark, d: str) -> DataFrame:
+    """A log's file as it is, and one from which every seventh line is gone, read back and verified."""
+    lines, path = chained_nations(spark, d), place(spark)
+    kinds = lines.withColumn("kind", F.explode(F.when((F.col("nth") + 1) % 7 == 0, F.array(F.lit("whole"))).otherwise(F.array(F.lit("whole"), F.lit("cut")))))
+    kinds.repartition("kind").sortWithinPartitions("kind", "nth").select("kind", "line").write.partitionBy("kind").text(path)
+    log = T.audit_log(spark, path).withColumn("log", F.regexp_extract("file", "kind=([a-z]+)", 1))
+    return audit.breaks(log, "log", "nth").select("log", "n", "broken_at")
+
+
+@query("""WITH i AS (SELECT s_suppkey AS doc_id, s_nationkey AS place FROM supplier WHERE s_suppkey % 6 <> 0),
+    r AS (SELECT s_suppkey AS doc_id, unnest(['1', '2']) AS id, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) || '0' AS value FROM supplier WHERE s_suppkey % 5 <> 0)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'reading' AS part, id, value, CAST(place AS VARCHAR) AS place FROM r JOIN i USING (doc_id)
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'finding', 'F-' || s_suppkey, 'Major', CAST(i.place AS VARCHAR) FROM supplier JOIN i ON i.doc_id = s_suppkey WHERE s_suppkey % 4 = 0""")
+def ground_truth_rows(spark: Spark, d: str) -> DataFrame:
+    """Suppliers as reports in JSON files, read back and taken apart; only those in the index count, and digits stay as printed."""
+    s, path = table(spark, d, "supplier"), place(spark)
+    key = F.col("s_suppkey")
+    digits = F.concat(money("s_acctbal"), F.lit("0"))
+    reading = lambda n: F.concat(F.lit(f'{{"id": "{n}", "value": '), digits, F.lit("}"))
+    readings = F.when(key % 5 != 0, F.concat_ws(", ", reading(1), reading(2))).otherwise("")
+    found = F.when(key % 4 == 0, F.concat(F.lit('{"id": "F-'), key, F.lit('", "value": "Major"}'))).otherwise("")
+    report = F.concat(F.lit('{"doc_id": '), key, F.lit(',\n "readings": ['), readings, F.lit('],\n "findings": ['), found, F.lit("]}"))
+    s.select(report.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    reports = T.ground_truth(spark, path)
+    index = s.filter("s_suppkey % 6 <> 0").select(key.cast("string").alias("doc_id"), F.col("s_nationkey").cast("string").alias("place"))
+    rows = lambda part: T.truth_rows(reports, index, f"{part}s").select("doc_id", F.lit(part).alias("part"), "id", "value", "place")
+    return rows("reading").unionByName(rows("finding"))
+
+
+@query("SELECT * FROM (VALUES ('orders', true), ('lineitem', true), ('pages', true), ('nowhere', false)) v(name, found)")
+def catalogue_missing(spark: Spark, d: str) -> DataFrame:
+    """Wanted files of the input folder, and which of them are there."""
+    wanted = spark.createDataFrame([("orders",), ("lineitem",), ("pages",), ("nowhere",)], "name string")
+    return T.catalogue(spark, d, wanted).select("name", F.col("path").isNotNull().alias("found"))

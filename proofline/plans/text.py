@@ -132,6 +132,13 @@ def route_by_length(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", chunking.route(F.col("n_chars")).alias("route"))
 
 
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'text' ELSE CASE WHEN n_chars >= 60 THEN 'text' ELSE 'ocr' END END AS route FROM documents")
+def route_forced(spark: Spark, d: str) -> DataFrame:
+    """Pages that are to be read one way whatever they hold, among others that are not."""
+    m = F.col("doc_id") % 4
+    return table(spark, d, "documents").select("doc_id", chunking.route(F.col("n_chars"), F.when(m == 0, "ocr").when(m == 1, "text")).alias("route"))
+
+
 @query("""WITH p AS (SELECT source, n_chars % 90 AS n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY source) AS total FROM documents),
     s AS (SELECT * FROM p WHERE nth % greatest(1, total // 25) = 0 AND nth // greatest(1, total // 25) < 25)
     SELECT source, count(*) AS sampled, avg(n_chars) AS avg_chars, count(*) FILTER (n_chars < 50) > 0.6 * count(*) AS scanned FROM s GROUP BY source""")

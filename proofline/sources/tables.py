@@ -102,6 +102,15 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
 
 
+def truth_rows(reports: DataFrame, index: DataFrame, part: str) -> DataFrame:
+    """A row for each entry of the array ``part`` of reports that the index (doc_id, ...) holds, with the index's columns.
+
+    Reports without that array, or with an empty one, give no rows.
+    """
+    rows = reports.select("doc_id", F.explode(part).alias("entry")).select("doc_id", "entry.*")
+    return rows.join(index, "doc_id")
+
+
 def catalogue(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """name, path of wanted files; path is null for those that are missing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
