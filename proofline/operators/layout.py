@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.exact import bare
 from proofline.functions.sizes import short
+from proofline.operators.quality import LEAD, ONE_EDIT_FROM, RATIO, alike
 
 # Tolerances in pixels and shares.
 COLUMN_SLACK, BAND_BEFORE, BAND_GAP, SPREAD, MAX_TILT, MIN_RUN = 12, 6, 2, 15.0, 0.10, 100.0
 ROW_PX, ROW_SHARE, READ_STEP, OVERLAP, ALIGNED = 8.0, 0.4, 8, 0.4, 0.6
+VALUE_PX = 6.0
 PITCH_FROM, PITCH_TO, PITCH_SHARE, NEAR_PX, NO_PITCH_PX, LINE_PX = 3, 80, 0.2, 6.0, 8.0, 6.0
 #: Header candidates of one page that are compared with each other.
 CANDIDATES = 200
@@ -152,6 +155,62 @@ def pairs(items: DataFrame, labels: DataFrame, page: str) -> DataFrame:
     return one.groupBy(page, "label").agg(F.min(F.struct("place", "value"))["value"].alias("value"))
 
 
+def label_values(items: DataFrame, labels: DataFrame, page: str) -> DataFrame:
+    """page, label, value: for each label the text to its right on the same printed line; null if there is none.
+
+    items: page, id, text, x0, y0, x1, y1; labels: text, label, a short closed set. Letters and digits alone count
+    in a label. Items that are a label go first; then, from top to bottom, those that are like just one of the labels
+    that are left. Of several items for one label the topmost leftmost counts. The same line: more than 40 % of the
+    label's height is shared. The value is the nearest item to the right, with those that begin before it ends. A page bounds the join.
+    """
+    labels = short(labels.select(bare(F.col("text")).alias("word"), "label").distinct(), 10_000)
+    place = F.struct("y0", "x0", "id")
+    exact = items.withColumn("word", bare(F.col("text"))).join(labels, "word").groupBy(page, "label").agg(F.min(place).alias("place"))
+    likely = near(items.select(bare(F.col("text")).alias("word")).distinct(), labels)
+    held = exact.groupBy(page).agg(F.collect_set("label").alias("held"))
+    hopeful = items.withColumn("word", bare(F.col("text"))).join(likely, "word").select(page, place.alias("place"), "likes")
+    claims = hopeful.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("place", "likes"))).alias("rows")).join(held, page, "left")
+    start = F.struct(F.coalesce("held", F.array().cast("array<string>")).alias("held"), F.array().cast(claims_type(items)).alias("won"))
+
+    def step(acc: Column, row: Column) -> Column:
+        left = F.filter(row["likes"], lambda c: ~F.array_contains(acc["held"], c["label"]))
+        top, next_ = F.get(left, F.lit(0)), F.coalesce(F.get(left, F.lit(1))["ratio"], F.lit(0.0))
+        fine = F.coalesce(top["fine"] & (top["ratio"] - next_ >= LEAD), F.lit(False))
+        won = F.struct(top["label"].alias("label"), row["place"].alias("place"))
+        return F.struct(F.when(fine, F.array_append(acc["held"], top["label"])).otherwise(acc["held"]).alias("held"), F.when(fine, F.array_append(acc["won"], won)).otherwise(acc["won"]).alias("won"))
+
+    guessed = claims.select(page, F.inline(F.aggregate("rows", start, step, lambda acc: acc["won"])))
+    a = exact.unionByName(guessed).select(page, "label", "place", F.col("place.id").alias("id"), F.col("place.y0").alias("y0"), F.col("place.x0").alias("x0"))
+    a = a.join(items.select(page, "id", "y0", "x0", F.col("x1").alias("right"), F.col("y1").alias("b")), [page, "id", "y0", "x0"]).withColumnRenamed("y0", "t").drop("x0")
+    v = items.select(page, F.col("id").alias("v"), "text", "x0", "x1", "y0", "y1")
+    shared = F.least("b", "y1") - F.greatest("t", "y0")
+    on_line = (F.col("v") != F.col("id")) & (F.col("x0") >= F.col("right")) & (shared > OVERLAP * (F.col("b") - F.col("t")))
+    value = F.struct("x0", F.col("y0").alias("y"), "v", "x1", "text")
+    hit = a.join(v, page).groupBy(page, "id", "label").agg(F.array_sort(F.collect_list(F.when(on_line, value))).alias("line"))
+    joined = F.filter("line", lambda o: o["x0"] < F.get("line", F.lit(0))["x1"] + VALUE_PX)
+    return hit.select(page, "label", F.when(F.size("line") > 0, F.array_join(F.transform(joined, lambda o: o["text"]), " ")).alias("value"))
+
+
+def claims_type(items: DataFrame) -> str:
+    """The type of the list of labels that have been claimed, with the place of the item that did."""
+    kind = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    return f"array<struct<label: string, place: struct<y0: {kind['y0']}, x0: {kind['x0']}, id: {kind['id']}>>>"
+
+
+def near(words: DataFrame, labels: DataFrame) -> DataFrame:
+    """word, likes: for each word that is no label but may be like one, all labels by likeness (of equals the later by letters first).
+
+    Words whose length alone rules out every label are left out before anything is compared.
+    """
+    words = words.join(labels, "word", "left_anti").alias("w")
+    hopeful = words.join(labels.alias("l"), F.expr(f"2 * least(length(w.word), length(l.word)) >= {RATIO} * (length(w.word) + length(l.word)) or abs(length(w.word) - length(l.word)) <= 1"), "left_semi")
+    both = hopeful.join(F.broadcast(labels.withColumnRenamed("word", "choice"))).withColumn("ratio", alike("word", "choice"))
+    fine = (F.col("ratio") >= RATIO) | ((F.length("word") >= ONE_EDIT_FROM) & (F.levenshtein("word", "choice") <= 1))
+    scored = F.struct((-F.col("ratio")).alias("less"), "choice", "label", "ratio", fine.alias("fine"))
+    later = lambda a, b: F.when(a["less"] < b["less"], -1).when(a["less"] > b["less"], 1).when(a["choice"] > b["choice"], -1).when(a["choice"] < b["choice"], 1).otherwise(0)
+    return both.groupBy("word").agg(F.array_sort(F.collect_list(scored), later).alias("likes"))
+
+
 def sections_of(lines: DataFrame, doc: str, order: list[str], heading: Column) -> DataFrame:
     """Adds section: the last heading at or before each line, across pages; null before the first."""
     w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -104,6 +104,21 @@ def label_pairs(spark: Spark, d: str) -> DataFrame:
     return layout.pairs(T.items(spark, d), labels, "page")
 
 
+WORN = """w AS (SELECT page, id, CASE ln_supp % 4 WHEN 0 THEN 'Report No.' WHEN 1 THEN 'Rep0rt No' WHEN 2 THEN 'Unit:' ELSE text END AS text, CASE ln_supp % 4 WHEN 0 THEN 'report_no' WHEN 1 THEN 'report_no' WHEN 2 THEN 'unit' END AS label, ln_supp % 4 = 1 AS worn, x0, y0, x1, y1
+    FROM (SELECT *, CAST(split_part(id, '-', 3) AS BIGINT) AS ln_supp FROM items))"""
+
+
+@query(f"""WITH {ITEMS}, {WORN}, c AS (SELECT page, label, arg_min(struct_pack(id := id, y0 := y0, y1 := y1, x1 := x1), (worn, y0, x0, id)) AS a FROM w WHERE label IS NOT NULL GROUP BY 1, 2),
+    h AS (SELECT c.page, c.label, v.* EXCLUDE (page, label), min((v.x0, v.y0, v.id, v.x1)) OVER (PARTITION BY c.page, c.label) AS nearest FROM c LEFT JOIN w v ON v.page = c.page AND v.id <> c.a.id AND v.x0 >= c.a.x1 AND least(c.a.y1, v.y1) - greatest(c.a.y0, v.y0) > 0.4 * (c.a.y1 - c.a.y0))
+    SELECT page, label, string_agg(text, ' ' ORDER BY x0, y0, id, x1, text) FILTER (id IS NOT NULL AND x0 < nearest[4] + 6) AS value FROM h GROUP BY 1, 2""")
+def label_claims(spark: Spark, d: str) -> DataFrame:
+    """Labels of a form, some with a wrong letter: those printed well are taken first."""
+    items, m = T.items(spark, d), F.split("id", "-")[2].cast("long") % 4
+    text = F.when(m == 0, "Report No.").when(m == 1, "Rep0rt No").when(m == 2, "Unit:").otherwise(F.col("text"))
+    labels = spark.createDataFrame([("Report No", "report_no"), ("Unit", "unit"), ("Plant Manager", "manager")], "text string, label string")
+    return layout.label_values(items.withColumn("text", text), labels, "page")
+
+
 @query("""WITH l AS (SELECT *, max(CASE WHEN l_linenumber = 1 OR l_partkey % 5 = 0 THEN printf('%06d-%06d', l_partkey, l_suppkey) END) OVER (PARTITION BY l_orderkey, l_linenumber) AS head FROM lineitem),
     u AS (SELECT DISTINCT l_orderkey, l_linenumber, head FROM l)
     SELECT l_orderkey, l_linenumber, last_value(head IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS section FROM u""")
