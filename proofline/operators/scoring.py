@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.exact import exact, tidy
+from proofline.functions.exact import HYPHENS, exact, tidy
+
+# What a note states, what a template leaves behind, and what a scorer looks for in a printed number.
+BANNER = "DRAFT FOR ENGINEERING REVIEW — NOT AN APPROVAL"
+PLACEHOLDER = r"(?i)\[(list|insert|add|enter|todo)[^\]]*\]|\{\{|\}\}"
+PRINTED = r"-?\d+(?:\.\d+)?"
 
 
 def same(got: Column, want: Column) -> Column:
@@ -71,3 +76,78 @@ def readback(note: DataFrame, truth: DataFrame, key: list[str], columns: list[st
     tests = [F.struct(F.lit("present").alias("check"), F.col("present").alias("ok"))]
     tests += [F.struct(F.lit(c).alias("check"), (F.col("present") & F.col(c).eqNullSafe(F.col(f"note_{c}"))).alias("ok")) for c in columns]
     return both.select(*key, F.explode(F.array(*tests)).alias("t")).select(*key, "t.check", "t.ok")
+
+
+def note_checks(notes: DataFrame, rows: DataFrame, readings: DataFrame, note_findings: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, check, subject, ok: everything that is read back from a written note.
+
+    notes: doc_id, header, body, cells, signoff (array of what stands beside the roles), outcome (as decided); rows: doc_id,
+    cml_id, current, minimum, status (as printed); readings: doc_id, cml_id, evidence_id, current, minimum, breached;
+    note_findings: doc_id, finding_id, severity; findings: the same and evidence_id. A reading without a row fails as such
+    and has no further checks; the status is worked out anew from ``breached``. A note without a sign-off table fails.
+    """
+    a = rows.select("doc_id", "cml_id", F.col("current").alias("got_current"), F.col("minimum").alias("got_minimum"), F.trim("status").alias("got_status"), F.lit(True).alias("there"))
+    status = F.when(F.coalesce("breached", F.lit(False)), "BELOW MIN").otherwise("OK")
+    values = F.trim("got_current").eqNullSafe(F.col("current")) & F.trim("got_minimum").eqNullSafe(F.col("minimum"))
+    test = lambda name, ok: F.struct(F.lit(name).alias("check"), ok.alias("ok"))
+    each = F.when(F.col("there"), F.array(test("values", values), test("status", F.col("got_status").eqNullSafe(status)))).otherwise(F.array(test("row", F.lit(False))))
+    of_rows = readings.join(a, ["doc_id", "cml_id"], "left").select("doc_id", F.col("cml_id").alias("subject"), F.inline(each))
+
+    told = note_findings.select("doc_id", "finding_id", F.col("severity").alias("got"), F.lit(1).alias("told"))
+    wrong = F.col("told").isNull() | F.col("known").isNull() | ~F.col("got").eqNullSafe(F.col("severity"))
+    severities = findings.select("doc_id", "finding_id", "severity", F.lit(1).alias("known")).join(told, ["doc_id", "finding_id"], "full_outer").groupBy("doc_id").agg(F.bool_or(wrong).alias("wrong"))
+    ids = readings.select("doc_id", "evidence_id").unionByName(findings.select("doc_id", "evidence_id"))
+    unlisted = ids.join(notes.select("doc_id", "cells"), "doc_id").groupBy("doc_id").agg(F.bool_or(~F.contains(F.coalesce("cells", F.lit("")), F.col("evidence_id"))).alias("unlisted"))
+    everything = F.concat_ws("\n", "header", "body", "cells")
+    whole = F.array(
+        test("banner", F.coalesce(F.contains("header", F.lit(BANNER)), F.lit(False))),
+        test("outcome", F.coalesce(F.contains("cells", F.concat(F.lit("RULES OUTCOME: "), "outcome")), F.lit(False))),
+        test("findings", ~F.coalesce("wrong", F.lit(False))),
+        test("ids", ~F.coalesce("unlisted", F.lit(False))),
+        test("placeholders", ~F.rlike(everything, F.lit(PLACEHOLDER))),
+        test("sign-off", F.coalesce(F.forall("signoff", lambda c: F.trim(c) == ""), F.lit(False))),
+    )
+    of_notes = notes.join(severities, "doc_id", "left").join(unlisted, "doc_id", "left").select("doc_id", F.lit(None).cast("string").alias("subject"), F.inline(whole))
+    return of_rows.unionByName(of_notes).select("doc_id", "check", "subject", "ok")
+
+
+def number_as_printed(text: Column) -> Column:
+    """The first number in a text without zeros at its end; a text without one is itself behind "?", null is empty."""
+    found = F.regexp_extract(text, f"({PRINTED})", 1)
+    digits = F.when(F.contains(found, F.lit(".")), F.regexp_replace(found, r"\.?0*$", "")).otherwise(found)
+    return F.when(text.isNull(), "").when(found == "", F.concat(F.lit("?"), text)).otherwise(digits)
+
+
+def text_as_printed(text: Column) -> Column:
+    """Text as the whole-page scorer compares it: hyphens and spaces folded, degree signs spelt out, lower case, null as empty."""
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), HYPHENS, "-"), r"(?U)\s+", " ")
+    return F.lower(F.replace(F.trim(spaced), F.lit("°"), F.lit("deg")))
+
+
+def page_score(got: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc_id, fields, errors, critical_fields, critical_errors of reports that were read whole.
+
+    got: doc_id, part (header, finding or reading), row, field, value; truth: the same and number (whether the field is
+    compared as a number). Critical are the grade of a finding, each reading's row, and its fields but the location. All
+    fields of a missing finding are wrong; a missing reading is one error. Invented rows are one error in a report.
+    """
+    key = ["doc_id", "part", "row", "field"]
+    a, b = got.select(*key, F.col("value").alias("got"), F.lit(True).alias("is_got")), truth.select(*key, "value", "number", F.lit(True).alias("is_truth"))
+    same = F.when(F.col("number"), number_as_printed(F.col("got")) == number_as_printed(F.col("value"))).otherwise(text_as_printed(F.col("got")) == text_as_printed(F.col("value")))
+    reading, known = F.col("part") == "reading", F.col("is_truth").isNotNull()
+    grave = F.when(reading, F.col("field") != "location").otherwise((F.col("part") == "finding") & (F.col("field") == "severity"))
+    count = lambda c: F.count_if(known & c)
+    rows = a.join(b, key, "full_outer").groupBy("doc_id", "part", "row").agg(
+        F.bool_or(known).alias("known"), F.bool_or(F.col("is_got").isNotNull()).alias("there"),
+        count(F.lit(True)).alias("n"), count(~same).alias("bad"), count(grave).alias("n_grave"), count(grave & ~same).alias("bad_grave"),
+    )
+    # "number" may be null only where there is no truth; such rows are not counted.
+    gone, row = reading & F.col("known") & ~F.col("there"), F.when(reading & F.col("known"), 1).otherwise(0)
+    missed = (F.col("part") == "finding") & F.col("known") & ~F.col("there")
+    errors = F.when(gone, 1).when(missed, F.col("n")).otherwise(F.col("bad"))
+    graves = F.when(gone, 1).when(missed, F.col("n_grave")).otherwise(F.col("bad_grave"))
+    invented = F.max(F.when(~F.col("known") & (F.col("part") != "header"), 1).otherwise(0))
+    return rows.groupBy("doc_id").agg(
+        F.sum("n").alias("fields"), (F.sum(errors) + invented).alias("errors"),
+        F.sum(F.col("n_grave") + row).alias("critical_fields"), (F.sum(graves) + invented).alias("critical_errors"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.operators import audit, checks, scoring
 from proofline.plans.registry import query
 from proofline.sources import tables as T
-from proofline.sources.tables import FINDINGS, table
+from proofline.sources.tables import FINDINGS, READINGS, table
 from proofline.streaming import events as E
 
 Spark = SparkSession
@@ -148,6 +148,55 @@ def field_totals(spark: Spark, d: str) -> DataFrame:
     return scoring.score_totals(scoring.field_score(*fields(spark, d), ["id"]), "field")
 
 
+@query(f"""WITH {READINGS}, r AS (SELECT doc_id, cml_id || '-' || cur AS cml_id, cur < least AS breached FROM readings), k(name) AS (VALUES ('banner'), ('outcome'), ('findings'), ('ids'), ('placeholders'), ('sign-off'))
+    SELECT doc_id, 'row' AS "check", cml_id AS subject, false AS ok FROM r WHERE doc_id % 13 = 0
+    UNION ALL SELECT doc_id, 'values', cml_id, doc_id % 7 <> 0 FROM r WHERE doc_id % 13 <> 0
+    UNION ALL SELECT doc_id, 'status', cml_id, doc_id % 11 <> 0 OR breached FROM r WHERE doc_id % 13 <> 0
+    UNION ALL SELECT o_orderkey, name, NULL, CASE name WHEN 'banner' THEN o_orderkey % 14 <> 0 WHEN 'outcome' THEN o_orderkey % 15 <> 0 WHEN 'findings' THEN o_orderkey % 9 > 2 WHEN 'ids' THEN o_orderkey % 8 <> 0 WHEN 'placeholders' THEN o_orderkey % 12 > 2 ELSE o_orderkey % 16 > 1 END FROM orders, k""")
+def note_readback(spark: Spark, d: str) -> DataFrame:
+    """Notes with all kinds of faults: rows gone, values and grades changed, words of the template left in."""
+    i, evidence = F.col("doc_id"), lambda c: F.concat("doc_id", F.lit(":"), c)
+    r = T.readings(spark, d).select("doc_id", F.concat_ws("-", "cml_id", "current_mm").alias("cml_id"), F.col("current_mm").alias("current"), F.col("min_required_mm").alias("minimum"))
+    readings = r.withColumn("breached", F.col("current").cast("decimal(18,2)") < F.col("minimum").cast("decimal(18,2)")).withColumn("evidence_id", evidence("cml_id"))
+    status = F.when(F.col("breached") | (i % 11 == 0), " BELOW MIN").otherwise("OK ")
+    rows = readings.filter("doc_id % 13 <> 0").select("doc_id", "cml_id", F.when(i % 7 == 0, F.concat("current", F.lit("0"))).otherwise(F.col("current")).alias("current"), "minimum", status.alias("status"))
+    findings = T.report_findings(spark, d).select("doc_id", "finding_id", "severity").withColumn("evidence_id", evidence("finding_id"))
+    told = findings.filter("doc_id % 9 <> 0").select("doc_id", F.explode(F.when(i % 9 == 1, F.array("finding_id", F.lit("F-new"))).otherwise(F.array("finding_id"))).alias("finding_id"), F.when(i % 9 == 2, "Unknown").otherwise(F.col("severity")).alias("severity"))
+    listed = readings.select("doc_id", "evidence_id").unionByName(findings.filter("doc_id % 8 <> 0").select("doc_id", "evidence_id")).groupBy("doc_id").agg(F.array_join(F.collect_list("evidence_id"), "\n").alias("ids"))
+    left = F.when(i % 12 == 0, "[Insert name]").when(i % 12 == 1, "{{x").when(i % 12 == 2, "[listing of things]").otherwise("[1] {x}")
+    notes = findings.select("doc_id").join(listed, "doc_id", "left").select(
+        "doc_id", F.when(i % 14 == 0, "DRAFT").otherwise(f"{scoring.BANNER} 1").alias("header"), left.alias("body"),
+        F.concat_ws("\n", F.when(i % 15 == 0, "RULES OUTCOME: approve").otherwise("RULES OUTCOME: reject"), "ids").alias("cells"),
+        F.when(i % 16 == 0, F.array(F.lit(""), F.lit("A. Name"))).when(i % 16 > 1, F.array(F.lit(" "), F.lit(""))).alias("signoff"), F.lit("reject").alias("outcome"),
+    )
+    return scoring.note_checks(notes, rows, readings, told, findings)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, k % 7 = 1 AS price, k % 5 = 0 AS status, k % 9 AS f, k % 11 AS r, CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS new FROM orders)
+    SELECT k AS doc_id, 8 AS fields, price::INT + status::INT + CASE f WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN r <= 2 THEN 1 ELSE 0 END + new AS errors, 5 AS critical_fields, CASE WHEN f <= 1 THEN 1 ELSE 0 END + CASE WHEN r <= 1 THEN 1 ELSE 0 END + new AS critical_errors FROM o""")
+def page_score(spark: Spark, d: str) -> DataFrame:
+    """Reports read whole, with values wrong, rows gone and rows invented; other ways to print the same value are right."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("price", T.money("o_totalprice"))
+    cell = lambda part, row, field, value, number: F.struct(F.lit(part).alias("part"), F.lit(row).alias("row"), F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(number).alias("number"))
+    price, words = F.col("price"), F.lit("In  use – 20 °C")
+    truth = o.select(k.alias("doc_id"), F.inline(F.array(
+        cell("header", "", "price", price, True), cell("header", "", "status", words, False),
+        cell("finding", "F-1", "severity", F.lit("Major"), False), cell("finding", "F-1", "description", words, False),
+        *[c for n in "12" for c in (cell("reading", n, "location", F.lit(f"Shell {n}"), False), cell("reading", n, "current_mm", price, True))],
+    )))
+    more = (o["o_totalprice"].cast("decimal(18,2)") + 1).cast("decimal(18,2)")
+    read = o.select(k.alias("doc_id"), F.inline(F.filter(F.array(
+        cell("header", "", "price", F.when(k % 7 == 0, F.concat(price, F.lit(" mm"))).when(k % 7 == 1, more.cast("string")).when(k % 7 == 2, F.concat(price, F.lit("0"))).otherwise(price), True),
+        cell("header", "", "status", F.when(k % 5 == 0, "other").otherwise(" in use - 20 DEGC "), False),
+        *[F.when(k % 9 != 0, c) for c in (cell("finding", "F-1", "severity", F.when(k % 9 == 1, "Minor").otherwise("MAJOR"), False), cell("finding", "F-1", "description", F.when(k % 9 == 2, "In use").otherwise(words), False))],
+        *[F.when(k % 11 != 0, c) for c in (cell("reading", "1", "location", F.lit("shell 1"), False), cell("reading", "1", "current_mm", price, True))],
+        cell("reading", "2", "location", F.when(k % 11 == 2, "Head").otherwise("Shell 2"), False), cell("reading", "2", "current_mm", F.when(k % 11 == 1, more.cast("string")).otherwise(price), True),
+        *[F.when(k % 13 == 0, c) for c in (cell("finding", "F-9", "severity", F.lit("Minor"), False), cell("reading", "9", "location", F.lit("Head"), False))],
+    ), lambda c: c.isNotNull())))
+    return scoring.page_score(read.drop("number"), truth)
+
+
 @query("""SELECT l_orderkey AS doc_id, CASE WHEN bool_or(l_partkey % 4 = 0) THEN 'right stop' ELSE 'false alarm' END AS verdict, count(*) FILTER (l_partkey % 4 = 0) AS n_wrong FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
 def stop_classes(spark: Spark, d: str) -> DataFrame:
     want = T.money("l_extendedprice")

@@ -228,3 +228,42 @@ def test_too_many_header_candidates_are_an_error(spark):
     words = spark.range(layout.CANDIDATES + 1).selectExpr("1 as page", "id", "'f' as field", "true as is_exact", "double(id) as x", "1d as y")
     with pytest.raises(Exception, match="header candidates"):
         layout.header_lines(words, "page").collect()
+
+
+def test_worn_labels_come_after_clean_ones(spark):
+    box = lambda i, text, x, y: (1, i, text, float(x), float(y), x + 50.0, y + 10.0)
+    items = spark.createDataFrame(
+        [box(1, "Unlt Name", 0, 0), box(2, "worn", 60, 0), box(3, "Unit Name:", 0, 20), box(4, "A", 60, 22), box(5, "B", 112, 21), box(6, "C", 300, 20), box(7, "Rep0rt No", 0, 40), box(8, "Report Mo", 0, 60), box(9, "x", 60, 60)],
+        "page int, id int, text string, x0 double, y0 double, x1 double, y1 double",
+    )
+    labels = spark.createDataFrame([("Unit Name", "unit"), ("Report No.", "report")], "text string, label string")
+    got = {r.label: r.value for r in layout.label_values(items, labels, "page").collect()}
+    assert got == {"unit": "A B", "report": None}
+    assert layout.label_values(items.limit(0), labels, "page").count() == 0
+
+
+def test_labels_as_like_as_each_other_are_left(spark):
+    items = spark.createDataFrame([(1, 1, "Plant Name A", 0.0, 0.0, 9.0, 9.0), (1, 2, "v", 10.0, 0.0, 19.0, 9.0)], "page int, id int, text string, x0 double, y0 double, x1 double, y1 double")
+    labels = spark.createDataFrame([("Plant Name B", "b"), ("Plant Name C", "c")], "text string, label string")
+    assert layout.label_values(items, labels, "page").count() == 0
+
+
+def test_note_without_anything(spark):
+    notes = spark.createDataFrame([(1, None, None, None, None, "reject")], "doc_id int, header string, body string, cells string, signoff array<string>, outcome string")
+    rows = spark.createDataFrame([], "doc_id int, cml_id string, current string, minimum string, status string")
+    readings = spark.createDataFrame([(1, "c", "1:c", "9.0", None, None)], "doc_id int, cml_id string, evidence_id string, current string, minimum string, breached boolean")
+    found = spark.createDataFrame([], "doc_id int, finding_id string, severity string, evidence_id string")
+    got = {r.check: r.ok for r in scoring.note_checks(notes, rows, readings, found.drop("evidence_id"), found).collect()}
+    assert got == {"row": False, "banner": False, "outcome": False, "findings": True, "ids": False, "placeholders": True, "sign-off": False}
+
+
+def test_page_score_of_nothing_read(spark):
+    truth = spark.createDataFrame([(1, "header", "", "unit", None, False), (1, "reading", "1", "location", "a", False), (1, "reading", "1", "current_mm", "9.10", True), (1, "finding", "F", "severity", "Major", False)], "doc_id int, part string, row string, field string, value string, number boolean")
+    got = truth.drop("number").limit(0)
+    r = scoring.page_score(got, truth).first()
+    assert (r.fields, r.errors, r.critical_fields, r.critical_errors) == (4, 2, 3, 2)
+
+
+def test_numbers_as_printed(spark):
+    df = spark.createDataFrame([("20.0",), ("12.30 mm",), ("-5",), ("100",), ("n/a",), (None,)], "t string")
+    assert [r[0] for r in df.select(scoring.number_as_printed(F.col("t"))).collect()] == ["20", "12.3", "-5", "100", "?n/a", ""]
