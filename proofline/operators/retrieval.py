@@ -44,21 +44,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", k: int = CANDIDATES) -> DataFrame:
     """query_id, key, score, rank0: the k best chunks of any query word; higher is better, ties by key.
 
-    For a batch of at most ``MOST`` queries, whose words go to every task. Chunks are read twice, for counts of the
-    collection and for scores; only words that are wanted leave their row. Chunks without words don't count.
+    For a batch of at most ``MOST`` queries, whose words go to every task. Chunks are read twice, for the size of the
+    collection and for postings; of these only wanted words leave their task, and counts and scores share them.
+    Chunks without words don't count.
     """
     terms = short(query_terms(short(queries, MOST)), MOST_TERMS)
-    wanted = F.array(*[F.lit(t) for (t,) in terms.select("term").distinct().orderBy("term").collect()]).cast("array<string>")
-    rows = chunks.select(key, tokens(F.col("text")).alias("all")).filter(F.size("all") > 0)
-    rows = rows.select(key, F.size("all").alias("len"), F.filter("all", lambda x: F.array_contains(wanted, x)).alias("own"))
-    # one row of counts for each wanted word, and one (null) for the collection
-    each = rows.select("len", F.explode(F.array_append(F.array_distinct("own"), F.lit(None).cast("string"))).alias("term"))
-    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("words"))
-    counts = short(counts, MOST_TERMS + 1)
-    whole = counts.filter("term is null").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avg_len"))
+    wanted = [t for (t,) in terms.select("term").distinct().collect()]
+    size = F.regexp_count(F.lower("text"), F.lit(TOKEN))
+    whole = chunks.select(size.alias("len")).filter("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    each = chunks.select(key, tokens(F.col("text")).alias("all")).select(key, F.size("all").alias("len"), F.explode("all").alias("term"))
+    tf = each.filter(F.col("term").isin(wanted)).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    counts = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each wanted word at most
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weights = terms.join(counts.filter("term is not null"), "term").join(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "avg_len")
-    tf = rows.select(key, "len", F.explode("own").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    weights = terms.join(counts, "term").join(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, key, k)

@@ -172,8 +172,8 @@ def note_readback(spark: Spark, d: str) -> DataFrame:
     return scoring.note_checks(notes, rows, readings, told, findings)
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, k % 7 = 1 AS price, k % 5 = 0 AS status, k % 9 AS f, k % 11 AS r, CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS new FROM orders)
-    SELECT k AS doc_id, 8 AS fields, price::INT + status::INT + CASE f WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN r <= 2 THEN 1 ELSE 0 END + new AS errors, 5 AS critical_fields, CASE WHEN f <= 1 THEN 1 ELSE 0 END + CASE WHEN r <= 1 THEN 1 ELSE 0 END + new AS critical_errors FROM o""")
+@query("""WITH o AS (SELECT o_orderkey AS k, k % 7 = 1 AS price, k % 5 = 0 AS status, k % 9 AS f, k % 11 AS r, CAST(CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS new FROM orders)
+    SELECT k AS doc_id, CAST(8 AS BIGINT) AS fields, price::BIGINT + status::BIGINT + CASE f WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN r <= 2 THEN 1 ELSE 0 END + new AS errors, CAST(5 AS BIGINT) AS critical_fields, CASE WHEN f <= 1 THEN 1 ELSE 0 END + CASE WHEN r <= 1 THEN 1 ELSE 0 END + new AS critical_errors FROM o""")
 def page_score(spark: Spark, d: str) -> DataFrame:
     """Reports read whole, with values wrong, rows gone and rows invented; other ways to print the same value are right."""
     k = F.col("o_orderkey")
