@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import ann, bpe, jaccard, licences, minhash, packing, quality, repeats, tokenstore, wrappers
+from proofline.llm import ann, bpe, divergence, jaccard, langid, licences, minhash, packing, quality, repeats, tokenstore, vcodes, wrappers
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -63,6 +63,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcodes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverge(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -74,7 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokenstore": op8_tokenstore,
     "op9_pages": op9_pages,
     "op10_packing": op10_packing,
+    "op11_codes": op11_codes,
+    "op12_language": op12_language,
+    "op13_divergence": op13_divergence,
     "near_duplicates_minhash": near_duplicates_minhash,
 }
 
-ORACLES: dict[str, str] = {"op4_licences": licences.oracle("documents")}
+ORACLES: dict[str, str] = {"op4_licences": licences.oracle("documents"), "op11_codes": vcodes.oracle("embeddings"), "op13_divergence": divergence.oracle("documents")}

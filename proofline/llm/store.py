@@ -124,10 +124,14 @@ def deal(df: DataFrame, key: str, tasks: int, *order: str) -> DataFrame:
     return df.repartitionById(tasks, F.pmod(F.col(key), F.lit(tasks)).cast("int")).sortWithinPartitions(key, *order)
 
 
-def by_bucket(df: DataFrame, key: str, tasks: int, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def by_bucket(df: DataFrame, key: str, tasks: int, run: Callable[[pa.Table], pa.Table | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``run`` on all rows of each bucket; what ``groupBy`` and ``applyInArrow`` do, but with buckets dealt evenly."""
     at = df.columns.index(key)
 
+    def out(held: list[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        found = run(pa.Table.from_batches(held))
+        return found.to_batches() if isinstance(found, pa.Table) else found
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held, bucket = [], None
@@ -137,12 +141,12 @@ def by_bucket(df: DataFrame, key: str, tasks: int, run: Callable[[pa.Table], pa.
                 if begin == stop:
                     continue
                 if held and keys[begin] != bucket:
-                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    yield from out(held)
                     held = []
                 bucket = keys[begin]
                 held.append(batch.slice(begin, stop - begin))
         if held:
-            yield from run(pa.Table.from_batches(held)).to_batches()
+            yield from out(held)
 
     return deal(df, key, tasks).mapInArrow(stream, schema)
 
