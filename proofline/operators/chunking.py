@@ -13,6 +13,8 @@ FOOTNOTE_MARK, FOOTNOTE_TEXT, TITLE_LINES, TITLE_CHARS = 0.6, 0.96, 4, 12
 TEXT_LAYER_CHARS, TRIAGE_PAGES, SCANNED_CHARS, SCANNED_SHARE = 60, 25, 50, 0.6
 HEADING = r"^(\d{1,2}(?:\.\d+){0,4})\.?\s+([A-Z][^.]{2,110})$"
 HEADING_CHARS, HEADING_SCALE, DOT_LEADER = 120, 1.08, r"\.{6,}"
+#: A number or mark that stands alone.
+BARE = r"^[\d\s]+$"
 #: Shapes that may repeat across documents.
 SHAPES = 100_000
 
@@ -30,10 +32,10 @@ def shape(line: Column, own_id: Column) -> Column:
 def furniture(lines: DataFrame) -> DataFrame:
     """shape, n_docs of what repeats across documents: on half of them at least, and on three.
 
-    lines: doc_id, shape, at_margin. A shape counts once for a document; an empty shape never counts.
+    lines: doc_id, shape, of a whole page, not of its margins alone. A shape counts once for a document; an empty shape never counts.
     """
     n = lines.agg(F.count_distinct("doc_id").alias("all"))
-    seen = lines.filter("at_margin and shape <> ''").groupBy("shape").agg(F.count_distinct("doc_id").alias("n_docs"))
+    seen = lines.filter("shape <> ''").groupBy("shape").agg(F.count_distinct("doc_id").alias("n_docs"))
     return seen.join(F.broadcast(n)).filter((F.col("n_docs") >= REPEAT_COUNT) & (F.col("n_docs") >= REPEAT_SHARE * F.col("all"))).select("shape", "n_docs")
 
 
@@ -56,26 +58,26 @@ def body_height(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.median(F.when(F.length("line") >= BODY_CHARS, F.col("height"))).alias("body"))
 
 
-def split_footnotes(lines: DataFrame, body: DataFrame) -> DataFrame:
-    """Adds footnote: from a small bare number on, after which no line on the page reaches running-text height.
+def split_footnotes(lines: DataFrame, body: DataFrame | None) -> DataFrame:
+    """Adds footnote: from a small bare number on, after which come lines of which none on the page reaches running-text height.
 
-    lines: doc_id, page, pos, line, height.
+    lines: doc_id, page, pos, line, height, and body where no table of it is given.
     """
     page = Window.partitionBy("doc_id", "page")
     rest = F.max("height").over(page.orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
-    rows = lines.join(body, "doc_id")
-    mark = F.trim("line").rlike(r"^\d{1,3}$") & (F.col("height") < FOOTNOTE_MARK * F.col("body")) & (F.coalesce(rest, F.lit(0.0)) < FOOTNOTE_TEXT * F.col("body"))
+    rows = lines if body is None else lines.join(body, "doc_id")
+    mark = F.regexp_like("line", F.lit(BARE)) & (F.col("height") < FOOTNOTE_MARK * F.col("body")) & (rest < FOOTNOTE_TEXT * F.col("body"))
     rows = rows.withColumn("mark", F.when(mark, F.col("pos")))
     first = F.min("mark").over(page)
-    return rows.withColumn("footnote", F.coalesce(F.col("pos") >= first, F.lit(False))).drop("mark", "body")
+    rows = rows.withColumn("footnote", F.coalesce(F.col("pos") >= first, F.lit(False))).drop("mark")
+    return rows if body is None else rows.drop("body")
 
 
 def footnotes(lines: DataFrame) -> DataFrame:
-    """doc_id, page, pos, line: footnote lines with a bare mark glued to the line after it. lines: as above, footnotes only."""
+    """doc_id, page, pos, line: footnote lines, each mark glued to the line after it; a mark that no line follows is nothing. lines: as above, footnotes only."""
     w = Window.partitionBy("doc_id", "page").orderBy("pos")
-    bare = lambda c: F.coalesce(F.trim(c).rlike(r"^\d{1,3}$"), F.lit(False))
-    rows = lines.withColumn("before", F.lag("line").over(w)).withColumn("after", F.lead("line").over(w))
-    rows = rows.filter(~bare(F.col("line")) | F.col("after").isNull())
+    bare = lambda c: F.coalesce(F.regexp_like(c, F.lit(BARE)), F.lit(False))
+    rows = lines.withColumn("before", F.lag("line").over(w)).filter(~bare(F.col("line")))
     return rows.select("doc_id", "page", "pos", F.when(bare(F.col("before")), F.concat_ws(" ", F.trim("before"), "line")).otherwise(F.col("line")).alias("line"))
 
 
@@ -122,9 +124,15 @@ def chunks(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
 
 
 def titles(lines: DataFrame) -> DataFrame:
-    """doc_id, title: the first of a document's top lines that is long enough and not its id."""
-    fine = (F.col("pos") < TITLE_LINES) & (F.length("line") >= TITLE_CHARS) & (F.col("line") != F.col("doc_id").cast("string"))
-    return lines.filter(fine).groupBy("doc_id").agg(F.min_by("line", "pos").alias("title"))
+    """doc_id, title: of a document's first four lines that hold more than digits the first that is long enough and more than its id; else the id.
+
+    lines: doc_id, pos, line. Documents without such lines have their id, too.
+    """
+    own = F.col("doc_id").cast("string")
+    some = F.when(shape(F.col("line"), F.lit("")) != "", F.struct("pos", "line"))
+    top = lines.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(some)), 1, TITLE_LINES).alias("top"))
+    fine = F.filter("top", lambda t: (shape(t["line"], own) != "") & (F.length(t["line"]) >= TITLE_CHARS))
+    return top.select("doc_id", F.coalesce(F.get(fine, F.lit(0))["line"], own).alias("title"))
 
 
 def chunk_boxes(lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ COLUMN_SLACK, BAND_BEFORE, BAND_GAP, SPREAD, MAX_TILT, MIN_RUN = 12, 6, 2, 15.0,
 ROW_PX, ROW_SHARE, READ_STEP, OVERLAP, ALIGNED = 8.0, 0.4, 8, 0.4, 0.6
 VALUE_PX = 6.0
 PITCH_FROM, PITCH_TO, PITCH_SHARE, NEAR_PX, NO_PITCH_PX, LINE_PX = 3, 80, 0.2, 6.0, 8.0, 6.0
+HEADING_FROM, HEADING_MORE = 8, 6
 #: Header candidates of one page that are compared with each other.
 CANDIDATES = 200
 
@@ -221,18 +222,61 @@ def rows_of_text(items: DataFrame, page: str) -> DataFrame:
     """page, row, text, n: items joined into printed rows by a fold over the page's sorted items.
 
     An item joins the open row if its centre is near that of the row's first item: within 8
-    pixels, or 40 % of that item's height. Ties in height go by left edge, then text.
+    pixels, or 40 % of its own height. Ties in height go by left edge, then text.
     """
     item = F.struct(centre_y().alias("c"), F.col("x0").alias("x"), F.col("text").alias("t"), (F.col("y1") - F.col("y0")).alias("h"))
-    start = F.struct(F.array().cast("array<struct<row:int,x:double,t:string>>").alias("out"), F.lit(-1).alias("row"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("h"))
+    start = F.struct(F.array().cast("array<struct<row:int,x:double,t:string>>").alias("out"), F.lit(-1).alias("row"), F.lit(None).cast("double").alias("c"))
 
     def step(acc: Column, i: Column) -> Column:
-        same = F.coalesce(F.abs(i["c"] - acc["c"]) <= F.greatest(F.lit(ROW_PX), ROW_SHARE * acc["h"]), F.lit(False))
+        same = F.coalesce(F.abs(i["c"] - acc["c"]) <= F.greatest(F.lit(ROW_PX), ROW_SHARE * i["h"]), F.lit(False))
         row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
         one = F.struct(row.alias("row"), i["x"].cast("double").alias("x"), i["t"].alias("t"))
-        return F.struct(F.array_append(acc["out"], one).alias("out"), row.alias("row"), F.when(same, acc["c"]).otherwise(i["c"]).alias("c"), F.when(same, acc["h"]).otherwise(i["h"]).alias("h"))
+        return F.struct(F.array_append(acc["out"], one).alias("out"), row.alias("row"), F.when(same, acc["c"]).otherwise(i["c"]).alias("c"))
 
     folded = items.groupBy(page).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda a: a["out"]).alias("out"))
     rows = folded.select(page, F.explode("out").alias("o")).select(page, "o.*")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "t"))), lambda s: s["t"]), " ")
     return rows.groupBy(page, "row").agg(text.alias("text"), F.count("*").alias("n"))
+
+
+def heading_marks(items: DataFrame, sections: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, page, top, bottom, section: the items that are a form's numbered headings, worn print allowed for.
+
+    items: doc_id, page, text, y0, y1; sections: (name, heading as bare letters and digits with its number first), in the form's order. A text that begins
+    with a heading is it. One of eight letters or more, with the same first sign and not much longer (by six), is it if alike enough or one letter away,
+    and clearly ahead of others: the number must be exact, the words may be damaged. Only different texts with such a sign and length are compared.
+    """
+    word = bare(F.col("text"))
+    exact = F.coalesce(*[F.when(F.startswith(F.col("word"), F.lit(t)), F.lit(name)) for name, t in sections])
+    words = items.select(word.alias("word")).distinct().withColumn("exact", exact)
+    each = F.array(*[F.struct(F.lit(t).alias("choice"), F.lit(name).alias("name")) for name, t in sections])
+    fits = lambda c: (F.substring("word", 1, 1) == F.substring(c["choice"], 1, 1)) & (F.length("word") <= F.length(c["choice"]) + HEADING_MORE)
+    hopeful = words.filter(F.col("exact").isNull() & (F.length("word") >= HEADING_FROM)).select("word", F.filter(each, fits).alias("likes")).filter(F.size("likes") > 0)
+    scored = hopeful.select("word", F.explode("likes").alias("l")).select("word", "l.*").withColumn("ratio", alike("word", "choice"))
+    top = scored.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("ratio", "choice", "name")), asc=False).alias("s"))
+    best, after = F.get("s", F.lit(0)), F.coalesce(F.get("s", F.lit(1))["ratio"], F.lit(0.0))
+    fine = ((best["ratio"] >= RATIO) | (F.levenshtein("word", best["choice"]) <= 1)) & (best["ratio"] - after >= LEAD)
+    found = words.filter("exact is not null").select("word", F.col("exact").alias("section")).unionByName(top.filter(fine).select("word", best["name"].alias("section")))
+    return items.withColumn("word", word).join(found, "word").select("doc_id", "page", F.col("y0").alias("top"), F.col("y1").alias("bottom"), "section")
+
+
+def section_spans(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, section, page, top, end: where each section lies, page by page.
+
+    pages: doc_id, page, height, every page of a document; marks: as ``heading_marks`` gives them. A section begins below its heading and ends above the next one; it goes
+    on from the top of the next page if the page doesn't begin with a heading at its very edge. What stands before the first heading is in none.
+    """
+    own = marks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("top", "bottom", "section"))).alias("marks"))
+    rows = pages.join(own, ["doc_id", "page"], "left")
+    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("open", F.last(F.element_at("marks", -1)["section"], ignorenulls=True).over(before)).withColumn("marks", F.coalesce("marks", F.array()))
+    first = F.get("marks", F.lit(0))["top"]
+    span = lambda section, top, end: F.struct(section.alias("section"), top.cast("double").alias("top"), end.cast("double").alias("end"))
+    goes_on = F.when(F.col("open").isNotNull() & (F.coalesce(first, F.lit(1.0)) > 0), F.array(span(F.col("open"), F.lit(0.0), F.coalesce(first, F.col("height")))))
+    here = F.transform("marks", lambda m, i: span(m["section"], m["bottom"], F.coalesce(F.get("marks", i + 1)["top"], F.col("height"))))
+    return rows.select("doc_id", "page", F.inline(F.concat(F.coalesce(goes_on, F.array()), here))).select("doc_id", "section", "page", "top", "end")
+
+
+def in_spans(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """Items with the section in whose span their centre lies, both ends included; one on an end of two spans is in both."""
+    return items.join(spans, ["doc_id", "page"]).filter(centre_y().between(F.col("top"), F.col("end")))

@@ -129,9 +129,9 @@ def section_regions(spark: Spark, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {ITEMS}, s AS (SELECT page, text, x0, (y0 + y1) / 2 AS c, y1 - y0 AS h, row_number() OVER (PARTITION BY page ORDER BY (y0 + y1) / 2, x0, text, y1 - y0) AS k FROM items),
-    f AS (SELECT page, k, text, x0, c, h, 0 AS "row" FROM s WHERE k = 1
-        UNION ALL SELECT s.page, s.k, s.text, s.x0, CASE WHEN abs(s.c - f.c) <= greatest(8.0, 0.4 * f.h) THEN f.c ELSE s.c END, CASE WHEN abs(s.c - f.c) <= greatest(8.0, 0.4 * f.h) THEN f.h ELSE s.h END,
-        CASE WHEN abs(s.c - f.c) <= greatest(8.0, 0.4 * f.h) THEN f."row" ELSE f."row" + 1 END FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1)
+    f AS (SELECT page, k, text, x0, c, 0 AS "row" FROM s WHERE k = 1
+        UNION ALL SELECT s.page, s.k, s.text, s.x0, CASE WHEN abs(s.c - f.c) <= greatest(8.0, 0.4 * s.h) THEN f.c ELSE s.c END,
+        CASE WHEN abs(s.c - f.c) <= greatest(8.0, 0.4 * s.h) THEN f."row" ELSE f."row" + 1 END FROM f JOIN s ON s.page = f.page AND s.k = f.k + 1)
     SELECT page, "row", string_agg(text, ' ' ORDER BY x0, text) AS text, count(*) AS n FROM f GROUP BY page, "row" """)
 def doc_lines(spark: Spark, d: str) -> DataFrame:
     return layout.rows_of_text(T.items(spark, d), "page")

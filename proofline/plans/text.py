@@ -32,16 +32,16 @@ EDGE = "(pos < 2 OR pos % 4 = 3)"
 
 
 @query(f"""WITH {LINES}, s AS (SELECT o.o_custkey % 8 AS doc_id, substr(o_orderpriority, 1, 1) || (o_orderkey % 900) AS line, o_orderkey % 4 = 0 AS m FROM orders o),
-    p AS (SELECT doc_id, lower(regexp_replace(line, '[0-9\\s]', '', 'g')) || (CASE WHEN length(line) > 3 THEN 'x' || doc_id % 3 ELSE 'y' END) AS shape FROM s WHERE m)
+    p AS (SELECT doc_id, lower(regexp_replace(line, '[0-9\\s]', '', 'g')) || (CASE WHEN length(line) > 3 THEN 'x' || doc_id % 3 WHEN m THEN 'y' ELSE 'z' END) AS shape FROM s)
     SELECT shape, count(DISTINCT doc_id) AS n_docs FROM p GROUP BY shape HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.5 * (SELECT count(DISTINCT doc_id) FROM s)""")
 def furniture(spark: Spark, d: str) -> DataFrame:
     o = table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("doc_id"), F.concat(F.substring("o_orderpriority", 1, 1), F.col("o_orderkey") % 900).alias("line"), (F.col("o_orderkey") % 4 == 0).alias("at_margin"))
-    tail = F.when(F.length("line") > 3, F.concat(F.lit("x"), F.col("doc_id") % 3)).otherwise("y")
+    tail = F.when(F.length("line") > 3, F.concat(F.lit("x"), F.col("doc_id") % 3)).when(F.col("at_margin"), "y").otherwise("z")
     return chunking.furniture(o.withColumn("shape", F.concat(F.lower(F.regexp_replace("line", r"[\d\s]", "")), tail)))
 
 
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, pos // 4 AS page, {SHAPE} AS shape, {EDGE} AS edge FROM lines),
-    r AS (SELECT shape FROM s WHERE edge AND shape <> '' GROUP BY shape HAVING count(DISTINCT doc_id) >= 3 AND 2 * count(DISTINCT doc_id) >= (SELECT count(DISTINCT doc_id) FROM s)),
+    r AS (SELECT shape FROM s WHERE shape <> '' GROUP BY shape HAVING count(DISTINCT doc_id) >= 3 AND 2 * count(DISTINCT doc_id) >= (SELECT count(DISTINCT doc_id) FROM s)),
     n AS (SELECT doc_id, count(DISTINCT page) AS n FROM s GROUP BY doc_id), o AS (SELECT doc_id, shape FROM s JOIN n USING (doc_id) WHERE shape <> '' GROUP BY doc_id, shape, n HAVING n >= 3 AND 2 * count(DISTINCT page) >= n)
     SELECT doc_id, count(*) AS kept FROM s WHERE NOT (edge AND shape <> '' AND (shape IN (SELECT shape FROM r) OR (doc_id, shape) IN (SELECT doc_id, shape FROM o))) GROUP BY doc_id""")
 def furniture_removed(spark: Spark, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def body_median(spark: Spark, d: str) -> DataFrame:
 
 NOTES = """n AS (SELECT l_orderkey AS doc_id, l_linenumber // 4 AS page, l_partkey * 100000 + l_suppkey * 100 + l_linenumber AS pos, CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS VARCHAR) ELSE 'text ' || l_partkey END AS line,
     CASE WHEN l_returnflag = 'R' THEN 5.0 WHEN l_linestatus = 'F' THEN 8.0 ELSE 11.0 END::DOUBLE AS height FROM lineitem GROUP BY ALL),
-    m AS (SELECT *, regexp_matches(trim(line), '^[0-9]{1,3}$') AND height < 0.6 * 11 AND coalesce(max(height) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) < 0.96 * 11 AS mark FROM n),
+    m AS (SELECT *, regexp_full_match(line, '[0-9\\s]+') AND height < 0.6 * 11 AND max(height) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < 0.96 * 11 AS mark FROM n),
     f AS (SELECT *, coalesce(pos >= min(CASE WHEN mark THEN pos END) OVER (PARTITION BY doc_id, page), false) AS footnote FROM m)"""
 
 
@@ -77,8 +77,8 @@ def footnote_split(spark: Spark, d: str) -> DataFrame:
     return noted(spark, d).select("doc_id", "pos", "line", "footnote")
 
 
-@query(f"""WITH {NOTES}, w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, page ORDER BY pos) AS bef, lead(line) OVER (PARTITION BY doc_id, page ORDER BY pos) AS aft FROM f WHERE footnote)
-    SELECT doc_id, pos, CASE WHEN regexp_matches(trim(bef), '^[0-9]{{1,3}}$') THEN trim(bef) || ' ' || line ELSE line END AS line FROM w WHERE aft IS NULL OR NOT regexp_matches(trim(line), '^[0-9]{{1,3}}$')""")
+@query(f"""WITH {NOTES}, w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id, page ORDER BY pos) AS bef FROM f WHERE footnote)
+    SELECT doc_id, pos, CASE WHEN regexp_full_match(bef, '[0-9\\s]+') THEN trim(bef) || ' ' || line ELSE line END AS line FROM w WHERE NOT regexp_full_match(line, '[0-9\\s]+')""")
 def footnote_sections(spark: Spark, d: str) -> DataFrame:
     return chunking.footnotes(noted(spark, d).filter("footnote")).select("doc_id", "pos", "line")
 
@@ -115,9 +115,19 @@ def chunks(spark: Spark, d: str) -> DataFrame:
     return chunking.chunks(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk", F.sha2("text", 256).alias("sha256"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, arg_min(line, pos) AS title FROM lines WHERE pos < 4 AND length(line) >= 12 AND line <> CAST(doc_id AS VARCHAR) GROUP BY doc_id")
+LEADING = "CASE doc_id % 4 WHEN 0 THEN '12' || chr(10) || doc_id || chr(10) WHEN 1 THEN chr(10) || ' ' || chr(10) || '3' || chr(10) || chr(10) || chr(10) WHEN 2 THEN 'Short' || chr(10) || doc_id || ' / 4' || chr(10) ELSE '' END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split({LEADING} || coalesce(text, ''), chr(10)) AS l FROM documents)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM l WHERE regexp_replace(line, '[0-9\\s]', '', 'g') <> ''),
+    t AS (SELECT doc_id, arg_min(line, pos) AS title FROM n WHERE nth <= 4 AND length(line) >= 12 AND {SHAPE} <> '' GROUP BY doc_id)
+    SELECT doc_id, coalesce(title, CAST(doc_id AS VARCHAR)) AS title FROM documents LEFT JOIN t USING (doc_id)""")
 def titles(spark: Spark, d: str) -> DataFrame:
-    return chunking.titles(lines(spark, d))
+    """Titles of documents of which some begin with page numbers, empty lines or their own id."""
+    m, own, n = F.col("doc_id") % 4, F.col("doc_id").cast("string"), F.lit("\n")
+    leading = F.when(m == 0, F.concat(F.lit("12\n"), own, n)).when(m == 1, F.lit("\n \n3\n\n\n")).when(m == 2, F.concat(F.lit("Short\n"), own, F.lit(" / 4\n"))).otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", F.concat(leading, F.coalesce("text", F.lit(""))).alias("text"))
+    return chunking.titles(chunking.lines_of(docs))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, pos // 5 AS chunk, sha256(string_agg(line, chr(10) ORDER BY pos)) AS sha256, min(pos // 3) AS first_page, max(pos // 3) AS last_page, CAST(max(length(line)) AS DOUBLE) AS x1 FROM lines GROUP BY 1, 2""")
