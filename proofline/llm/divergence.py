@@ -35,7 +35,7 @@ from proofline.llm import store
 #: Fixed values of the query: documents that hold a term, terms listed of each group.
 LEAST, TOP = 3, 200
 #: Different (group, term) pairs that a task holds, bytes of text taken apart at once, rows of a bucket.
-HELD, BLOCK, ROWS = 400_000, 1 << 22, 300_000
+HELD, BLOCK, ROWS = 400_000, 1 << 22, 100_000
 #: Numbers of a tile, of what is computed at once, and of a pair matrix held.
 TILE = 1 << 20
 PAIRS = 1 << 22
@@ -148,7 +148,6 @@ OUT = "lang string, g int, term binary, value long, against array<long>"
 
 def diverge(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: each group against the other sources of its language, and its most telling terms."""
-    spark = docs.sparkSession
     known = Window.partitionBy("lang", "term")
     seen = counted(docs).withColumns({"all": F.sum("docs").over(known), "whole": F.sum("n").over(known), "nth": F.row_number().over(known.orderBy("source"))})
     kept = store.table(seen.filter(F.col("all") >= least).select("lang", "source", "term", "n", "whole", "nth"), "kept")
@@ -159,7 +158,7 @@ def diverge(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = names.join(own, ["lang", "source"], "left").join(by_lang, "lang", "left").select("lang", "source", number.cast("int").alias("g"), none("n"), none("lang_n"), none("v"))
     groups = store.table(groups, "groups")
-    tasks = store.buckets(spark, kept.count(), ROWS)
+    tasks = max(1, -(-kept.count() // ROWS))  # by the rows alone, as each sends a matrix of all pairs
     heads = groups.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("bucket"), "lang", "source", F.lit(None).cast("string").alias("term"), (F.col("n") + F.col("v")).alias("n"), (F.col("lang_n") + F.col("v")).alias("whole"), "g")
     rows = kept.select(F.pmod(F.xxhash64("lang", "term"), F.lit(tasks)).cast("int").alias("bucket"), "lang", "source", "term", "n", "whole", F.lit(None).cast("int").alias("g"))
 
