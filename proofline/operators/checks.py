@@ -62,9 +62,43 @@ def private_address(host: Column) -> Column:
     return host.rlike(rf"^(?:{PRIVATE})$") | host.rlike(r"^169\.254(?:\.\d{1,3}){2}$")
 
 
+# Special ranges of addresses, as the registries list them.
+LOCAL_V4 = ("0.0.0.0/8", "10.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+SHARED_V4 = ("192.0.0.9", "192.0.0.10")
+LOCAL_V6 = r"^(?:f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|100::|0?64:ff9b:1:|2001:0?db8:|2001:0{0,3}:|2001::|2002:|3fff:0?[0-9a-f]{0,3}:)"
+V4, V6 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}$", r"^(?=.*:)(?!.*::.*::)[0-9a-f:]*(?:::|:)[0-9a-f:]*$"
+
+
+def v4_number(address: Column) -> Column:
+    """An IPv4 address as a number; null for anything else."""
+    octets = F.split(address, r"\.")
+    at = lambda i: F.get(octets, F.lit(i)).try_cast("long")
+    return F.when(address.rlike(V4), at(0) * (1 << 24) + at(1) * (1 << 16) + at(2) * (1 << 8) + at(3))
+
+
+def v4_range(network: str) -> tuple[int, int]:
+    """The first and last address of a network, as numbers."""
+    first, bits = network.split("/")
+    low = sum(int(o) << (24 - 8 * i) for i, o in enumerate(first.split(".")))
+    return low, low + (1 << (32 - int(bits))) - 1
+
+
 def scope(address: Column) -> Column:
-    """loopback, local or external."""
-    return F.when(address.rlike(r"^127\.|^::1$|^localhost$"), "loopback").when(private_address(address), "local").otherwise("external")
+    """loopback, local (private, link-local or reserved) or external; null for what is no address, and for 0.0.0.0 and ::.
+
+    A zone (%eth0) doesn't count; an IPv4 address mapped into IPv6 counts as itself.
+    """
+    bare = F.lower(F.substring_index(address, "%", 1))
+    mapped = F.regexp_extract(bare, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    number = v4_number(F.when(mapped != "", mapped).otherwise(bare))
+    low, high = v4_range("127.0.0.0/8")
+    local = functools.reduce(lambda a, b: a | b, [number.between(*v4_range(n)) for n in LOCAL_V4]) & ~number.isin(*[v4_range(f"{a}/32")[0] for a in SHARED_V4])
+    v4 = F.when(number == 0, None).when(number.between(low, high), "loopback").when(local, "local").otherwise("external")
+    digits = F.size(F.filter(F.split(bare, ":"), lambda x: x != ""))
+    whole = bare.rlike(V6) & ~bare.rlike(r"[0-9a-f]{5}") & F.when(F.contains(bare, F.lit("::")), digits <= 7).otherwise((digits == 8) & bare.rlike(r"^[0-9a-f].*[0-9a-f]$"))
+    zeros = F.regexp_replace(F.regexp_replace(bare, r"^(?:0+:)*:?", ""), "^0+(?=.)", "")
+    v6 = F.when(zeros.isin("", "0"), None).when((zeros == "1") & bare.rlike(r"^(?:0*:)+0*1$"), "loopback").when(bare.rlike(LOCAL_V6), "local").otherwise("external")
+    return F.when(number.isNotNull(), v4).when(whole, v6)
 
 
 def page_title(html: Column) -> Column:
@@ -250,9 +284,11 @@ def plan_problems(steps: DataFrame, kinds: DataFrame, limit: int, parts: DataFra
 
 
 def netstat(text: Column) -> Column:
-    """The established TCP connections in a listing, as (local, local_port, remote, remote_port, pid): one for each line."""
-    line = r"(?m)^\s*TCP\s+(\S+):(\d+)\s+(\S+):(\d+)\s+ESTABLISHED\s+(\d+)\s*$"
-    part = lambda x, i: F.regexp_extract(x, line, i)
-    bare = lambda x: F.regexp_replace(x, r"^\[|\]$", "")
-    row = lambda x: F.struct(bare(part(x, 1)).alias("local"), part(x, 2).cast("int").alias("local_port"), bare(part(x, 3)).alias("remote"), part(x, 4).cast("int").alias("remote_port"), part(x, 5).cast("long").alias("pid"))
-    return F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(0)), row)
+    """The TCP connections in a listing but those that only listen, as (local, remote, state, pid): one for each line; remote is the address alone, without brackets or zone.
+
+    A line has five parts at least: TCP, two addresses with ports, a state, a number.
+    """
+    parts = F.transform(F.split(text, r"\r?\n"), lambda line: F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
+    fine = F.filter(parts, lambda p: (F.size(p) >= 5) & (F.get(p, F.lit(0)) == "TCP") & F.get(p, F.lit(4)).rlike(r"^\d+$") & (F.get(p, F.lit(3)) != "LISTENING"))
+    host = lambda a: F.substring_index(F.regexp_replace(F.regexp_extract(a, "^(.*):[^:]*$", 1), r"^\[|\]$", ""), "%", 1)
+    return F.transform(fine, lambda p: F.struct(F.get(p, F.lit(1)).alias("local"), host(F.get(p, F.lit(2))).alias("remote"), F.get(p, F.lit(3)).alias("state"), F.get(p, F.lit(4)).cast("long").alias("pid")))

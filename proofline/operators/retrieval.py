@@ -18,6 +18,8 @@ IDENTIFIERS = (
     r"\b[A-Z]{2,}\s+\d+[A-Z]?(?:\s+(?:Cl|Sec|Part|Div)\.?\s*[0-9IVX]+(?:\.\d+)*)+",
 )
 TOKEN = "[a-z0-9]+"
+#: A word printed in lower case; letters, digits and signs of all scripts go on a word.
+LOWER = r"(?U)\b[a-z]+\b"
 #: Queries of a batch that are compared with every row.
 MOST, MOST_TERMS = 1000, 20_000
 
@@ -32,8 +34,8 @@ def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:
-    """The lower-case words of the collection."""
-    return chunks.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    """term: the words printed in lower case somewhere in the collection: ordinary words, as names never are."""
+    return chunks.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LOWER), F.lit(0)))).alias("term")).distinct()
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

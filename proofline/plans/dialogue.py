@@ -115,17 +115,29 @@ def plan_coverage(spark: Spark, d: str) -> DataFrame:
     return checks.plan_problems(steps, kinds, 15, parts, documents, requests)
 
 
-@query("""SELECT event_id, event_id % 60000 AS local_port, CASE WHEN event_id % 3 = 0 THEN '::1' ELSE '10.0.0.' || event_id % 9 END AS remote, 443 AS remote_port, event_id + 4 AS pid, CASE WHEN event_id % 3 = 0 THEN 'loopback' ELSE 'local' END AS scope FROM events
-    UNION ALL SELECT event_id, 80, '8.8.4.4', 53, 7, 'external' FROM events WHERE event_id % 2 = 0""")
+#: The twin's ranges, from the same registries, as numbers between which an address is local.
+LOCAL = "(n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 2886729728 AND 2887778303 OR (n BETWEEN 3221225472 AND 3221225727 AND n NOT IN (3221225481, 3221225482)) OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n >= 4026531840)"
+STATES = "ESTABLISHED TIME_WAIT LISTENING SYN_SENT".split()
+FIRSTS = [0, 10, 127, 169, 172, 192, 198, 203, 8, 224, 240, 255]
+
+
+@query(f"""WITH a AS (SELECT event_id, event_id % 5 AS m, event_id % 4 AS st, [{", ".join(map(str, FIRSTS))}][CAST(event_id % {len(FIRSTS)} + 1 AS INTEGER)] AS a, CASE WHEN event_id % 3 = 0 THEN [0, 2, 16, 18, 51, 100, 168, 254, 31, 19][CAST(event_id // 12 % 10 + 1 AS INTEGER)] ELSE event_id * 37 % 256 END AS b, event_id // 7 % 256 AS c, event_id // 11 % 256 AS e FROM events),
+    n AS (SELECT *, a::BIGINT * 16777216 + b * 65536 + c * 256 + e AS n, a || '.' || b || '.' || c || '.' || e AS v4 FROM a),
+    r AS (SELECT event_id, ['ESTABLISHED', 'TIME_WAIT', 'LISTENING', 'SYN_SENT'][CAST(st + 1 AS INTEGER)] AS state, event_id + 4 AS pid, CASE m WHEN 0 THEN 'fe80::' || to_hex(c + 1) WHEN 1 THEN '2a01:' || to_hex(b + 1) || '::' || to_hex(c + 1) ELSE v4 END AS remote,
+        CASE m WHEN 0 THEN 'local' WHEN 1 THEN 'external' ELSE CASE WHEN n = 0 THEN NULL WHEN n BETWEEN 2130706432 AND 2147483647 THEN 'loopback' WHEN {LOCAL} THEN 'local' ELSE 'external' END END AS scope FROM n)
+    SELECT event_id, lower(remote) AS remote, state, pid, scope FROM r WHERE state <> 'LISTENING' AND scope IS NOT NULL""")
 def connections(spark: Spark, d: str) -> DataFrame:
-    """Listings of connections as rows: the established ones, with the scope of the other end."""
-    e, i = table(spark, d, "events"), F.col("event_id")
-    remote = F.when(i % 3 == 0, "[::1]").otherwise(F.concat(F.lit("10.0.0."), i % 9))
-    head = F.lit("Active Connections\n\n  Proto  Local Address  Foreign Address  State  PID\n  TCP    0.0.0.0:135   0.0.0.0:0   LISTENING   9\n  UDP    0.0.0.0:53   *:*   3\n")
-    first = F.concat(F.lit("  TCP    127.0.0.1:"), i % 60000, F.lit("   "), remote, F.lit(":443   ESTABLISHED   "), i + 4)
-    second = F.when(i % 2 == 0, "\n  TCP    192.168.1.2:80   8.8.4.4:53   ESTABLISHED   7\n").otherwise("\n  TCP    192.168.1.2:80   8.8.4.4:53   TIME_WAIT   7\n")
-    rows = e.select("event_id", F.inline(checks.netstat(F.concat(head, first, second))))
-    return rows.select("event_id", "local_port", "remote", "remote_port", "pid", checks.scope(F.col("remote")).alias("scope"))
+    """Listings of connections as rows, of all states but listening, with the scope of the other end; without unspecified ends and lines that are none."""
+    i = F.col("event_id")
+    some = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    a, c, e = some(FIRSTS, i % len(FIRSTS)), F.floor(i / 7) % 256, F.floor(i / 11) % 256
+    b = F.when(i % 3 == 0, some([0, 2, 16, 18, 51, 100, 168, 254, 31, 19], F.floor(i / 12) % 10)).otherwise(i * 37 % 256)
+    v6 = F.when(i % 5 == 0, F.concat(F.lit("fe80::"), F.hex(c + 1), F.lit("%eth"), i % 3)).when(i % 5 == 1, F.concat(F.lit("2a01:"), F.hex(b + 1), F.lit("::"), F.hex(c + 1)))
+    remote = F.coalesce(F.concat(F.lit("["), v6, F.lit("]")), F.concat_ws(".", a, b, c, e))
+    head = "Active Connections\r\n\r\n  Proto  Local Address  Foreign Address  State  PID\r\n  TCP    0.0.0.0:135   0.0.0.0:0   LISTENING   9\r\n  UDP    0.0.0.0:53   *:*   3\r\n  TCP  [::]:80  [::]:0  CLOSE_WAIT  5\r\n  TCP  1.2.3.4:9  printer:0  ESTABLISHED  5\r\n"
+    line = F.concat(F.lit("  TCP    127.0.0.1:"), i % 60000, F.lit("   "), remote, F.lit(":443   "), some(STATES, i % 4), F.lit("   "), i + 4, F.lit("\r\n"))
+    rows = table(spark, d, "events").select("event_id", F.inline(checks.netstat(F.concat(F.lit(head), line))))
+    return rows.select("event_id", F.lower("remote").alias("remote"), "state", "pid", checks.scope(F.col("remote")).alias("scope")).filter("scope is not null")
 
 
 @query("""SELECT o_orderkey AS key, 'enter your name' AS problem FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'action must be confirm or remeasure' FROM orders WHERE o_orderkey % 5 IN (0, 1)""")

@@ -40,7 +40,7 @@ def postings(spark: Spark, d: str) -> DataFrame:
     return R.postings(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("most"))
 
 
-@query(f"SELECT DISTINCT unnest({TOKENS}) AS term FROM documents")
+@query(r"SELECT DISTINCT word AS term FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{M}\p{N}_]+')) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]+')")
 def vocabulary(spark: Spark, d: str) -> DataFrame:
     return R.vocabulary(docs(spark, d))
 
