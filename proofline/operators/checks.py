@@ -96,8 +96,7 @@ def scope(address: Column) -> Column:
     v4 = F.when(number == 0, None).when(number.between(low, high), "loopback").when(local, "local").otherwise("external")
     digits = F.size(F.filter(F.split(bare, ":"), lambda x: x != ""))
     whole = bare.rlike(V6) & ~bare.rlike(r"[0-9a-f]{5}") & F.when(F.contains(bare, F.lit("::")), digits <= 7).otherwise((digits == 8) & bare.rlike(r"^[0-9a-f].*[0-9a-f]$"))
-    zeros = F.regexp_replace(F.regexp_replace(bare, r"^(?:0+:)*:?", ""), "^0+(?=.)", "")
-    v6 = F.when(zeros.isin("", "0"), None).when((zeros == "1") & bare.rlike(r"^(?:0*:)+0*1$"), "loopback").when(bare.rlike(LOCAL_V6), "local").otherwise("external")
+    v6 = F.when(bare.rlike("^[0:]+$"), None).when(bare.rlike("^[0:]*:0*1$"), "loopback").when(bare.rlike(LOCAL_V6), "local").otherwise("external")
     return F.when(number.isNotNull(), v4).when(whole, v6)
 
 
