@@ -97,7 +97,7 @@ def test_a_small_library(spark):
     for doc in ("D-1", "D-2", "D-3"):
         for page in (1, 2, 3):
             put(doc, page, f"Report {doc} page {page}", y=5)
-            put(doc, page, body + f" {page}")
+            put(doc, page, body + f" {page}", y=60)
             put(doc, page, f"{page}. Scope of it", bold=page != 2)
             put(doc, page, "1. Scope ....... 4", bold=True)
             put(doc, page, body + " again")
