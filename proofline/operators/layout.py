@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from proofline.functions.exact import bare
 from proofline.functions.sizes import short
@@ -15,8 +18,6 @@ ROW_PX, ROW_SHARE, READ_STEP, OVERLAP, ALIGNED = 8.0, 0.4, 8, 0.4, 0.6
 VALUE_PX = 6.0
 PITCH_FROM, PITCH_TO, PITCH_SHARE, NEAR_PX, NO_PITCH_PX, LINE_PX = 3, 80, 0.2, 6.0, 8.0, 6.0
 HEADING_FROM, HEADING_MORE = 8, 6
-#: Header candidates of one page that are compared with each other.
-CANDIDATES = 200
 
 
 def centre_y(y0: str = "y0", y1: str = "y1") -> Column:
@@ -57,18 +58,61 @@ def header_lines(words: DataFrame, page: str) -> DataFrame:
 
     words: page, id, field, is_exact, x, y. Each pair of words on a page far enough apart and not
     too steep proposes a line; words within reach of it belong to it. Most fields win, then most
-    exact words, then the topmost. Words of a page's header candidates are few by nature; more than ``CANDIDATES`` are an error.
+    exact words, then the topmost (by the line's first word), then the first pair. Seen from one word, each other is on the lines of an interval of
+    slopes: a sweep over the sorted slopes counts them, so a page takes the square of its words times a logarithm, and may have any number.
     """
-    many = F.count("*").over(Window.partitionBy(page)) > CANDIDATES
-    words = words.withColumn("x", F.when(many, F.raise_error(F.lit(f"a page has more than {CANDIDATES} header candidates")).cast("double")).otherwise(F.col("x")))
-    a, b = words.select(page, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("id").alias("a")), words.select(page, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("id").alias("b"))
-    slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
-    far = F.abs(F.col("bx") - F.col("ax")) >= MIN_RUN
-    lines = a.join(b, page).filter(far & (F.abs(slope) <= MAX_TILT)).withColumn("slope", slope)
-    on = lines.join(words, page).filter(F.abs(F.col("y") - (F.col("ay") + F.col("slope") * (F.col("x") - F.col("ax")))) <= SPREAD)
-    of = on.groupBy(page, "a", "b").agg(F.count_distinct("field").alias("fields"), F.count_if("is_exact").alias("exact"), F.min(F.struct("id", "y")).alias("f"))
-    best = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("fields"), F.desc("exact"), F.col("f.y"), "a", "b"))
-    return of.withColumn("nth", best).filter("nth = 1").select(page, "fields", "exact", F.col("f.y").alias("top"))
+    kind = {f.name: f.dataType for f in words.schema.fields}
+    rows = words.select(page, "id", "field", "is_exact", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    schema = StructType([StructField(page, kind[page]), StructField("fields", LongType()), StructField("exact", LongType()), StructField("top", DoubleType())])
+    return rows.groupBy(page).applyInPandas(lambda g: best_line(g, page), schema)
+
+
+def best_line(g: pd.DataFrame, page: str) -> pd.DataFrame:
+    """The best line of one page's words, by a sweep for each word."""
+    g = g.sort_values("id", kind="stable").reset_index(drop=True)
+    x, y, exact = g["x"].to_numpy(), g["y"].to_numpy(), g["is_exact"].fillna(False).to_numpy(bool)
+    codes = pd.factorize(g["field"])[0]
+    best = None
+    for a in range(len(g)):
+        with np.errstate(all="ignore"):
+            slopes = (y - y[a]) / (x - x[a])
+        far = (np.abs(x - x[a]) >= MIN_RUN) & (np.abs(slopes) <= MAX_TILT)
+        if not far.any():
+            continue
+        partner = np.flatnonzero(far)
+        partner = partner[np.argsort(slopes[partner], kind="stable")]
+        s = slopes[partner]
+        on = lambda w, i: np.abs(y[w] - (y[a] + s[i] * (x[w] - x[a]))) <= SPREAD
+        with np.errstate(all="ignore"):
+            ends = np.sort(np.stack([(y - y[a] - SPREAD) / (x - x[a]), (y - y[a] + SPREAD) / (x - x[a])]), axis=0)
+        level = x == x[a]
+        first = np.where(level, 0, np.searchsorted(s, ends[0]))
+        stop = np.where(level, np.where(np.abs(y - y[a]) <= SPREAD, len(s), 0), np.searchsorted(s, ends[1], side="right"))
+        every = np.arange(len(g))
+        for _ in range(2):  # the interval's ends are rounded: the rule itself decides beside them
+            wider = ~level & (first > 0)
+            first -= wider & on(every, np.maximum(first - 1, 0))
+            wider = ~level & (stop < len(s))
+            stop += wider & on(every, np.minimum(stop, len(s) - 1))
+            narrow = ~level & (first < stop)
+            first += narrow & ~on(every, np.minimum(first, len(s) - 1))
+            narrow = ~level & (first < stop)
+            stop -= narrow & ~on(every, np.maximum(stop - 1, 0))
+        held = first < stop
+        count = lambda of: np.cumsum(np.bincount(first[of], minlength=len(s) + 1) - np.bincount(stop[of], minlength=len(s) + 1))[:-1]
+        fields = sum((count(held & (codes == c)) > 0).astype(np.int64) for c in range(codes.max() + 1))
+        n_exact = count(held & exact)
+        top = max(zip(fields.tolist(), n_exact.tolist(), strict=True))
+        if best is not None and top < best[0]:
+            continue
+        for i in np.flatnonzero((fields == top[0]) & (n_exact == top[1])).tolist():
+            begins = int(np.flatnonzero(held & (first <= i) & (i < stop))[0])
+            one = (top, (-y[begins]), [-a, -int(partner[i])])
+            if best is None or one > best:
+                best = one
+    if best is None:
+        return pd.DataFrame({page: [], "fields": [], "exact": [], "top": []})
+    return pd.DataFrame({page: [g[page].iloc[0]], "fields": [best[0][0]], "exact": [best[0][1]], "top": [-best[1]]})
 
 
 def to_columns(items: DataFrame, columns: list[tuple[str, float]]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from proofline.functions.sizes import short
 
 # Thresholds of the checks.
 RATIO, LEAD, ONE_EDIT_FROM = 0.88, 0.04, 5
+#: Likeness down to which choices can matter: to words of a few letters, which one edit changes most, and to others.
+NEAR_SHORT, NEAR, SHORT_WORD = 0.76, 0.84, 8
 MIN_SCORE, INK_FLOOR, INK_FACTOR = 0.90, 15, 4
 
 
@@ -25,21 +28,64 @@ def alike(a: str, b: str) -> Column:
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
+def layouts(lengths: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(word's length, choice's length, segment, its start and size, shift) by which words and choices that may be alike must meet.
+
+    Words alike by t share all but k = (1 - t) (a + b) of their letters, in order. So of k + 1 segments of the choice one stands in the word whole, moved
+    by k places at most. Short words, which one edit makes less alike, are compared further down.
+    """
+    out = []
+    for b in lengths:
+        for a in range(1, 2 * b + 2):
+            t = NEAR_SHORT if a <= SHORT_WORD else NEAR
+            k = int((1 - t) * (a + b) + 1e-9)
+            if abs(a - b) <= k:
+                cuts = [i * b // (k + 1) for i in range(k + 2)]
+                for i, (begin, end) in enumerate(pairwise(cuts)):
+                    out += [(a, b, i, begin, end - begin, d) for d in range(-k, k + 1) if 0 <= begin + d and begin + d + end - begin <= a] if end > begin else [(a, b, i, 0, 0, 0)]
+    return out
+
+
+def survivors(words: DataFrame, choices: DataFrame) -> DataFrame:
+    """word, choice: the pairs that may be alike enough, or nearly, to matter; found by segments, so that words and choices are never crossed whole.
+
+    A segment without letters, as of choices shorter than their number of segments, is met by all words of the length it stands for.
+    """
+    spark = words.sparkSession
+    lengths = [r[0] for r in choices.select(F.length("choice").alias("n")).distinct().collect()]
+    plan = short(spark.createDataFrame(layouts(sorted(lengths)), "a int, b int, i int, begin int, size int, shift int"), 5_000_000)
+    cut = lambda text, at: F.substr(text, at + 1, F.col("size"))
+    left = words.withColumn("a", F.length("word")).join(plan, "a").select("word", "a", "b", "i", cut(F.col("word"), F.col("begin") + F.col("shift")).alias("segment")).distinct()
+    right = choices.withColumn("b", F.length("choice")).join(plan.select("a", "b", "i", "begin", "size").distinct(), "b").select("choice", "a", "b", "i", cut(F.col("choice"), F.col("begin")).alias("segment"))
+    both = left.join(right, ["a", "b", "i", "segment"]).select("word", "choice").distinct()
+    # a distance of d edits leaves at most a + b - d letters in common, counted twice
+    most = F.length("word") + F.length("choice")
+    least = F.when(F.length("word") <= SHORT_WORD, NEAR_SHORT).otherwise(NEAR)
+    return both.filter(F.levenshtein("word", "choice") <= (1 - least) * most + 1e-9)
+
+
 def closest(words: DataFrame, choices: DataFrame) -> DataFrame:
-    """word, choice, how: each word's choice from a short closed set, or none.
+    """word, choice, how: each word's choice from a closed set, or none.
 
     An exact hit wins; otherwise the most alike choice (of equals the later by letters) counts if
-    it is alike enough, or one edit away for words of five letters or more, and clearly ahead.
+    it is alike enough, or one edit away for words of five letters or more, and clearly ahead. Only pairs that can matter to this are compared: those of at least the
+    likeness of a choice that counts, less the lead. The rare words whose best choice is less alike than that, though one edit away, meet all choices.
     """
-    words = words.select("word").distinct()
-    pairs = words.join(short(choices.select("choice").distinct(), 10_000))
-    scored = pairs.withColumn("ratio", F.when(F.col("word") == F.col("choice"), 1.0).otherwise(alike("word", "choice")))
+    words, choices = words.select("word").filter("word is not null").distinct(), choices.select("choice").filter("choice is not null").distinct()
+    exact = words.join(choices, F.col("word") == F.col("choice"), "left_semi")
+    rest = words.join(exact, "word", "left_anti")
+    pairs = survivors(rest, choices).withColumn("ratio", alike("word", "choice"))
+    best = pairs.groupBy("word").agg(F.max("ratio").alias("best"), F.max(F.when(F.levenshtein("word", "choice", 1) >= 0, True)).alias("edit"))
+    low = F.when(F.length("word") <= SHORT_WORD, NEAR_SHORT).otherwise(NEAR) + LEAD
+    odd = best.filter(F.col("edit") & (F.col("best") < low) & (F.length("word") >= ONE_EDIT_FROM)).select("word")
+    again = short(odd, 10_000).join(choices).withColumn("ratio", alike("word", "choice"))
+    scored = pairs.join(F.broadcast(odd), "word", "left_anti").unionByName(again)
     w = Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("choice"))
     top = scored.withColumn("nth", F.row_number().over(w)).withColumn("next", F.lead("ratio", 1, 0.0).over(w)).filter("nth = 1")
-    same = F.col("word") == F.col("choice")
     one_edit = (F.length("word") >= ONE_EDIT_FROM) & (F.levenshtein("word", "choice") <= 1)
-    fine = same | (((F.col("ratio") >= RATIO) | one_edit) & (F.col("ratio") - F.col("next") >= LEAD))
-    return top.filter(fine).select("word", "choice", F.when(same, "exact").when(F.col("ratio") >= RATIO, "alike").otherwise("one edit").alias("how"))
+    fine = ((F.col("ratio") >= RATIO) | one_edit) & (F.col("ratio") - F.col("next") >= LEAD)
+    found = top.filter(fine).select("word", "choice", F.when(F.col("ratio") >= RATIO, "alike").otherwise("one edit").alias("how"))
+    return exact.select("word", F.col("word").alias("choice"), F.lit("exact").alias("how")).unionByName(found)
 
 
 def one_edit(words: DataFrame, choices: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.operators import index
 from proofline.operators import retrieval as R
 from proofline.plans.registry import query
+from proofline.plans.storage import place
 from proofline.sources.tables import table
 
 Spark = SparkSession
@@ -54,6 +56,14 @@ def bm25_topk(spark: Spark, d: str) -> DataFrame:
     return keyword(spark, d)
 
 
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank0 FROM bm")
+def bm25_stored(spark: Spark, d: str) -> DataFrame:
+    """The same from a stored index: its postings are read block by block, no text."""
+    path = place(spark)
+    index.write(docs(spark, d), path)
+    return index.search(spark, path, questions(spark))
+
+
 def vector(spark: Spark, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return R.cosine_top(e, e.filter("vec_id in (1, 2, 3, 4)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")))

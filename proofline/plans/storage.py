@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.operators import audit
+from proofline.operators import audit, shelf
 from proofline.plans.registry import query
 from proofline.sources import registry, sinks
 from proofline.sources import tables as T
@@ -18,8 +20,13 @@ Spark = SparkSession
 
 
 def place(spark: Spark) -> str:
-    """A new path below the folder for checkpoints or else the warehouse, which every executor can reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path below the folder for checkpoints, which every executor can reach. Where that is unset, a temporary one in local mode; a cluster needs the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='proofline-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/io/{uuid.uuid4().hex}"
 
 
@@ -115,3 +122,44 @@ def catalogue_missing(spark: Spark, d: str) -> DataFrame:
     """Wanted files of the input folder, and which of them are there."""
     wanted = spark.createDataFrame([("orders",), ("lineitem",), ("pages",), ("nowhere",)], "name string")
     return T.catalogue(spark, d, wanted).select("name", F.col("path").isNotNull().alias("found"))
+
+
+PARTS = """SELECT 'report' AS part, o_orderkey AS doc_id, CAST(CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END AS VARCHAR) AS value FROM orders
+    UNION ALL SELECT 'reading', l_orderkey, CAST(count(*) AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' OR l_linenumber % 2 = 0 GROUP BY l_orderkey
+    UNION ALL SELECT 'finding', o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'"""
+
+
+@query(PARTS)
+def three_tables_at_once(spark: Spark, d: str) -> DataFrame:
+    """Reports, readings and findings in one commit: all come, then those of finished orders come again with fewer readings and no findings; a write that fails halfway leaves no trace."""
+    o, path = table(spark, d, "orders"), place(spark)
+    lines = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    reports = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("place"), "o_orderstatus")
+    readings = lines.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "o_orderstatus")
+    findings = o.select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority")
+    shelf.ingest(spark, path, {"reports": reports, "readings": readings, "findings": findings})
+    done = F.col("o_orderstatus") == "F"
+    again = {"reports": reports.filter(done).withColumn("place", F.col("place") + 1), "readings": readings.filter(done & (F.col("l_linenumber") % 2 == 0)), "findings": findings.filter("false")}
+    shelf.ingest(spark, path, again)
+    broken = readings.withColumn("l_linenumber", F.when(F.col("doc_id") > 0, F.raise_error(F.lit("the third write breaks off"))).otherwise(1).cast("int"))
+    try:
+        shelf.ingest(spark, path, {"reports": reports.filter(done), "readings": broken, "findings": findings})
+    except Exception as error:  # noqa: BLE001
+        if "breaks off" not in str(error):
+            raise
+    state = shelf.manifest(spark, path)[1]
+    reports, readings, findings = (shelf.read(spark, path, name, state) for name in ("reports", "readings", "findings"))
+    rows = lambda part, df, value: df.select(F.lit(part).alias("part"), "doc_id", value.cast("string").alias("value"))
+    counted = readings.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return rows("report", reports, F.col("place")).unionByName(rows("reading", counted, F.col("n"))).unionByName(rows("finding", findings, F.col("o_orderpriority")))
+
+
+@query("SELECT sha256(text) AS key, length(text) AS n, 'first' AS run FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0) UNION ALL SELECT sha256(text), length(text), 'second' FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)")
+def content_cache(spark: Spark, d: str) -> DataFrame:
+    """Results by content: a first run over some of the texts, then one over all, which computes only what is missing, then one that computes nothing."""
+    docs, path = table(spark, d, "documents").filter("text is not null").select(F.sha2("text", 256).alias("key"), "text", "doc_id"), place(spark)
+    compute = lambda rows: rows.select("key", F.length("text").alias("n"))
+    nothing = lambda rows: rows.select("key", F.raise_error(F.lit("all is known")).cast("int").alias("n"))
+    first = shelf.cached(docs.filter("doc_id % 3 <> 0"), path, "key", compute).withColumn("run", F.lit("first"))
+    shelf.cached(docs, path, "key", compute)
+    return first.unionByName(shelf.cached(docs, path, "key", nothing).withColumn("run", F.lit("second")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -92,9 +92,18 @@ ITEMS = """items AS (SELECT l_orderkey AS page, l_linenumber || '-' || l_partkey
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """file, nth, line, prev_sha256 of JSON Lines logs: whole files, so that a line's number is its place in its file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("nth", "line"))
-    return rows.withColumn("prev_sha256", F.get_json_object("line", "$.prev_sha256"))
+    """file, nth, line, prev_sha256 of JSON Lines logs: a line's number from 0 is its place in its file, however many tasks read the file.
+
+    First each task counts the lines of each split; running sums over a file's splits then number the lines. Lines keep the
+    order that they have in a split, and splits are cut alike in both passes. A last line without a line break counts; an empty one after the last break doesn't.
+    """
+    m = F.col("_metadata")
+    rows = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first", before.alias("before"))
+    numbered = rows.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("nth"), "line")
+    return numbered.withColumn("prev_sha256", F.get_json_object("line", "$.prev_sha256"))
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:

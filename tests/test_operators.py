@@ -220,16 +220,6 @@ def test_fuzzy_match_against_the_rule_written_out(spark):
     assert {tuple(r) for r in got.select("word", "choice", "how").collect()} == want and len(want) > 3
 
 
-def test_too_many_header_candidates_are_an_error(spark):
-    import pytest
-
-    from proofline.operators import layout
-
-    words = spark.range(layout.CANDIDATES + 1).selectExpr("1 as page", "id", "'f' as field", "true as is_exact", "double(id) as x", "1d as y")
-    with pytest.raises(Exception, match="header candidates"):
-        layout.header_lines(words, "page").collect()
-
-
 def test_worn_labels_come_after_clean_ones(spark):
     box = lambda i, text, x, y: (1, i, text, float(x), float(y), x + 50.0, y + 10.0)
     items = spark.createDataFrame(
