@@ -38,6 +38,8 @@ ROWS = 2048
 QUERY_BYTES = 32 << 20
 #: Bytes of the candidates that one task reads.
 CANDIDATE_BYTES = 256 << 20
+#: Squared lengths below this have lost digits.
+TINY = 1e-280
 BLOCK = "dim int, at int, rows int, ids binary, vectors binary"
 OUT = "dim int, number long, query_id long, vec_id long, score double, own boolean"
 
@@ -72,10 +74,11 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The cosine of each pair of rows, in double precision on the vectors as they are."""
+    """The cosine of each pair of rows, in double precision on the vectors as they are; scaled first where squares leave the range of doubles."""
     with np.errstate(all="ignore"):
-        found = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-    odd = ~np.isfinite(found)
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        found = (a * b).sum(axis=1) / (np.sqrt(aa) * np.sqrt(bb))
+        odd = ~np.isfinite(found) | ~((aa > TINY) & (bb > TINY) & (aa < np.inf) & (bb < np.inf))
     if odd.any():
         found[odd] = (unit(a[odd]) * unit(b[odd])).sum(axis=1)
     return found

@@ -30,10 +30,8 @@ WORDS = 5
 _rng = np.random.default_rng(77)
 _a = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _b = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64)
-#: What stands for a minimum over nothing.
+#: What stands for a minimum over nothing, and for no other.
 EMPTY = 0xFFFF
-#: Where a null id stands in the order: after all others.
-LAST = -(1 << 63)
 
 
 def signatures(texts: list[str | None], permutations: int = PERMUTATIONS, words: int = WORDS) -> np.ndarray:
@@ -58,7 +56,7 @@ def signatures(texts: list[str | None], permutations: int = PERMUTATIONS, words:
         for i in range(permutations):
             np.multiply(x, _a[i], out=h)
             h += _b[i]
-            out[rows, i] = (np.minimum.reduceat(h, starts) >> np.uint64(36)).astype(np.uint16)
+            out[rows, i] = np.minimum((np.minimum.reduceat(h, starts) >> np.uint64(36)).astype(np.uint16), EMPTY - 1)
     return out
 
 
@@ -80,7 +78,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     Only ids and hashes are read to find the guests; one of each for each range reaches the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    docs = docs.withColumn("key", F.col("doc_id")).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     points = store.split_points(docs, "doc_id", store.partitions(docs.sparkSession))
     marked = docs.withColumn("range_no", store.range_no("key", points))
     heads = {r: (head["key"], head["tie"]) for r, head in marked.groupBy("range_no").agg(F.max(F.struct("key", "tie"))).collect()}
@@ -88,10 +86,10 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     if not found:
         return marked.withColumn("guest", F.lit(False)), 1
     after = dict(zip(found, found[1:] + found[:1], strict=True))
-    name = lambda key, tie: F.struct(key.cast("long").alias("key"), tie.cast("long").alias("tie"))
-    hosts = F.create_map(*[x for r in found for x in (name(*map(F.lit, heads[after[r]])), F.lit(r))])
-    host = F.element_at(hosts, name(F.col("key"), F.col("tie")))
-    both = F.array(F.struct(F.col("range_no").alias("range_no"), F.lit(False).alias("guest")), F.struct(host.alias("range_no"), F.lit(True).alias("guest")))
+    hosts = docs.sparkSession.createDataFrame([(*heads[after[r]], r) for r in found], "of long, of_tie long, host int")
+    mine = F.col("key").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie"))
+    marked = marked.join(F.broadcast(hosts), mine, "left")  # a row for each range
+    both = F.array(F.struct(F.col("range_no").alias("range_no"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("range_no"), F.lit(True).alias("guest")))
     marked = marked.withColumn("at", F.explode(F.filter(both, lambda x: x["range_no"].isNotNull())))
     return marked.select("doc_id", "text", "key", "tie", "at.range_no", "at.guest"), len(points) + 1
 
@@ -142,7 +140,7 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
             yield batch_of(texts, ids, len(texts) - 1)
 
     rows, n = with_next(docs)
-    ordered = rows.repartitionById(n, "range_no").sortWithinPartitions("range_no", "guest", F.desc("key"), F.desc("tie"), "text")
+    ordered = rows.repartitionById(n, "range_no").sortWithinPartitions("range_no", "guest", F.col("key").desc_nulls_last(), F.desc("tie"), "text")
     return ordered.select("doc_id", "text", "range_no", "guest").mapInArrow(run, OUT)
 
 

@@ -1,9 +1,11 @@
 """Edge rows: nulls, ties, repeated rows, odd lengths, marks and hashes that mislead, clashing names."""
 
+import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import make
@@ -253,3 +255,37 @@ def test_tables_are_deleted_at_the_end_of_a_scope(spark):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     assert not any((p := jvm.org.apache.hadoop.fs.Path(x)).getFileSystem(conf).exists(p) for x in paths)
     assert spark.conf.get(store.CLEANUP, "false") == "false"
+
+
+def test_cosines_of_large_and_tiny_vectors():
+    for size in (1e200, 1e-200, 1e-160, 1e155, 5e-324, 1e308):
+        got = ann.cosine(np.array([[size, size]]), np.array([[1.0, 2.0]]))[0]
+        assert abs(got - 3 / np.sqrt(10)) < 1e-12, (size, got)
+    assert abs(ann.cosine(np.array([[1e-300, 1e-300]]), np.array([[1e300, 2e300]]))[0] - 3 / np.sqrt(10)) < 1e-12
+
+
+def test_only_texts_without_words_are_like_each_other_there():
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") * r.randrange(1, 9) for _ in range(r.randrange(1, 9))) for _ in range(4000)]
+    sig, none = minhash.signatures(texts), minhash.signatures(["", " ", None])
+    assert (sig != minhash.EMPTY).all() and (none == minhash.EMPTY).all()
+
+
+def test_fingerprints_follow_the_order_over_many_ranges(spark):
+    low = -(1 << 63)
+    rows = [(i, f"text number {i} of some") for i in range(300)] + [(None, "no id here"), (low, "the smallest id"), (7, "another seven")]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = minhash.fingerprints(make(spark, rows).repartition(6)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    key = {t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0] for i, t in rows if i == 7}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, key.get(x[1], 0)), reverse=True)
+    texts = [t for _, t in order]
+    want = {}
+    for n, (i, t) in enumerate(order):
+        edit = minhash.edited(t, texts[(n + 1) % len(texts)])
+        want.setdefault(i, set()).add(hashlib.sha256(edit.encode()).hexdigest())
+    assert len(got) == len(rows)
+    for i, some in want.items():
+        assert {x.edited_sha256 for x in got if x.doc_id == i} == some
