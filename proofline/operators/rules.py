@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.exact import GRADES, NUMBER, NUMBERS, exact, exact_text, grade_rank, printed_decimals
 from proofline.operators.store import held
 
+# A reading's numbers, a header's numbers and texts, the grades that escalate.
+VALUES = ("nominal_mm", "previous_mm", "current_mm", "min_required_mm")
+HEADER_VALUES = ("corrosion_rate_mm_yr", "remaining_life_yr", "design_pressure_barg", "design_temp_c", "year_built")
+HEADER_TEXTS = ("equipment_tag", "report_no", "unit", "plant", "equipment_name", "inspection_type", "service_fluid", "inspector_cert", "inspection_date", "next_due_date")
+ESCALATING = ("Major", "Critical")
+
 #: What a rule's row is: a trigger escalates, a review item asks a person.
 TRIGGER, REVIEW = "trigger", "review"
 
@@ -73,7 +81,7 @@ def printed_forms(readings: DataFrame, *columns: str) -> DataFrame:
     """doc_id, form: every way to print a document's numbers: as read, with two places, and without trailing zeros."""
     one = lambda c: F.array(
         exact_text(F.col(c)),
-        exact(F.col(c)).cast("decimal(18,2)").cast("string"),
+        F.bround(exact(F.col(c)), 2).cast("decimal(18,2)").cast("string"),
         F.regexp_replace(F.regexp_replace(exact_text(F.col(c)), r"(\.\d*?)0+$", "$1"), r"\.$", ""),
     )
     return readings.select("doc_id", F.explode(F.flatten(F.array(*map(one, columns)))).alias("form")).filter("form is not null").distinct()
@@ -85,22 +93,64 @@ def numbers_in(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1))).alias("form")).distinct()
 
 
-def review_request(readings: DataFrame, columns: tuple[str, ...] = ("current_mm", "min_required_mm")) -> DataFrame:
-    """doc_id, field, read_as, decimals: each value of a held row that is doubted (not a number), or its current one.
+def allowed_numbers(headers: DataFrame, readings: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, form: every number that a summary of a document may hold.
 
-    decimals is the column's most printed number of places in the document's undoubted rows; of equally many, the least.
+    headers: doc_id and its fields as text; readings: doc_id, cml_id, location and the four values as printed; findings: doc_id, finding_id, severity, location,
+    description, recommendation, ref_clause. Allowed are the values as printed, with two places and without trailing zeros; margins
+    without their sign, also with two places; the header's values as printed and without trailing zeros, and the numbers in its texts and dates; the numbers in
+    the words of findings and in readings' names and places; how many findings, readings and triggers there are.
+    """
+    forms = [printed_forms(readings, *VALUES)]
+    margin = F.abs(exact(F.col("current_mm")) - exact(F.col("min_required_mm")))
+    places = F.greatest(printed_decimals(F.col("current_mm")), printed_decimals(F.col("min_required_mm")))
+    whole = F.abs(exact(F.col("current_mm")) - exact(F.col("min_required_mm"))).cast("string")
+    cut = F.when(places == 0, F.regexp_replace(whole, r"\..*$", "")).otherwise(F.substr(whole, F.lit(1), F.length(whole) - 6 + places))
+    two = F.bround(margin, 2).cast("decimal(18,2)").cast("string")
+    rows = readings.filter(margin.isNotNull())
+    forms += [rows.select("doc_id", F.explode(F.array(cut, two)).alias("form"))]
+    have = lambda names: [c for c in names if c in headers.columns]
+    short_form = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    values = F.flatten(F.array(*[F.array(F.col(c), F.when(exact_text(F.col(c)).isNotNull(), short_form(c))) for c in have(HEADER_VALUES)]))
+    forms += [headers.select("doc_id", F.explode(values).alias("form")).filter("form is not null"), numbers_in(headers, *have(HEADER_TEXTS))]
+    forms += [numbers_in(findings, "ref_clause", "finding_id", "location", "description", "recommendation"), numbers_in(readings, "cml_id", "location")]
+    low = readings.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(exact(F.col("current_mm")) < exact(F.col("min_required_mm"))).alias("t"))
+    grave = findings.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(F.col("severity").isin(*ESCALATING)).alias("u"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counts = headers.select("doc_id").distinct().join(low, "doc_id", "left").join(grave, "doc_id", "left")
+    forms += [counts.select("doc_id", F.explode(F.array(*[x.cast("string") for x in (none("n"), none("m"), none("t") + none("u"))])).alias("form"))]
+    return functools.reduce(DataFrame.unionByName, forms).distinct()
+
+
+def doubts(problems: DataFrame) -> DataFrame:
+    """doc_id, field, why: what is doubted about each value. problems: doc_id, text ("name.field: reason" or "name: reason")."""
+    rows = problems.select("doc_id", F.substring_index("text", ": ", 1).alias("field"), F.regexp_extract("text", r"(?s)^.*?: (.*)$", 1).alias("reason"))
+    return rows.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list("reason")).alias("why"))
+
+
+def review_items(readings: DataFrame, findings: DataFrame, problems: DataFrame, columns: tuple[str, ...] = VALUES) -> DataFrame:
+    """doc_id, field, kind, read_as, decimals, options, why: what a person is asked about a document.
+
+    Of a held row each value that is no number or that a problem names, or else its current one; of a finding without a grade its severity, with the grades to choose from. decimals is
+    the column's most printed number of places in rows that are not held; of equally many, the one seen first by the reading's name. readings: doc_id, cml_id, review_status and the columns.
     """
-    long = lambda rows: rows.select("doc_id", "cml_id", "review_status", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("read_as")) for c in columns])).alias("v")).select("doc_id", "cml_id", "review_status", "v.*")
-    cells = long(readings)
-    places = cells.filter(~held(F.col("review_status"))).withColumn("decimals", printed_decimals(F.col("read_as"))).filter("decimals is not null")
-    counted = places.groupBy("doc_id", "column", "decimals").agg(F.count("*").alias("n"))
-    usual = counted.groupBy("doc_id", "column").agg(F.min(F.struct(-F.col("n"), "decimals"))["decimals"].alias("decimals"))
-    doubted = exact_text(F.col("read_as")).isNull()
-    of_row = cells.filter(held(F.col("review_status"))).groupBy("doc_id", "cml_id", "column", "read_as").agg(F.count("*").alias("times"))
-    rows = of_row.withColumn("bad", doubted)
-    any_bad = rows.groupBy("doc_id", "cml_id").agg(F.bool_or("bad").alias("any_bad"))
-    asked = rows.join(any_bad, ["doc_id", "cml_id"]).filter(F.col("bad") | (~F.col("any_bad") & (F.col("column") == columns[0])))
-    return asked.join(usual, ["doc_id", "column"], "left").select("doc_id", F.concat_ws(".", "cml_id", "column").alias("field"), "read_as", "decimals")
+    why = doubts(problems)
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("nth"), F.col(c).alias("read_as")) for i, c in enumerate(columns)])).alias("v")
+    cells = readings.select("doc_id", "cml_id", held(F.col("review_status")).alias("held"), cell).select("doc_id", "cml_id", "held", "v.*", F.concat_ws(".", "cml_id", "v.column").alias("field"))
+    places = cells.filter("not held").withColumn("decimals", printed_decimals(F.col("read_as"))).filter("decimals is not null")
+    counted = places.groupBy("doc_id", "column", "decimals").agg(F.count("*").alias("n"), F.min("cml_id").alias("first"))
+    usual = counted.groupBy("doc_id", "column").agg(F.min(F.struct(-F.col("n"), "first", "decimals"))["decimals"].alias("decimals"))
+    asked = cells.filter("held").join(why, ["doc_id", "field"], "left").withColumn("bad", exact_text(F.col("read_as")).isNull() | F.col("why").isNotNull())
+    any_bad = F.bool_or("bad").over(Window.partitionBy("doc_id", "cml_id"))
+    asked = asked.withColumn("any", any_bad).filter(F.col("bad") | (~F.col("any") & (F.col("column") == "current_mm"))).join(usual, ["doc_id", "column"], "left")
+    empty = F.array().cast("array<string>")
+    number = asked.select("doc_id", "field", F.lit("number").alias("kind"), exact_text(F.col("read_as")).alias("read_as"), "decimals", empty.alias("options"), F.coalesce("why", empty).alias("why"))
+    ungraded = findings.filter(grade_rank(F.col("severity")).isNull()).select("doc_id", "finding_id", F.nullif(F.col("severity"), F.lit("")).alias("read_as"))
+    both = why.withColumn("finding_id", F.regexp_replace("field", r"\.severity$", "")).groupBy("doc_id", "finding_id").agg(F.array_sort(F.flatten(F.collect_list("why"))).alias("why"))
+    grade = ungraded.join(both, ["doc_id", "finding_id"], "left").select(
+        "doc_id", F.concat("finding_id", F.lit(".severity")).alias("field"), F.lit("grade").alias("kind"), "read_as", F.lit(None).cast("int").alias("decimals"), F.array(*map(F.lit, sorted(GRADES))).alias("options"), F.coalesce("why", empty).alias("why")
+    )
+    return number.unionByName(grade)
 
 
 def review_problems(items: DataFrame, entries: DataFrame) -> DataFrame:
@@ -122,30 +172,55 @@ def review_problems(items: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def decision_problems(decisions: DataFrame) -> DataFrame:
-    """key, problem: decisions (key, reviewer, action) without a name, or that neither confirm nor ask for a new measurement."""
+    """key, problem: decisions (key, reviewer, action) without a name, or that neither confirm nor ask for a new measurement.
+
+    One that asks for a new measurement needs no values: only those of ``confirmed`` decisions go to ``review_problems``.
+    """
     named = F.when(F.trim(F.coalesce("reviewer", F.lit(""))) == "", "enter your name")
     action = F.when(~F.coalesce(F.col("action").isin("confirm", "remeasure"), F.lit(False)), "action must be confirm or remeasure")
     return decisions.select("key", F.explode(F.array_compact(F.array(named, action))).alias("problem"))
 
 
-def apply_review(readings: DataFrame, entries: DataFrame, reviewer: str) -> DataFrame:
-    """Readings with entered values in place; their rows are no longer held and say who entered them. entries: doc_id, cml_id, value.
+def confirmed(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows (key, ...) of decisions that confirm values; a new measurement, or no decision, leaves its values alone."""
+    return rows.join(decisions.filter("action = 'confirm'").select("key").distinct(), "key", "left_semi")
+
+
+def apply_review(readings: DataFrame, entries: DataFrame, reviewer: str, columns: tuple[str, ...] = VALUES) -> DataFrame:
+    """Readings with entered values in place; their rows are no longer held and say who entered them.
 
-    Where readings have a ``method``, it says which value was entered, and by whom. ``review_log`` gives the audit rows.
+    entries: doc_id, cml_id, value and field, the column that the value is of (without it, current_mm). Where readings have a ``method``, it says
+    which values were entered, and by whom, in the order of the columns. Values of columns that readings lack are left out. ``review_log`` gives the audit rows.
     """
-    both = readings.join(entries, ["doc_id", "cml_id"], "left")
-    entered = F.col("value").isNotNull()
+    columns = tuple(c for c in columns if c in readings.columns)
+    field = F.col("field") if "field" in entries.columns else F.lit("current_mm")
+    given = entries.filter("value is not null").withColumn("field", field).groupBy("doc_id", "cml_id").agg(*[F.max(F.when(F.col("field") == c, F.trim("value"))).alias(f"entered_{c}") for c in columns])
+    both = readings.join(given, ["doc_id", "cml_id"], "left")
+    entered = functools.reduce(lambda a, b: a | b, [F.col(f"entered_{c}").isNotNull() for c in columns])
     status = F.when(entered & held(F.col("review_status")), F.lit(f"entered by {reviewer}")).otherwise(F.col("review_status"))
+    new = {c: F.coalesce(f"entered_{c}", c) for c in columns} | {"review_status": status}
     if "method" in readings.columns:
-        suffix = F.concat(F.col("method"), F.lit(f"; current_mm entered by {reviewer} from the original report"))
-        both = both.withColumn("method", F.when(entered, suffix).otherwise(F.col("method")))
-    return both.withColumn("current_mm", F.coalesce("value", "current_mm")).withColumn("review_status", status).drop("value")
+        notes = [F.when(F.col(f"entered_{c}").isNotNull(), f"; {c} entered by {reviewer} from the original report").otherwise("") for c in columns]
+        new["method"] = F.concat("method", *notes)
+    return both.withColumns(new).select(*readings.columns)
+
+
+def apply_grades(findings: DataFrame, entries: DataFrame, reviewer: str) -> DataFrame:
+    """Findings with entered grades in place (entries: doc_id, finding_id, value); where they have a ``method``, it says so."""
+    given = entries.filter("value is not null").groupBy("doc_id", "finding_id").agg(F.max(F.trim("value")).alias("entered_"))
+    new = {"severity": F.coalesce("entered_", "severity")}
+    if "method" in findings.columns:
+        new["method"] = F.concat("method", F.when(F.col("entered_").isNotNull(), f"; severity entered by {reviewer} from the original report").otherwise(""))
+    return findings.join(given, ["doc_id", "finding_id"], "left").withColumns(new).select(*findings.columns)
 
 
 def review_log(readings: DataFrame, entries: DataFrame, reviewer: str) -> DataFrame:
-    """doc_id, field, entered, read_as, reviewer: a row for each value that a person entered, with what had been read."""
-    rows = entries.filter("value is not null").join(readings.select("doc_id", "cml_id", "current_mm").distinct(), ["doc_id", "cml_id"])
-    return rows.select("doc_id", F.concat(F.col("cml_id"), F.lit(".current_mm")).alias("field"), F.trim("value").alias("entered"), F.col("current_mm").alias("read_as"), F.lit(reviewer).alias("reviewer"))
+    """doc_id, field, entered, read_as, reviewer: a row for each value that a person entered (as in ``apply_review``), with what had been read."""
+    field = F.col("field") if "field" in entries.columns else F.lit("current_mm")
+    columns = [c for c in VALUES if c in readings.columns]
+    read = F.coalesce(*[F.when(F.col("field") == c, F.col(c)) for c in columns])
+    rows = entries.filter("value is not null").withColumn("field", field).join(readings.select("doc_id", "cml_id", *columns).distinct(), ["doc_id", "cml_id"])
+    return rows.select("doc_id", F.concat_ws(".", "cml_id", "field").alias("field"), F.trim("value").alias("entered"), read.alias("read_as"), F.lit(reviewer).alias("reviewer"))
 
 
 def shortfalls_rounded(readings: DataFrame) -> DataFrame:

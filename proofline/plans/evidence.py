@@ -119,28 +119,12 @@ def evidence_gate(spark: Spark, d: str) -> DataFrame:
     return rules.gate(reports(spark, d), T.readings(spark, d), T.report_findings(spark, d))
 
 
-@query(f"""WITH {READINGS}, v AS (SELECT doc_id, CAST(cur AS VARCHAR) AS s FROM readings UNION ALL SELECT doc_id, CAST(least AS VARCHAR) FROM readings),
-    w AS (SELECT DISTINCT doc_id, form FROM (SELECT doc_id, s AS form FROM v UNION ALL SELECT doc_id, rtrim(rtrim(s, '0'), '.') FROM v))
-    SELECT doc_id, count(*) AS n_forms, min(form) AS least_form, max(form) AS last_form FROM w GROUP BY doc_id""")
-def allowed_numbers(spark: Spark, d: str) -> DataFrame:
-    forms = rules.printed_forms(T.readings(spark, d), "current_mm", "min_required_mm")
-    return forms.groupBy("doc_id").agg(F.count("*").alias("n_forms"), F.min("form").alias("least_form"), F.max("form").alias("last_form"))
-
-
 def doubtful(spark: Spark, d: str) -> DataFrame:
     """Readings of which some current values can't be read: every part key divisible by 5 has a letter for a digit."""
     bad = F.when(F.col("item") % 5 == 0, F.concat(F.lit("l"), "current_mm")).otherwise(F.col("current_mm"))
     return T.readings(spark, d).withColumn("current_mm", bad)
 
 
-@query(f"""WITH {READINGS}, b AS (SELECT doc_id, cml_id, review_status, item % 5 = 0 AS bad, CAST(cur AS VARCHAR) AS cur, CAST(least AS VARCHAR) AS least FROM readings),
-    u AS (SELECT DISTINCT doc_id, 2 AS decimals FROM b WHERE review_status <> 'needs review' AND NOT bad),
-    asked AS (SELECT DISTINCT doc_id, cml_id || '.current_mm' AS field, CASE WHEN bad THEN 'l' || cur ELSE cur END AS read_as FROM b WHERE review_status = 'needs review')
-    SELECT doc_id, field, read_as, decimals FROM asked LEFT JOIN u USING (doc_id)""")
-def review_request(spark: Spark, d: str) -> DataFrame:
-    return rules.review_request(doubtful(spark, d))
-
-
 @query("""WITH i AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'grade' ELSE 'number' END AS kind FROM orders WHERE o_orderkey % 11 <> 0),
     e AS (SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Major' WHEN 2 THEN '12.3' WHEN 3 THEN 'l2.30' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS v FROM orders WHERE o_orderkey % 13 <> 0),
     j AS (SELECT coalesce(i.k, e.k) AS k, i.kind, i.k IS NULL AS extra, coalesce(v, '') AS v FROM i FULL JOIN e ON i.k = e.k),

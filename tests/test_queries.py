@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from proofline.plans import dialogue, evidence, integrity, layout, library, retrieval, storage, text  # noqa: F401
+from proofline.plans import dialogue, evidence, integrity, layout, library, retrieval, review, storage, text  # noqa: F401
 from proofline.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
