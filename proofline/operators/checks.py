@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.exact import HYPHENS, NUMBERS, names_token
+from proofline.functions.exact import HYPHENS, NUMBERS, names_token, squeezed
 from proofline.functions.sizes import short
+from proofline.operators.selection import first_pattern, named
 
 # What leaves a house only by mistake, what is never said, and number words.
 STANDARDS = r"(?i)(OISD|API|ASME|ASTM|ISO|IS|BS|EN|IEC|NFPA)[- ]?$"
@@ -213,37 +214,72 @@ def reply_problems(text: Column, names: Column, most: int = REPLY_WORDS) -> Colu
     return F.when(blank, F.array(F.lit("empty"))).otherwise(F.array_compact(found))
 
 
-def answer_problems(sentences: DataFrame, passages: DataFrame, known: Column, identifiers: Column, bare: Callable[[Column], Column]) -> DataFrame:
+NUMBER_SHAPE, LABEL = r"(\d+(?:[.,/:]\d+)*)", r"\bP\d+\b"
+
+
+def unsupported(text: Column, source: Column, known: Column, ids: Column, bare: Callable[[Column], Column], protocol: Column, free: bool = False) -> tuple[Column, Column]:
+    """Names and numbers in a text that a source does not hold: identifiers (``ids``, compared as ``bare``), then capitalised words; numbers without thousands commas.
+
+    A passage's label is no claim, nor are words of ``protocol`` (lower case). A capitalised word that begins a sentence may be an ordinary one: one of ``known`` (an array of
+    lower-case words), or any where ``free``. A sentence ends at a stop after a word of four letters or more, so not after "Dr." or an initial.
+    """
+    rest = F.aggregate(ids, F.regexp_replace(text, LABEL, " "), lambda t, x: F.replace(t, x, F.lit(" ")))
+    missing = F.filter(ids, lambda x: ~F.contains(bare(source), bare(x)))
+    # (word, what stands before it) of each capitalised word: the text is cut where such words begin
+    pieces = F.split(rest, rf"(?={PROPER})")
+    word = lambda x: F.regexp_extract(x, rf"^({PROPER})", 1)
+    before = lambda i: F.rtrim(F.when(i > 0, F.get(pieces, i - 1)).otherwise(F.lit("")))
+    starts = lambda i: (F.rtrim(F.array_join(F.slice(pieces, F.lit(1), i), "")) == "") | F.regexp_like(before(i), F.lit(rf"[A-Za-z]{{{END_LETTERS},}}[.!?:;]$"))
+    ordinary = lambda w: F.lit(True) if free else F.array_contains(known, F.lower(w))
+    fine = lambda w, i: F.contains(F.lower(source), F.lower(w)) | F.contains(protocol, F.lower(w)) | (starts(i) & ordinary(w))
+    odd = F.filter(F.transform(pieces, lambda x, i: F.when((word(x) != "") & ~fine(word(x), i), word(x))), lambda x: x.isNotNull())
+    number = lambda c: F.transform(F.regexp_extract_all(c, F.lit(NUMBER_SHAPE), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    return F.array_distinct(F.concat(missing, odd)), F.array_except(number(rest), number(source))
+
+
+def answer_problems(sentences: DataFrame, passages: DataFrame, known: Column, identifiers: Callable[[Column], Column], bare: Callable[[Column], Column], protocol: str = "") -> DataFrame:
     """answer_id, nth, problem for each sentence of an answer against the passages that it cites.
 
     sentences: answer_id, nth, text, sources (labels); passages: answer_id, label, text (with the passage's own name).
-    A sentence must cite passages, and such as the search gave; its identifiers (``identifiers`` of text, compared as
-    ``bare``), capitalised words, numbers and quotes must stand in them. A capitalised word that begins a sentence may
-    be an ordinary one: one of ``known`` (an array column of lower-case words).
+    A sentence must cite passages, and such as the search gave; its identifiers, names, numbers (``unsupported``) and quotes must stand in them.
     """
     rows = sentences.select("answer_id", "nth", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
     cited = rows.select("answer_id", "nth", F.explode("sources").alias("label")).distinct().join(passages.select("answer_id", "label", F.col("text").alias("passage")), ["answer_id", "label"])
     per = cited.groupBy("answer_id", "nth").agg(F.array_sort(F.collect_set("label")).alias("found"), F.array_join(F.array_sort(F.collect_list("passage")), " ").alias("source"))
-    rows = rows.join(per, ["answer_id", "nth"], "left").withColumn("ids", identifiers)
+    rows = rows.join(per, ["answer_id", "nth"], "left").withColumn("ids", identifiers(F.regexp_replace("text", LABEL, " ")))
     source = F.trim(F.regexp_replace(F.col("source"), r"\s+", " "))
     unknown = F.array_except("sources", F.coalesce("found", F.array().cast("array<string>")))
     said = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(f"{kind}: "), x))
-    missing_ids = F.filter("ids", lambda x: ~F.contains(bare(source), bare(x)))
-    rest = F.aggregate(F.col("ids"), F.col("text"), lambda t, x: F.replace(t, x, F.lit(" ")))
-    # (word, what stands before it) of each capitalised word: the text is cut where such words begin
-    pieces = F.split(rest, rf"(?={PROPER})")
-    word = lambda x: F.regexp_extract(x, rf"^({PROPER})", 1)
-    before = lambda i: F.rtrim(F.when(i > 0, F.get(pieces, i - 1)).otherwise(F.lit("")))
-    starts = lambda i: (i == 0) | F.regexp_like(before(i), F.lit(rf"[A-Za-z]{{{END_LETTERS},}}[.!?:;]$"))
-    odd = F.filter(F.transform(pieces, lambda x, i: F.when((word(x) != "") & ~F.contains(F.lower(source), F.lower(word(x))) & ~(starts(i) & F.array_contains(known, F.lower(word(x)))), word(x))), lambda x: x.isNotNull())
-    number = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(\d+(?:[.,/:]\d+)*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
-    numbers = F.array_except(number(rest), number(source))
+    names, numbers = unsupported(F.col("text"), source, known, F.col("ids"), bare, F.lit(protocol.lower()))
     quotes = F.filter(F.regexp_extract_all("text", F.lit(QUOTE), F.lit(1)), lambda q: ~F.contains(F.lower(source), F.lower(F.trim(q))))
-    checked = F.concat(said("names", F.array_distinct(F.concat(missing_ids, odd))), said("number", numbers), said("quotes", F.array_distinct(quotes)))
+    checked = F.concat(said("names", names), said("number", numbers), said("quotes", F.array_distinct(quotes)))
     problems = F.when(F.size("sources") == 0, F.array(F.lit("cites no passage"))).otherwise(F.concat(said("cites", unknown), F.when(F.col("source").isNotNull(), checked).otherwise(F.array().cast("array<string>"))))
     return rows.select("answer_id", "nth", F.explode(problems).alias("problem")).distinct()
 
 
+def reply_grounding(replies: DataFrame, sentences: DataFrame, passages: DataFrame, known: Column, identifiers: Callable[[Column], Column], bare: Callable[[Column], Column], protocol: str = "", most: int = ANSWER_WORDS) -> DataFrame:
+    """answer_id, nth, problem of whole replies; nth is null for what isn't about one sentence.
+
+    replies: answer_id, question, answerable, missing (the note on what the passages lack); the rest as in ``answer_problems``. The note may name only what the question or a
+    passage names, whatever begins its sentences. A reply that can't answer gives no sentences, and they aren't looked at; one that can gives some, of ``most`` words in all.
+    """
+    every = passages.groupBy("answer_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("all"))
+    counted = F.size(F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
+    given = sentences.groupBy("answer_id").agg(F.count("*").alias("n"), F.sum(counted).alias("words"))
+    note = F.trim(F.regexp_replace(F.coalesce("missing", F.lit("")), r"\s+", " "))
+    source = F.concat_ws(" ", F.trim(F.regexp_replace(F.coalesce("all", F.lit("")), r"\s+", " ")), "question")
+    rows = replies.join(every, "answer_id", "left").join(given, "answer_id", "left").withColumns({"note": note, "n": F.coalesce("n", F.lit(0))})
+    rows = rows.withColumn("ids", identifiers(F.regexp_replace("note", LABEL, " ")))
+    names, numbers = unsupported(F.col("note"), source, known, F.col("ids"), bare, F.lit(protocol.lower()), free=True)
+    said = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(f"{kind}: "), x))
+    can = F.coalesce(F.col("answerable"), F.lit(False))
+    flag = F.array_compact(F.array(F.when(~can & (F.col("n") > 0), "cannot answer, but gives sentences"), F.when(can & (F.col("n") == 0), "gives no sentences"), F.when(can & (F.col("words") > most), "too long")))
+    whole = rows.select("answer_id", F.lit(None).cast("int").alias("nth"), F.explode(F.concat(said("note names", names), said("note number", numbers), flag)).alias("problem")).distinct()
+    able = replies.filter("answerable").select("answer_id")
+    single = answer_problems(sentences.join(able, "answer_id", "left_semi"), passages, known, identifiers, bare, protocol)
+    return whole.unionByName(single.withColumn("nth", F.col("nth").cast("int")))
+
+
 def ungrounded(claims: DataFrame, passages: DataFrame) -> DataFrame:
     """claim_id, number: numbers of a claim that none of the passages it cites holds.
 
@@ -255,30 +291,70 @@ def ungrounded(claims: DataFrame, passages: DataFrame) -> DataFrame:
     return said.join(there, ["claim_id", "number"], "left_anti")
 
 
-def plan_problems(steps: DataFrame, kinds: DataFrame, limit: int, parts: DataFrame | None = None, documents: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+def plan_problems(
+    steps: DataFrame,
+    kinds: DataFrame,
+    limit: int,
+    parts: DataFrame | None = None,
+    documents: DataFrame | None = None,
+    requests: DataFrame | None = None,
+    tasks: DataFrame | None = None,
+    plans: DataFrame | None = None,
+    library: DataFrame | None = None,
+    regulated: list[str] | None = None,
+) -> DataFrame:
     """plan_id, problem: what is wrong with the steps of a plan.
 
-    steps: plan_id, nth, kind, arg; kinds: kind, needs_arg, takes_doc. Unknown kinds, missing arguments, repeated
-    steps, too many steps. With parts (plan_id, kind: of the request): kinds of steps that no part has, plans without
+    steps: plan_id, nth, kind, arg; kinds: kind, needs_arg, and where wanted takes_doc, takes_task, no_documents, regulated. Unknown kinds, missing arguments, repeated
+    steps (arguments that a kind doesn't need don't count), too many steps. With parts (plan_id, kind, text: of the request; the kind ``none`` for what no step can do): kinds of steps that no part has, plans without
     parts. With documents (doc, name) and requests (plan_id, text): documents that aren't listed, or whose name the request
-    doesn't hold as a whole token.
+    doesn't hold as a whole token; and, with the library's ids (doc), questions of kinds that may not name any of them. With tasks (task): tasks that aren't listed. With plans (plan_id, not_possible): parts that no
+    step does though nothing is said to be impossible, the reverse, and plans that have no steps and don't say why. With ``regulated`` (patterns): requests for such work whose plan has steps, but none of a regulated kind.
     """
+    has = lambda name: name in kinds.columns
     joined = steps.join(short(kinds, 10_000), "kind", "left")
+    argument = F.when(F.coalesce("needs_arg", F.lit(True)), F.trim(F.coalesce("arg", F.lit("")))).otherwise("")
     found = [
         joined.filter("needs_arg is null").select("plan_id", F.concat(F.lit("unknown kind: "), "kind").alias("problem")),
         joined.filter("needs_arg and trim(coalesce(arg, '')) = ''").select("plan_id", F.concat(F.lit("no argument: "), "kind").alias("problem")),
-        steps.groupBy("plan_id", "kind", "arg").count().filter("count > 1").select("plan_id", F.concat(F.lit("repeated: "), "kind").alias("problem")),
+        joined.filter("needs_arg is not null").groupBy("plan_id", "kind", argument.alias("said")).count().filter("count > 1").select("plan_id", F.concat(F.lit("repeated: "), "kind").alias("problem")),
         steps.groupBy("plan_id").count().filter(F.col("count") > limit).select("plan_id", F.lit("too many steps").alias("problem")),
     ]
+    good = joined.filter("needs_arg is not null").select("plan_id", "kind").distinct()
     if parts is not None:
         listed = parts.select("plan_id", "kind").distinct()
-        found.append(steps.select("plan_id", "kind").distinct().join(listed, ["plan_id", "kind"], "left_anti").select("plan_id", F.concat(F.lit("no part: "), "kind").alias("problem")))
-        found.append(steps.select("plan_id").distinct().join(listed, "plan_id", "left_anti").select("plan_id", F.lit("no parts").alias("problem")))
+        found.append(good.join(listed, ["plan_id", "kind"], "left_anti").select("plan_id", F.concat(F.lit("no part: "), "kind").alias("problem")))
+        every = steps.select("plan_id") if plans is None else plans.select("plan_id")
+        found.append(every.distinct().join(listed, "plan_id", "left_anti").select("plan_id", F.lit("no parts").alias("problem")))
     if documents is not None and requests is not None:
         wanted = joined.filter("takes_doc and trim(coalesce(arg, '')) <> ''").select("plan_id", F.trim("arg").alias("doc")).distinct().join(documents, "doc", "left").join(requests, "plan_id", "left")
-        named = names_token(F.coalesce("text", F.lit("")), F.col("name"))
-        problem = F.when(F.col("name").isNull(), F.concat(F.lit("not listed: "), "doc")).when(~named, F.concat(F.lit("not named: "), "doc"))
+        held = names_token(F.coalesce("text", F.lit("")), F.col("name"))
+        problem = F.when(F.col("name").isNull(), F.concat(F.lit("not listed: "), "doc")).when(~held, F.concat(F.lit("not named: "), "doc"))
         found.append(wanted.select("plan_id", problem.alias("problem")).filter("problem is not null"))
+    if documents is not None and has("no_documents"):
+        names = documents.select(F.explode(F.array("doc", "name")).alias("name"))
+        names = names if library is None else names.unionByName(library.select(F.col("doc").alias("name")))
+        asking = joined.filter("no_documents and not coalesce(takes_doc, false)" if has("takes_doc") else "no_documents").select("plan_id", "kind", F.col("arg").alias("text"))
+        of = named(asking, names).groupBy("plan_id", "kind").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+        found.append(of.select("plan_id", F.concat("kind", F.lit(" asks about: "), "names").alias("problem")))
+    if tasks is not None and has("takes_task"):
+        asked = joined.filter("takes_task and trim(coalesce(arg, '')) <> ''").select("plan_id", F.trim("arg").alias("task"))
+        found.append(asked.join(tasks.select("task").distinct(), "task", "left_anti").select("plan_id", F.concat(F.lit("no such task: "), "task").alias("problem")))
+    if plans is not None:
+        said = F.trim(F.coalesce("not_possible", F.lit(""))) != ""
+        why = plans.select("plan_id", said.alias("said"))
+        n = good.groupBy("plan_id").agg(F.count("*").alias("n"))
+        idle = why.join(n, "plan_id", "left_anti").filter("not said")
+        found.append(idle.select("plan_id", F.lit("no steps, and no reason").alias("problem")))
+        if parts is not None:
+            undone = parts.join(good, ["plan_id", "kind"], "left_anti").select("plan_id", squeezed(F.coalesce("text", F.lit(""))).alias("text"))
+            found.append(undone.join(why.filter("not said"), "plan_id").select("plan_id", F.concat(F.lit("undone: "), "text").alias("problem")))
+            done = why.filter("said").join(parts.select("plan_id").distinct(), "plan_id", "left_semi").join(undone.select("plan_id").distinct(), "plan_id", "left_anti")
+            found.append(done.select("plan_id", F.lit("said to be impossible, but every part has a step").alias("problem")))
+    if regulated and requests is not None and has("regulated"):
+        asks = requests.filter(first_pattern(F.coalesce("text", F.lit("")), regulated).isNotNull()).select("plan_id").distinct().join(good.select("plan_id").distinct(), "plan_id", "left_semi")
+        held = joined.filter("regulated").select("plan_id").distinct()
+        found.append(asks.join(held, "plan_id", "left_anti").select("plan_id", F.lit("needs a regulated step").alias("problem")))
     return functools.reduce(DataFrame.unionByName, found).distinct()
 
 

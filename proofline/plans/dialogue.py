@@ -96,7 +96,7 @@ def answer_grounding(spark: Spark, d: str) -> DataFrame:
     passages = docs.select("answer_id", F.inline(F.array(passage("P1", "STD-12 Cl.4: the  valve is tested every 1500 hours"), passage("P2", "the note of the works"))))
     known = F.array(F.lit("nothing"), F.lit("the"))
     sentences = docs.select("answer_id", F.lit(1).alias("nth"), text.alias("text"), sources.alias("sources"))
-    return checks.answer_problems(sentences, passages, known, retrieval.identifiers(F.col("text")), retrieval.bare_id)
+    return checks.answer_problems(sentences, passages, known, retrieval.identifiers, retrieval.bare_id)
 
 
 @query("""WITH p AS (SELECT o_custkey AS plan_id, min(o_orderkey) AS k FROM orders GROUP BY 1)
@@ -155,3 +155,74 @@ def review_audit(spark: Spark, d: str) -> DataFrame:
     entries = rows.filter("doc_id % 4 = 0").select("doc_id", "cml_id", F.lit(" 7.25 ").alias("value"))
     done = rules.apply_review(rows, entries, "qa").filter("review_status = 'entered by qa'").select("doc_id", "method")
     return rules.review_log(rows, entries, "qa").join(done, "doc_id")
+
+
+# Answers over the documents themselves: a reply gives the first two lines of its document and perhaps a name or number of the next one, and cites its own, the next or nothing.
+REPLIES = rf"""d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z. \n]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+    w AS (SELECT d.doc_id, d.t, coalesce(n.t, '') AS other FROM d LEFT JOIN d n ON n.doc_id = d.doc_id + 1),
+    p AS (SELECT doc_id, t AS one, 'Note ' || doc_id || ' of ' || (doc_id % 40) || ' pages' AS two FROM w),
+    s AS (SELECT doc_id, 'stays as ' || coalesce(upper(substr(x, 1, 1)) || lower(substr(x, 2)), 'it') || ' has ' || CASE WHEN doc_id % 3 = 0 THEN doc_id % 40 ELSE 4242 END AS line, x FROM (SELECT doc_id, regexp_extract_all(CASE WHEN doc_id % 2 = 0 THEN t ELSE other END, '[A-Za-z]+')[1] AS x FROM w)),
+    o AS (SELECT s.doc_id, x, contains(lower(one || ' ' || two), lower(x)) OR contains('a passage is cited by its label.', lower(x)) AS there, doc_id % 40 AS pages FROM s JOIN p USING (doc_id))"""
+
+
+@query(f"""WITH {REPLIES} SELECT doc_id AS answer_id, 1 AS nth, 'names: ' || upper(substr(x, 1, 1)) || lower(substr(x, 2)) AS problem FROM o WHERE doc_id % 4 < 2 AND length(x) > 1 AND NOT there
+    UNION ALL SELECT doc_id, 1, 'number: 4242' FROM o WHERE doc_id % 4 < 2 AND doc_id % 3 <> 0
+    UNION ALL SELECT doc_id, NULL, 'gives no sentences' FROM o WHERE doc_id % 4 = 2 UNION ALL SELECT doc_id, NULL, 'cannot answer, but gives sentences' FROM o WHERE doc_id % 4 = 3
+    UNION ALL SELECT doc_id, NULL, 'note number: 77' FROM o WHERE doc_id % 5 = 0 AND doc_id % 40 <> 77 AND doc_id <> 77
+    UNION ALL SELECT doc_id, NULL, 'note names: Oslo' FROM o JOIN p USING (doc_id) WHERE doc_id % 5 = 1 AND NOT contains(lower(one), 'oslo')""")
+def reply_grounding(spark: Spark, d: str) -> DataFrame:
+    """Whole replies about documents against their own words: names and numbers of sentences and of notes, the answerable flag."""
+    i = F.col("doc_id")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z. \n]", ""), r"\s+", " "))
+    rows = table(spark, d, "documents").select("doc_id", plain.alias("t"))
+    rows = rows.join(rows.select((i - 1).alias("doc_id"), F.col("t").alias("other")), "doc_id", "left").withColumn("other", F.coalesce("other", F.lit("")))
+    first = F.get(F.regexp_extract_all(F.when(i % 2 == 0, F.col("t")).otherwise(F.col("other")), F.lit("[A-Za-z]+"), F.lit(0)), F.lit(0))
+    name = F.coalesce(F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2)))), F.lit("it"))
+    line = F.concat(F.lit("stays as "), name, F.lit(" has "), F.when(i % 3 == 0, i % 40).otherwise(4242))
+    key = i.alias("answer_id")
+    sentences = rows.filter(i % 4 != 2).select(key, F.lit(1).alias("nth"), line.alias("text"), F.array(F.lit("P1"), F.lit("P2")).alias("sources"))
+    passage = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
+    passages = rows.select(key, F.inline(F.array(passage("P1", F.col("t")), passage("P2", F.concat(F.lit("Note "), i, F.lit(" of "), i % 40, F.lit(" pages"))))))
+    note = F.when(i % 5 == 0, "Nothing in P1 says 77 of it").when(i % 5 == 1, "Nobody there names Oslo").otherwise("Passage P2 of the note lacks it")
+    replies = rows.select(key, F.lit("what is said of it").alias("question"), (i % 4 != 3).alias("answerable"), note.alias("missing"))
+    return checks.reply_grounding(replies, sentences, passages, F.array(F.lit("nothing")), retrieval.identifiers, retrieval.bare_id, "A passage is cited by its label.")
+
+
+# Orders' lines as steps: each customer's plan has its orders' priorities as kinds, and asks about reports, tasks and questions that come from the same rows.
+PLANS = """st AS (SELECT o_custkey AS plan_id, o_orderkey AS nth, CASE o_orderpriority WHEN '1-URGENT' THEN 'inspect' WHEN '2-HIGH' THEN 'search' WHEN '3-MEDIUM' THEN 'code' WHEN '5-LOW' THEN 'write' ELSE 'unknown' END AS kind,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'R-' || (o_orderkey % 40) WHEN '2-HIGH' THEN 'what of ' || CASE WHEN o_orderkey % 3 = 0 THEN 'tk-' || (o_orderkey % 50) || 'X' ELSE 'Tk-' || (o_orderkey % 50) END || ' is said' WHEN '3-MEDIUM' THEN 'T' || (o_orderkey % 6) ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'ignored' END END AS arg FROM orders),
+    pl AS (SELECT c_custkey AS plan_id, CASE WHEN c_custkey % 3 = 0 THEN 'no pump is listed' ELSE ' ' END AS np, CASE WHEN c_custkey % 4 = 0 THEN 'Read the Report on tk-' || (c_custkey % 40) || ' and TK-7, please' ELSE 'Look at TK-7, TK-1, TK-9' END AS req FROM customer),
+    pt AS (SELECT c_custkey AS plan_id, unnest(['inspect', 'none', 'write']) AS kind, unnest(['the  reading', 'a pump', 'the note']) AS text, unnest([c_custkey % 2 = 0, c_custkey % 5 = 0, c_custkey % 7 > 1]) AS has FROM customer), pa AS (SELECT * FROM pt WHERE has),
+    good AS (SELECT DISTINCT plan_id, kind FROM st WHERE kind <> 'unknown'), undone AS (SELECT plan_id, regexp_replace(text, ' +', ' ', 'g') AS text FROM pa WHERE (plan_id, kind) NOT IN (SELECT plan_id, kind FROM good))"""
+
+
+@query(f"""WITH {PLANS} SELECT DISTINCT plan_id, 'unknown kind: unknown' AS problem FROM st WHERE kind = 'unknown'
+    UNION SELECT plan_id, 'repeated: ' || kind FROM st WHERE kind <> 'unknown' GROUP BY plan_id, kind, CASE WHEN kind = 'write' THEN '' ELSE arg END HAVING count(*) > 1
+    UNION SELECT plan_id, 'too many steps' FROM st GROUP BY plan_id HAVING count(*) > 12
+    UNION SELECT plan_id, 'no part: ' || kind FROM good WHERE (plan_id, kind) NOT IN (SELECT plan_id, kind FROM pa)
+    UNION SELECT plan_id, 'no parts' FROM pl WHERE plan_id NOT IN (SELECT plan_id FROM pa)
+    UNION SELECT plan_id, 'not listed: ' || arg FROM st WHERE kind = 'inspect' AND CAST(substr(arg, 3) AS INTEGER) >= 30
+    UNION SELECT plan_id, 'not named: ' || arg FROM st JOIN pl USING (plan_id) WHERE kind = 'inspect' AND CAST(substr(arg, 3) AS INTEGER) < 30 AND NOT list_contains(list_transform(regexp_extract_all(upper(req), 'TK-[0-9]+'), lambda x: substr(x, 4)), substr(arg, 3))
+    UNION SELECT plan_id, 'search asks about: ' || string_agg(DISTINCT 'TK-' || (nth % 50), ', ' ORDER BY 'TK-' || (nth % 50)) FROM st WHERE kind = 'search' AND nth % 3 <> 0 AND nth % 50 < 30 GROUP BY plan_id
+    UNION SELECT plan_id, 'no such task: ' || arg FROM st WHERE kind = 'code' AND arg NOT IN ('T1', 'T2', 'T3')
+    UNION SELECT plan_id, 'no steps, and no reason' FROM pl WHERE trim(np) = '' AND plan_id NOT IN (SELECT plan_id FROM good)
+    UNION SELECT plan_id, 'undone: ' || text FROM undone JOIN pl USING (plan_id) WHERE trim(np) = ''
+    UNION SELECT plan_id, 'said to be impossible, but every part has a step' FROM pl WHERE trim(np) <> '' AND plan_id IN (SELECT plan_id FROM pa) AND plan_id NOT IN (SELECT plan_id FROM undone)
+    UNION SELECT plan_id, 'needs a regulated step' FROM pl WHERE plan_id % 4 = 0 AND plan_id IN (SELECT plan_id FROM good) AND plan_id NOT IN (SELECT plan_id FROM good WHERE kind = 'inspect')""")
+def plan_whole(spark: Spark, d: str) -> DataFrame:
+    """Plans against parts, documents, tasks, what is said to be impossible and what is regulated, from customers and their orders."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    kind = F.coalesce(*[F.when(F.col("o_orderpriority") == p, name) for p, name in (("1-URGENT", "inspect"), ("2-HIGH", "search"), ("3-MEDIUM", "code"), ("5-LOW", "write"))], F.lit("unknown"))
+    about = F.concat(F.lit("what of "), F.when(k % 3 == 0, F.concat(F.lit("tk-"), k % 50, F.lit("X"))).otherwise(F.concat(F.lit("Tk-"), k % 50)), F.lit(" is said"))
+    arg = F.when(kind == "inspect", F.concat(F.lit("R-"), k % 40)).when(kind == "search", about).when(kind == "code", F.concat(F.lit("T"), k % 6)).when(k % 2 == 0, "ignored")
+    steps = o.select(F.col("o_custkey").alias("plan_id"), k.alias("nth"), kind.alias("kind"), arg.alias("arg"))
+    c = F.col("plan_id")
+    plans = table(spark, d, "customer").select(F.col("c_custkey").alias("plan_id")).withColumn("not_possible", F.when(c % 3 == 0, "no pump is listed").otherwise(" "))
+    text = F.when(c % 4 == 0, F.concat(F.lit("Read the Report on tk-"), c % 40, F.lit(" and TK-7, please"))).otherwise("Look at TK-7, TK-1, TK-9")
+    part = lambda kind, text, has: F.when(has, F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text")))
+    parts = plans.select("plan_id", F.inline(F.array_compact(F.array(part("inspect", "the  reading", c % 2 == 0), part("none", "a pump", c % 5 == 0), part("write", "the note", c % 7 > 1)))))
+    kinds = spark.createDataFrame([("inspect", True, True, False, False, True), ("search", True, False, False, True, False), ("code", True, False, True, False, False), ("write", False, False, False, False, False)], "kind string, needs_arg boolean, takes_doc boolean, takes_task boolean, no_documents boolean, regulated boolean")
+    documents = spark.range(30).select(F.concat(F.lit("R-"), "id").alias("doc"), F.concat(F.lit("TK-"), "id").alias("name"))
+    tasks = spark.createDataFrame([("T1",), ("T2",), ("T3",)], "task string")
+    library = spark.createDataFrame([("SOP-1",)], "doc string")
+    return checks.plan_problems(steps, kinds, 12, parts, documents, plans.select("plan_id", text.alias("text")), tasks, plans, library, [r"\bread the report\b"])

@@ -108,7 +108,7 @@ def steps(spark: Spark, d: str) -> DataFrame:
 
 
 @query(f"""WITH {STEPS} SELECT DISTINCT plan_id, 'unknown kind: ' || kind AS problem FROM st WHERE kind NOT IN ('inspect', 'search', 'write')
-    UNION SELECT plan_id, 'no argument: ' || kind FROM st WHERE kind IN ('inspect', 'search') AND arg = '' UNION SELECT plan_id, 'repeated: ' || kind FROM st GROUP BY plan_id, kind, arg HAVING count(*) > 1
+    UNION SELECT plan_id, 'no argument: ' || kind FROM st WHERE kind IN ('inspect', 'search') AND arg = '' UNION SELECT plan_id, 'repeated: ' || kind FROM st WHERE kind IN ('inspect', 'search', 'write') GROUP BY plan_id, kind, CASE WHEN kind = 'write' THEN '' ELSE trim(arg) END HAVING count(*) > 1
     UNION SELECT plan_id, 'too many steps' FROM st GROUP BY plan_id HAVING count(*) > 15""")
 def plan_check(spark: Spark, d: str) -> DataFrame:
     kinds = spark.createDataFrame([("inspect", True), ("search", True), ("write", False)], "kind string, needs_arg boolean")
