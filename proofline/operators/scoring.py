@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,29 +88,38 @@ def note_checks(notes: DataFrame, rows: DataFrame, readings: DataFrame, note_fin
     note_findings: doc_id, finding_id, severity; findings: the same and evidence_id. A reading without a row fails as such
     and has no further checks; the status is worked out anew from ``breached``. A note without a sign-off table fails.
     """
-    a = rows.select("doc_id", "cml_id", F.col("current").alias("got_current"), F.col("minimum").alias("got_minimum"), F.trim("status").alias("got_status"), F.lit(True).alias("there"))
-    status = F.when(F.coalesce("breached", F.lit(False)), "BELOW MIN").otherwise("OK")
-    values = F.trim("got_current").eqNullSafe(F.col("current")) & F.trim("got_minimum").eqNullSafe(F.col("minimum"))
-    test = lambda name, ok: F.struct(F.lit(name).alias("check"), ok.alias("ok"))
-    each = F.when(F.col("there"), F.array(test("values", values), test("status", F.col("got_status").eqNullSafe(status)))).otherwise(F.array(test("row", F.lit(False))))
-    of_rows = readings.join(a, ["doc_id", "cml_id"], "left").select("doc_id", F.col("cml_id").alias("subject"), F.inline(each))
-
-    told = note_findings.select("doc_id", "finding_id", F.col("severity").alias("got"), F.lit(1).alias("told"))
-    wrong = F.col("told").isNull() | F.col("known").isNull() | ~F.col("got").eqNullSafe(F.col("severity"))
-    severities = findings.select("doc_id", "finding_id", "severity", F.lit(1).alias("known")).join(told, ["doc_id", "finding_id"], "full_outer").groupBy("doc_id").agg(F.bool_or(wrong).alias("wrong"))
-    ids = readings.select("doc_id", "evidence_id").unionByName(findings.select("doc_id", "evidence_id"))
-    unlisted = ids.join(notes.select("doc_id", "cells"), "doc_id").groupBy("doc_id").agg(F.bool_or(~F.contains(F.coalesce("cells", F.lit("")), F.col("evidence_id"))).alias("unlisted"))
-    everything = F.concat_ws("\n", "header", "body", "cells")
-    whole = F.array(
-        test("banner", F.coalesce(F.contains("header", F.lit(BANNER)), F.lit(False))),
-        test("outcome", F.coalesce(F.contains("cells", F.concat(F.lit("RULES OUTCOME: "), "outcome")), F.lit(False))),
-        test("findings", ~F.coalesce("wrong", F.lit(False))),
-        test("ids", ~F.coalesce("unlisted", F.lit(False))),
-        test("placeholders", ~F.rlike(everything, F.lit(PLACEHOLDER))),
-        test("sign-off", F.coalesce(F.forall("signoff", lambda c: F.trim(c) == ""), F.lit(False))),
-    )
-    of_notes = notes.join(severities, "doc_id", "left").join(unlisted, "doc_id", "left").select("doc_id", F.lit(None).cast("string").alias("subject"), F.inline(whole))
-    return of_rows.unionByName(of_notes).select("doc_id", "check", "subject", "ok")
+    kinds = {"notes": notes, "rows": rows, "readings": readings, "told": note_findings, "findings": findings}
+    types = {k: df.drop("doc_id").schema.simpleString() for k, df in kinds.items()}
+    part = lambda k, df: df.select("doc_id", *[(F.struct(*df.drop("doc_id").columns) if name == k else F.lit(None).cast(types[name])).alias(name) for name in kinds])
+    # all that belongs to a document meets in one grouping; the rest is expressions over its arrays
+    both = functools.reduce(DataFrame.unionByName, [part(k, df) for k, df in kinds.items()]).groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in kinds])
+    test = lambda name, subject, ok: F.struct(F.lit(name).alias("check"), subject.alias("subject"), ok.alias("ok"))
+    of_row = lambda r: F.filter("rows", lambda x: x["cml_id"] == r["cml_id"])
+    status = lambda r: F.when(F.coalesce(r["breached"], F.lit(False)), "BELOW MIN").otherwise("OK")
+    values = lambda r, x: F.trim(x["current"]).eqNullSafe(r["current"]) & F.trim(x["minimum"]).eqNullSafe(r["minimum"])
+    seen = lambda r, x: F.array(test("values", r["cml_id"], values(r, x)), test("status", r["cml_id"], F.trim(x["status"]).eqNullSafe(status(r))))
+    gone = lambda r: F.array(test("row", r["cml_id"], F.lit(False)))
+    of_rows = F.flatten(F.transform("readings", lambda r: F.when(F.size(of_row(r)) == 0, gone(r)).otherwise(F.flatten(F.transform(of_row(r), lambda x: seen(r, x))))))
+    same = lambda a, b: (a["finding_id"] == b["finding_id"]) & a["severity"].eqNullSafe(b["severity"])
+    lacks = lambda one, other: F.exists(one, lambda a: ~F.exists(other, lambda b: F.coalesce(a["finding_id"] == b["finding_id"], F.lit(False))))
+    differs = F.exists("findings", lambda a: F.exists("told", lambda b: (a["finding_id"] == b["finding_id"]) & ~same(a, b)))
+    wrong = lacks("findings", "told") | lacks("told", "findings") | differs
+    none = F.lit(None).cast("string")
+
+    def of_note(n: Column) -> Column:
+        cells, everything = F.coalesce(n["cells"], F.lit("")), F.concat_ws("\n", n["header"], n["body"], n["cells"])
+        listed = lambda x: F.contains(cells, x["evidence_id"])
+        return F.array(
+            test("banner", none, F.coalesce(F.contains(n["header"], F.lit(BANNER)), F.lit(False))),
+            test("outcome", none, F.coalesce(F.contains(n["cells"], F.concat(F.lit("RULES OUTCOME: "), n["outcome"])), F.lit(False))),
+            test("findings", none, ~F.coalesce(wrong, F.lit(False))),
+            test("ids", none, F.coalesce(F.forall("readings", listed) & F.forall("findings", listed), F.lit(True))),
+            test("placeholders", none, ~F.rlike(everything, F.lit(PLACEHOLDER))),
+            test("sign-off", none, F.coalesce(F.forall(n["signoff"], lambda c: F.trim(c) == ""), F.lit(False))),
+        )
+
+    found = F.concat(of_rows, F.flatten(F.transform("notes", of_note)))
+    return both.select("doc_id", F.inline(found)).select("doc_id", "check", "subject", "ok")
 
 
 def number_as_printed(text: Column) -> Column:

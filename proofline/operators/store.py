@@ -78,9 +78,19 @@ def ingest(fresh: DataFrame, path: str, key: str = "doc_id") -> None:
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def snapshot(readings: DataFrame, include_unreviewed: bool = False) -> DataFrame:
-    """doc_id, rows as JSON with the strings as read (nulls kept), and how many of the document's rows were held."""
-    row = F.struct("cml_id", "current_mm", "min_required_mm")
+#: What of a reading may leave the store.
+EXPORTED = ("cml_id", "location", "nominal_mm", "previous_mm", "current_mm", "min_required_mm", "review_status")
+
+
+def snapshot(readings: DataFrame, include_unreviewed: bool = False, columns: tuple[str, ...] = ("cml_id", "current_mm", "min_required_mm")) -> DataFrame:
+    """doc_id, rows as JSON with the strings as read (nulls kept), and how many of the document's rows were held.
+
+    ``columns``, in their order, are those exported; any that is not on the list of what may leave is an error.
+    """
+    barred = [c for c in columns if c not in EXPORTED]
+    if barred or not columns:
+        raise ValueError(f"not for export: {', '.join(barred) or 'nothing named'}")
+    row = F.struct(*columns)
     keep = F.lit(True) if include_unreviewed else ~held(F.col("review_status"))
     rows = F.array_sort(F.collect_list(F.when(keep, row)))
     return readings.groupBy("doc_id").agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("rows"), F.count_if(~keep).alias("held"))

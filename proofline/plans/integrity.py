@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators import audit, checks, scoring
 from proofline.plans.registry import query
+from proofline.plans.storage import place
 from proofline.sources import tables as T
 from proofline.sources.tables import FINDINGS, READINGS, table
 from proofline.streaming import events as E
@@ -157,7 +158,9 @@ def note_readback(spark: Spark, d: str) -> DataFrame:
     """Notes with all kinds of faults: rows gone, values and grades changed, words of the template left in."""
     i, evidence = F.col("doc_id"), lambda c: F.concat("doc_id", F.lit(":"), c)
     r = T.readings(spark, d).select("doc_id", F.concat_ws("-", "cml_id", "current_mm").alias("cml_id"), F.col("current_mm").alias("current"), F.col("min_required_mm").alias("minimum"))
-    readings = r.withColumn("breached", F.col("current").cast("decimal(18,2)") < F.col("minimum").cast("decimal(18,2)")).withColumn("evidence_id", evidence("cml_id"))
+    path = place(spark)
+    r.withColumn("breached", F.col("current").cast("decimal(18,2)") < F.col("minimum").cast("decimal(18,2)")).withColumn("evidence_id", evidence("cml_id")).write.parquet(f"{path}/readings")
+    readings = spark.read.parquet(f"{path}/readings")
     status = F.when(F.col("breached") | (i % 11 == 0), " BELOW MIN").otherwise("OK ")
     rows = readings.filter("doc_id % 13 <> 0").select("doc_id", "cml_id", F.when(i % 7 == 0, F.concat("current", F.lit("0"))).otherwise(F.col("current")).alias("current"), "minimum", status.alias("status"))
     findings = T.report_findings(spark, d).select("doc_id", "finding_id", "severity").withColumn("evidence_id", evidence("finding_id"))

@@ -109,11 +109,12 @@ REFS = f"""{POINTERS}, named AS (SELECT doc_id AS from_id, 'DOC-' || ((doc_id *
     refs AS (SELECT * FROM named WHERE to_doc IN (SELECT 'DOC-' || doc_id FROM documents))"""
 
 
-def pointers(spark: Spark, d: str) -> DataFrame:
+def pointers(spark: Spark, d: str, some: DataFrame | None = None) -> DataFrame:
+    """The pointers in all documents, or in some (doc_id)."""
     n = F.col("doc_id")
     text = F.concat(F.lit("as DOC-"), (n * 7) % 300, F.lit(" sections "), n % 3 + 1, F.lit(", "), n % 5 + 1, F.lit(".2 and 9 say; DOC-99999 section 1"))
-    names = docs(spark, d).select(F.concat(F.lit("DOC-"), "doc_id").alias("name"))
-    return R.references(docs(spark, d).select("doc_id", text.alias("text")), names, PATTERN)
+    own = docs(spark, d).select("doc_id")
+    return R.references((own if some is None else some).select("doc_id", text.alias("text")), own.select(F.concat(F.lit("DOC-"), "doc_id").alias("name")), PATTERN)
 
 
 @query(f"WITH {REFS} SELECT from_id, to_doc, section FROM refs")
@@ -127,10 +128,13 @@ def cross_references(spark: Spark, d: str) -> DataFrame:
     pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, to_doc, section) AS place FROM nm WHERE (to_doc, section) IN (SELECT to_doc, section FROM ch) AND (query_id, to_doc, section) NOT IN (SELECT query_id, 'DOC-' || doc_id, sec FROM hit))
     SELECT query_id, to_doc, section, chunk FROM pl JOIN ch USING (to_doc, section) WHERE place <= 3""")
 def reference_hop(spark: Spark, d: str) -> DataFrame:
-    s = F.explode(F.array(*map(F.lit, (1, 2, 9))))
-    chunks = docs(spark, d).select("doc_id", s.alias("s")).select(F.concat(F.lit("DOC-"), "doc_id").alias("to_doc"), F.col("s").cast("string").alias("section"), (F.col("doc_id") * 10 + F.col("s")).alias("chunk"))
-    hits = fused(spark, d)
-    named = pointers(spark, d).withColumn("from_id", F.concat(F.lit("DOC-"), "from_id"))
+    """The hits are found once and kept; so are the pointers in their documents alone."""
+    s, path = F.explode(F.array(*map(F.lit, (1, 2, 9)))), place(spark)
+    fused(spark, d).write.parquet(f"{path}/hits")
+    hits = spark.read.parquet(f"{path}/hits")
+    own = docs(spark, d).select("doc_id")
+    chunks = own.select("doc_id", s.alias("s")).select(F.concat(F.lit("DOC-"), "doc_id").alias("to_doc"), F.col("s").cast("string").alias("section"), (F.col("doc_id") * 10 + F.col("s")).alias("chunk"))
+    named = pointers(spark, d, own.join(F.broadcast(hits.select("doc_id").distinct()), "doc_id")).withColumn("from_id", F.concat(F.lit("DOC-"), "from_id"))  # five hits a query
     hits = hits.withColumn("section", (F.col("doc_id") % 3 + 1).cast("string"))
     return R.hop(hits.withColumn("doc_id", F.concat(F.lit("DOC-"), "doc_id")), named, chunks)
 

@@ -149,12 +149,14 @@ def route_forced(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", chunking.route(F.col("n_chars"), F.when(m == 0, "ocr").when(m == 1, "text")).alias("route"))
 
 
-@query("""WITH p AS (SELECT source, n_chars % 90 AS n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY source) AS total FROM documents),
+@query(f"""WITH {LINES}, g AS (SELECT doc_id, pos // 2 AS page, sum(length(line)) % 90 AS n_chars FROM lines GROUP BY 1, 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS nth, count(*) OVER (PARTITION BY doc_id) AS total FROM g),
     s AS (SELECT * FROM p WHERE nth % greatest(1, total // 25) = 0 AND nth // greatest(1, total // 25) < 25)
-    SELECT source, count(*) AS sampled, avg(n_chars) AS avg_chars, count(*) FILTER (n_chars < 50) > 0.6 * count(*) AS scanned FROM s GROUP BY source""")
+    SELECT doc_id, count(*) AS sampled, avg(n_chars) AS avg_chars, count(*) FILTER (n_chars < 50) > 0.6 * count(*) AS scanned FROM s GROUP BY doc_id""")
 def page_triage(spark: Spark, d: str) -> DataFrame:
-    pages = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") % 90).alias("n_chars"))
-    return chunking.triage(pages, "source", ["doc_id"])
+    """Each document's pages, of two lines each."""
+    pages = lines(spark, d).groupBy("doc_id", F.floor(F.col("pos") / 2).alias("page")).agg((F.sum(F.length("line")) % 90).alias("n_chars"))
+    return chunking.triage(pages, "doc_id", ["page"])
 
 
 MAIL, REPORT, PRIVATE = checks.MAIL, checks.REPORT, checks.PRIVATE
