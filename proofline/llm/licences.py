@@ -120,9 +120,9 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     meet = store.table(grams.join(sent(index), "pair").select("key", "template").distinct(), "meet")
     few = meet.count() <= SMALL
     keys = meet.select("key").distinct()
-    near = store.table(texts.join(F.broadcast(keys) if few else keys, "key").dropDuplicates(["key"]), "near")
+    near = texts.join(F.broadcast(keys) if few else keys, "key")  # before the words are taken apart, which costs most
     grams = lambda texts: texts.select("key", words.alias("words")).select("key", F.posexplode(pairs(F.col("words"))).alias("pos", "pair"))
-    hits = grams(near).join(sent(wanted), "pair").join(F.broadcast(meet) if few else meet, ["key", "template"]).select("key", "template", "pos").join(sent(bounds), "template")
+    hits = grams(near).join(sent(wanted), "pair").join(F.broadcast(meet) if few else meet, ["key", "template"]).select("key", "template", "pos").distinct().join(sent(bounds), "template")
     # a run's first bigram, from which enough shared ones lie within reach
     run = Window.partitionBy("key", "template").orderBy("pos")
     hits = store.table(hits.withColumns({"before": F.lag("pos").over(run), "nth": F.row_number().over(run)}), "hits")
@@ -137,6 +137,7 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     bins = chunks.select("key", "template", "island", "piece", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / BIN).cast("int"), F.floor(F.col("high") / BIN).cast("int"))).alias("bin"))
     around = grams(near.join(chunks.select("key").distinct(), "key", "left_semi")).withColumn("bin", F.floor(F.col("pos") / BIN).cast("int"))
     around = around.join(bins, ["key", "bin"]).filter(F.col("pos").between(F.col("low"), F.col("high")))
+    around = around.select("key", "template", "island", "piece", "pos", "pair").distinct()  # of rows that repeat
     last = F.lag("pos").over(Window.partitionBy("key", "template", "island", "piece", "pair").orderBy("pos"))
     around = around.withColumn("last", F.coalesce(last, F.lit(-1))).join(sent(wanted.withColumn("hit", F.lit(True))), ["template", "pair"], "left")
     own = Window.partitionBy("key", "template", "island", "piece").orderBy("pos")
@@ -150,7 +151,7 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     # of starts with one end, those whose every later start shares less
     later = F.max("shared").over(Window.partitionBy("key", "licence", "end").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1))
     found = store.table(found.withColumn("later", later).filter("later is null or later < shared").select("key", "licence", "start", "end", "shared", "dice"), "passages")
-    some = spans(near.join(found.select("key").distinct(), "key", "left_semi"), places)
+    some = spans(near.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), places)
     held = some.select(F.col("key").alias("of"), "first", "last")
     inside = (F.col("start") >= F.col("first")) & (F.col("end") + 1 <= F.col("last"))
     outside = (F.col("start") <= F.col("first")) & (F.col("end") + 1 >= F.col("last")) & (F.col("end") + 2 - F.col("start") < 2 * (F.col("last") - F.col("first") + 1))
