@@ -6,6 +6,7 @@ driver and every executor can reach, so a lost executor costs a re-read and no l
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import re
@@ -31,8 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Lists of the tables made in scopes that are open, innermost last.
+#: Lists of the tables made in scopes that are open, innermost last; tables made outside of all, which a result may still be read from.
 _open: list[list[str]] = []
+_loose: list[tuple[SparkSession, str]] = []
 #: Deletes the shuffle files of a write when it has ended; how many rows go to a Python worker at once, and are worked on at once.
 CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS, SLICE = 2000, 500
@@ -44,6 +46,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
+    else:
+        _loose.append((spark, path))
     before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH, "10000")}
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(min(ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else ROWS))
@@ -63,6 +67,15 @@ def drop(spark: SparkSession, paths: Iterable[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@atexit.register
+def tidy() -> None:
+    """Deletes the tables that belong to no scope, at the latest when the driver's Python ends; what was read from them can't be read again."""
+    while _loose:
+        spark, path = _loose.pop()
+        if spark.sparkContext._jsc is not None:  # else the session is over, and nobody can
+            drop(spark, [path])
+
+
 class Scope:
     """Tables made within, of which ``keep`` names those that outlive it; the others are deleted at its end."""
 
@@ -85,6 +98,8 @@ class Scope:
             drop(self.spark, self.made)
         if _open:
             _open[-1].extend(self.kept)
+        else:
+            _loose.extend((self.spark, path) for path in self.kept)
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
