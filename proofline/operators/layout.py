@@ -18,6 +18,8 @@ ROW_PX, ROW_SHARE, READ_STEP, OVERLAP, ALIGNED = 8.0, 0.4, 8, 0.4, 0.6
 VALUE_PX = 6.0
 PITCH_FROM, PITCH_TO, PITCH_SHARE, NEAR_PX, NO_PITCH_PX, LINE_PX = 3, 80, 0.2, 6.0, 8.0, 6.0
 HEADING_FROM, HEADING_MORE = 8, 6
+#: Words of a page whose lines meet each of them.
+FEW = 24
 
 
 def centre_y(y0: str = "y0", y1: str = "y1") -> Column:
@@ -58,9 +60,28 @@ def header_lines(words: DataFrame, page: str) -> DataFrame:
 
     words: page, id, field, is_exact, x, y. Each pair of words on a page far enough apart and not
     too steep proposes a line; words within reach of it belong to it. Most fields win, then most
-    exact words, then the topmost (by the line's first word), then the first pair. Seen from one word, each other is on the lines of an interval of
-    slopes: a sweep over the sorted slopes counts them, so a page takes the square of its words times a logarithm, and may have any number.
+    exact words, then the topmost (by the line's first word), then the first pair. On pages of up to ``FEW`` words, each line meets each word. On others, seen from one word, each
+    other is on the lines of an interval of slopes: a sweep over the sorted slopes counts them, so a page takes the square of its words times a
+    logarithm, and may have any number. Both give the same line.
     """
+    words = words.withColumn("many", F.count("*").over(Window.partitionBy(page)) > FEW)
+    return lines_by_pairs(words.filter("not many").drop("many"), page).unionByName(lines_by_sweep(words.filter("many").drop("many"), page))
+
+
+def lines_by_pairs(words: DataFrame, page: str) -> DataFrame:
+    """``header_lines`` for pages of few words."""
+    a, b = words.select(page, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("id").alias("a")), words.select(page, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("id").alias("b"))
+    slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
+    far = F.abs(F.col("bx") - F.col("ax")) >= MIN_RUN
+    lines = a.join(b, page).filter(far & (F.abs(slope) <= MAX_TILT)).withColumn("slope", slope)
+    on = lines.join(words, page).filter(F.abs(F.col("y") - (F.col("ay") + F.col("slope") * (F.col("x") - F.col("ax")))) <= SPREAD)
+    of = on.groupBy(page, "a", "b").agg(F.count_distinct("field").alias("fields"), F.count_if("is_exact").alias("exact"), F.min(F.struct("id", "y")).alias("f"))
+    best = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("fields"), F.desc("exact"), F.col("f.y"), "a", "b"))
+    return of.withColumn("nth", best).filter("nth = 1").select(page, "fields", "exact", F.col("f.y").cast("double").alias("top"))
+
+
+def lines_by_sweep(words: DataFrame, page: str) -> DataFrame:
+    """``header_lines`` for pages of any number of words."""
     kind = {f.name: f.dataType for f in words.schema.fields}
     rows = words.select(page, "id", "field", "is_exact", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     schema = StructType([StructField(page, kind[page]), StructField("fields", LongType()), StructField("exact", LongType()), StructField("top", DoubleType())])

@@ -125,7 +125,9 @@ def brute_line(rows):
     return None if best is None else (-best[0], -best[1], best[2])
 
 
-def test_header_lines_by_a_sweep(spark):
+@pytest.mark.parametrize("few", [0, 8, 24, 1000])
+def test_header_lines_by_pairs_and_by_a_sweep(spark, monkeypatch, few):
+    monkeypatch.setattr(layout, "FEW", few)
     r = random.Random(2)
     pages = {}
     for p in range(12):
@@ -134,6 +136,8 @@ def test_header_lines_by_a_sweep(spark):
     table = spark.createDataFrame([(p, *w) for p, rows in pages.items() for w in rows], "page int, id int, field string, is_exact boolean, x double, y double")
     got = {x.page: (x.fields, x.exact, x.top) for x in layout.header_lines(table, "page").collect()}
     assert got == {p: line for p, rows in pages.items() if (line := brute_line(rows))}
+    if few > 24:
+        return
     many = spark.createDataFrame([(1, i, f"f{i % 9}", True, float(i % 50 * 20), float(i // 50 * 40)) for i in range(1000)], "page int, id int, field string, is_exact boolean, x double, y double")
     assert layout.header_lines(many, "page").collect()[0].fields == 9
 

@@ -126,3 +126,69 @@ def test_starts_of_chunks(spark):
     rows = one(spark, [([5, 5, 5],), ([20, 1, 1],), ([],), ([10],), ([4, 5, 1, 9],)], "s array<int>")
     got = [x[0] for x in rows.select(library.starts(F.col("s"), 10)).collect()]
     assert got == [[0, 1, 2], [0, 1], [0], [0], [0, 2, 3]]
+
+
+def test_notes_and_flags_of_replies(spark):
+    replies = one(spark, [(1, "is Oslo tested", True, ""), (2, "is it", False, "The note lacks Paris and 12 of 7"), (3, "q", True, "Nothing on Oslo"), (4, "q", True, ""), (5, "q", None, None)], "answer_id int, question string, answerable boolean, missing string")
+    sentences = one(spark, [(1, 1, "Whatever P1 says of Bergen stays. Mr. Holm", ["P1"]), (2, 1, "Never looked at: Rome", ["P1"]), (4, 1, "word " * 151, ["P1"]), (4, 2, "P1 has 3,000", ["P9", "P1"])], "answer_id int, nth int, text string, sources array<string>")
+    passages = one(spark, [(i, "P1", "Bergen has 3000 of 12") for i in (1, 2, 3, 4)], "answer_id int, label string, text string")
+    found = checks.reply_grounding(replies, sentences, passages, F.array(F.lit("whatever")), retrieval.identifiers, retrieval.bare_id, "Cite passages")
+    assert sorted(((x.answer_id, x.nth, x.problem) for x in found.collect()), key=str) == sorted(
+        [(1, 1, "names: Mr"), (1, 1, "names: Holm"), (2, None, "note names: Paris"), (2, None, "note number: 7"), (2, None, "cannot answer, but gives sentences"), (3, None, "note names: Oslo"), (3, None, "gives no sentences"), (4, None, "too long"), (4, 2, "cites: P9")], key=str
+    )
+
+
+def test_plans_leave_no_part_undone(spark):
+    steps = one(spark, [(1, 1, "inspect", "R-1"), (1, 2, "write", "x"), (1, 3, "write", "y"), (2, 1, "ask", "about tk-1 and TK-12"), (3, 1, "code", "T9"), (5, 1, "odd", None)], "plan_id int, nth int, kind string, arg string")
+    kinds = one(spark, [("inspect", True, True, False, False, True), ("write", False, False, False, False, False), ("ask", True, False, False, True, False), ("code", True, False, True, False, False)], "kind string, needs_arg boolean, takes_doc boolean, takes_task boolean, no_documents boolean, regulated boolean")
+    parts = one(spark, [(1, "inspect", "a"), (1, "write", "b"), (2, "ask", "c"), (3, "code", "d"), (3, "none", "e  f"), (4, "none", "g"), (5, "none", "h")], "plan_id int, kind string, text string")
+    documents = one(spark, [("R-1", "TK-1")], "doc string, name string")
+    requests = one(spark, [(1, "read tk-1"), (2, "Draft a note"), (3, "draft a NOTE"), (4, "draft a note"), (5, "draft a note")], "plan_id int, text string")
+    plans = one(spark, [(1, "nothing"), (2, ""), (3, None), (4, "no tool"), (5, " "), (6, "")], "plan_id int, not_possible string")
+    found = checks.plan_problems(steps, kinds, 15, parts, documents, requests, one(spark, [("T1",)], "task string"), plans, None, ["draft a note"])
+    assert {(x.plan_id, x.problem) for x in found.collect()} == {
+        (1, "repeated: write"), (1, "said to be impossible, but every part has a step"), (2, "ask asks about: TK-1"), (2, "needs a regulated step"), (3, "no such task: T9"), (3, "undone: e f"), (3, "needs a regulated step"),
+        (5, "unknown kind: odd"), (5, "undone: h"), (5, "no steps, and no reason"), (6, "no steps, and no reason"), (6, "no parts"),
+    }
+
+
+def test_numbers_are_rounded_half_to_even_and_counted(spark):
+    from proofline.operators import rules
+
+    headers = one(spark, [("d", "0.250", "P-12")], "doc_id string, corrosion_rate_mm_yr string, report_no string")
+    readings = one(spark, [("d", "CML-1", "N3", "10.00", "12.325", "12.335", "12.4"), ("d", "CML-2", None, None, "l2.3", "7", "5")], "doc_id string, cml_id string, location string, nominal_mm string, previous_mm string, current_mm string, min_required_mm string")
+    findings = one(spark, [("d", "F-9", "Major", "here", "35 mm", None, "Cl. 6.2")], "doc_id string, finding_id string, severity string, location string, description string, recommendation string, ref_clause string")
+    got = {x.form for x in rules.allowed_numbers(headers, readings, findings).collect()}
+    # rounded half to even; margins 0.065 and 2; two readings, one finding, two triggers
+    assert got == {"10.00", "10", "12.325", "12.32", "12.335", "12.34", "12.4", "12.40", "7", "7.00", "5", "5.00", "0.065", "0.06", "2", "2.00", "0.250", "0.25", "12", "1", "3", "9", "35", "6.2"}
+
+
+def test_a_review_asks_with_reasons_and_enters_every_field(spark):
+    from proofline.operators import rules
+
+    schema = "doc_id string, cml_id string, nominal_mm string, previous_mm string, current_mm string, min_required_mm string, review_status string, method string"
+    readings = one(spark, [("d", "C1", "9.5", "1.10", "l.1", "2.0", "needs review", "ocr"), ("d", "C2", "9.5", "1.10", "1.20", "2.00", "accepted", "ocr"), ("d", "C3", "9.5", "1", "1.2", "2", "needs review", "ocr")], schema)
+    findings = one(spark, [("d", "F1", "", "ocr"), ("d", "F2", "Minor", "ocr")], "doc_id string, finding_id string, severity string, method string")
+    problems = one(spark, [("d", "C1.nominal_mm: crop is dark"), ("d", "F1: row: torn")], "doc_id string, text string")
+    got = {x.field: (x.kind, x.read_as, x.decimals, x.options, x.why) for x in rules.review_items(readings, findings, problems).collect()}
+    grades = ["Critical", "Major", "Minor", "Observation"]
+    assert got == {"C1.nominal_mm": ("number", "9.5", 1, [], ["crop is dark"]), "C1.current_mm": ("number", None, 2, [], []), "C3.current_mm": ("number", "1.2", 2, [], []), "F1.severity": ("grade", None, None, grades, ["row: torn"])}
+    entries = one(spark, [("d", "C1", "nominal_mm", " 9.4 "), ("d", "C1", "current_mm", "1.10"), ("d", "C3", "current_mm", None)], "doc_id string, cml_id string, field string, value string")
+    done = {x.cml_id: x for x in rules.apply_review(readings, entries, "qa").collect()}
+    assert (done["C1"].nominal_mm, done["C1"].current_mm, done["C1"].review_status) == ("9.4", "1.10", "entered by qa") and done["C3"].review_status == "needs review"
+    assert done["C1"].method == "ocr; nominal_mm entered by qa from the original report; current_mm entered by qa from the original report"
+    assert {(x.field, x.read_as) for x in rules.review_log(readings, entries, "qa").collect()} == {("C1.nominal_mm", "9.5"), ("C1.current_mm", "l.1")}
+    graded = rules.apply_grades(findings, one(spark, [("d", "F1", "Major ")], "doc_id string, finding_id string, value string"), "qa")
+    assert {(x.finding_id, x.severity, x.method) for x in graded.collect()} == {("F1", "Major", "ocr; severity entered by qa from the original report"), ("F2", "Minor", "ocr")}
+
+
+def test_only_listed_columns_leave(spark):
+    import pytest
+
+    from proofline.operators import store
+
+    readings = one(spark, [("d", "C1", "1.2", "2", "accepted", "secret")], "doc_id string, cml_id string, current_mm string, min_required_mm string, review_status string, note string")
+    assert store.snapshot(readings, columns=("current_mm", "cml_id")).first().rows == '[{"current_mm":"1.2","cml_id":"C1"}]'
+    for barred in (("note",), ("cml_id", "doc_id"), ()):
+        with pytest.raises(ValueError):
+            store.snapshot(readings, columns=barred)
