@@ -100,9 +100,10 @@ def spans(texts: DataFrame, places: DataFrame) -> DataFrame:
     """key, first, last: where the places found (key, place) lie in their text, by the numbers of words."""
     cut = lambda kind, parts: texts.select("key", F.posexplode(parts).alias("nth", "place")).withColumn("kind", F.lit(kind))
     rows = cut(0, F.split("text", "\n")).unionByName(cut(1, F.split("text", GAP))).unionByName(cut(2, F.array("text")))
-    rows = rows.withColumn("n", F.size(F.filter(F.split(normalised(F.col("place")), " "), lambda w: w != "")))
+    # places are told apart by their hashes, so no text is sorted or sent
+    rows = rows.select("key", "kind", "nth", F.xxhash64("place").alias("place"), F.size(F.filter(F.split(normalised(F.col("place")), " "), lambda w: w != "")).alias("n"))
     ends = F.sum("n").over(Window.partitionBy("key", "kind").orderBy("nth"))
-    return rows.withColumn("end", ends).join(places, ["key", "place"], "left_semi").select("key", (F.col("end") - F.col("n")).alias("first"), (F.col("end") - 1).alias("last"))
+    return rows.withColumn("end", ends).join(places.select("key", F.xxhash64("place").alias("place")), ["key", "place"], "left_semi").select("key", (F.col("end") - F.col("n")).alias("first"), (F.col("end") - 1).alias("last"))
 
 
 def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: float) -> DataFrame:
@@ -115,14 +116,16 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     index = own.select("template", F.explode(rare).alias("rare")).select("template", F.col("rare.pair").alias("pair"))
     wanted, bounds = own.select("template", F.explode("wanted").alias("pair")), own.select("template", "licence", "b", "least", "most")
     sent = F.broadcast if own.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0] <= SMALL else lambda df: df
-    texts, words = docs.filter("text is not null").select("key", "text"), F.split(normalised(F.col("text")), " ")
+    texts, words = docs.filter("text is not null").select("key", "doc_id", "text"), F.split(normalised(F.col("text")), " ")
     grams = texts.select("key", words.alias("words")).select("key", F.explode(pairs(F.col("words"))).alias("pair"))
     meet = store.table(grams.join(sent(index), "pair").select("key", "template").distinct(), "meet")
     few = meet.count() <= SMALL
     keys = meet.select("key").distinct()
-    near = texts.join(F.broadcast(keys) if few else keys, "key")  # before the words are taken apart, which costs most
+    # before the words are taken apart, which costs most; rows that repeat count once
+    near = store.table(texts.join(F.broadcast(keys) if few else keys, "key").dropDuplicates(["key"]), "near")
+    of = lambda some: near.join(F.broadcast(some) if few else some, "key", "left_semi")  # noqa: E731  (no more keys than ``meet`` has)
     grams = lambda texts: texts.select("key", words.alias("words")).select("key", F.posexplode(pairs(F.col("words"))).alias("pos", "pair"))
-    hits = grams(near).join(sent(wanted), "pair").join(F.broadcast(meet) if few else meet, ["key", "template"]).select("key", "template", "pos").distinct().join(sent(bounds), "template")
+    hits = grams(near).join(sent(wanted), "pair").join(F.broadcast(meet) if few else meet, ["key", "template"]).select("key", "template", "pos").join(sent(bounds), "template")
     # a run's first bigram, from which enough shared ones lie within reach
     run = Window.partitionBy("key", "template").orderBy("pos")
     hits = store.table(hits.withColumns({"before": F.lag("pos").over(run), "nth": F.row_number().over(run)}), "hits")
@@ -135,9 +138,8 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     low, high = F.get("starts", F.lit(0)), F.element_at("starts", -1) + F.col("most")
     chunks = store.table(chunks.withColumns({"low": low, "high": high}), "starts")
     bins = chunks.select("key", "template", "island", "piece", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / BIN).cast("int"), F.floor(F.col("high") / BIN).cast("int"))).alias("bin"))
-    around = grams(near.join(chunks.select("key").distinct(), "key", "left_semi")).withColumn("bin", F.floor(F.col("pos") / BIN).cast("int"))
+    around = grams(of(chunks.select("key").distinct())).withColumn("bin", F.floor(F.col("pos") / BIN).cast("int"))
     around = around.join(bins, ["key", "bin"]).filter(F.col("pos").between(F.col("low"), F.col("high")))
-    around = around.select("key", "template", "island", "piece", "pos", "pair").distinct()  # of rows that repeat
     last = F.lag("pos").over(Window.partitionBy("key", "template", "island", "piece", "pair").orderBy("pos"))
     around = around.withColumn("last", F.coalesce(last, F.lit(-1))).join(sent(wanted.withColumn("hit", F.lit(True))), ["template", "pair"], "left")
     own = Window.partitionBy("key", "template", "island", "piece").orderBy("pos")
@@ -151,7 +153,7 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     # of starts with one end, those whose every later start shares less
     later = F.max("shared").over(Window.partitionBy("key", "licence", "end").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1))
     found = store.table(found.withColumn("later", later).filter("later is null or later < shared").select("key", "licence", "start", "end", "shared", "dice"), "passages")
-    some = spans(near.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), places)
+    some = spans(of(found.select("key").distinct()), places)
     held = some.select(F.col("key").alias("of"), "first", "last")
     inside = (F.col("start") >= F.col("first")) & (F.col("end") + 1 <= F.col("last"))
     outside = (F.col("start") <= F.col("first")) & (F.col("end") + 1 >= F.col("last")) & (F.col("end") + 2 - F.col("start") < 2 * (F.col("last") - F.col("first") + 1))
@@ -160,8 +162,7 @@ def passages(docs: DataFrame, templates: DataFrame, places: DataFrame, dice: flo
     free = lambda taken, x: ~F.exists(taken, lambda t: (t["start"] <= x["end"]) & (x["start"] <= t["end"]))
     kept = F.aggregate(F.slice("ranked", 2, F.size("ranked")), F.slice("ranked", 1, 1), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
     kept = found.groupBy("key").agg(ranked.alias("ranked")).select("key", F.explode(kept).alias("one"))
-    ids = docs.join(kept.select("key").distinct(), "key", "left_semi").select("key", "doc_id").dropDuplicates(["key"])
-    return kept.join(ids, "key").select("doc_id", F.col("one.licence").alias("licence"), (-F.col("one.minus")).alias("dice"))
+    return kept.join(near.select("key", "doc_id"), "key").select("doc_id", F.col("one.licence").alias("licence"), (-F.col("one.minus")).alias("dice"))
 
 
 def ends(line: Column, start: Column, most: Column, b: Column, dice: float) -> Column:
