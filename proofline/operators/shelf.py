@@ -61,6 +61,7 @@ def ingest(spark: SparkSession, path: str, tables: dict[str, DataFrame], key: st
 
     The first table (reports) says which documents come: what the store holds of them goes from every table, also where a document has
     no rows any more. Only buckets of these documents are rewritten. If another writer commits meanwhile, this one fails and changes nothing.
+    Rows without a key are added, and never replaced.
     """
     number, state = manifest(spark, path)
     bucket = lambda: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int").alias("bucket_")
