@@ -363,19 +363,21 @@ SEGMENT = "shard long, anchor binary, body binary"
 def cut(own: np.ndarray, data: bytes, least: int) -> Iterator[tuple[tuple, bytes]]:
     """The wanted segments of a text, whole or in pieces of ``width`` strings: (row, bytes).
 
-    A piece's anchor is a hash of all that its strings have in common.
+    A piece's anchor is a hash of what all strings of its ``width`` distances have in common, whether a text has all of
+    them or not; so however short a segment is, its strings meet their equals, cut or not alike for all of an anchor.
     """
     for anchor, doc, twin, at, low, high, mark, width in own.tolist():
-        if high - low < width:
+        if width == WIDTHS[0]:
             yield (anchor, doc, twin, at, low, high, mark), data[at - high : at - low + least]
             continue
         # pieces end at the same distances from the anchor in every text
         for b in range(high, low - 1, -1):
             if b < high and (b + 1) % width:
                 continue
-            a = max(low, b // width * width)
+            n = b // width
+            a = max(low, n * width)
             body = data[at - b : at - a + least]
-            key = xxhash.xxh3_64_intdigest(data[at - a : at - b + least], anchor ^ b // width)
+            key = xxhash.xxh3_64_intdigest(data[at - n * width : at - (n + 1) * width + 1 + least], anchor ^ n)
             yield (key, doc, twin, at, a, b, xxhash.xxh3_64_intdigest(body)), body
 
 

@@ -207,6 +207,39 @@ def test_a_line_in_many_documents(spark):
         assert got == brute_repeats(some, 100)
 
 
+def _sliced():
+    """Texts with a line that over a thousand share, and parts of them that begin or end within a few bytes of it."""
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    line = words(14)
+    texts = [(i, words(20) + line + words(20)) for i in range(1200)]
+    begins = [r.randrange(80, 125) for _ in range(80)]
+    return texts, [(5000 + i, texts[i][1][a : a + 100 + r.randrange(0, 12)]) for i, a in enumerate(begins)]
+
+
+def test_short_segments_are_cut_like_long_ones():
+    texts, parts = _sliced()
+    for width in (1, 8, 1 << 15):
+        strings = {}
+        for n, (_, text) in enumerate([*texts[:80], *parts]):
+            data = text.encode()
+            found = repeats.anchors(data)
+            rows = np.zeros(len(found[0]), repeats.WANT)
+            for f, x in zip(("anchor", "at", "low", "high", "mark"), found, strict=True):
+                rows[f] = x
+            rows["doc"], rows["width"] = n, width
+            for (key, _, _, at, low, high, _), _ in repeats.cut(rows, data, 100):
+                for start in range(at - high, at - low + 1):
+                    strings.setdefault(data[start : start + 100], set()).add(key)
+        assert all(len(keys) == 1 for keys in strings.values())
+
+
+def test_parts_of_texts_with_a_line_of_many(spark):
+    texts, parts = _sliced()
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(make(spark, texts + parts).repartition(4)).collect()}
+    assert got == brute_repeats(texts + parts, 100)
+
+
 def test_long_texts_in_repeats(spark):
     r = random.Random(4)
     half = "".join(r.choice("abcdefghijklmnop ") for _ in range(1_200_000))
