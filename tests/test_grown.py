@@ -37,3 +37,7 @@ def documents(spark, texts):
 def test_catalogue_of_tables_in_parts(spark, grown):
     parts = spark.range(20).repartition(3)
     grown("catalogue_missing", orders=parts, lineitem=parts, pages=parts)
+
+
+def test_pointers_where_every_id_of_five_digits_is_there(spark, grown):
+    grown("cross_references", documents=documents(spark, [(i, "x") for i in (0, 7, 14, 99_998, 99_999, 100_000)]))
