@@ -41,3 +41,7 @@ def test_catalogue_of_tables_in_parts(spark, grown):
 
 def test_pointers_where_every_id_of_five_digits_is_there(spark, grown):
     grown("cross_references", documents=documents(spark, [(i, "x") for i in (0, 7, 14, 99_998, 99_999, 100_000)]))
+
+
+def test_sections_of_long_texts(spark, grown):
+    grown("section_ordinal", documents=documents(spark, [(1, "\n".join(["a line"] * 1300)), (2, "a\nb")]))
