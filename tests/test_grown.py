@@ -45,3 +45,15 @@ def test_pointers_where_every_id_of_five_digits_is_there(spark, grown):
 
 def test_sections_of_long_texts(spark, grown):
     grown("section_ordinal", documents=documents(spark, [(1, "\n".join(["a line"] * 1300)), (2, "a\nb")]))
+
+
+def test_reports_share_files(spark, tmp_path, monkeypatch):
+    from proofline.plans import storage
+
+    monkeypatch.setattr(storage, "place", lambda spark: f"file://{tmp_path}/reports")
+    supplier = spark.range(2500).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey"), (F.col("id") * 1.5).alias("s_acctbal"))
+    supplier.write.parquet(f"file://{tmp_path}/supplier.parquet")
+    df = QUERIES["ground_truth_rows"](spark, str(tmp_path))
+    want = duckdb.sql(f"with supplier as (from '{tmp_path}/supplier.parquet/*.parquet') select {', '.join(df.columns)} from ({ORACLES['ground_truth_rows']}) x").fetchall()
+    assert rows(map(tuple, df.collect())) == rows(want)
+    assert len(list((tmp_path / "reports").glob("part-*"))) <= 4
