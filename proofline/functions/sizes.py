@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that one task of a shuffle by key holds, about.
+ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over as many tasks as ``rows`` ask for, so that a task's memory doesn't grow with the table; groups and joins by these keys stay there."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)), *keys)
+
+
 def short(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint; an error, rather than a cut, if it has more rows than a short list may have."""
     if df.limit(most + 1).count() > most:

@@ -190,14 +190,19 @@ def breach_problems(texts: DataFrame, readings: DataFrame) -> DataFrame:
     per = readings.groupBy("doc_id").agg(F.collect_set(F.struct("cml_id", "location", F.coalesce("breached", F.lit(False)).alias("breached"))).alias("all"))
     rows = texts.select("doc_id", plain(F.col("text")).alias("text")).join(per, "doc_id", "left").withColumn("all", F.coalesce("all", F.array().cast(per.schema["all"].dataType)))
     missed = F.filter("all", lambda r: r["breached"] & ~F.contains(F.col("text"), r["cml_id"]))
-    silent = rows.select("doc_id", F.explode(F.transform(missed, lambda r: F.concat(F.lit("does not mention "), r["cml_id"]))).alias("problem"))
-    claims = rows.select("doc_id", "all", F.explode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("sentence")).filter(F.col("sentence").rlike(BREACH))
-    about = lambda r: F.contains(F.col("sentence"), r["cml_id"]) | F.contains(F.lower("sentence"), F.lower(r["location"]))
-    named = claims.withColumn("named", F.filter("all", about))
-    wrong = F.array_join(F.array_sort(F.transform(F.filter("named", lambda r: ~r["breached"]), lambda r: r["cml_id"])), ", ")
-    none = (F.size("named") == 0) & ~F.exists("all", lambda r: r["breached"])
-    problem = F.when(wrong != "", F.concat(F.lit("says below minimum: "), wrong)).when(none, "claims a breach that was not found")
-    return silent.unionByName(named.select("doc_id", problem.alias("problem")).filter("problem is not null")).distinct()
+    silent = F.transform(missed, lambda r: F.concat(F.lit("does not mention "), r["cml_id"]))
+    claims = F.filter(F.split(F.trim("text"), r"(?<=[.!?])\s+"), lambda s: s.rlike(BREACH))
+    about = lambda s, r: F.contains(s, r["cml_id"]) | F.contains(F.lower(s), F.lower(r["location"]))
+    named = F.transform(claims, lambda s: F.filter("all", lambda r: about(s, r)))
+
+    def problem(held: Column) -> Column:
+        wrong = F.array_join(F.array_sort(F.transform(F.filter(held, lambda r: ~r["breached"]), lambda r: r["cml_id"])), ", ")
+        none = (F.size(held) == 0) & ~F.exists("all", lambda r: r["breached"])
+        return F.when(wrong != "", F.concat(F.lit("says below minimum: "), wrong)).when(none, "claims a breach that was not found")
+
+    found = rows.select("doc_id", silent.alias("silent"), "all", named.alias("named"))
+    found = found.select("doc_id", F.explode(F.array_compact(F.concat("silent", F.transform("named", problem)))).alias("problem"))
+    return found.distinct()  # rows of a document are where its texts are
 
 
 def reply_problems(text: Column, names: Column, most: int = REPLY_WORDS) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.functions.sizes import spread
 from proofline.operators import checks, retrieval, rules
 from proofline.plans.registry import query
 from proofline.sources.tables import money, table
@@ -47,6 +48,7 @@ def role_claims(spark: Spark, d: str) -> DataFrame:
 def breach_evidence(spark: Spark, d: str) -> DataFrame:
     """What summaries say of breaches against each report's own readings: CML-1 (north shell) is fine, CML-2 (floor) is not in every third report."""
     o, m = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), F.col("doc_id") % 4
+    o = spread(o, o.count(), "doc_id")
     text = (
         F.when(m == 0, "All is read. CML-2 falls short of its required value! Done.")
         .when(m == 1, "CML-1 is below the minimum. More follows.")

@@ -57,3 +57,11 @@ def test_reports_share_files(spark, tmp_path, monkeypatch):
     want = duckdb.sql(f"with supplier as (from '{tmp_path}/supplier.parquet/*.parquet') select {', '.join(df.columns)} from ({ORACLES['ground_truth_rows']}) x").fetchall()
     assert rows(map(tuple, df.collect())) == rows(want)
     assert len(list((tmp_path / "reports").glob("part-*"))) <= 4
+
+
+def test_tasks_grow_with_the_table(spark):
+    from proofline.functions import sizes
+
+    df = spark.range(10).withColumnRenamed("id", "doc_id")
+    assert sizes.spread(df, 10, "doc_id").rdd.getNumPartitions() == 4
+    assert sizes.spread(df, 25 * sizes.ROWS + 1, "doc_id").rdd.getNumPartitions() == 26
