@@ -76,8 +76,10 @@ def chat_reply_check(spark: Spark, d: str) -> DataFrame:
         .otherwise("I can read a report and write a note for TK-1012")
     )
     rows = table(spark, d, "events").select("event_id", text.alias("text"))
-    names = F.filter(F.array(F.lit("DOC-7"), F.lit("TK-101")), lambda n: checks.names_token(checks.plain(F.col("text")), n))
-    return rows.select("event_id", F.array_join(checks.reply_problems(F.col("text"), names), "; ").alias("problems"))
+    # patterns of fixed names are made once, not for each row
+    plain = rows.withColumn("plain", checks.plain(F.col("text")))
+    names = F.array_compact(F.array(*[F.when(checks.names_token(F.col("plain"), F.lit(n)), n) for n in ("DOC-7", "TK-101")]))
+    return plain.withColumn("names", names).select("event_id", F.array_join(checks.reply_problems(F.col("plain"), F.col("names")), "; ").alias("problems"))
 
 
 @query("""WITH a AS (SELECT doc_id AS answer_id FROM documents) SELECT answer_id, 1 AS nth, 'cites no passage' AS problem FROM a WHERE answer_id % 7 = 0 UNION ALL SELECT answer_id, 1, 'cites: P9' FROM a WHERE answer_id % 7 IN (1, 2)
