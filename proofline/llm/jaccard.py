@@ -48,8 +48,9 @@ from proofline.llm import store
 from proofline.llm.components import components
 from proofline.llm.shingles import mix, set_key, shingle_set, word_hashes
 
-#: Shingles of a cluster in one block: few, until there are ``BLOCKS`` blocks; then more, up to ``CLUSTER``.
-BLOCK, BLOCKS, CLUSTER = 1 << 14, 16, 2_000_000
+#: Shingles of a cluster in one block: few, until there are ``BLOCKS`` blocks; then more, up to ``CLUSTER``. A set is sent once for
+#: each block of its cluster, so blocks are no more than one task's time and memory ask for.
+BLOCK, BLOCKS, CLUSTER = 1 << 18, 4, 2_000_000
 #: Shingles for each bucket of signatures.
 DEALT = 2_000_000
 #: Nodes whose ids are sent to every task; above this, the texts are joined by a shuffle.

@@ -61,7 +61,10 @@ def test_reports_share_files(spark, tmp_path, monkeypatch):
 
 def test_tasks_grow_with_the_table(spark):
     from proofline.functions import sizes
+    from proofline.llm import jaccard
 
     df = spark.range(10).withColumnRenamed("id", "doc_id")
     assert sizes.spread(df, 10, "doc_id").rdd.getNumPartitions() == 4
     assert sizes.spread(df, 25 * sizes.ROWS + 1, "doc_id").rdd.getNumPartitions() == 26
+    totals = spark.createDataFrame([(1,), (200_000,), (4_000_000,), (30_000_000,)], "total long")
+    assert [r[0] for r in totals.select(jaccard.blocks_of(F.col("total"))).collect()] == [1, 1, 4, 15]  # a set is sent once for each block
