@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from array import array
 
+from proofline.llm import store
 from proofline.llm.wordsplit import PieceEncoder, Splitter, byte_alphabet
 
 #: Words in each of the two generations of a worker's memo.
@@ -26,6 +27,7 @@ class LibraryTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.splitter = Splitter(path)
+        self.splitter.model = None  # the library has it; read as Python objects it takes 15 MB
         self.model = self.library.model
         self.alphabet = {b: ord(c) for b, c in byte_alphabet().items()}
         self.memo = PieceEncoder(self.splitter, self.piece, memo)
@@ -56,4 +58,12 @@ def ready(path: str, memo: int = MEMO) -> LibraryTokenizer:
     """One tokenizer for each worker process and file, with its memo of twice ``memo`` words."""
     if (path, memo) not in _ready:
         _ready[path, memo] = LibraryTokenizer(path, memo)
+        store.release()  # what reading the file took
     return _ready[path, memo]
+
+
+def forget() -> None:
+    """Gives up this worker's tokenizers and memos, where a later step needs none."""
+    if _ready:
+        _ready.clear()
+        store.release()

@@ -35,7 +35,7 @@ from proofline.llm import libtokens, store
 
 CAPACITY = 2048
 #: Words in each generation of a worker's memo.
-MEMO = 700_000
+MEMO = 500_000
 GROUPS = 128
 #: Lengths up to this part of the capacity are small: two large ones fit together at most, which
 #: leaves enough small ones to fill what rounding up costs.
@@ -245,6 +245,7 @@ def place(table: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataF
     keys = flat[:, 0] << 44 | flat[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libtokens.forget()
         for batch in batches:
             length, rank = (np.asarray(batch.column(x)) for x in ("length", "rank"))
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1

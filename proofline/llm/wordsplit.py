@@ -17,7 +17,9 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Characters on which Python's and the tokenizers library's Unicode tables can't differ and
 #: which normalisation leaves alone. Anything else takes the slower, general path.
-UNUSUAL = re.compile("[^\t\n\r -~\xa1-įı-ɏ‐-‧€]|<\\|")
+UNUSUAL = re.compile("[^\t\n\r -~\xa1-įı-ɏ‐-‧€]")
+#: The ASCII characters among those that are not unusual.
+USUAL_ASCII = bytes([0x09, 0x0A, 0x0D, *range(0x20, 0x7F)])
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -51,8 +53,9 @@ class Splitter:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def plain(self, text: str) -> bool:
-        """Whether ``pieces`` needs neither normalisation nor a look for special tokens."""
-        return UNUSUAL.search(text) is None
+        """Whether ``pieces`` needs neither normalisation nor a look for special tokens. Only what is left without usual ASCII is looked at one by one."""
+        rest = text.encode("utf-8", "surrogatepass").translate(None, USUAL_ASCII)
+        return "<|" not in text and (not rest or UNUSUAL.search(rest.decode("utf-8", "surrogatepass")) is None)
 
     def parts(self, text: str) -> list[tuple[int | None, str]]:
         """A text cut at special tokens: (id, "") for one of them, (None, text) for what lies between."""
@@ -107,7 +110,12 @@ class PieceEncoder:
         return self.piece(word) if word.isalpha() else self.by_pattern(word)
 
     def by_spaced(self, word: str) -> bytes:
-        return self.piece(" " + word) if word.isalpha() else self.by_pattern(" " + word)
+        """A leading word is looked up among those that stand alone, so that it is stored and encoded once."""
+        if word.isalpha():
+            return self.piece(" " + word)
+        first, *rest = self.splitter.find(" " + word)
+        start = first[1:]
+        return (self.spaced[start] if start.isalpha() else self.pieces[first]) + b"".join(map(self.pieces.__getitem__, rest))
 
     def plain(self, text: str) -> bytes:
         """The ids of a text for which ``splitter.plain`` holds."""

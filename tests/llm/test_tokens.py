@@ -60,6 +60,29 @@ def test_memo_keeps_what_is_used():
     assert [memo[k] for k in "abcab"] == [b"a", b"b", b"c", b"a", b"b"] and made == ["a", "b", "c"]
 
 
+def test_words_before_punctuation_are_kept_once():
+    lib, own = Tokenizer.from_file(BYTES), libtokens.LibraryTokenizer(BYTES)
+    text = "a stone, a stone. \tthe stone; 12, x1 it's stone's, stone's ... -stone end "
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert "stone" in own.memo.spaced and " stone" not in own.memo.pieces
+    assert own.splitter.model is None
+
+
+def test_plain_texts_by_character():
+    """The same answer as a look at each character; what is left without usual ASCII decides."""
+    plain = wordsplit.Splitter(BYTES).plain
+    usual = lambda t: not wordsplit.UNUSUAL.search(t) and "<|" not in t
+    for x in [*map(chr, range(0x3000)), "\ud800", "\U0001f600", "<|", "<\n|", "é<|", ""]:
+        for t in (x, f"a {x} b", f"é{x}"):
+            assert plain(t) == usual(t), repr(t)
+
+
+def test_memos_are_given_up():
+    assert libtokens.ready(BYTES, 10) is libtokens.ready(BYTES, 10)
+    libtokens.forget()
+    assert not libtokens._ready
+
+
 def test_codes_give_any_token():
     r = random.Random(2)
     for n in (0, 1, 511, 512, 513, 3000):
