@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.exact import GRADES, NUMBER, NUMBERS, exact, exact_text, grade_rank, printed_decimals
@@ -77,20 +77,23 @@ def gate(reports: DataFrame, readings: DataFrame, findings: DataFrame) -> DataFr
     return reports.select("doc_id").join(r, "doc_id", "left").join(f, "doc_id", "left").select("doc_id", reason.alias("reason"))
 
 
-def printed_forms(readings: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, form: every way to print a document's numbers: as read, with two places, and without trailing zeros."""
-    one = lambda c: F.array(
-        exact_text(F.col(c)),
-        F.bround(exact(F.col(c)), 2).cast("decimal(18,2)").cast("string"),
-        F.regexp_replace(F.regexp_replace(exact_text(F.col(c)), r"(\.\d*?)0+$", "$1"), r"\.$", ""),
-    )
-    return readings.select("doc_id", F.explode(F.flatten(F.array(*map(one, columns)))).alias("form")).filter("form is not null").distinct()
+def printed_forms(value: Column) -> Column:
+    """Every way to print a number: as read, with two places, and without trailing zeros."""
+    return F.array(exact_text(value), F.bround(exact(value), 2).cast("decimal(18,2)").cast("string"), short_form(exact_text(value)))
+
+
+def short_form(text: Column) -> Column:
+    """A number as printed, without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def numbers_in(rows: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, form: the numbers in a document's own words."""
-    text = F.concat_ws(" ", *columns)
-    return rows.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1))).alias("form")).distinct()
+def margins(current: Column, least: Column) -> Column:
+    """The distance of two printed numbers, with the places of the one that has more and with two; no entries where one is no number."""
+    distance = F.abs(exact(current) - exact(least))
+    places = F.greatest(printed_decimals(current), printed_decimals(least))
+    whole = distance.cast("string")
+    cut = F.when(places == 0, F.regexp_replace(whole, r"\..*$", "")).otherwise(F.substr(whole, F.lit(1), F.length(whole) - 6 + places))
+    return F.when(distance.isNotNull(), F.array(cut, F.bround(distance, 2).cast("decimal(18,2)").cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
 def allowed_numbers(headers: DataFrame, readings: DataFrame, findings: DataFrame) -> DataFrame:
@@ -100,26 +103,27 @@ def allowed_numbers(headers: DataFrame, readings: DataFrame, findings: DataFrame
     description, recommendation, ref_clause. Allowed are the values as printed, with two places and without trailing zeros; margins
     without their sign, also with two places; the header's values as printed and without trailing zeros, and the numbers in its texts and dates; the numbers in
     the words of findings and in readings' names and places; how many findings, readings and triggers there are.
+
+    Rows meet by document as they are read, in one shuffle; their numbers are made after it.
     """
-    forms = [printed_forms(readings, *VALUES)]
-    margin = F.abs(exact(F.col("current_mm")) - exact(F.col("min_required_mm")))
-    places = F.greatest(printed_decimals(F.col("current_mm")), printed_decimals(F.col("min_required_mm")))
-    whole = F.abs(exact(F.col("current_mm")) - exact(F.col("min_required_mm"))).cast("string")
-    cut = F.when(places == 0, F.regexp_replace(whole, r"\..*$", "")).otherwise(F.substr(whole, F.lit(1), F.length(whole) - 6 + places))
-    two = F.bround(margin, 2).cast("decimal(18,2)").cast("string")
-    rows = readings.filter(margin.isNotNull())
-    forms += [rows.select("doc_id", F.explode(F.array(cut, two)).alias("form"))]
     have = lambda names: [c for c in names if c in headers.columns]
-    short_form = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    values = F.flatten(F.array(*[F.array(F.col(c), F.when(exact_text(F.col(c)).isNotNull(), short_form(c))) for c in have(HEADER_VALUES)]))
-    forms += [headers.select("doc_id", F.explode(values).alias("form")).filter("form is not null"), numbers_in(headers, *have(HEADER_TEXTS))]
-    forms += [numbers_in(findings, "ref_clause", "finding_id", "location", "description", "recommendation"), numbers_in(readings, "cml_id", "location")]
-    low = readings.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(exact(F.col("current_mm")) < exact(F.col("min_required_mm"))).alias("t"))
-    grave = findings.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(F.col("severity").isin(*ESCALATING)).alias("u"))
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    counts = headers.select("doc_id").distinct().join(low, "doc_id", "left").join(grave, "doc_id", "left")
-    forms += [counts.select("doc_id", F.explode(F.array(*[x.cast("string") for x in (none("n"), none("m"), none("t") + none("u"))])).alias("form"))]
-    return functools.reduce(DataFrame.unionByName, forms).distinct()
+    none = F.array().cast("array<string>")
+    listed = lambda columns: F.array(*map(F.col, columns)) if columns else none
+    low = exact(F.col("current_mm")) < exact(F.col("min_required_mm"))
+    part = lambda rows, kind, values, words, trigger: rows.select("doc_id", F.lit(kind).alias("kind"), listed(values).alias("values"), F.concat_ws(" ", *words).alias("words"), F.coalesce(trigger, F.lit(False)).alias("trigger"))
+    rows = part(headers, "header", have(HEADER_VALUES), have(HEADER_TEXTS), F.lit(False))
+    rows = rows.unionByName(part(readings, "reading", VALUES, ("cml_id", "location"), low))
+    rows = rows.unionByName(part(findings, "finding", (), ("ref_clause", "finding_id", "location", "description", "recommendation"), F.col("severity").isin(*ESCALATING)))
+    at, value = {c: F.get("values", F.lit(i)) for i, c in enumerate(VALUES)}, F.col("values")
+    of_header = F.flatten(F.transform(value, lambda v: F.array(v, F.when(exact_text(v).isNotNull(), short_form(v)))))
+    of_reading = F.concat(F.flatten(F.transform(value, printed_forms)), margins(at["current_mm"], at["min_required_mm"]))
+    printed = F.when(F.col("kind") == "header", of_header).when(F.col("kind") == "reading", of_reading).otherwise(none)
+    met = rows.repartition("doc_id")
+    forms = met.select("doc_id", F.explode(F.concat(printed, F.regexp_extract_all("words", F.lit(f"({NUMBERS})"), F.lit(1)))).alias("form")).filter("form is not null")
+    number = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = met.groupBy("doc_id").agg(number("header").alias("h"), number("reading").alias("n"), number("finding").alias("m"), F.count_if("trigger").alias("t")).filter("h > 0")
+    counted = counts.select("doc_id", F.explode(F.array(*[F.when(F.col("doc_id").isNotNull(), F.col(c)).otherwise(0).cast("string") for c in "nmt"])).alias("form"))
+    return forms.unionByName(counted).distinct()
 
 
 def doubts(problems: DataFrame) -> DataFrame:

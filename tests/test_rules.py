@@ -163,6 +163,21 @@ def test_numbers_are_rounded_half_to_even_and_counted(spark):
     assert got == {"10.00", "10", "12.325", "12.32", "12.335", "12.34", "12.4", "12.40", "7", "7.00", "5", "5.00", "0.065", "0.06", "2", "2.00", "0.250", "0.25", "12", "1", "3", "9", "35", "6.2"}
 
 
+def test_allowed_numbers_meet_in_one_shuffle_of_what_was_read(spark):
+    from proofline.operators import rules
+
+    headers = one(spark, [("d", "1.50"), (None, "n/a")], "doc_id string, corrosion_rate_mm_yr string")
+    readings = one(spark, [("x", "C", "N", "1", "2", "3", "4"), (None, "C", "N", None, None, "8", "8")], "doc_id string, cml_id string, location string, nominal_mm string, previous_mm string, current_mm string, min_required_mm string")
+    findings = one(spark, [], "doc_id string, finding_id string, severity string, location string, description string, recommendation string, ref_clause string")
+    found = rules.allowed_numbers(headers, readings, findings)
+    got = {(x.doc_id, x.form) for x in found.collect()}
+    # counts go with headers alone; nothing is counted for a document without a name
+    assert {f for d, f in got if d == "x"} == {"1", "1.00", "2", "2.00", "3", "3.00", "4", "4.00", "1"}
+    assert {f for d, f in got if d == "d"} == {"1.50", "1.5", "0"} and {f for d, f in got if d is None} == {"n/a", "8", "8.00", "0", "0.00"}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 2  # the second is the first, reused
+
+
 def test_a_review_asks_with_reasons_and_enters_every_field(spark):
     from proofline.operators import rules
 
