@@ -49,3 +49,14 @@ def test_registry(spark):
     gates, results = registry.tables(spark, found)
     assert len(sha) == 64
     assert {(r.model, r.key, r.why) for r in selection.gate_failures(results, gates).collect()} == {("b", "secs_max", "fails"), ("c", "wrong", "fails")}
+
+
+def test_registries_in_rows_give_the_tables_of_each(spark):
+    text = '{"tasks": {"t": {"gate": {"b": true, "f": 2.50, "i": 3}}, "u": {}}, "models": {"m": {"results": {"t": {"b": false, "f": 1e2, "note": "x", "list": [1]}}}, "n": {}}}'
+    one = registry.tables(spark, registry.load(text)[0])
+    many = registry.tables_of(spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "k long, text string"), "k")
+    for a, b in zip(one, many, strict=True):
+        # YAML reads 1e2 as text; JSON has it as a number
+        assert {tuple(r) for r in b.filter("key <> 'f'").drop("k").collect()} == {tuple(r) for r in a.filter("key <> 'f'").collect()}
+    assert [(r.key, r.ord, r.kind, r.want) for r in many[0].orderBy("ord").collect()] == [("b", 0, "bool", 1.0), ("f", 1, "float", 2.5), ("i", 2, "int", 3.0)]
+    assert {(r.key, r.have) for r in many[1].collect()} == {("b", 0.0), ("f", 100.0)}
