@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from proofline.functions.sizes import NARROW, spread, tasks
+
 #: Folders over which a table's documents are dealt by a hash of their key.
 BUCKETS = 64
 
@@ -56,25 +58,29 @@ def read(spark: SparkSession, path: str, name: str, state: dict | None = None) -
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def ingest(spark: SparkSession, path: str, tables: dict[str, DataFrame], key: str = "doc_id", buckets: int = BUCKETS) -> int:
+def ingest(spark: SparkSession, path: str, tables: dict[str, DataFrame], key: str = "doc_id", buckets: int = BUCKETS, rows: int = 0) -> int:
     """Replaces documents in all ``tables`` at once; returns the number of the commit.
 
     The first table (reports) says which documents come: what the store holds of them goes from every table, also where a document has
     no rows any more. Only buckets of these documents are rewritten. If another writer commits meanwhile, this one fails and changes nothing.
-    Rows without a key are added, and never replaced.
+    Rows without a key are added, and never replaced. ``rows``: how many the largest table brings, about; beyond ``sizes.NARROW`` for each bucket, several tasks
+    write a bucket's files, a part of its keys each.
     """
     number, state = manifest(spark, path)
-    bucket = lambda: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int").alias("bucket_")
-    keys = next(iter(tables.values())).select(key).distinct()
-    touched = sorted(r[0] for r in keys.select(bucket()).distinct().collect())  # ``buckets`` numbers at most
+    place = lambda n: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
+    keys = next(iter(tables.values())).select(key)
+    touched = sorted(r[0] for r in keys.select(place(buckets)).distinct().collect())  # ``buckets`` numbers at most
     after, version = dict(state), f"{path}/data/{number + 1:08d}-{uuid.uuid4().hex}"
     for name, fresh in tables.items():
-        rows, held = fresh, state.get(name, {}).get("buckets", {})
+        table, held = fresh, state.get(name, {}).get("buckets", {})
         mine = {k: v for k, v in held.items() if int(k) in touched}
         if mine:
             old = read(spark, path, name, {name: {"schema": state[name]["schema"], "buckets": mine}})
-            rows = old.join(keys, key, "left_anti").unionByName(fresh)
-        rows.repartition(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets))).withColumn("bucket_", bucket()).write.partitionBy("bucket_").parquet(f"{version}/{name}")
+            total = max(rows, old.count())  # from the files' footers
+            table = spread(old, total, key, each=NARROW).join(spread(keys, total, key, each=NARROW), key, "left_anti").unionByName(fresh)
+        n = tasks(spark, rows, NARROW)
+        n = min(n, buckets) * -(-n // buckets)  # a task has whole buckets, or a bucket whole tasks
+        table.withColumn("bucket_", place(buckets)).repartitionById(n, F.pmod(place(max(n, buckets)), F.lit(n))).write.partitionBy("bucket_").parquet(f"{version}/{name}")
         written = {n.split("=")[1]: f"{version}/{name}/{n}" for n in _names(spark, f"{version}/{name}") if n.startswith("bucket_=")}
         after[name] = {"schema": fresh.schema.jsonValue(), "buckets": {k: v for k, v in held.items() if int(k) not in touched} | written}
     _create(spark, f"{path}/manifest/{number + 1:08d}", json.dumps(after))

@@ -167,6 +167,16 @@ def test_documents_are_replaced_in_all_tables_or_in_none(spark, tmp_path):
     assert shelf.manifest(spark, path) == before
 
 
+def test_a_bucket_is_written_by_as_many_tasks_as_its_rows_ask_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shelf, "NARROW", 50)
+    path, rows = f"file://{tmp_path}/shelf", spark.range(1000).withColumnRenamed("id", "doc_id")
+    for number in (1, 2):
+        assert shelf.ingest(spark, path, {"reports": rows}, buckets=4, rows=1000) == number
+        found = shelf.read(spark, path, "reports").groupBy(F.input_file_name()).count().collect()
+        assert sum(r["count"] for r in found) == 1000 and len(found) == 20 and max(r["count"] for r in found) < 100
+    assert len(shelf.manifest(spark, path)[1]["reports"]["buckets"]) == 4
+
+
 def test_a_second_run_computes_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/cache"
     wanted = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1), (None, 3)], "key string, x int")
