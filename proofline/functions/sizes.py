@@ -27,3 +27,9 @@ def short(df: DataFrame, most: int) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"this side may have {most} rows at most; split it into batches")
     return F.broadcast(df)
+
+
+def if_few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` worked out once and with a broadcast hint if it has ``most`` rows at most; else as it is."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from proofline.functions.exact import bare
-from proofline.functions.sizes import short
+from proofline.functions.sizes import if_few, short
 from proofline.operators.quality import LEAD, ONE_EDIT_FROM, RATIO, alike
 
 # Tolerances in pixels and shares.
@@ -20,6 +20,8 @@ PITCH_FROM, PITCH_TO, PITCH_SHARE, NEAR_PX, NO_PITCH_PX, LINE_PX = 3, 80, 0.2, 6
 HEADING_FROM, HEADING_MORE = 8, 6
 #: Words of a page whose lines meet each of them.
 FEW = 24
+#: Different texts with claims to labels that go to every task; more are met by a shuffle.
+FEW_TEXTS = 10_000
 
 
 def centre_y(y0: str = "y0", y1: str = "y1") -> Column:
@@ -230,37 +232,40 @@ def label_values(items: DataFrame, labels: DataFrame, page: str) -> DataFrame:
     label's height is shared. The value is the nearest item to the right, with those that begin before it ends. A page bounds the join.
     """
     labels = short(labels.select(bare(F.col("text")).alias("word"), "label").distinct(), 10_000)
-    place = F.struct("y0", "x0", "id")
-    exact = items.withColumn("word", bare(F.col("text"))).join(labels, "word").groupBy(page, "label").agg(F.min(place).alias("place"))
-    likely = near(items.select(bare(F.col("text")).alias("word")).distinct(), labels)
-    held = exact.groupBy(page).agg(F.collect_set("label").alias("held"))
-    hopeful = items.withColumn("word", bare(F.col("text"))).join(likely, "word").select(page, place.alias("place"), "likes")
-    claims = hopeful.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("place", "likes"))).alias("rows")).join(held, page, "left")
-    start = F.struct(F.coalesce("held", F.array().cast("array<string>")).alias("held"), F.array().cast(claims_type(items)).alias("won"))
-
-    def step(acc: Column, row: Column) -> Column:
-        left = F.filter(row["likes"], lambda c: ~F.array_contains(acc["held"], c["label"]))
+    kind = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    box = ("y0", "x0", "id", "x1", "y1")
+    # what each different text may claim is found first; then a page's items meet once, and the rest is expressions over them
+    texts = items.select("text").distinct().withColumn("word", bare(F.col("text")))
+    exact = labels.groupBy("word").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    marked = texts.join(near(texts.select("word").distinct(), labels), "word", "left").join(F.broadcast(exact), "word", "left").filter("labels is not null or likes is not null").select("text", "likes", "labels")
+    tagged = items.join(if_few(marked, FEW_TEXTS), "text", "left").filter(F.col(page).isNotNull())
+    pages = tagged.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "id", "likes", "labels", "x1", "y1", "text"))).alias("items"))
+    won_type = f"array<struct<label: string, place: struct<{', '.join(f'{c}: {kind[c]}' for c in box)}>>>"
+    start = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast(won_type).alias("won"))
+    claim = lambda label, item: F.struct(label.alias("label"), F.struct(*[item[c].alias(c) for c in box]).alias("place"))
+
+    def is_label(acc: Column, item: Column) -> Column:
+        fresh = F.array_except(item["labels"], acc["held"])
+        return F.struct(F.concat(acc["held"], F.array_compact(fresh)).alias("held"), F.concat(acc["won"], F.transform(fresh, lambda label: claim(label, item))).alias("won"))
+
+    def is_like(acc: Column, item: Column) -> Column:
+        left = F.filter(item["likes"], lambda c: ~F.array_contains(acc["held"], c["label"]))
         top, next_ = F.get(left, F.lit(0)), F.coalesce(F.get(left, F.lit(1))["ratio"], F.lit(0.0))
         fine = F.coalesce(top["fine"] & (top["ratio"] - next_ >= LEAD), F.lit(False))
-        won = F.struct(top["label"].alias("label"), row["place"].alias("place"))
-        return F.struct(F.when(fine, F.array_append(acc["held"], top["label"])).otherwise(acc["held"]).alias("held"), F.when(fine, F.array_append(acc["won"], won)).otherwise(acc["won"]).alias("won"))
+        return F.struct(F.when(fine, F.array_append(acc["held"], top["label"])).otherwise(acc["held"]).alias("held"), F.when(fine, F.array_append(acc["won"], claim(top["label"], item))).otherwise(acc["won"]).alias("won"))
 
-    guessed = claims.select(page, F.inline(F.aggregate("rows", start, step, lambda acc: acc["won"])))
-    a = exact.unionByName(guessed).select(page, "label", "place", F.col("place.id").alias("id"), F.col("place.y0").alias("y0"), F.col("place.x0").alias("x0"))
-    a = a.join(items.select(page, "id", "y0", "x0", F.col("x1").alias("right"), F.col("y1").alias("b")), [page, "id", "y0", "x0"]).withColumnRenamed("y0", "t").drop("x0")
-    v = items.select(page, F.col("id").alias("v"), "text", "x0", "x1", "y0", "y1")
-    shared = F.least("b", "y1") - F.greatest("t", "y0")
-    on_line = (F.col("v") != F.col("id")) & (F.col("x0") >= F.col("right")) & (shared > OVERLAP * (F.col("b") - F.col("t")))
-    value = F.struct("x0", F.col("y0").alias("y"), "v", "x1", "text")
-    hit = a.join(v, page).groupBy(page, "id", "label").agg(F.array_sort(F.collect_list(F.when(on_line, value))).alias("line"))
-    joined = F.filter("line", lambda o: o["x0"] < F.get("line", F.lit(0))["x1"] + VALUE_PX)
-    return hit.select(page, "label", F.when(F.size("line") > 0, F.array_join(F.transform(joined, lambda o: o["text"]), " ")).alias("value"))
+    first = F.aggregate(F.filter("items", lambda o: o["labels"].isNotNull()), start, is_label)
+    won = F.aggregate(F.filter("items", lambda o: o["likes"].isNotNull()), first, is_like, lambda acc: acc["won"])
+    whole = lambda w: w["place"]["id"].isNotNull() & w["place"]["y0"].isNotNull() & w["place"]["x0"].isNotNull()
 
+    def on_line(a: Column, o: Column) -> Column:
+        shared = F.least(a["y1"], o["y1"]) - F.greatest(a["y0"], o["y0"])
+        return (o["id"] != a["id"]) & (o["x0"] >= a["x1"]) & (shared > OVERLAP * (a["y1"] - a["y0"]))
 
-def claims_type(items: DataFrame) -> str:
-    """The type of the list of labels that have been claimed, with the place of the item that did."""
-    kind = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    return f"array<struct<label: string, place: struct<y0: {kind['y0']}, x0: {kind['x0']}, id: {kind['id']}>>>"
+    right = lambda a: F.array_sort(F.transform(F.filter("items", lambda o: on_line(a, o)), lambda o: F.struct(*[o[c].alias(c) for c in ("x0", "y0", "id", "x1", "text")])))
+    lines = F.transform(F.filter(won, whole), lambda w: F.struct(w["label"].alias("label"), right(w["place"]).alias("line")))
+    joined = F.filter("line", lambda o: o["x0"] < F.get("line", F.lit(0))["x1"] + VALUE_PX)
+    return pages.select(page, F.inline(lines)).select(page, "label", F.when(F.size("line") > 0, F.array_join(F.transform(joined, lambda o: o["text"]), " ")).alias("value"))
 
 
 def near(words: DataFrame, labels: DataFrame) -> DataFrame:

@@ -238,6 +238,14 @@ def test_labels_as_like_as_each_other_are_left(spark):
     assert layout.label_values(items, labels, "page").count() == 0
 
 
+def test_a_label_read_twice_at_one_place_gives_its_value_once(spark, monkeypatch):
+    items = spark.createDataFrame([(1, i, t, x, 10.0, x + 30, 20.0) for i, t, x in ((1, "Unit:", 0.0), (1, "Unit:", 0.0), (2, "B-7", 40.0), (3, "Rep0rt No", 80.0), (4, "9", 120.0))] + [(None, 5, "Unit", 0.0, 10.0, 30.0, 20.0)], "page int, id int, text string, x0 double, y0 double, x1 double, y1 double")
+    labels = spark.createDataFrame([("Unit", "unit"), ("Report No", "report_no")], "text string, label string")
+    for few in (10_000, 0):  # texts with claims sent to every task, and met by a shuffle
+        monkeypatch.setattr(layout, "FEW_TEXTS", few)
+        assert sorted(map(tuple, layout.label_values(items, labels, "page").collect())) == [(1, "report_no", "9"), (1, "unit", "B-7")]
+
+
 def test_note_without_anything(spark):
     notes = spark.createDataFrame([(1, None, None, None, None, "reject")], "doc_id int, header string, body string, cells string, signoff array<string>, outcome string")
     rows = spark.createDataFrame([], "doc_id int, cml_id string, current string, minimum string, status string")
