@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from proofline.functions.sizes import spread
 from proofline.operators import checks, retrieval, rules
 from proofline.plans.registry import query
+from proofline.plans.storage import place
 from proofline.sources.tables import money, table
 
 Spark = SparkSession
@@ -178,9 +179,12 @@ def reply_grounding(spark: Spark, d: str) -> DataFrame:
     """Whole replies about documents against their own words: names and numbers of sentences and of notes, the answerable flag."""
     i = F.col("doc_id")
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z. \n]", ""), r"\s+", " "))
-    rows = table(spark, d, "documents").select("doc_id", plain.alias("t"))
-    rows = rows.join(rows.select((i - 1).alias("doc_id"), F.col("t").alias("other")), "doc_id", "left").withColumn("other", F.coalesce("other", F.lit("")))
-    first = F.get(F.regexp_extract_all(F.when(i % 2 == 0, F.col("t")).otherwise(F.col("other")), F.lit("[A-Za-z]+"), F.lit(0)), F.lit(0))
+    path = place(spark)
+    head = F.regexp_extract("t", "[A-Za-z]+", 0)
+    table(spark, d, "documents").select("doc_id", plain.alias("t")).withColumn("head", F.when(head != "", head)).write.parquet(path)
+    rows = spark.read.parquet(path)  # plain texts, made once; of the next document only the first word is wanted
+    rows = rows.join(rows.select((i - 1).alias("doc_id"), F.col("head").alias("next")), "doc_id", "left")
+    first = F.when(i % 2 == 0, F.col("head")).otherwise(F.col("next"))
     name = F.coalesce(F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2)))), F.lit("it"))
     line = F.concat(F.lit("stays as "), name, F.lit(" has "), F.when(i % 3 == 0, i % 40).otherwise(4242))
     key = i.alias("answer_id")

@@ -68,3 +68,9 @@ def test_tasks_grow_with_the_table(spark):
     assert sizes.spread(df, 25 * sizes.ROWS + 1, "doc_id").rdd.getNumPartitions() == 26
     totals = spark.createDataFrame([(1,), (200_000,), (4_000_000,), (30_000_000,)], "total long")
     assert [r[0] for r in totals.select(jaccard.blocks_of(F.col("total"))).collect()] == [1, 1, 4, 15]  # a set is sent once for each block
+
+
+def test_plain_texts_of_replies_are_made_once(spark):
+    """The table is read for them alone; everything else goes on from what was written."""
+    df = QUERIES["reply_grounding"](spark, DATA)
+    assert df.inputFiles() and not any("documents" in f for f in df.inputFiles())
