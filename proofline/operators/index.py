@@ -13,7 +13,7 @@ from proofline.functions.sizes import short
 from proofline.operators import retrieval as R
 
 BLOCK = 128
-#: Postings of a term that one task puts in order; a common term is dealt to several by its keys.
+#: Postings of a term that are put in order together; those of a common term are parted by their keys.
 SPAN = 1 << 16
 #: Room for rounding between a bound and a score.
 ROOM = 1e-5
@@ -34,12 +34,13 @@ def write(chunks: DataFrame, path: str, key: str = "doc_id") -> None:
     size = F.regexp_count(F.lower("text"), F.lit(R.TOKEN))
     chunks.select(size.alias("len")).filter("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/size")
     raw.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    whole, terms = spark.read.parquet(f"{path}/size"), spark.read.parquet(f"{path}/terms")
-    rows = raw.join(F.broadcast(whole), how="cross").join(terms, "term")  # one row
+    whole = spark.read.parquet(f"{path}/size")
+    # dealt by ranges of terms, once: counts, ranks and blocks of a term are made where its postings are
+    rows = raw.repartitionByRange("term").withColumn("df", F.count("*").over(Window.partitionBy("term"))).join(F.broadcast(whole), how="cross")  # one row
     rows = rows.withColumns({"worth": weight(F.col("tf"), F.col("len"), F.col("avg_len")), "part": F.pmod(F.xxhash64("key"), F.floor(F.col("df") / SPAN) + 1)})
     nth = F.row_number().over(Window.partitionBy("term", "part").orderBy(F.desc("worth"), "key"))
     blocks = rows.withColumn("block", F.floor((nth - 1) / BLOCK)).groupBy("term", "part", "block").agg(F.max("worth").alias("most"), F.collect_list(F.struct("key", "tf", "len")).alias("postings"))
-    blocks.repartitionByRange("term", "part", "block").sortWithinPartitions("term", "part", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    blocks.sortWithinPartitions("term", "part", "block").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, key: str = "doc_id", k: int = R.CANDIDATES) -> DataFrame:

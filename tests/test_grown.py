@@ -74,3 +74,18 @@ def test_plain_texts_of_replies_are_made_once(spark):
     """The table is read for them alone; everything else goes on from what was written."""
     df = QUERIES["reply_grounding"](spark, DATA)
     assert df.inputFiles() and not any("documents" in f for f in df.inputFiles())
+
+
+def test_postings_are_dealt_by_term_once(spark, tmp_path):
+    from proofline.operators import index
+
+    docs, sc = spark.createDataFrame([(i, f"all w{i % 7} w{i}") for i in range(300)], "doc_id long, text string"), spark.sparkContext
+    sc.setJobGroup("index of words", "")
+    try:
+        index.write(docs, f"file://{tmp_path}/index")
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("index of words") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) <= 18  # 16; a second shuffle of the postings and its sampling come to 22
+    assert spark.read.parquet(f"file://{tmp_path}/index/postings").selectExpr("sum(size(postings))").first()[0] == 300 + 300 + 293
