@@ -89,3 +89,11 @@ def test_postings_are_dealt_by_term_once(spark, tmp_path):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(stages) <= 18  # 16; a second shuffle of the postings and its sampling come to 22
     assert spark.read.parquet(f"file://{tmp_path}/index/postings").selectExpr("sum(size(postings))").first()[0] == 300 + 300 + 293
+
+
+def test_readings_of_notes_are_stored_without_what_follows_from_them(spark, tmp_path, monkeypatch):
+    from proofline.plans import integrity
+
+    monkeypatch.setattr(integrity, "place", lambda _: f"file://{tmp_path}/notes")
+    integrity.note_readback(spark, DATA)
+    assert spark.read.parquet(f"file://{tmp_path}/notes/readings").columns == ["doc_id", "cml_id", "current", "minimum"]
