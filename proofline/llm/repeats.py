@@ -57,6 +57,7 @@ HELD, DEALT = 8 << 20, 8 << 20
 #: Bytes of segments in one run-length index.
 SHARD = 1 << 19
 #: Strings in a segment, by how many segments share the anchor: all, from the first number on 8, from the second on 1.
+#: They divide the work and no more: an anchor has one width everywhere, and ``cut`` brings equal strings together at each.
 MANY, WIDTHS = (1_000, 100_000), (1 << 15, 8, 1)
 _rng = np.random.default_rng(31)
 _odd = lambda n: _rng.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)

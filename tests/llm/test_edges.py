@@ -240,6 +240,21 @@ def test_parts_of_texts_with_a_line_of_many(spark):
     assert got == brute_repeats(texts + parts, 100)
 
 
+def test_rows_do_not_depend_on_the_numbers_that_switch_widths(spark, monkeypatch):
+    texts, parts = _sliced()
+    some = texts[:150] + parts
+    want = brute_repeats(some, 100)
+    rows = make(spark, some).repartition(4)
+    named = rows.selectExpr("doc_id AS doc", "0L AS twin", "text")
+    for many, held, widths in (((1 << 40, 1 << 40), 8 << 20, {1 << 15}), ((2, 1 << 40), 8 << 20, {8}), ((2, 2), 0, {1}), ((5, 100), 5000, {1 << 15, 8, 1})):
+        monkeypatch.setattr(repeats, "MANY", many)
+        monkeypatch.setattr(repeats, "HELD", held)
+        blocks = [bytes(x.block) for x in repeats.find_segments(named, 4, 100).filter(F.col("kind") == repeats.WANTED).collect()]
+        assert set(repeats.unpack(blocks, repeats.WANT)["width"].tolist()) == widths  # the switch is thrown in the tasks, too
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(rows).collect()}
+        assert got == want
+
+
 def test_long_texts_in_repeats(spark):
     r = random.Random(4)
     half = "".join(r.choice("abcdefghijklmnop ") for _ in range(1_200_000))
