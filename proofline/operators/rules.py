@@ -87,7 +87,7 @@ def short_form(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def margins(current: Column, least: Column) -> Column:
+def margin_forms(current: Column, least: Column) -> Column:
     """The distance of two printed numbers, with the places of the one that has more and with two; no entries where one is no number."""
     distance = F.abs(exact(current) - exact(least))
     places = F.greatest(printed_decimals(current), printed_decimals(least))
@@ -116,7 +116,7 @@ def allowed_numbers(headers: DataFrame, readings: DataFrame, findings: DataFrame
     rows = rows.unionByName(part(findings, "finding", (), ("ref_clause", "finding_id", "location", "description", "recommendation"), F.col("severity").isin(*ESCALATING)))
     at, value = {c: F.get("values", F.lit(i)) for i, c in enumerate(VALUES)}, F.col("values")
     of_header = F.flatten(F.transform(value, lambda v: F.array(v, F.when(exact_text(v).isNotNull(), short_form(v)))))
-    of_reading = F.concat(F.flatten(F.transform(value, printed_forms)), margins(at["current_mm"], at["min_required_mm"]))
+    of_reading = F.concat(F.flatten(F.transform(value, printed_forms)), margin_forms(at["current_mm"], at["min_required_mm"]))
     printed = F.when(F.col("kind") == "header", of_header).when(F.col("kind") == "reading", of_reading).otherwise(none)
     met = rows.repartition("doc_id")
     forms = met.select("doc_id", F.explode(F.concat(printed, F.regexp_extract_all("words", F.lit(f"({NUMBERS})"), F.lit(1)))).alias("form")).filter("form is not null")

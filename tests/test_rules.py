@@ -178,6 +178,22 @@ def test_allowed_numbers_meet_in_one_shuffle_of_what_was_read(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 2  # the second is the first, reused
 
 
+def test_margins_of_readings_are_not_hidden_by_another_rule(spark):
+    import ast
+    import pathlib
+
+    from proofline.operators import rules
+
+    schema = "doc_id string, cml_id string, current_mm string, min_required_mm string"
+    readings = one(spark, [("d", "C1", "7.25", "8"), ("d", "C2", "l.1", "2"), ("d", "C3", "3", None), (None, "C4", "9", "9.000")], schema)
+    got = {(x.doc_id, x.cml_id, float(x.margin_mm)) for x in rules.margins(readings).collect()}
+    assert got == {("d", "C1", -0.75), (None, "C4", 0.0)}
+    # nothing in the package is defined twice in one module, where the second would take the first one's name
+    for path in pathlib.Path(rules.__file__).parents[1].rglob("*.py"):
+        names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), path
+
+
 def test_a_review_asks_with_reasons_and_enters_every_field(spark):
     from proofline.operators import rules
 
