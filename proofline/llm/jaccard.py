@@ -7,22 +7,24 @@ link when ``den * |A & B| >= num * |A | B|``.
 2. Sets that may link are brought together. Sizes fall into classes such that linked sets are
    in one class or in neighbouring ones, so a set takes part in its own class and in the next.
    Linked sets of a class differ in at most D shingles. The hash space is cut into D + 1 + spare
-   parts; each differing shingle spoils one part, so linked sets agree in spare + 1 parts or more,
-   and unless both have more than spare empty parts, in one that isn't empty. This holds for any choice of shingles, so the frequent ones are left out: those in
+   parts, and a set takes part with its last D + 1 that aren't empty. Each differing shingle spoils one part, so of the set whose
+   last D + 1 begin later, one at least is the other's, too, and sent by both. This holds for any choice of shingles, so the frequent ones are left out: those in
    slots of a count of all shingles of all documents that stand out far. A set with too many empty
-   parts takes part with all its shingles, too. Parts travel as 64-bit signatures in
+   parts takes part with all that it has, and with all its shingles, too. Parts travel as signatures of 48 bits and names of 64 in
    packed blocks; a short list of equal ones gives pairs, one of m gives m - 1 edges of candidate clusters. Agreement in a
    part takes a few rare shingles at once, so shared passages seldom make candidates, and
    sketches of the sets turn down most pairs that can't link. The edges of a long list aren't looked at
    by sketches, as its members hang together by them alone, so a popular part makes a large cluster;
-   such a one is cut up in step 3.
+   such a one is cut up in step 3. Pairs may grow faster than the documents; they meet the sketches in rounds, of so many for each node.
 3. Within a cluster the sets, by size, are joined over index lists. A list is in the order of
    sets and jumps over the block before a set and the block of those too large for it. If a set
    is much like one done before, its overlaps are that one's, changed by the lists of the few
    shingles in which they differ. Clusters are cut into blocks (``blocks_of``), and
-   each pair of blocks is a task of its own: exact for any size, in bounded memory.
+   each pair of blocks is a task of its own: exact for any size, in bounded memory. Where large clusters
+   would be sent more than ``BLOCKS`` times on average, their pairs of blocks are done in rounds, so the disk doesn't grow with them.
 
-Sets have 128-bit names; shingles are 64 bits, of which ``shingles`` states what may go wrong. The slots
+Sets have 128-bit names; shingles are 64 bits, of which ``shingles`` states what may go wrong. Up to the clusters of candidates sets go by
+the first half of their names: others of the same half only make a cluster larger, and linked sets that share it are missed with a chance of 2**-64 for each pair. The slots
 of the count in step 2 are as many for any corpus: a shingle counts as frequent if its slot stands out by
 eight deviations, which at 10**13 shingles takes some 25,000 documents; below that, lists of equal
 signatures are no longer than that.
@@ -35,6 +37,7 @@ read whole, in blocks; an empty table gives no rows; other columns are ignored,
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -61,9 +64,10 @@ SMALL = 32
 SLOT_BITS, CHUNKS = 20, 64
 #: Bins of a sketch, and the longest list of equal signatures that is looked at pair by pair.
 BINS, PAIRWISE = 64, 24
-#: A signature and the two halves of the name of its node.
-POSTING = np.dtype([("sign", "<u8"), ("a", "<u8"), ("b", "<u8")])
-NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
+#: A signature and the first half of the name of its node; how many bytes of a signature are sent, as its bucket says more.
+POSTING, SIGN = np.dtype([("sign", "<u8"), ("name", "<u8")]), 6
+#: Pairs for each node that are looked at by sketches in one round; a round's shuffle files go when it ends.
+PAIRS = 8
 
 
 def _texts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tuple[int, list[str]]]:
@@ -148,7 +152,7 @@ class Classes:
         return np.concatenate(out)
 
     def _parts(self, some: np.ndarray, c: int, whole: bool, out: list[np.ndarray]) -> int:
-        """Adds the signatures of a set's parts; returns how many are empty. If those of a whole set are too many, they count, too."""
+        """Adds the signatures of a set's parts, of the last that suffice; returns how many are empty. If those of a whole set are too many, they count, too."""
         parts = self.differ[c] + 1 + self.spare[c]
         # low bits, as the slots of the count are the high ones
         part = ((some & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
@@ -157,23 +161,28 @@ class Classes:
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
         sums = np.add.reduceat(mixed, starts) if len(starts) else np.zeros(0, np.uint64)
         place, empty = part[starts], parts - len(starts)
-        if whole and empty > self.spare[c]:
+        if empty <= self.spare[c]:
+            sums, place = sums[-self.differ[c] - 1 :], place[-self.differ[c] - 1 :]
+        elif whole:
             more = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
             sums, place = np.concatenate([sums, np.zeros(empty, np.uint64)]), np.concatenate([place, more])
         out.append(mix(sums ^ mix(place + np.uint64((2 * c + whole) << 40 | 1 << 39))))
         return empty
 
 
-def names_of(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct nodes of some postings, and each posting's place among them."""
-    order = np.lexsort((posts["b"], posts["a"]))
-    a, b = posts["a"][order], posts["b"][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    names, place = np.empty(int(new.sum()), NAME), np.empty(len(order), np.int64)
-    names["a"], names["b"] = a[new], b[new]
-    place[order] = np.cumsum(new) - 1
-    return names, place
+def packed(posts: np.ndarray) -> np.ndarray:
+    """A row of bytes for each posting: the upper ones of its signature, then the name."""
+    raw = np.ascontiguousarray(posts).view(np.uint8).reshape(-1, POSTING.itemsize)
+    return raw[:, 8 - SIGN :]
+
+
+def unpacked(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures, as far as they were sent, and the names of packed postings."""
+    raw = np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, SIGN + 8)
+    posts = np.zeros((len(raw), POSTING.itemsize), np.uint8)
+    posts[:, 8 - SIGN :] = raw
+    posts = posts.view(POSTING).reshape(-1)
+    return posts["sign"], posts["name"]
 
 
 def list_edges(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +208,7 @@ def list_edges(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]], Iterator[tuple[bytes, np.ndarray]]]) -> DataFrame:
-    """Edges (a, b, sure) that connect nodes with a signature in common. signatures: texts -> (node, its signatures); total: shingles in all."""
+    """Edges (a, b, sure) between first halves of names that connect nodes with a signature in common. signatures: texts -> (node, its signatures); total: shingles in all."""
     tasks = store.buckets(docs.sparkSession, total, 4 * DEALT)
     buckets = 4 * tasks
 
@@ -209,13 +218,13 @@ def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]],
 
         def flush() -> pa.RecordBatch:
             posts = np.concatenate(held)
-            order = np.lexsort((posts["b"], posts["a"], posts["sign"]))
+            order = np.lexsort((posts["name"], posts["sign"]))
             posts = posts[order]
             posts = posts[np.concatenate([[True], posts[1:] != posts[:-1]])]  # copies of a document count once
             to = (posts["sign"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             found, at = np.unique(to[order], return_index=True)
-            blocks = [x.tobytes() for x in np.split(posts[order], at[1:])]
+            blocks = [x.tobytes() for x in np.split(packed(posts[order]), at[1:])]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
         for batch in store.slices(batches):
@@ -223,7 +232,7 @@ def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]],
                 for node, signs in signatures(texts):
                     posts = np.empty(len(signs), POSTING)
                     posts["sign"] = signs
-                    posts["a"], posts["b"] = np.frombuffer(node, "<u8")
+                    posts["name"] = np.frombuffer(node, "<u8")[0]
                     held.append(posts)
                     size += len(posts)
                 if size > 1 << 18:
@@ -233,23 +242,28 @@ def shared_edges(docs: DataFrame, total: int, signatures: Callable[[list[str]],
             yield flush()
 
     def join(part: pa.Table) -> pa.Table:
-        posts = np.concatenate([np.frombuffer(x, POSTING) for x in part.column("block").to_pylist()])
-        own, place = names_of(posts)
-        pairs, star = list_edges(posts["sign"], place)
+        signs, names = unpacked(part.column("block").to_pylist())
+        own, place = np.unique(names, return_inverse=True)
+        pairs, star = list_edges(signs, place)
         both = np.concatenate([pairs, star])
-        names = pa.Array.from_buffers(pa.binary(16), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
+        names = pa.Array.from_buffers(pa.binary(8), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
         return pa.table({"a": names.take(pa.array(both[:, 0])), "b": names.take(pa.array(both[:, 1])), "sure": np.arange(len(both)) >= len(pairs)})
 
     return store.by_bucket(docs.select("text").mapInArrow(deal, "bucket long, block binary"), "bucket", tasks, join, "a binary, b binary, sure boolean")
 
 
+def half(node: str | Column = "node") -> Column:
+    """The first half of a node's name."""
+    return F.substring(node, 1, 8)
+
+
 def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) without the pairs whose sketches show that they can't link."""
     edges = store.table(edges.distinct(), "pairs")
+    unsure = edges.filter("not sure").select("a", "b")
     own = nodes.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("s"))
-    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    side = lambda x: own.select(half().alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    pairs = edges.filter("not sure").select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +272,19 @@ def likely_edges(edges: DataFrame, nodes: DataFrame, num: int, den: int) -> Data
             fine = np.abs(s[0] - s[1]).sum(axis=1) * (den + num) <= total * (den - num)
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    return edges.filter("sure").select("a", "b").unionAll(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary"))
+    def likely(some: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        pairs = some(unsure).join(some(side("a")), "a").join(side("b"), "b").filter(near)
+        return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+    return edges.filter("sure").select("a", "b").unionAll(in_rounds(likely, -(-unsure.count() // (PAIRS * nodes.count() + 1)), "a", name="likely"))
+
+
+def in_rounds(work: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], rounds: int, *keys: str, name: str) -> DataFrame:
+    """All that ``work`` gives in so many rounds, each with the rows of some keys; their results are written, and a round's shuffle files deleted before the next."""
+    if rounds < 2:
+        return work(lambda df: df)
+    found = [store.table(work(lambda df, r=r: df.filter(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == r)), name) for r in range(rounds)]
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def candidate_edges(docs: DataFrame, total: int, frequent: np.ndarray, k: int, num: int, den: int) -> DataFrame:
@@ -348,7 +374,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
     placed = members.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     # by id and text, so that rows that share an id meet their own node alone; a null id counts as 0
     ids = placed.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "twin", "node", "cluster", "blocks", "block")
-    size = members.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    size = placed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0)).alias("sent")).first()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), twin(), "text")
     texts = texts.join(F.broadcast(ids) if size["rows"] <= SEND else ids, ["id", "twin"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(x, F.col("block").cast("int")).alias("i"), F.greatest(x, F.col("block").cast("int")).alias("j")))
@@ -388,9 +414,15 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: i
             yield flush()
 
     sets = texts.select("node", "cluster", "blocks", "block", "text").mapInArrow(pack, "node binary, cluster binary, blocks long, block long, tokens binary")
-    keyed = sets.withColumn("pair", F.explode(pairs)).select("cluster", "pair.i", "pair.j", "node", "block", "tokens")
+    rounds = -(-size["sent"] // (BLOCKS * size["n"] + 1))
+    sets = store.table(sets, "sets") if rounds > 1 else sets
     n = store.buckets(docs.sparkSession, BLOCKS * size["n"], 4 * CLUSTER)
-    return keyed.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(join, "a binary, b binary").filter("a <> b")
+
+    def links(some: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        keyed = some(sets.withColumn("pair", F.explode(pairs)).select("cluster", "pair.i", "pair.j", "node", "block", "tokens"))
+        return keyed.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(join, "a binary, b binary").filter("a <> b")
+
+    return in_rounds(links, rounds, "cluster", "i", "j", name="links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -416,7 +448,8 @@ def by_component(docs: DataFrame, nodes: DataFrame, candidates: Callable[[int],
         clusters = components(likely_edges(candidates(total), nodes, num, den))
         # a node of many copies is one row until the last join, which is a plain one that can be split
         own = full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("own"), F.max("n").alias("n"))
-        of = own.join(clusters.withColumnRenamed("root", "cluster"), "node").select("own.doc_id", "own.twin", "node", "n", "cluster")
+        named = clusters.select(F.col("node").alias("half"), F.col("root").alias("cluster"))
+        of = own.join(named, half() == F.col("half")).select("own.doc_id", "own.twin", "node", "n", "cluster")
         roots = components(verified_links(docs, store.table(of, "members"), k, num, den))
         rooted = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = rooted.groupBy("root").agg(F.min("own").alias("least"))

@@ -99,6 +99,35 @@ def test_signatures_lose_no_link():
             assert one & two
 
 
+def test_sets_send_no_more_than_suffices():
+    r, classes = random.Random(8), jaccard.Classes(80, 100)
+    for n in (60, 500, 3000):
+        own = np.array(sorted({r.randrange(1 << 64) for _ in range(n)}), np.uint64)
+        c = int(np.searchsorted(classes.ends, n))
+        assert len(classes.signatures(own, np.zeros(1 << jaccard.SLOT_BITS, bool))) == sum(classes.differ[x] + 1 for x in (c, c + 1))
+    posts = np.array([(r.randrange(1 << 64), r.randrange(1 << 64)) for _ in range(50)], jaccard.POSTING)
+    blocks = [x.tobytes() for x in np.split(jaccard.packed(posts), [7, 7, 20])]
+    sign, name = jaccard.unpacked(blocks)
+    assert sum(map(len, blocks)) == 14 * 50 and (sign == posts["sign"] >> np.uint64(16) << np.uint64(16)).all() and (name == posts["name"]).all()
+
+
+def test_pairs_and_large_clusters_are_done_in_rounds(spark, monkeypatch):
+    for name, value in (("BLOCK", 700), ("BLOCKS", 1), ("CLUSTER", 700), ("PAIRS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    written, table = [], jaccard.store.table
+    monkeypatch.setattr(jaccard.store, "table", lambda df, name: (written.append(name), table(df, name))[1])
+    r = random.Random(6)
+    texts = []
+    for i in range(48):
+        own = [f"w{i % 4}-{j}" for j in range(120)]
+        for at in r.sample(range(120), i % 5):
+            own[at] = f"x{i}-{at}"
+        texts.append((i, " ".join(own)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(make(spark, texts), 4, 85, 100).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+    assert written.count("likely") > 1 and written.count("links") > 1 and written.count("sets") == 1
+
+
 def test_keep_one(docs, corpus):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
