@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.exact import GRADES, NUMBER, NUMBERS, exact, exact_text, grade_rank, printed_decimals
+from proofline.functions.exact import DECIMAL, GRADES, NUMBER, NUMBERS, exact, exact_text, grade_rank, printed_decimals
 from proofline.operators.store import held
 
 # A reading's numbers, a header's numbers and texts, the grades that escalate.
@@ -77,23 +77,39 @@ def gate(reports: DataFrame, readings: DataFrame, findings: DataFrame) -> DataFr
     return reports.select("doc_id").join(r, "doc_id", "left").join(f, "doc_id", "left").select("doc_id", reason.alias("reason"))
 
 
-def printed_forms(value: Column) -> Column:
-    """Every way to print a number: as read, with two places, and without trailing zeros."""
-    return F.array(exact_text(value), F.bround(exact(value), 2).cast("decimal(18,2)").cast("string"), short_form(exact_text(value)))
-
-
 def short_form(text: Column) -> Column:
     """A number as printed, without trailing zeros."""
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def margin_forms(current: Column, least: Column) -> Column:
-    """The distance of two printed numbers, with the places of the one that has more and with two; no entries where one is no number."""
-    distance = F.abs(exact(current) - exact(least))
-    places = F.greatest(printed_decimals(current), printed_decimals(least))
-    whole = distance.cast("string")
-    cut = F.when(places == 0, F.regexp_replace(whole, r"\..*$", "")).otherwise(F.substr(whole, F.lit(1), F.length(whole) - 6 + places))
-    return F.when(distance.isNotNull(), F.array(cut, F.bround(distance, 2).cast("decimal(18,2)").cast("string"))).otherwise(F.array().cast("array<string>"))
+def short_number(text: Column) -> Column:
+    """``short_form`` of what ``exact_text`` gives, without an expression."""
+    return F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+
+
+def two_places(number: Column) -> Column:
+    """A decimal with two places, rounded half to even."""
+    return F.bround(number, 2).cast("decimal(18,2)").cast("string")
+
+
+def printed_forms(rows: DataFrame, names: tuple[str, ...], current: str, least: str, out: str) -> DataFrame:
+    """Adds ``out``: every way to print the numbers of a row (as read, with two places, without trailing zeros) and the distance of two of them,
+    with the places of the one that has more and with two; nulls where one is no number.
+
+    Each step is a projection of its own, so that a number is read once; nothing of it is a lambda, which Spark would not compile.
+    """
+    text, number, places = {c: f"{out}_t_{c}" for c in names}, {c: f"{out}_n_{c}" for c in names}, [f"{out}_p_{c}" for c in (current, least)]
+    rows = rows.withColumns({text[c]: exact_text(F.col(c)) for c in names})
+    point = lambda c: F.instr(F.col(text[c]), ".")
+    decimals = {p: F.when(point(c) > 0, F.length(F.col(text[c])) - point(c)).otherwise(0) for p, c in zip(places, (current, least), strict=True)}
+    rows = rows.withColumns({number[c]: F.col(text[c]).try_cast(DECIMAL) for c in names} | decimals)
+    far, most = f"{out}_far", f"{out}_most"
+    rows = rows.withColumns({far: F.abs(F.col(number[current]) - F.col(number[least])), most: F.greatest(*places)})
+    whole = f"{out}_whole"
+    rows = rows.withColumn(whole, F.col(far).cast("string"))
+    cut = F.when(F.col(most) == 0, F.substring_index(F.col(whole), ".", 1)).otherwise(F.substr(F.col(whole), F.lit(1), F.length(F.col(whole)) - 6 + F.col(most)))
+    forms = [form for c in names for form in (F.col(text[c]), two_places(F.col(number[c])), short_number(F.col(text[c])))]
+    return rows.withColumn(out, F.array(*forms, cut, two_places(F.col(far)))).drop(*text.values(), *number.values(), *places, far, most, whole)
 
 
 def allowed_numbers(headers: DataFrame, readings: DataFrame, findings: DataFrame) -> DataFrame:
@@ -114,12 +130,12 @@ def allowed_numbers(headers: DataFrame, readings: DataFrame, findings: DataFrame
     rows = part(headers, "header", have(HEADER_VALUES), have(HEADER_TEXTS), F.lit(False))
     rows = rows.unionByName(part(readings, "reading", VALUES, ("cml_id", "location"), low))
     rows = rows.unionByName(part(findings, "finding", (), ("ref_clause", "finding_id", "location", "description", "recommendation"), F.col("severity").isin(*ESCALATING)))
-    at, value = {c: F.get("values", F.lit(i)) for i, c in enumerate(VALUES)}, F.col("values")
-    of_header = F.flatten(F.transform(value, lambda v: F.array(v, F.when(exact_text(v).isNotNull(), short_form(v)))))
-    of_reading = F.concat(F.flatten(F.transform(value, printed_forms)), margin_forms(at["current_mm"], at["min_required_mm"]))
-    printed = F.when(F.col("kind") == "header", of_header).when(F.col("kind") == "reading", of_reading).otherwise(none)
+    of_header = F.array(*[form for i in range(len(have(HEADER_VALUES))) for v in [F.get("values", F.lit(i))] for form in (v, F.when(exact_text(v).isNotNull(), short_form(v)))]).cast("array<string>")
     met = rows.repartition("doc_id")
-    forms = met.select("doc_id", F.explode(F.concat(printed, F.regexp_extract_all("words", F.lit(f"({NUMBERS})"), F.lit(1)))).alias("form")).filter("form is not null")
+    at = {f"v_{c}": F.when(F.col("kind") == "reading", F.get("values", F.lit(i))) for i, c in enumerate(VALUES)}
+    printed = printed_forms(met.withColumns(at), tuple(at), "v_current_mm", "v_min_required_mm", "forms")
+    own = F.when(F.col("kind") == "header", of_header).when(F.col("kind") == "reading", F.col("forms")).otherwise(none)
+    forms = printed.select("doc_id", F.explode(F.array_distinct(F.concat(own, F.regexp_extract_all("words", F.lit(f"({NUMBERS})"), F.lit(1))))).alias("form")).filter("form is not null")
     number = lambda kind: F.count_if(F.col("kind") == kind)
     counts = met.groupBy("doc_id").agg(number("header").alias("h"), number("reading").alias("n"), number("finding").alias("m"), F.count_if("trigger").alias("t")).filter("h > 0")
     counted = counts.select("doc_id", F.explode(F.array(*[F.when(F.col("doc_id").isNotNull(), F.col(c)).otherwise(0).cast("string") for c in "nmt"])).alias("form"))

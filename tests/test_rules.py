@@ -178,6 +178,19 @@ def test_allowed_numbers_meet_in_one_shuffle_of_what_was_read(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 2  # the second is the first, reused
 
 
+def test_allowed_numbers_are_compiled_and_read_odd_prints(spark):
+    from proofline.operators import rules
+
+    headers = one(spark, [], "doc_id string, corrosion_rate_mm_yr string")
+    readings = one(spark, [("d", None, None, " 100 ", "-0.50", "1.0000005", "0.3"), ("e", None, None, "7.", "1e3", "2", None)], "doc_id string, cml_id string, location string, nominal_mm string, previous_mm string, current_mm string, min_required_mm string")
+    findings = one(spark, [], "doc_id string, finding_id string, severity string, location string, description string, recommendation string, ref_clause string")
+    found = rules.allowed_numbers(headers, readings, findings)
+    got = {(x.doc_id, x.form) for x in found.collect()}
+    assert {f for d, f in got if d == "d"} == {"100", "100.00", "-0.50", "-0.5", "1.0000005", "1.00", "0.3", "0.30", "0.700001", "0.70"}
+    assert {f for d, f in got if d == "e"} == {"2", "2.00"}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # Spark doesn't compile those
+
+
 def test_margins_of_readings_are_not_hidden_by_another_rule(spark):
     import ast
     import pathlib
